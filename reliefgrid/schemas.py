@@ -1,0 +1,10 @@
+"""Column layouts shared by all stages. Missing heights are NULL, never NaN."""
+
+CELLS = "raster_id string, row int, col int, value double"
+PIXELS = "image_id string, row int, col int, r int, g int, b int"
+RASTER_META = "raster_id string, height int, width int"
+LEVELS = "level_idx int, threshold double, base_z double"
+COLOR_RULES = "priority int, hex string, r int, g int, b int, value double, fuzziness double"
+RINGS = "poly_id long, ring_id long, role string, seq int, x double, y double"
+VERTICES = "mesh_id string, vid long, x double, y double, z double"
+TRIANGLES = "mesh_id string, tid long, v0 long, v1 long, v2 long"
