@@ -21,18 +21,23 @@ def tile_of(index: Column, bits: int = TILE_BITS) -> Column:
     return F.shiftright(index, bits)
 
 
-def tiled(cells: DataFrame, before: int, after: int, bits: int = TILE_BITS) -> DataFrame:
+def tiled(
+    cells: DataFrame, before: int, after: int, bits: int = TILE_BITS, skew: int = 0, skew_reach: int = 0
+) -> DataFrame:
     """Repeat each cell in every tile that reaches it and place tiles together.
 
     A tile sees ``before`` cells above/left of itself and ``after`` cells below/right of itself.
+    With ``skew`` the tiles are slanted: columns are counted as ``col + skew * row``, and a tile sees
+    ``skew_reach`` more of them on both sides.
     """
 
-    def tiles(axis: str) -> Column:
-        return F.sequence(tile_of(F.col(axis) - after, bits), tile_of(F.col(axis) + before, bits))
+    def tiles(index: Column, extra: int) -> Column:
+        return F.sequence(tile_of(index - (after + extra), bits), tile_of(index + (before + extra), bits))
 
+    column = F.col("col") + F.col("row") * skew if skew else F.col("col")
     return (
-        cells.withColumn("tile_r", F.explode(tiles("row")))
-        .withColumn("tile_c", F.explode(tiles("col")))
+        cells.withColumn("tile_r", F.explode(tiles(F.col("row"), 0)))
+        .withColumn("tile_c", F.explode(tiles(column, skew_reach)))
         .withColumn("tile", F.xxhash64("raster_id", "tile_r", "tile_c"))
         .repartition("tile")
     )
