@@ -247,8 +247,9 @@ def vertex_offsets(mesh: Mesh) -> DataFrame:
     return counts.withColumn("first_vertex", F.coalesce(F.sum("vertices").over(w), F.lit(0)).cast("long"))
 
 
-def concat_meshes(mesh: Mesh, mesh_id: Column = F.lit("combined")) -> Mesh:
+def concat_meshes(mesh: Mesh, mesh_id: Column | None = None) -> Mesh:
     """Put meshes together under new ids; vertices are renumbered 0, 1, ... in order of mesh."""
+    mesh_id = F.lit("combined") if mesh_id is None else mesh_id
     numbered = dense_ids(mesh.vertices, ["mesh_id", "vid"], "new_vid")
     ids = numbered.select("mesh_id", "vid", F.col("new_vid").alias("to"))
     numbered_t = dense_ids(mesh.triangles, ["mesh_id", "tid"], "new_tid").withColumn("tid", F.col("new_tid"))
@@ -260,7 +261,7 @@ def concat_meshes(mesh: Mesh, mesh_id: Column = F.lit("combined")) -> Mesh:
 
 
 def combine_meshes(
-    meshes: Mesh | Sequence[Mesh], merge_threshold: float = 1e-6, mesh_id: Column = F.lit("combined")
+    meshes: Mesh | Sequence[Mesh], merge_threshold: float = 1e-6, mesh_id: Column | None = None
 ) -> Mesh:
     """Concatenate, merge close vertices, drop degenerate triangles and unused vertices.
 

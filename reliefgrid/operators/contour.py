@@ -37,8 +37,9 @@ def level_keys(levels: DataFrame) -> DataFrame:
     return levels.select(*[c for c in ("raster_id", "level_idx", "threshold") if c in levels.columns])
 
 
-def crossing(threshold: Column = F.col("threshold")) -> Column:
+def crossing() -> Column:
     """Does a block have corners on both sides of the threshold?"""
+    threshold = F.col("threshold")
     corners = [F.col(c) for c in ("ul", "ur", "ll", "lr")]
     gap = corners[0].isNull() | corners[1].isNull() | corners[2].isNull() | corners[3].isNull()
     return (threshold <= F.greatest(*corners)) & (gap | (threshold > F.least(*corners)))

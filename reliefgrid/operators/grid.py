@@ -18,7 +18,7 @@ def to_cells(
     row: str | Column,
     col: str | Column,
     value: str | Column,
-    raster_id: str | Column = F.lit("raster"),
+    raster_id: str | Column | None = None,
 ) -> DataFrame:
     """Any table with a row, a column and a height becomes cells; NaN turns into NULL."""
 
@@ -27,7 +27,7 @@ def to_cells(
 
     v = c(value).cast("double")
     return df.select(
-        c(raster_id).cast("string").alias("raster_id"),
+        (F.lit("raster") if raster_id is None else c(raster_id).cast("string")).alias("raster_id"),
         c(row).cast("int").alias("row"),
         c(col).cast("int").alias("col"),
         F.when(~F.isnan(v), v).alias("value"),

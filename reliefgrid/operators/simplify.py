@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from reliefgrid.operators.polygons import level_key, poly_key, with_next
 from reliefgrid.runtime import attach, cut
@@ -208,7 +209,7 @@ def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int
 
     outer = rings.filter("role = 'exterior'")
     too_long = outer.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") + 1 > max_segments).select(*key)
-    need_schema = rings.select(*lk).schema.add("rounds", "int")
+    need_schema = rings.select(*lk).schema.add("rounds", IntegerType())
     needed = outer.join(too_long, key, "left_semi").groupBy(*key).applyInPandas(need, need_schema)
     finished = rings.filter("done > 0").select(*lk, F.col("done").alias("rounds"))
     needed = needed.unionByName(finished).groupBy(*lk).agg(F.max("rounds").alias("rounds"))

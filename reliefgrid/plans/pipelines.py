@@ -53,6 +53,11 @@ def prepare_heights(cells: DataFrame, config: MeshSettings = MeshSettings()) ->
     )
 
 
+def raster_of(parts: int):
+    """Raster of a mesh id: everything before its last ``parts`` components."""
+    return F.regexp_replace("mesh_id", f"(/[^/]*){{{parts}}}$", "")
+
+
 def _thickness(config: MeshSettings) -> float:
     if config.thickness is not None:
         return config.thickness
@@ -122,8 +127,8 @@ def heightmap_to_mesh(
     per_level = replace(cleanup, simplification="none")
     mesh = clean_mesh(solids, per_level) if cleanup.apply else solids
     mesh = Mesh(cut(mesh.vertices), cut(mesh.triangles))
-    raster = F.substring_index("mesh_id", "/", 1)
-    mesh = combine_meshes(mesh, config.combine_threshold, raster)
+    parts = 1 if config.mode == "slice" and config.triangulation.method == "grid" else 2
+    mesh = combine_meshes(mesh, config.combine_threshold, raster_of(parts))
     if cleanup.apply:
         mesh = clean_mesh(mesh, cleanup)
     mesh = with_normals(mesh)
@@ -235,7 +240,7 @@ def multi_level_mesh(cells: DataFrame, thresholds: Sequence[float], mesh_type: s
     else:
         raise ValueError(f"Unknown mesh type for levels: {mesh_type}")
     stacked = Mesh(cut(stacked.vertices), cut(stacked.triangles))
-    return combine_meshes(stacked, mesh_id=F.substring_index("mesh_id", "/", 1))
+    return combine_meshes(stacked, mesh_id=raster_of(1))
 
 
 # ---- preset ----------------------------------------------------------------------------------
