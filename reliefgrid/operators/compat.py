@@ -9,7 +9,9 @@ are cut out of them again. What is left is, in closed form:
 
 A region whose centre border meets itself is not cut out, so it stays solid, and what lies in it
 belongs to the piece around it. Regions here join diagonally; centre borders come from the contour
-that joins diagonals, by moving every point to the high cell beside it.
+that joins diagonals, by moving every point to the high cell beside it. A hole closed only by a
+diagonal is open to the outside in the outlines; nothing covers it, so it gives no piece (the strip
+half a cell wide that is left along its border is not kept).
 """
 
 from __future__ import annotations
@@ -110,12 +112,15 @@ def compat_polygons(cells: DataFrame, levels: DataFrame, min_area: float = 1e-2,
 
     table = _with_region(ring_table(joined), labels, "hx1", "hy1", True, "region")
     table = cut(_with_region(table, labels, "lx", "ly", False, "low").join(facts, RING_KEY, "left"))
+    # low regions that reach the outside diagonally carry the frame's first cell as their name
+    open_low = region_labels(framed(cells), levels, 4, (False,), border_only=True, tile_bits=tile_bits)
+    table = _with_region(table, open_low, "lx", "ly", False, "low8").withColumn("open", F.col("low8") == 0)
     whole = F.coalesce("simple", F.lit(False))
     outer = table.filter("area > 0")
     regions = outer.select(
         *_BY, "region", "low", F.col("ring_id").alias("border"), (whole & (F.col("centre_area") >= min_area)).alias("valid")
     )
-    holes = table.filter("area < 0").select(*_BY, "region", "low", "ring_id", "cells")
+    holes = table.filter("area < 0 and not open").select(*_BY, "region", "low", "ring_id", "cells")
     nest = _nearest_valid(regions.select(*_BY, "region", "low", "valid"), holes)
     nest = nest.join(regions.select(*_BY, "region", "border"), [*_BY, "region"])
 

@@ -12,6 +12,8 @@ from reliefgrid.runtime import cut, scratch_path
 
 #: Rounds computed per exchange: a tile sees this many windows beyond its edge.
 ROUNDS_PER_EXCHANGE = 8
+#: Reading-order tiles are larger (512 cells), because their waves run one after the other.
+SCAN_BITS = 9
 _CELL = ["raster_id", "row", "col"]
 
 
@@ -95,7 +97,7 @@ def fill_missing(
     mode: str = "frontier",
     neighborhood: int = 1,
     max_iterations: int = 100,
-    tile_bits: int = TILE_BITS,
+    tile_bits: int | None = None,
 ) -> DataFrame:
     """Missing cells become the mean of the present cells in their (2k+1)-square window.
 
@@ -106,9 +108,10 @@ def fill_missing(
     ``mode="scan"``: one pass in reading order in which a filled cell feeds the following ones.
     """
     if mode == "scan":
-        return _fill_scan(cells, neighborhood, tile_bits)
+        return _fill_scan(cells, neighborhood, SCAN_BITS if tile_bits is None else tile_bits)
     if mode != "frontier":
         raise ValueError(f"Unknown fill mode: {mode}")
+    tile_bits = TILE_BITS if tile_bits is None else tile_bits
     k = neighborhood
     per_pass = max(1, min(ROUNDS_PER_EXCHANGE, (1 << tile_bits) // k))
     left = max_iterations

@@ -162,8 +162,8 @@ def trace_rings(
 
     Columns: ``raster_id, level_idx, ring_id, seq, x1, y1, x2, y2`` (doubled), the bordering cells
     and ``tile``. A ring begins at, and is named by, its smallest start point. Chains are built per
-    tile; only chains that leave a tile are linked across tiles. Rings that merely follow the frame
-    of an all-high grid are dropped unless ``keep_frame``.
+    tile; only chains that leave a tile are linked across tiles. The ring round an all-high grid
+    follows the frame only and is dropped unless ``keep_frame``.
     """
     segments = contour_segments(cells, levels, saddles=saddles, tile_bits=tile_bits, detail=True)
     local = cut(
@@ -186,7 +186,7 @@ def trace_rings(
 
 
 def drop_frame_rings(rings: DataFrame, cells: DataFrame) -> DataFrame:
-    """Remove rings all of whose segments separate a cell from the outside of the grid."""
+    """Remove the ring of an all-high grid, all of whose segments lie on the outside of the grid."""
     from reliefgrid.operators.grid import raster_meta
     from reliefgrid.runtime import attach
 
@@ -196,8 +196,15 @@ def drop_frame_rings(rings: DataFrame, cells: DataFrame) -> DataFrame:
         (F.col("lx") < 0) | (F.col("ly") < 0)
         | (F.col("lx") >= F.col("width") * 2) | (F.col("ly") >= F.col("height") * 2)
     )
-    frame = sized.groupBy(*RING_KEY).agg(F.min(outside).alias("_all")).filter("_all").drop("_all")
-    return rings.join(frame, RING_KEY, "left_anti")
+    per_ring = sized.groupBy(*RING_KEY).agg(F.min(outside).alias("_frame"))
+    # such a ring covers the whole grid; it is left out only where nothing else was found
+    alone = (
+        per_ring.groupBy("raster_id", "level_idx")
+        .agg(F.count("*").alias("_n"), F.max("_frame").alias("_frame"), F.max("ring_id").alias("ring_id"))
+        .filter("_n = 1 and _frame")
+        .select(*RING_KEY)
+    )
+    return rings.join(alone, RING_KEY, "left_anti")
 
 
 def ring_table(rings: DataFrame) -> DataFrame:

@@ -34,7 +34,8 @@ def image_to_heightmap(pixels: DataFrame, config: ImageSettings = ImageSettings(
         pixels = crop(pixels, config.region, config.region_unit)
     cells = map_colors(pixels, compile_rules(config.color_map, config.default_fuzziness))
     if config.fill_missing:
-        cells = fill_missing(cells, config.fill_mode, config.fill_neighborhood, config.fill_max_iterations)
+        # filling looks at the heights several times; decode and match the pixels only once
+        cells = fill_missing(cut(cells), config.fill_mode, config.fill_neighborhood, config.fill_max_iterations)
     if save_path is not None:
         write_cells(cells, save_path)
     return cells
