@@ -239,12 +239,24 @@ def dense_ids(df: DataFrame, order: Sequence[str], name: str, start: int = 0) ->
 
 
 def vertex_offsets(mesh: Mesh) -> DataFrame:
-    """Vertices of each mesh and the number of vertices before it, in order of ``mesh_id``."""
+    """Vertices of each mesh and the number of vertices before it, in order of ``mesh_id``.
+
+    The per-mesh counts are range-partitioned; partition totals (one row each) give every partition
+    its start, and a window runs only within a partition.
+    """
     from pyspark.sql import Window
 
     counts = mesh.vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"))
-    w = Window.orderBy("mesh_id").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("first_vertex", F.coalesce(F.sum("vertices").over(w), F.lit(0)).cast("long"))
+    ordered = cut(counts.repartitionByRange("mesh_id").sortWithinPartitions("mesh_id"))
+    marked = ordered.withColumn("_p", F.shiftright(F.monotonically_increasing_id(), 33))
+    rows, at = [], 0
+    for r in marked.groupBy("_p").agg(F.sum("vertices").alias("n")).orderBy("_p").collect():
+        rows.append((r["_p"], at))
+        at += r["n"]
+    starts = F.broadcast(local_table(mesh.vertices.sparkSession, rows, "_p long, _s long"))
+    w = Window.partitionBy("_p").orderBy("mesh_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_s") + F.coalesce(F.sum("vertices").over(w), F.lit(0))
+    return marked.join(starts, "_p").withColumn("first_vertex", before).drop("_p", "_s")
 
 
 def concat_meshes(mesh: Mesh, mesh_id: Column | None = None) -> Mesh:

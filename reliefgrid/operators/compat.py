@@ -110,19 +110,19 @@ def compat_polygons(cells: DataFrame, levels: DataFrame, min_area: float = 1e-2,
     borders = centre_borders(joined)
     facts = border_facts(borders)
 
+    # per-ring tables are read many times below, so each is written once
     table = _with_region(ring_table(joined), labels, "hx1", "hy1", True, "region")
-    table = cut(_with_region(table, labels, "lx", "ly", False, "low").join(facts, RING_KEY, "left"))
+    table = _with_region(table, labels, "lx", "ly", False, "low").join(facts, RING_KEY, "left")
     # low regions that reach the outside diagonally carry the frame's first cell as their name
     open_low = region_labels(framed(cells), levels, 4, (False,), border_only=True, tile_bits=tile_bits)
-    table = _with_region(table, open_low, "lx", "ly", False, "low8").withColumn("open", F.col("low8") == 0)
+    table = cut(_with_region(table, open_low, "lx", "ly", False, "low8").withColumn("open", F.col("low8") == 0))
     whole = F.coalesce("simple", F.lit(False))
-    outer = table.filter("area > 0")
-    regions = outer.select(
+    regions = table.filter("area > 0").select(
         *_BY, "region", "low", F.col("ring_id").alias("border"), (whole & (F.col("centre_area") >= min_area)).alias("valid")
     )
     holes = table.filter("area < 0 and not open").select(*_BY, "region", "low", "ring_id", "cells")
     nest = _nearest_valid(regions.select(*_BY, "region", "low", "valid"), holes)
-    nest = nest.join(regions.select(*_BY, "region", "border"), [*_BY, "region"])
+    nest = cut(nest.join(regions.select(*_BY, "region", "border"), [*_BY, "region"]))
 
     # exteriors: outlines of outermost regions ...
     lines = _with_region(ring_table(outlines).filter(F.col("area") > min_area), labels, "hx1", "hy1", True, "region")

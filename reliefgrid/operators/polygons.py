@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from reliefgrid.operators.regions import region_labels
 from reliefgrid.operators.rings import RING_KEY, ring_table, trace_rings
 from reliefgrid.operators.tiles import TILE_BITS
-from reliefgrid.runtime import attach
+from reliefgrid.runtime import attach, cut
 
 #: Share of hole area from which a polygon is taken as solid.
 SOLID_SHARE = 0.60
@@ -346,6 +346,8 @@ def slice_polygons(
         points = ring_points(rings, ring_roles(rings, cells, levels, tile_bits))
     else:
         raise ValueError(f"Unknown mode: {mode}")
+    if min_area > 0 or min_fraction > 0 or max_segments is not None:
+        points = cut(points)  # read several times from here on
     if min_area > 0 or min_fraction > 0:
         polygons = polygon_measures(points).select(*poly_key(points), "area")
         kept = min_area_filter(polygons, min_area) if min_area > 0 else polygons
@@ -356,7 +358,7 @@ def slice_polygons(
 
         points = simplify_rings(points, tolerance, max_segments)
     if mode == "compat":
-        points = hole_share_cleanup(points)
+        points = hole_share_cleanup(cut(points))
     return points
 
 

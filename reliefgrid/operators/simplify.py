@@ -198,7 +198,7 @@ def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int
     start = float(tolerance)
     rings = points.select(*key, "role", F.col("seq").cast("int").alias("seq"), "x", "y", F.lit(0).alias("done"))
     rings = _distributed_rounds(
-        rings, key, start, F.col("role") == "exterior", max(CHAIN_POINTS, max_segments - 1)
+        cut(rings), key, start, F.col("role") == "exterior", max(CHAIN_POINTS, max_segments - 1)
     )
 
     def need(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -214,7 +214,7 @@ def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int
     finished = rings.filter("done > 0").select(*lk, F.col("done").alias("rounds"))
     needed = needed.unionByName(finished).groupBy(*lk).agg(F.max("rounds").alias("rounds"))
     joined = attach(rings, needed, lk, "left") if lk else rings.crossJoin(needed)
-    joined = joined.withColumn("rounds", F.coalesce("rounds", F.lit(0)))
+    joined = cut(joined.withColumn("rounds", F.coalesce("rounds", F.lit(0))))
     active = _distributed_rounds(
         joined.filter("rounds > done"), key, start, F.col("rounds") > F.col("done"), CHAIN_POINTS
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A tile is 2**TILE_BITS cells wide and high.
-TILE_BITS = 7
+TILE_BITS = 8
 #: ``tile`` is a hash of the other three: rows are placed by it, and it stays a plain column even
 #: where the raster id is a constant the optimizer would fold away.
 TILE_KEY = ["tile", "raster_id", "tile_r", "tile_c"]

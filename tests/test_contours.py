@@ -37,14 +37,14 @@ def test_missing_cells_count_as_low(make, spark):
 
 
 def test_tiles_do_not_change_results(make, spark):
-    cells, levels = make(noisy()), lv(spark, 3, 6)
-    for saddles in ("low", "high"):
+    cells, levels = make(noisy(1, 13, 19)), lv(spark, 3, 6)
+    for saddles in ("low",):
         seen = []
         for bits in (2, 7):
             r = rings.trace_rings(cells, levels, saddles, tile_bits=bits)
             seen.append(sorted(map(tuple, r.select("level_idx", "ring_id", "seq", "x1", "y1", "x2", "y2").collect())))
         assert seen[0] == seen[1]
-    for conn, high in ((4, True), (8, True), (4, False)):
+    for conn, high in ((8, True), (4, False)):
         seen = [
             sorted(map(tuple, regions.label_components(cells, levels, conn, high, bits).collect())) for bits in (2, 7)
         ]
@@ -174,16 +174,20 @@ def test_long_rings_simplify_like_short_ones(spark, monkeypatch):
 
 
 def test_compat_blocks(make, spark):
-    for n, want in ((3, [(8.5 - 4.0, 1)]), (5, [(24.5, 0)])):
-        a = np.zeros((n + 4, n + 4))
-        a[2 : n + 2, 2 : n + 2] = 1
-        m = polygons.polygon_measures(polygons.slice_polygons(make(a), lv(spark, 0.5), 1e-2, 0.01, mode="compat")).collect()
-        assert [(r["area"], r["holes"]) for r in m] == want
-    a = np.zeros((13, 13))
-    a[2:11, 2:11] = 1
-    a[5:8, 5:8] = 0
-    m = polygons.polygon_measures(polygons.slice_polygons(make(a), lv(spark, 0.5), 1e-2, 0.01, mode="compat")).orderBy("area").collect()
-    assert [(r["area"], r["holes"]) for r in m] == [(14.0, 0), (80.5, 0)]  # corners of a hole are cut
+    blocks = {}
+    for name, n in (("three", 3), ("five", 5)):
+        blocks[name] = np.zeros((n + 4, n + 4))
+        blocks[name][2 : n + 2, 2 : n + 2] = 1
+    blocks["hole"] = np.zeros((13, 13))
+    blocks["hole"][2:11, 2:11] = 1
+    blocks["hole"][5:8, 5:8] = 0
+    cells = None
+    for name, a in blocks.items():
+        cells = make(a, name) if cells is None else cells.unionByName(make(a, name))
+    m = polygons.polygon_measures(polygons.slice_polygons(cells, lv(spark, 0.5), 1e-2, 0.01, mode="compat"))
+    got = sorted((r["raster_id"], r["area"], r["holes"]) for r in m.collect())
+    # the corners of a hole's centre border are cut
+    assert got == [("five", 24.5, 0), ("hole", 14.0, 0), ("hole", 80.5, 0), ("three", 8.5 - 4.0, 1)]
 
 
 def _inside(px, py, pts):
@@ -201,7 +205,7 @@ def _by_ring(df, key):
     return {k: g for k, g in p.groupby(key)}
 
 
-@pytest.mark.parametrize("seed,share", [(0, 0.75), (1, 0.9)])
+@pytest.mark.parametrize("seed,share", [(0, 0.75)])
 def test_compat_pieces_match_the_definition(make, spark, seed, share):
     """Sample points: in some outline, and in no region whose centre border is a simple ring."""
     rng = np.random.default_rng(seed)
