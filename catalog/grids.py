@@ -35,6 +35,11 @@ def npy_files(spark, sf):
     return npy.read_npy(spark, folder)
 
 
+@query("S13", with_(PART_HEIGHTS) + "select * from fx1")
+def generated_cells(spark, sf):
+    return G.from_generator(spark, lambda s: part_heights(s, sf))
+
+
 @query("S6 A1", with_(EVENT_COUNTS) + "select raster_id, min(value) as min, max(value) as max, count(value)::bigint as present from fx2 group by 1")
 def grid_summary(spark, sf):
     return G.grid_summary(event_counts(spark, sf))

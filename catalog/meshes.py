@@ -391,10 +391,20 @@ def heights_to_mesh(spark, sf):
     return v.groupBy("mesh_id", "x", "y", "z").agg(F.count("*").alias("vertices"))
 
 
-@query("E3 S6 G4 G8")
+_LIFTED = SUMMED_HEIGHTS + """,
+rng as (select min(value) as lo, max(value) as hi from fx9),
+fxp as (select 'part' as raster_id, p."row"::int as "row", q.col::int as col, coalesce(f.value + (select lo*(-1.1::double) from rng), -5.0::double) as value
+ from (select unnest(range(0, (select max("row") + 5 from fx9))) as "row") p cross join (select unnest(range(0, (select max(col) + 5 from fx9))) as col) q
+ left join fx9 f on f."row" = p."row" - 2 and f.col = q.col - 2),
+lv as (select i as level_idx, -4.5::double + (lo*(-1.1::double) + hi - (-4.5::double))*i/3 as threshold from rng, range(4) t(i))"""
+
+
+@query("E3 S6 G4 G8", with_(_LIFTED, segments_sql("fxp"), fill_sql(), _COVER) +
+       """select 'part' as mesh_id, (select count(*) from (select x, y, level_idx as z from tv union select x, y, level_idx + 1 from tv))::bigint as num_vertices,
+       ((select count(*) from tri)*2 + (select count(*) from seg)*2)::bigint as num_triangles""")
 def grid_to_mesh(spark, sf):
     cfg = MeshSettings(heightmap=HeightmapSettings(exterior_buffer_width=2, exterior_buffer_value=-5.0))
-    return I.mesh_info(E.grid_to_mesh(summed_heights(spark, sf), 4, cfg))
+    return I.mesh_info(E.grid_to_mesh(summed_heights(spark, sf), 4, cfg)).select("mesh_id", "num_vertices", "num_triangles")
 
 
 @query("E2 M4 C9 C13")

@@ -206,6 +206,68 @@ def color_match_by_rule(spark, sf):
     return P.match_report_by_rule(m).withColumn("priority", F.coalesce("priority", F.lit(-1)))
 
 
+def _bmp(rows):
+    """24-bit BMP bytes: header, then rows from the bottom, blue-green-red, padded to four bytes."""
+    import struct
+
+    import numpy as np
+
+    h, w = rows.shape[:2]
+    body = b"".join(r[:, ::-1].astype(np.uint8).tobytes() + b"\0" * (-3 * w % 4) for r in rows[::-1])
+    return (
+        b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54)
+        + struct.pack("<IiiHHIIiiII", 40, w, h, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
+    )
+
+
+#: Rows of the order picture per image file.
+BAND = 16
+
+
+def _picture_files(spark, sf) -> str:
+    """The order picture as one BMP file per band of rows, written by the tasks."""
+    from reliefgrid.runtime import scratch_path
+
+    folder = "/" + scratch_path(spark, "bmp").removeprefix("file:").lstrip("/")
+
+    def save(pdf):
+        import os
+
+        import numpy as np
+
+        os.makedirs(folder, exist_ok=True)
+        r, c = (pdf[k].to_numpy() for k in ("row", "col"))
+        a = np.zeros((r.max() - r.min() + 1, c.max() + 1, 3), dtype=np.uint8)
+        a[r - r.min(), c] = pdf[["r", "g", "b"]].to_numpy()
+        with open(f"{folder}/band_{int(pdf['band'].iloc[0])}.bmp", "wb") as f:
+            f.write(_bmp(a))
+        return pdf[["band"]].head(1)
+
+    bands = order_pixels(spark, sf).withColumn("band", F.expr(f"row div {BAND}").cast("int"))
+    bands.groupBy("band").applyInPandas(save, "band int").count()
+    return folder
+
+
+def _band(column: str):
+    return F.regexp_extract(column, r"band_(\d+)", 1).cast("int").alias("band")
+
+
+@query("S1", with_(ORDER_PIXELS) + f'select ("row" // {BAND})::int as band, ("row" % {BAND})::int as "row", col, r, g, b from fx3')
+def image_files(spark, sf):
+    from reliefgrid.sources.images import read_images
+
+    return read_images(spark, _picture_files(spark, sf)).select(_band("image_id"), "row", "col", "r", "g", "b")
+
+
+@query("S2", with_(ORDER_PIXELS) + f"""select ("row" // {BAND})::int as band, 'RGB' as mode, 'BMP' as format, (max(col) + 1)::int as width,
+ (max("row") - min("row") + 1)::int as height, count(*)::bigint as total_pixels, false as has_transparency, false as size_mismatch from fx3 group by 1""")
+def image_facts(spark, sf):
+    from reliefgrid.sources.images import image_info
+
+    i = image_info(spark, _picture_files(spark, sf))
+    return i.select(_band("file_path"), "mode", "format", "width", "height", "total_pixels", "has_transparency", "size_mismatch")
+
+
 @query("P11")
 def sampled_pixels(spark, sf):
     return P.sample_pixels(order_pixels(spark, sf), 0.1)

@@ -15,13 +15,27 @@ from reliefgrid.runtime import cut, local_table
 _CORNERS = ("v0", "v1", "v2")
 
 
+#: Up to this many moved vertices are sent to the triangles instead of shuffling the triangles.
+BROADCAST_MOVES = 500_000
+
+
 def remap(triangles: DataFrame, moved: DataFrame) -> DataFrame:
-    """Re-point triangles: ``moved`` (mesh_id, vid, to) lists only the vertices that change."""
-    corners = triangles.select("mesh_id", "tid", F.posexplode(F.array(*_CORNERS)).alias("_i", "vid"))
-    new = corners.join(moved, ["mesh_id", "vid"], "left").withColumn("vid", F.coalesce("to", "vid"))
-    return new.groupBy("mesh_id", "tid").agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("vid"))).alias(c) for i, c in enumerate(_CORNERS)]
-    )
+    """Re-point triangles: ``moved`` (mesh_id, vid, to) lists only the vertices that change.
+
+    The list is written once and counted: if it is empty the triangles are returned untouched, if it
+    is short it is broadcast, and only a long one is joined corner by corner.
+    """
+    moved = cut(moved.select("mesh_id", "vid", "to"))
+    n = moved.count()
+    out = triangles.select("mesh_id", "tid", *_CORNERS)
+    if n == 0:
+        return out
+    if n <= BROADCAST_MOVES:
+        moved = F.broadcast(moved)
+    for c in _CORNERS:
+        step = moved.withColumnsRenamed({"vid": c, "to": "_to"})
+        out = out.join(step, ["mesh_id", c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
+    return out.select("mesh_id", "tid", *_CORNERS)
 
 
 def remove_degenerate(mesh: Mesh, by: str = "index") -> Mesh:
@@ -48,22 +62,35 @@ def remove_duplicate_triangles(mesh: Mesh, ignore_orientation: bool = False) ->
     """Keep one triangle per set of corners; by default only equal turning directions match."""
     v0, v1, v2 = (F.col(c) for c in _CORNERS)
     if ignore_orientation:
-        s = F.sort_array(F.array(*_CORNERS))
-        key = F.struct(s[0].alias("a"), s[1].alias("b"), s[2].alias("c"))
-    else:
-        def row(a: Column, b: Column, c: Column) -> Column:
-            return F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
-
-        key = (
-            F.when((v0 <= v1) & (v0 <= v2), row(v0, v1, v2))
-            .when((v1 <= v0) & (v1 <= v2), row(v1, v2, v0))
-            .otherwise(row(v2, v0, v1))
+        low, high = F.least(v0, v1, v2), F.greatest(v0, v1, v2)
+        key = [low, v0 + v1 + v2 - low - high, high]
+        form = (
+            F.when((v0 == low) & (v2 == high), 0).when((v1 == low) & (v0 == high), 1).when((v2 == low) & (v1 == high), 2)
+            .when((v0 == low) & (v1 == high), 3).when((v1 == low) & (v2 == high), 4).otherwise(5)
         )
-    kept = (
-        mesh.triangles.groupBy("mesh_id", key.alias("_k"))
-        .agg(F.min(F.struct("tid", *_CORNERS)).alias("_t"))
-        .select("mesh_id", "_t.*")
+        forms = [(0, 1, 2), (2, 0, 1), (1, 2, 0), (0, 2, 1), (1, 0, 2), (2, 1, 0)]
+    else:
+        form = F.when((v0 <= v1) & (v0 <= v2), 0).when((v1 <= v0) & (v1 <= v2), 1).otherwise(2)
+        turns = ((v0, v1, v2), (v1, v2, v0), (v2, v0, v1))
+        key = [F.when(form == 0, a).when(form == 1, b).otherwise(c) for a, b, c in zip(*turns)]
+        forms = [(0, 1, 2), (2, 0, 1), (1, 2, 0)]
+    # smallest id per form of the same corners: plain numbers, so the grouping is hashed, not sorted
+    grouped = (
+        mesh.triangles.withColumns({"_f": form, "_a": key[0], "_b": key[1], "_c": key[2]})
+        .groupBy("mesh_id", "_a", "_b", "_c")
+        .agg(*[F.min(F.when(F.col("_f") == i, F.col("tid"))).alias(f"_t{i}") for i in range(len(forms))])
+        .withColumn("tid", F.least(*[F.col(f"_t{i}") for i in range(len(forms))]))
     )
+    named = [F.col("_a"), F.col("_b"), F.col("_c")]
+
+    def corner(k: int) -> Column:
+        out = None
+        for i, order in enumerate(forms):
+            hit, value = F.col(f"_t{i}") == F.col("tid"), named[order[k]]
+            out = F.when(hit, value) if out is None else out.when(hit, value)
+        return out
+
+    kept = grouped.select("mesh_id", "tid", *[corner(k).alias(c) for k, c in enumerate(_CORNERS)])
     return Mesh(mesh.vertices, kept)
 
 

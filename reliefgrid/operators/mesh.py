@@ -267,15 +267,16 @@ def grid_solid(
 
 
 def triangle_corners(mesh: Mesh) -> DataFrame:
-    """Triangles with their corner points ``p0, p1, p2``: one join on the exploded corners."""
-    corners = mesh.triangles.select(
-        "mesh_id", "tid", F.posexplode(F.array("v0", "v1", "v2")).alias("_i", "vid")
-    )
-    at = corners.join(mesh.vertices.select("mesh_id", "vid", F.struct("x", "y", "z").alias("_p")), ["mesh_id", "vid"])
-    return at.groupBy("mesh_id", "tid").agg(
-        *[F.max(F.when(F.col("_i") == i, F.col("_p"))).alias(f"p{i}") for i in range(3)],
-        *[F.max(F.when(F.col("_i") == i, F.col("vid"))).alias(f"v{i}") for i in range(3)],
-    )
+    """Triangles with their corner points ``p0, p1, p2``.
+
+    One join per corner: that moves each triangle three times, where exploding the corners and
+    grouping them again would move it six times. The vertices' exchange is reused.
+    """
+    place = mesh.vertices.select("mesh_id", "vid", F.struct("x", "y", "z").alias("_p"))
+    out = mesh.triangles.select("mesh_id", "tid", "v0", "v1", "v2")
+    for i in range(3):
+        out = out.join(place.withColumnsRenamed({"vid": f"v{i}", "_p": f"p{i}"}), ["mesh_id", f"v{i}"])
+    return out.select("mesh_id", "tid", "v0", "v1", "v2", "p0", "p1", "p2")
 
 
 def cross_product() -> list[Column]:

@@ -160,7 +160,9 @@ def contour_to_polygon(contours: DataFrame) -> DataFrame:
     ends = contours.groupBy("contour_id").agg(
         F.count("*").alias("_n"),
         F.max("seq").alias("_last"),
-        (F.min_by(F.struct("row", "col"), "seq") == F.max_by(F.struct("row", "col"), "seq")).alias("_closed"),
+        (
+            (F.min_by("row", "seq") == F.max_by("row", "seq")) & (F.min_by("col", "seq") == F.max_by("col", "seq"))
+        ).alias("_closed"),
     )
     return (
         attach(contours, ends, ["contour_id"])

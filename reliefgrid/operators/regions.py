@@ -14,6 +14,8 @@ from reliefgrid.operators.grid import join_levels, pad
 from reliefgrid.operators.tiles import TILE_BITS, TILE_KEY, tiled
 from reliefgrid.runtime import bounded_rows, cut
 
+#: Levels labelled per call where every cell is returned; keeps a task's output near a tile's size.
+LEVELS_PER_CALL = 16
 #: Region ids and cell keys: (row + 1) * 2**32 + (col + 1), the smallest cell of the region.
 KEY_SHIFT = 32
 
@@ -142,6 +144,9 @@ def _label_tile(levels, connectivity: int, sides: tuple[bool, ...], border_only:
             todo = [(int(pdf["level_idx"].iloc[0]), float(pdf["threshold"].iloc[0]))]
         else:
             todo = levels.get(raster, []) if isinstance(levels, dict) else levels
+            if "part" in pdf:
+                part = int(pdf["part"].iloc[0])
+                todo = todo[part * LEVELS_PER_CALL : (part + 1) * LEVELS_PER_CALL]
         parts = []
         for level, threshold in todo:
             with np.errstate(invalid="ignore"):
@@ -214,6 +219,11 @@ def region_labels(
             plan.setdefault(r["raster_id"], []).append((r["level_idx"], r["threshold"]))
     else:
         plan = [(r["level_idx"], r["threshold"]) for r in rows]
+    most = max(map(len, plan.values()), default=0) if isinstance(plan, dict) else len(plan)
+    if not border_only and most > LEVELS_PER_CALL:
+        parts = F.sequence(F.lit(0), F.lit((most - 1) // LEVELS_PER_CALL))
+        placed = placed.withColumn("part", F.explode(parts))
+        keys.append("part")
     local = cut(
         placed.groupBy(*keys).applyInPandas(
             _label_tile(plan, connectivity, sides, border_only, tile_bits), LABEL_SCHEMA

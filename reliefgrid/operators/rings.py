@@ -77,28 +77,23 @@ def _keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _chain_tile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chains within one tile; the row at position 0 also describes the whole chain."""
-    parts = []
-    for _, g in pdf.groupby("level_idx", sort=False):
-        g = g.reset_index(drop=True)
-        start = _keys(g["x1"].to_numpy(), g["y1"].to_numpy())
-        end = _keys(g["x2"].to_numpy(), g["y2"].to_numpy())
-        head, pos, closed = chain(start, end)
-        n = len(g)
-        length = np.bincount(head, minlength=n)[head]
-        by_pos = np.lexsort((pos, head))
-        tail = np.zeros(n, dtype=np.int64)
-        last = by_pos[pos[by_pos] == length[by_pos] - 1]
-        tail[head[last]] = end[last]
-        by_start = np.lexsort((start, head))
-        first = by_start[np.r_[True, np.diff(head[by_start]) != 0]]
-        low, low_pos = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        low[head[first]], low_pos[head[first]] = start[first], pos[first]
-        g["path"], g["pos"], g["closed"] = start[head], pos, closed
-        g["tail"], g["length"], g["low"], g["low_pos"] = tail, length, low, low_pos
-        parts.append(g)
-    out = pd.concat(parts, ignore_index=True)
-    return out[["tile", "raster_id", "level_idx", *_SEGMENT_COLS, "path", "pos", "closed", "tail", "length", "low", "low_pos"]]
+    """Chains of one level within one tile; the row at position 0 also describes the whole chain."""
+    g = pdf.reset_index(drop=True)
+    start = _keys(g["x1"].to_numpy(), g["y1"].to_numpy())
+    end = _keys(g["x2"].to_numpy(), g["y2"].to_numpy())
+    head, pos, closed = chain(start, end)
+    n = len(g)
+    length = np.bincount(head, minlength=n)[head]
+    by_pos = np.lexsort((pos, head))
+    tail = np.zeros(n, dtype=np.int64)
+    last = by_pos[pos[by_pos] == length[by_pos] - 1]
+    tail[head[last]] = end[last]
+    by_start = np.lexsort((start, head))
+    first = by_start[np.r_[True, np.diff(head[by_start]) != 0]]
+    low, low_pos = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    low[head[first]], low_pos[head[first]] = start[first], pos[first]
+    extra = dict(path=start[head], pos=pos, closed=closed, tail=tail, length=length, low=low, low_pos=low_pos)
+    return g[["tile", "raster_id", "level_idx", *_SEGMENT_COLS]].assign(**extra)
 
 
 def _join_paths(paths: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -168,7 +163,7 @@ def trace_rings(
     segments = contour_segments(cells, levels, saddles=saddles, tile_bits=tile_bits, detail=True)
     local = cut(
         segments.select(*TILE_KEY, "level_idx", *_SEGMENT_COLS)
-        .groupBy(*TILE_KEY)
+        .groupBy(*TILE_KEY, "level_idx")
         .applyInPandas(_chain_tile, CHAIN_SCHEMA)
     )
     cols = [*RING_KEY, "seq", *_SEGMENT_COLS, "tile"]
@@ -210,16 +205,8 @@ def drop_frame_rings(rings: DataFrame, cells: DataFrame) -> DataFrame:
 def ring_table(rings: DataFrame) -> DataFrame:
     """One row per ring: points, signed area, and the cells and tile at its first segment."""
     cross = F.col("x1").cast("long") * F.col("y2") - F.col("x2").cast("long") * F.col("y1")
-    first = F.struct("tile", *[F.col(c) for c in ("hx1", "hy1", "lx", "ly")])
-    return (
-        rings.groupBy(*RING_KEY)
-        .agg(
-            F.count("*").alias("points"),
-            (F.sum(cross) / 8.0).alias("area"),
-            F.min_by(first, "seq").alias("_f"),
-        )
-        .select(*RING_KEY, "points", "area", "_f.*")
-    )
+    first = [F.max(F.when(F.col("seq") == 0, F.col(c))).alias(c) for c in ("tile", "hx1", "hy1", "lx", "ly")]
+    return rings.groupBy(*RING_KEY).agg(F.count("*").alias("points"), (F.sum(cross) / 8.0).alias("area"), *first)
 
 
 def drop_collinear(points: DataFrame, key: list[str]) -> DataFrame:

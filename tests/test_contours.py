@@ -71,6 +71,13 @@ def test_components_of_chains(spark):
     assert got[("g", 102)] == 100 and got[("h", 3)] == 2 and len(got) == 46
 
 
+def test_many_levels_are_labelled_in_parts(make, spark, monkeypatch):
+    cells, levels = make(noisy(2, 9, 9)), lv(spark, 2, 4, 6)
+    want = sorted(map(tuple, regions.label_components(cells, levels).collect()))
+    monkeypatch.setattr(regions, "LEVELS_PER_CALL", 2)
+    assert sorted(map(tuple, regions.label_components(cells, levels).collect())) == want
+
+
 def test_flat_grid_gives_nothing(make, spark):
     assert polygons.slice_polygons(make(np.ones((10, 10))), lv(spark, 0.5)).isEmpty()
     assert not rings.trace_rings(make(np.ones((10, 10))), lv(spark, 0.5), keep_frame=True).isEmpty()
