@@ -109,9 +109,19 @@ def filled_from_neighbours(spark, sf):
     return L.fill_missing(event_counts(spark, sf), max_iterations=3).withColumn("value", F.round("value", 6))
 
 
-@query("G11")
+_SCAN = """n as (select list(value order by "row", col) as v, max("row") + 1 as h from fx2),
+gap as (select "row" as r, col as c, row_number() over (order by "row", col) as k from fx2 where value is null),
+st(k, v) as (select 0::bigint, v from n union all
+ select gap.k, st.v[:r*24 + c] || [list_avg(list_transform(list_filter(range(0, 9),
+  lambda d: r + d//3 - 1 >= 0 and c + d%3 - 1 >= 0 and c + d%3 - 1 < 24),
+  lambda d: st.v[(r + d//3 - 1)*24 + c + d%3]))] || st.v[r*24 + c + 2:] from st join gap on gap.k = st.k + 1),
+fin as (select v from st order by k desc limit 1)"""
+
+
+@query("G11", with_(EVENT_COUNTS, _SCAN, recursive=True) +
+       'select raster_id, "row", col, round((select v from fin)["row"*24 + col + 1], 6) as value from fx2')
 def filled_in_reading_order(spark, sf):
-    return L.fill_missing(event_counts(spark, sf), mode="scan")
+    return L.fill_missing(event_counts(spark, sf), mode="scan").withColumn("value", F.round("value", 6))
 
 
 @query("G12 A2", with_(EVENT_COUNTS, _fill_round("fx2", "f1")) +

@@ -228,19 +228,20 @@ def _match_array(lab, rules):
 def match_rules(pixels: DataFrame, rules: list[dict] | DataFrame, matrix=PIXEL_MATRIX) -> DataFrame:
     """Add ``priority`` and ``value`` of the first matching rule, NULL where none matches.
 
-    A rule list stays inside one generated stage with no shuffle. A rule table with ``image_id``
-    holds rules per image: they travel as one priority-ordered array per image.
+    A rule list stays inside one generated stage with no shuffle. The rules of a table travel
+    as one priority-ordered array, per image if it has ``image_id``.
     """
     lab = rgb_to_lab(F.col("r"), F.col("g"), F.col("b"), matrix)
     with_lab = pixels.withColumn("_lab", lab)
     col = F.col("_lab")
     if isinstance(rules, DataFrame):
-        per_image = rules.groupBy("image_id").agg(
-            F.sort_array(
-                F.collect_list(F.struct("priority", "lab_l", "lab_a", "lab_b", "fuzziness", "value"))
-            ).alias("_rules")
-        )
-        joined = attach(with_lab, per_image, ["image_id"], how="left")
+        ordered = F.sort_array(
+            F.collect_list(F.struct("priority", "lab_l", "lab_a", "lab_b", "fuzziness", "value"))
+        ).alias("_rules")
+        if "image_id" in rules.columns:
+            joined = attach(with_lab, rules.groupBy("image_id").agg(ordered), ["image_id"], how="left")
+        else:
+            joined = with_lab.crossJoin(rules.agg(ordered))  # a single row
         hit = _match_array(col, F.col("_rules"))
     elif len(rules) <= FOLD_RULES:
         joined = with_lab

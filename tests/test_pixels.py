@@ -58,6 +58,8 @@ def test_first_rule_wins_and_no_match(spark):
     many = {f"#{i:02x}{i:02x}ff": float(i) for i in range(100, 180)}
     slow = P.map_colors(px, P.compile_rules({"#ff0000": 1.0, **many}, 50.0))
     assert to_array(slow)[0, 0] == 1.0
+    shared = local_table(spark, [(0, "#ff0000", 1.0, None), (1, "#fe0101", 2.0, 3.0)], "priority int, hex string, value double, fuzziness double")
+    assert to_array(P.map_colors(px, P.prepare_rules(shared, 50.0)))[0, 0] == 1.0
 
 
 def test_depth_discs(spark):
