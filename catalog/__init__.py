@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+# helpers of the queries reach the Python workers with their tasks
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 Build = Callable[[SparkSession, str], DataFrame]
 
 

@@ -156,6 +156,17 @@ def simplified_slices(spark, sf):
     return Y.polygon_measures(p).select("raster_id", "level_idx", "poly_id", "points", "area")
 
 
+@query("C9 A5", with_(*_SUM_ROLES, recursive=True) +
+       """select level_idx::int as level_idx, count(distinct poly_id)::bigint as polygons, count(*)::bigint as rings, true as within_limit from role group by 1""")
+def simplified_totals(spark, sf):
+    p = Y.slice_polygons(summed_heights(spark, sf), levels(spark, SUM_LEVELS), max_segments=60)
+    per_ring = p.groupBy("level_idx", "poly_id", "ring_id", "role").agg(F.count("*").alias("n"))
+    return per_ring.groupBy("level_idx").agg(
+        F.count_distinct("poly_id").alias("polygons"), F.count("*").alias("rings"),
+        F.min((F.col("role") != "exterior") | (F.col("n") < 60)).alias("within_limit"),
+    )
+
+
 @query("C13")
 def compat_slices(spark, sf):
     p = Y.slice_polygons(summed_heights(spark, sf), levels(spark, SUM_LEVELS), 1e-2, 0.01, mode="compat")

@@ -273,6 +273,13 @@ def sampled_pixels(spark, sf):
     return P.sample_pixels(order_pixels(spark, sf), 0.1)
 
 
+@query("P11", with_(ORDER_PIXELS) + "select image_id, floor(count(*)*0.1::double)::bigint as pixels, floor(count(*)*0.1::double)::bigint as places from fx3 group by 1")
+def sample_size(spark, sf):
+    s = P.sample_pixels(order_pixels(spark, sf), 0.1)
+    places = s.join(order_pixels(spark, sf), s.columns, "left_semi").groupBy("image_id")
+    return places.agg(F.count("*").alias("pixels"), F.count_distinct("row", "col").alias("places"))
+
+
 @query("P12 A10", with_(ORDER_PIXELS) + "select format('#{:02x}{:02x}{:02x}', r//32*32, g//32*32, b//32*32) as hex, "
        "count(*)::bigint as pixels from fx3 group by 1 order by pixels desc, hex limit 10")
 def palette(spark, sf):
@@ -284,6 +291,12 @@ def palette_by_kmeans(spark, sf):
     return P.palette_kmeans(order_pixels(spark, sf), 6, restarts=2)
 
 
+@query("P13", with_(ORDER_PIXELS) + "select 6::bigint as colors, count(*)::bigint as pixels from fx3")
+def kmeans_totals(spark, sf):
+    k = P.palette_kmeans(order_pixels(spark, sf), 6, restarts=2)
+    return k.agg(F.count("*").alias("colors"), F.sum("pixels").alias("pixels"))
+
+
 @query("P14", with_(ORDER_PIXELS) + "select image_id, count(*)::bigint as pixels from fx3 group by 1")
 def rgb_check(spark, sf):
     return P.check_rgb(order_pixels(spark, sf)).groupBy("image_id").agg(F.count("*").alias("pixels"))

@@ -383,7 +383,7 @@ def palette_kmeans(pixels: DataFrame, n_colors: int = 10, seed: int = 42, restar
 
 
 def sample_color_map() -> dict[str, dict[str, float]]:
-    """A ready colour map for bathymetry."""
+    """A ready colour map from deep water to high land."""
     from reliefgrid.config import DEFAULT_COLOR_MAP
 
     return {k: dict(v) for k, v in DEFAULT_COLOR_MAP.items()}
