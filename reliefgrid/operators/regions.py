@@ -51,7 +51,6 @@ def connected_components(edges: DataFrame, by: Sequence[str] = (), max_rounds: i
             .filter(b > a)
             .select(*by, b.alias("a"), F.col("m").alias("b"))
             .filter(a != b)
-            .distinct()
         )
         low = large.groupBy(*by, "a").agg(F.min("b").alias("m"))
         small = large.join(low, [*by, "a"])

@@ -97,56 +97,38 @@ def _chain_tile(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _join_paths(paths: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Ring and offset of every open path: pointer doubling over the paths, not the segments."""
-    by = ["raster_id", "level_idx"]
-
-    def step(state: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-        return state.join(right, [*by, "nxt"], how)
+    """Ring, offset and ring length of every open path: pointer doubling over paths, not segments.
 
-    base = cut(paths)
-    # 1. smallest point of each ring: every path looks 1, 2, 4, ... paths ahead
-    state = base.select(*by, "path", F.col("tail").alias("nxt"), F.col("low").alias("m"))
-    for _ in range(max_rounds):
-        ahead = state.select(*by, F.col("path").alias("nxt"), F.col("nxt").alias("nxt2"), F.col("m").alias("m2"))
-        joined = cut(step(state, ahead))
-        settled = joined.filter("m <> m2").isEmpty()
-        state = joined.select(*by, "path", F.col("nxt2").alias("nxt"), F.least("m", "m2").alias("m"))
-        if settled:
-            break
-    base = cut(base.join(state.select(*by, "path", F.col("m").alias("ring_id")), [*by, "path"]))
-    # 2. segments before each path: look back from every path until the ring's first path
-    first = F.col("low") == F.col("ring_id")
-    before = base.select(
-        *by, F.col("tail").alias("path"), F.col("path").alias("nxt"),
-        (F.col("length") - F.when(first, F.col("low_pos")).otherwise(0)).alias("off"),
-    )
+    Every path looks 1, 2, 4, ... paths ahead and keeps the smallest point seen and the number of
+    segments up to it. Once neighbours agree on the smallest point it is the ring's.
+    """
+    by = ["raster_id", "level_idx"]
     state = cut(
-        base.join(before, [*by, "path"], "left").select(
-            *by, "path",
-            F.when(~first, F.col("nxt")).alias("nxt"),
-            F.when(first, -F.col("low_pos")).otherwise(F.col("off")).alias("off"),
-            first.alias("first"),
+        paths.select(
+            *by, "path", "length", F.col("tail").alias("nxt"), F.col("low").alias("m"), F.col("low_pos").alias("d"),
+            F.col("length").alias("w"),
         )
     )
     for _ in range(max_rounds):
-        if state.filter("nxt is not null").isEmpty():
-            break
-        back = state.select(
+        ahead = state.select(
             *by, F.col("path").alias("nxt"), F.col("nxt").alias("nxt2"),
-            F.when(F.col("first"), 0).otherwise(F.col("off")).alias("off2"),
+            *[F.col(c).alias(f"{c}2") for c in ("m", "d", "w")],
         )
-        state = cut(
-            step(state, back, "left").select(
-                *by, "path", F.col("nxt2").alias("nxt"),
-                (F.col("off") + F.coalesce("off2", F.lit(0))).alias("off"), "first",
-            )
+        joined = cut(state.join(ahead, [*by, "nxt"]))
+        if joined.filter("m <> m2").isEmpty():
+            break
+        nearer = F.col("m") <= F.col("m2")
+        state = joined.select(
+            *by, "path", "length", F.col("nxt2").alias("nxt"), F.least("m", "m2").alias("m"),
+            F.when(nearer, F.col("d")).otherwise(F.col("w") + F.col("d2")).alias("d"),
+            (F.col("w") + F.col("w2")).alias("w"),
         )
-    sizes = base.groupBy(*by, "ring_id").agg(F.sum("length").alias("ring_length"))
-    firsts = base.filter(first).select(*by, "ring_id", "path").join(sizes, [*by, "ring_id"]).drop("ring_id")
-    return (
-        base.select(*by, "path", "ring_id")
-        .join(state.select(*by, "path", "off"), [*by, "path"])
-        .join(firsts, [*by, "path"], "left")
+    else:
+        raise RuntimeError("rings did not close; raise max_rounds")
+    found = joined.select(*by, "path", "length", F.col("m").alias("ring_id"), "d")
+    sizes = found.groupBy(*by, "ring_id").agg(F.sum("length").alias("ring_length"))
+    return found.join(sizes, [*by, "ring_id"]).select(
+        *by, "path", "ring_id", (F.col("ring_length") - F.col("d")).alias("off"), "ring_length"
     )
 
 
@@ -172,8 +154,7 @@ def trace_rings(
     paths = open_.filter("pos = 0").select("raster_id", "level_idx", "path", "tail", "length", "low", "low_pos")
     if not paths.isEmpty():
         placed = open_.join(_join_paths(paths), ["raster_id", "level_idx", "path"])
-        seq = F.col("off") + F.col("pos")
-        seq = F.when(seq < 0, seq + F.col("ring_length")).otherwise(seq)
+        seq = (F.col("off") + F.col("pos")) % F.col("ring_length")
         rings = rings.unionByName(placed.withColumn("seq", seq).select(*cols))
     if keep_frame:
         return rings
