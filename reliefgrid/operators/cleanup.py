@@ -136,8 +136,6 @@ def _close_links(points: DataFrame, eps: float) -> DataFrame:
     open_pairs = pairs.select("mesh_id", "a", "b")
     members = home.join(cubes, q).select("mesh_id", "hub", *axes)
     size = side
-    found = None
-    boxes_of = None
     # boxes of the two sides still to be compared; at the start each cube is one box
     level = open_pairs.select("mesh_id", "a", "b", *[F.lit(0).cast("long").alias(f"{s}{c}") for s in "ab" for c in axes])
     first = True
@@ -151,6 +149,7 @@ def _close_links(points: DataFrame, eps: float) -> DataFrame:
             cand = level
         else:
             up = F.lit(2)
+
             def kids(s: str) -> DataFrame:
                 parent = [
                     (F.lit(0).cast("long") if second else F.floor(F.col(f"k{c}") / up)).alias(f"{s}{c}") for c in axes
