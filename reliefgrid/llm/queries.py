@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import simhash
+from reliefgrid.llm import quality, simhash
 from reliefgrid.llm.tables import read
 
 
@@ -15,5 +15,13 @@ def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components,)}
+def op6_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How good is every document? Gated attention over its passages."""
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(F.col("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op6_mil_quality)}
 SQL: dict[str, str] = {}
