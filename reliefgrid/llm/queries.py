@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import quality, simhash
+from reliefgrid.llm import decontaminate, quality, simhash
 from reliefgrid.llm.tables import read
 
 
@@ -23,5 +23,10 @@ def op6_mil_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op6_mil_quality)}
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold a passage of the benchmark, and where?"""
+    return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op6_mil_quality, op9_decontaminate)}
 SQL: dict[str, str] = {}
