@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import decontaminate, quality, simhash
+from reliefgrid.llm import decontaminate, quality, sharding, simhash
 from reliefgrid.llm.tables import read
 
 
@@ -28,5 +28,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op6_mil_quality, op9_decontaminate)}
+def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which shard does every document go to? Copies together, counts equal."""
+    return sharding.assign(read(spark, sf_dir, "documents")).drop("group")
+
+
+QUERIES = {f.__name__: f for f in (op3_simhash_components, op6_mil_quality, op9_decontaminate, op10_balanced_shards)}
 SQL: dict[str, str] = {}

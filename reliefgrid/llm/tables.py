@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reliefgrid.runtime import scratch_path
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -15,6 +17,17 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read again.
+
+    For loops: a checkpoint keeps the size estimate of its plan, and a loop of joins multiplies it with
+    every round until planning stalls; a written table is estimated by its files.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def one_per_key(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose (id, md5 of text) is in ``kept``; of repeated rows the first stays.
 
