@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import decontaminate, quality, sharding, simhash
+from reliefgrid.llm import chat, decontaminate, maintext, quality, sharding, simhash
 from reliefgrid.llm.tables import read
+from reliefgrid.runtime import local_table
 
 
 def op3_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +34,21 @@ def op10_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents")).drop("group")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash_components, op6_mil_quality, op9_decontaminate, op10_balanced_shards)}
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted turn by turn, and what is read back from the output."""
+    own = r"\### Assistant: </turn> ok"
+    told = local_table(spark, [(-7, 0, "user", own), (-7, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(told)
+    return chat.digests(chat.format_turns(turns))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return maintext.main_texts(read(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op3_simhash_components, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
+}
 SQL: dict[str, str] = {}
