@@ -40,8 +40,11 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
-def blocks(page: str) -> list[Block]:
-    """The blocks of a page in order; character references decoded, white space inside a block made one space."""
+def blocks(page: str, named: bool = True) -> list[Block]:
+    """The blocks of a page in order; character references decoded, white space inside a block made one space.
+
+    Without ``named`` classes, ids and roles are left empty.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # (tag, class, id and role) of open elements other than inline ones
     parts: list[str] = []
@@ -98,7 +101,7 @@ def blocks(page: str) -> list[Block]:
                     stack.pop()  # these end where the next one begins
                 elif stack and stack[-1][0] == "p":
                     stack.pop()
-                a = attributes(m[3]) if m[3].strip() else {}
+                a = attributes(m[3]) if named and m[3].strip() else {}
                 stack.append((tag, " ".join(a.get(k, "") for k in ("class", "id", "role")).lower()))
     flush()
     return out

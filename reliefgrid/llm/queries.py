@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import chat, decontaminate, maintext, quality, sharding, simhash
+from reliefgrid.llm import chat, decontaminate, maintext, quality, sharding, simhash, warc
 from reliefgrid.llm.tables import read
 from reliefgrid.runtime import local_table
 
@@ -47,8 +47,14 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_texts(read(spark, sf_dir, "pages"))
 
 
+def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and plain-text records of every page, taken as a response."""
+    pages = warc.page_responses(read(spark, sf_dir, "pages"), "2024-01-01T00:00:00Z")
+    return warc.derivatives(pages, ["page_id"])
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op3_simhash_components, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
+    for f in (op1_warc_derivatives, op3_simhash_components, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
 }
 SQL: dict[str, str] = {}
