@@ -105,7 +105,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     starts = F.array_distinct(F.flatten(F.filter(starts, lambda s: F.size(s) > 0)))
     windows = cut(spots.select("doc_key", "_is", "_size", F.explode_outer(starts).alias("_start")).filter("_start is not null").distinct())
 
-    own = arrays.join(windows.select("doc_key").distinct(), "doc_key", "left_semi").groupBy("doc_key")
+    own = arrays.join(bounded(windows.select("doc_key").distinct()), "doc_key", "left_semi").groupBy("doc_key")
     own = own.agg(F.first("doc_id").alias("doc_id"), F.first(F.regexp_count("_t", F.lit(WORD))).alias("_n"), F.first("_g").alias("_g"))
     inside = F.slice("_g", F.col("_start") + 1, F.col("_size"))
     filled = windows.join(own, "doc_key").select("doc_key", "doc_id", "_n", "_is", "_size", "_start", F.explode_outer(inside).alias("_s"))
