@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import chat, decontaminate, maintext, mixing, quality, sharding, simhash, warc
+from reliefgrid.llm import chat, decontaminate, maintext, mixing, quality, sharding, simhash, syncmers, warc
 from reliefgrid.llm.tables import read
 from reliefgrid.runtime import local_table
 
@@ -58,8 +58,13 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
 
 
+def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how near they are."""
+    return syncmers.fingerprints(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op3_simhash_components, op4_mix_sources, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
+    for f in (op1_warc_derivatives, op2_closed_syncmers, op3_simhash_components, op4_mix_sources, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
 }
 SQL: dict[str, str] = {"op4_mix_sources": mixing.oracle()}
