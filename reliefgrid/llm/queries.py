@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import chat, decontaminate, maintext, mixing, quality, sharding, simhash, syncmers, warc
+from reliefgrid.llm import chat, decontaminate, maintext, mixing, quality, sharding, simhash, suffixes, syncmers, warc
 from reliefgrid.llm.tables import read
 from reliefgrid.runtime import local_table
 
@@ -63,8 +63,13 @@ def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op5_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which passages of fifty words or more does each document share with others?"""
+    return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_closed_syncmers, op3_simhash_components, op4_mix_sources, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
+    for f in (op1_warc_derivatives, op2_closed_syncmers, op3_simhash_components, op4_mix_sources, op5_sparse_suffixes, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
 }
 SQL: dict[str, str] = {"op4_mix_sources": mixing.oracle()}
