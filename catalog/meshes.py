@@ -15,6 +15,7 @@ from reliefgrid.operators import inspect as I
 from reliefgrid.operators import mesh as M
 from reliefgrid.operators import triangulate as T
 from reliefgrid.operators.mesh import Mesh
+from reliefgrid.operators.polygons import polygon_measures
 from reliefgrid.plans import pipelines as E
 from reliefgrid.runtime import scratch_path
 from reliefgrid.sources import mesh_files as W
@@ -35,7 +36,7 @@ def boundary_points(spark, sf):
     return T.boundary_points(nation_squares(spark, sf))
 
 
-_INNER = """pm as (select n_nationkey::bigint as poly_id, (n_nationkey*20)::double as x0, n_nationkey % 10 as h from nation where n_nationkey % 10 < 8),
+_INNER = """pm as (select n_nationkey::bigint as poly_id, (n_nationkey*20)::double as x0, n_nationkey % 10 as h from nation where (n_nationkey % 10) * (n_nationkey % 10) < 64),
 st as (select *, sqrt((64 - h*h)/100.0::double) as s from pm),
 gi as (select *, x0 + s/2 + i*s as x from st, range(0, 400) t(i)),
 gp as (select gi.*, s/2 + j*s as y, j from gi, range(0, 400) u(j) where x < x0 + 8)"""
@@ -44,13 +45,15 @@ gp as (select gi.*, s/2 + j*s as y, j from gi, range(0, 400) u(j) where x < x0 +
 @query("M3", with_(_INNER) + """select poly_id, i::bigint as i, j::bigint as j, round(x, 6) as x, round(y, 6) as y from gp
  where y < 8 and not (x <= x0 + h and y <= h)""")
 def interior_points(spark, sf):
-    p = T.interior_points(nation_squares(spark, sf).filter("poly_id % 10 < 8"))
+    p = T.interior_points(nation_squares(spark, sf))
     return p.select("poly_id", "i", "j", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query("M4 M5 J6")
 def delaunay_faces(spark, sf):
-    cover, _ = T.triangulate_polygons(nation_squares(spark, sf).filter("poly_id % 10 < 8"), check_valid=False)
+    squares = nation_squares(spark, sf)
+    solid = polygon_measures(squares).filter("area > 0").select("poly_id")  # a hole may leave nothing of a square
+    cover, _ = T.triangulate_polygons(squares.join(solid, "poly_id", "left_semi"), check_valid=False)
     return cover.triangles
 
 

@@ -61,16 +61,6 @@ def rgb_to_lab(r: Column, g: Column, b: Column, matrix=PIXEL_MATRIX) -> Column:
     )
 
 
-def rgb_to_lab_value(rgb: tuple[int, int, int], matrix=RULE_MATRIX) -> tuple[float, float, float]:
-    """The same conversion for one rule colour on the driver."""
-    lin = []
-    for c in (v / 255.0 for v in rgb):
-        lin.append(((c + 0.055) / 1.055) ** 2.4 if c > GAMMA_BREAK else c / 12.92)
-    t = [sum(k * c for k, c in zip(row, lin)) / w for row, w in zip(matrix, WHITE)]
-    x, y, z = (v ** (1.0 / 3.0) if v > LAB_BREAK else LAB_SLOPE * v + 16.0 / 116.0 for v in t)
-    return 116.0 * y - 16.0, 500.0 * (x - y), 200.0 * (y - z)
-
-
 def delta_e(p: Column, q: Column) -> Column:
     """Euclidean distance of two struct<L,a,b> columns."""
     return F.sqrt(sum((F.pow(p[k] - q[k], F.lit(2.0)) for k in ("L", "a", "b")), F.lit(0.0)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reliefgrid.config import CleanupSettings
 from reliefgrid.operators.mesh import Mesh, cross_product, triangle_corners, vertex_normals
 from reliefgrid.operators.regions import connected_components
-from reliefgrid.runtime import cut, local_table
+from reliefgrid.runtime import attach, cut, local_table
 
 _CORNERS = ("v0", "v1", "v2")
 
@@ -100,6 +100,28 @@ def remove_unreferenced(mesh: Mesh) -> Mesh:
     return Mesh(mesh.vertices.join(used, ["mesh_id", "vid"], "left_semi"), mesh.triangles)
 
 
+#: Side of the cells that rule out lonely vertices, in units of the merge distance.
+CELL_EPS = 1_000.0
+
+
+def with_company(points: DataFrame, eps: float) -> DataFrame:
+    """The points that share a cell of side ``CELL_EPS * eps`` with another, or lie within ``eps`` of its border.
+
+    A point is repeated in those neighbouring cells only whose border it is that close to, which is
+    nearly none, so the search for close pairs starts from about one row per point.
+    """
+    axes = ("x", "y", "z")
+    side = CELL_EPS * eps
+    span = [F.sequence(F.floor((F.col(c) - eps) / side), F.floor((F.col(c) + eps) / side)) for c in axes]
+    spread = points.select("mesh_id", "vid", *[F.col(c) for c in axes])
+    for c, s in zip(axes, span):
+        spread = spread.withColumn(f"c{c}", F.explode(s))
+    cell = ["mesh_id", *[f"c{c}" for c in axes]]
+    shared = spread.groupBy(*cell).agg(F.count("*").alias("n")).filter("n > 1").select(*cell)
+    near = spread.join(shared, cell, "left_semi").select("mesh_id", "vid").distinct()
+    return points.join(near, ["mesh_id", "vid"], "left_semi")
+
+
 def _close_links(points: DataFrame, eps: float) -> DataFrame:
     """Edges that join all distinct positions within ``eps`` of each other.
 
@@ -114,7 +136,7 @@ def _close_links(points: DataFrame, eps: float) -> DataFrame:
     def cube(c: str, size: float) -> Column:
         return F.floor(F.col(c) / size).cast("long")
 
-    home = cut(points.select("mesh_id", "vid", *axes, *[cube(c, side).alias(f"q{c}") for c in axes]))
+    home = cut(with_company(points, eps).select("mesh_id", "vid", *axes, *[cube(c, side).alias(f"q{c}") for c in axes]))
     q = ["mesh_id", "qx", "qy", "qz"]
     cubes = home.groupBy(*q).agg(F.min("vid").alias("hub"))
     inside = home.join(cubes, q).filter("vid <> hub").select("mesh_id", F.col("vid").alias("a"), F.col("hub").alias("b"))
@@ -324,9 +346,14 @@ def with_normals(mesh: Mesh) -> Mesh:
 # ---- reduction -------------------------------------------------------------------------------
 
 
-def _voxels(mesh: Mesh, size: float) -> tuple[DataFrame, list[Column]]:
-    low = [F.floor(F.col(c) / size).cast("long").alias(f"q{c}") for c in ("x", "y", "z")]
-    return mesh.vertices.select("*", *low), [F.col(f"q{c}") for c in ("x", "y", "z")]
+def _voxels(mesh: Mesh, size: float | DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Vertices with their voxel, for one ``size`` or a table (mesh_id, size)."""
+    if isinstance(size, DataFrame):
+        v = attach(mesh.vertices, size.select("mesh_id", F.col("size").alias("_size")), ["mesh_id"])
+    else:
+        v = mesh.vertices.withColumn("_size", F.lit(float(size)))
+    low = [F.floor(F.col(c) / F.col("_size")).cast("long").alias(f"q{c}") for c in ("x", "y", "z")]
+    return v.select("*", *low), [F.col(f"q{c}") for c in ("x", "y", "z")]
 
 
 def cluster_vertices(mesh: Mesh, voxel_size: float = 0.05) -> Mesh:
@@ -346,7 +373,7 @@ def cluster_vertices(mesh: Mesh, voxel_size: float = 0.05) -> Mesh:
     return remove_duplicate_triangles(remove_degenerate(out))
 
 
-def _quadric_vertices(mesh: Mesh, voxel_size: float) -> tuple[DataFrame, DataFrame]:
+def _quadric_vertices(mesh: Mesh, voxel_size: float | DataFrame) -> tuple[DataFrame, DataFrame]:
     """Voxel vertices at the least squared distance to their faces' planes, and the id moves."""
     v, q = _voxels(mesh, voxel_size)
     key = ["mesh_id", "qx", "qy", "qz"]
@@ -365,7 +392,7 @@ def _quadric_vertices(mesh: Mesh, voxel_size: float) -> tuple[DataFrame, DataFra
         for s, t in ("aa", "ab", "ac", "ad", "bb", "bc", "bd", "cc", "cd")
     ]
     quad = planes.join(v.select("mesh_id", "vid", "qx", "qy", "qz"), ["mesh_id", "vid"]).groupBy(*key).agg(*sums)
-    mean = v.groupBy(*key).agg(F.min("vid").alias("to"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z")])
+    mean = v.groupBy(*key).agg(F.min("vid").alias("to"), F.first("_size").alias("_size"), *[F.avg(c).alias(f"m{c}") for c in ("x", "y", "z")])
     j = mean.join(quad, key, "left")
     c = {k: F.col(k) for k in ("aa", "ab", "ac", "ad", "bb", "bc", "bd", "cc", "cd")}
 
@@ -385,10 +412,10 @@ def _quadric_vertices(mesh: Mesh, voxel_size: float) -> tuple[DataFrame, DataFra
         det([[rhs[r] if k == i else a[r][k] for k in range(3)] for r in range(3)]) / full for i in range(3)
     ]
     # the optimum may lie far away where faces are nearly parallel: stay within the voxel
-    low = [F.col(f"q{k}") * voxel_size for k in ("x", "y", "z")]
+    low = [F.col(f"q{k}") * F.col("_size") for k in ("x", "y", "z")]
     inside = F.lit(True)
     for s, lo in zip(solved, low):
-        inside = inside & (s >= lo) & (s <= lo + voxel_size)
+        inside = inside & (s >= lo) & (s <= lo + F.col("_size"))
     place = [
         F.when(sound & inside, s).otherwise(F.col(f"m{k}")).alias(k) for s, k in zip(solved, ("x", "y", "z"))
     ]
@@ -398,37 +425,52 @@ def _quadric_vertices(mesh: Mesh, voxel_size: float) -> tuple[DataFrame, DataFra
 
 
 def decimate_to(mesh: Mesh, target: int, max_steps: int = 12) -> Mesh:
-    """At most ``target`` triangles in all: quadric vertex clustering (Lindstrom, 2000).
+    """At most ``target`` triangles in each mesh: quadric vertex clustering (Lindstrom, 2000).
 
-    The voxel size is found by doubling and halving on triangle counts; each step is one aggregate
-    job. Vertices sit where the squared distance to their faces' planes is least.
+    Each mesh has its own voxel size, found by doubling and halving on triangle counts; a step is one
+    aggregate job over all meshes still too large. Vertices sit where the squared distance to their
+    faces' planes is least. Raises if a mesh cannot come down to ``target``.
     """
-    tri = cut(mesh.triangles)
-    mesh = Mesh(cut(mesh.vertices), tri)
-    if tri.count() <= target:
+    mesh = Mesh(cut(mesh.vertices), cut(mesh.triangles))
+    heavy = mesh.triangles.groupBy("mesh_id").agg(F.count("*").alias("n")).filter(F.col("n") > target).select("mesh_id")
+    spans = [F.max(c) - F.min(c) for c in ("x", "y", "z")]
+    extent = mesh.vertices.groupBy("mesh_id").agg(F.greatest(*spans).alias("extent"))
+    extent = extent.join(heavy, "mesh_id", "left_semi").withColumn("extent", F.when(F.col("extent") > 0, F.col("extent")).otherwise(1.0))
+    sizes = cut(extent.withColumn("size", F.col("extent") / max(target, 1) ** 0.5))
+    if sizes.isEmpty():
         return mesh
-    b = mesh.vertices.agg(*[(F.max(c) - F.min(c)).alias(c) for c in ("x", "y", "z")]).first()
-    extent = max(b["x"], b["y"], b["z"]) or 1.0
+    large = Mesh(mesh.vertices.join(sizes, "mesh_id", "left_semi"), mesh.triangles.join(sizes, "mesh_id", "left_semi"))
 
-    def count(size: float) -> int:
-        v, q = _voxels(mesh, size)
+    def too_many(at: DataFrame) -> DataFrame:
+        """``at`` with ``over``: does the mesh keep more than ``target`` triangles at its ``size``?"""
+        part = Mesh(large.vertices.join(at, "mesh_id", "left_semi"), large.triangles.join(at, "mesh_id", "left_semi"))
+        v, q = _voxels(part, at)
         ids = v.select("mesh_id", "vid", F.xxhash64("mesh_id", *q).alias("to"))
-        return remove_duplicate_triangles(remove_degenerate(Mesh(mesh.vertices, remap(tri, ids)))).triangles.count()
-
-    hi = extent / max(target, 1) ** 0.5
-    while count(hi) > target:
-        hi *= 2
-        if hi > 4 * extent:
-            break
-    lo = hi / 2
+        left = remove_duplicate_triangles(remove_degenerate(Mesh(part.vertices, remap(part.triangles, ids)))).triangles
+        n = left.groupBy("mesh_id").agg(F.count("*").alias("n"))
+        return cut(at.join(n, "mesh_id", "left").withColumn("over", F.coalesce(F.col("n") > target, F.lit(False))).drop("n"))
+
+    fits, todo = None, sizes
+    while not todo.isEmpty():
+        judged = too_many(todo)
+        good = judged.filter("not over").drop("over")
+        fits = good if fits is None else fits.unionByName(good)
+        todo = judged.filter("over").drop("over").withColumn("size", F.col("size") * 2)
+        lost = todo.filter("size > 8 * extent").first()
+        if lost is not None:
+            raise ValueError(f"mesh {lost['mesh_id']} cannot be reduced to {target} triangles")
+    state = cut(fits.select("mesh_id", (F.col("size") / 2).alias("lo"), F.col("size").alias("hi")))
     for _ in range(max_steps):
-        mid = (lo + hi) / 2
-        if (hi - lo) < 0.02 * hi:
+        open_ = state.filter("hi - lo >= 0.02 * hi")
+        if open_.isEmpty():
             break
-        if count(mid) > target:
-            lo = mid
-        else:
-            hi = mid
-    vertices, moved = _quadric_vertices(mesh, hi)
-    out = remove_duplicate_triangles(remove_degenerate(Mesh(vertices, remap(tri, moved))))
-    return remove_unreferenced(out)
+        judged = too_many(open_.withColumn("size", (F.col("lo") + F.col("hi")) / 2))
+        moved = judged.select("mesh_id", F.when(F.col("over"), F.col("size")).otherwise(F.col("lo")).alias("lo"), F.when(F.col("over"), F.col("hi")).otherwise(F.col("size")).alias("hi"))
+        state = cut(moved.unionByName(state.filter("not (hi - lo >= 0.02 * hi)")))
+    vertices, moves = _quadric_vertices(large, state.withColumnRenamed("hi", "size"))
+    out = remove_unreferenced(remove_duplicate_triangles(remove_degenerate(Mesh(vertices, remap(large.triangles, moves)))))
+    light = Mesh(mesh.vertices.join(sizes, "mesh_id", "left_anti"), mesh.triangles.join(sizes, "mesh_id", "left_anti"))
+    return Mesh(
+        light.vertices.select(*out.vertices.columns).unionByName(out.vertices),
+        light.triangles.select(*out.triangles.columns).unionByName(out.triangles),
+    )

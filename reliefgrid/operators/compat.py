@@ -99,6 +99,8 @@ def _nearest_valid(regions: DataFrame, holes: DataFrame, max_rounds: int = 40) -
                 F.when(F.col("topped"), F.lit(True)).otherwise(F.col("d2")).alias("topped"),
             )
         )
+    else:
+        raise RuntimeError("regions nest too deeply; raise max_rounds")
     return state
 
 

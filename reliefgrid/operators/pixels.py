@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.functions.color import (
@@ -15,9 +16,8 @@ from reliefgrid.functions.color import (
     hex_to_rgb,
     rgb_to_hex,
     rgb_to_lab,
-    rgb_to_lab_value,
 )
-from reliefgrid.runtime import attach, local_table
+from reliefgrid.runtime import SMALL_TABLE_ROWS, attach, local_table
 
 #: Up to this many rules become one folded CASE expression; more are searched in an array.
 FOLD_RULES = 64
@@ -148,6 +148,9 @@ def resample(pixels: DataFrame, max_dimension: int, sizes: DataFrame | None = No
         F.floor(F.col("width") * ratio).cast("int").alias("_out_col"),
         (longest > max_dimension).alias("_shrink"),
     )
+    gone = F.col("_shrink") & (F.least("_out_row", "_out_col") < 1)
+    told = F.concat(F.lit("a side would shrink to 0 pixels: "), F.col("image_id").cast("string"))
+    target = target.withColumn("_shrink", F.when(gone, F.raise_error(told)).otherwise(F.col("_shrink")))
     sized = attach(pixels, target, ["image_id"])
     keep = sized.filter(~F.col("_shrink")).select(*pixels.columns)
     shrunk = sized.filter("_shrink").drop("_shrink")
@@ -156,43 +159,41 @@ def resample(pixels: DataFrame, max_dimension: int, sizes: DataFrame | None = No
     return keep.unionByName(shrunk.select(*pixels.columns))
 
 
+_HEX = re.compile("#*([0-9a-fA-F]{6})")
+
+
 def compile_rules(color_map: Mapping[str, float | Mapping[str, float]], default_fuzziness: float = 10.0) -> list[dict]:
-    """Ordered rules with their RGB and LAB colours; a bare number takes the default fuzziness."""
-    rules = []
-    for priority, (code, entry) in enumerate(color_map.items()):
-        digits = code.lstrip("#")
-        if len(digits) != 6:
-            raise ValueError(f"Invalid hex color: {digits}")
-        rgb = tuple(int(digits[i : i + 2], 16) for i in (0, 2, 4))
-        if isinstance(entry, Mapping):
-            value, fuzziness = float(entry["value"]), float(entry.get("fuzziness", default_fuzziness))
-        else:
-            value, fuzziness = float(entry), float(default_fuzziness)
-        rules.append(
-            {
-                "priority": priority,
-                "hex": code,
-                "rgb": rgb,
-                "lab": rgb_to_lab_value(rgb),
-                "value": value,
-                "fuzziness": fuzziness,
-            }
-        )
-    return rules
+    """Ordered rules (priority, hex, rgb, value, fuzziness); a bare number takes the default fuzziness."""
+
+    def rule(priority: int, code: str, given) -> dict:
+        digits = _HEX.fullmatch(code)
+        if digits is None:
+            raise ValueError(f"Invalid hex color: {code}")
+        told = {"fuzziness": default_fuzziness} | (dict(given) if isinstance(given, Mapping) else {"value": given})
+        return {"priority": priority, "hex": code, "rgb": tuple(bytes.fromhex(digits[1]))} | {k: float(told[k]) for k in ("value", "fuzziness")}
+
+    return [rule(k, *entry) for k, entry in enumerate(color_map.items())]
 
 
 def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     """The compiled rules as a table."""
-    rows = [(r["priority"], r["hex"], *r["rgb"], *r["lab"], r["value"], r["fuzziness"]) for r in rules]
-    schema = (
-        "priority int, hex string, r int, g int, b int, lab_l double, lab_a double, lab_b double,"
-        " value double, fuzziness double"
+    rows = [(r["priority"], r["hex"], r["value"], r["fuzziness"]) for r in rules]
+    return prepare_rules(local_table(spark, rows, "priority int, hex string, value double, fuzziness double"))
+
+
+def _rule_struct(rule: dict) -> Column:
+    """A rule as literals; its LAB colour is an expression that the optimizer folds to a constant."""
+    lab = rgb_to_lab(*map(F.lit, rule["rgb"]), RULE_MATRIX)
+    return F.struct(
+        F.lit(rule["priority"]).alias("priority"),
+        *[lab[k].alias(f"lab_{k.lower()}") for k in ("L", "a", "b")],
+        F.lit(rule["fuzziness"]).alias("fuzziness"),
+        F.lit(rule["value"]).alias("value"),
     )
-    return local_table(spark, rows, schema)
 
 
 def prepare_rules(rules: DataFrame, default_fuzziness: float = 10.0) -> DataFrame:
-    """Same as ``compile_rules`` for rules held in a table (priority, hex, value, fuzziness)."""
+    """Colours of rules held in a table (priority, hex, value, fuzziness), which may have a rule set per ``image_id``."""
     rgb = hex_to_rgb(F.col("hex"))
     out = rules.withColumn("_rgb", rgb).withColumn(
         "_lab", rgb_to_lab(F.col("_rgb.r"), F.col("_rgb.g"), F.col("_rgb.b"), RULE_MATRIX)
@@ -225,49 +226,50 @@ def _match_array(lab, rules):
     )
 
 
+def _match_shared(with_lab: DataFrame, rules: DataFrame, entry: Column) -> DataFrame:
+    """Adds ``_hit`` from a rule table that all images share, a bounded array of rules at a time."""
+    total = rules.count()
+    if total > SMALL_TABLE_ROWS:
+        ends = rules.stat.approxQuantile("priority", [k / -(-2 * total // SMALL_TABLE_ROWS) for k in range(1, -(-2 * total // SMALL_TABLE_ROWS))], 0.0)
+    else:
+        ends = []
+    none = F.lit(None).cast("struct<priority:int,lab_l:double,lab_a:double,lab_b:double,fuzziness:double,value:double>")
+    out = with_lab.withColumn("_hit", none)
+    for lo, hi in zip([None, *ends], [*ends, None]):
+        part = rules.filter((F.lit(True) if lo is None else F.col("priority") > lo) & (F.lit(True) if hi is None else F.col("priority") <= hi))
+        array = part.agg(F.sort_array(F.collect_list(entry)).alias("_rules"))  # one row
+        found = F.coalesce(F.col("_hit"), _match_array(F.col("_lab"), F.col("_rules")))
+        out = out.crossJoin(F.broadcast(array)).withColumn("_hit", found).drop("_rules")
+    return out
+
+
 def match_rules(pixels: DataFrame, rules: list[dict] | DataFrame, matrix=PIXEL_MATRIX) -> DataFrame:
     """Add ``priority`` and ``value`` of the first matching rule, NULL where none matches.
 
     A rule list stays inside one generated stage with no shuffle. The rules of a table travel
-    as one priority-ordered array, per image if it has ``image_id``.
+    as one priority-ordered array, per image if it has ``image_id``; a shared table of more than
+    ``SMALL_TABLE_ROWS`` rules is tried that many rules at a time.
     """
     lab = rgb_to_lab(F.col("r"), F.col("g"), F.col("b"), matrix)
     with_lab = pixels.withColumn("_lab", lab)
     col = F.col("_lab")
     if isinstance(rules, DataFrame):
-        ordered = F.sort_array(
-            F.collect_list(F.struct("priority", "lab_l", "lab_a", "lab_b", "fuzziness", "value"))
-        ).alias("_rules")
+        entry = F.struct("priority", "lab_l", "lab_a", "lab_b", "fuzziness", "value")
+        ordered = F.sort_array(F.collect_list(entry)).alias("_rules")
         if "image_id" in rules.columns:
-            joined = attach(with_lab, rules.groupBy("image_id").agg(ordered), ["image_id"], how="left")
+            per_image = rules.groupBy("image_id").agg(ordered)
+            longest = per_image.agg(F.max(F.size("_rules"))).first()[0] or 1
+            joined = attach(with_lab, per_image, ["image_id"], how="left", limit=SMALL_TABLE_ROWS // longest)
+            hit = _match_array(col, F.col("_rules"))
         else:
-            joined = with_lab.crossJoin(rules.agg(ordered))  # a single row
-        hit = _match_array(col, F.col("_rules"))
+            return _match_shared(with_lab, rules, entry).select(*pixels.columns, F.col("_hit.priority").alias("priority"), F.col("_hit.value").alias("value"))
     elif len(rules) <= FOLD_RULES:
         joined = with_lab
-        hit = F.coalesce(
-            *[
-                F.when(
-                    _distance_to(col, *[F.lit(v) for v in r["lab"]]) <= r["fuzziness"],
-                    F.struct(F.lit(r["priority"]).alias("priority"), F.lit(r["value"]).alias("value")),
-                )
-                for r in rules
-            ]
-        )
+        near = [(r["fuzziness"], _rule_struct(r)) for r in rules]
+        hit = F.coalesce(*[F.when(_distance_to(col, s["lab_l"], s["lab_a"], s["lab_b"]) <= f, F.struct(s["priority"].alias("priority"), s["value"].alias("value"))) for f, s in near])
     else:
         joined = with_lab
-        table = F.array(
-            *[
-                F.struct(
-                    F.lit(r["priority"]).alias("priority"),
-                    *[F.lit(v).alias(n) for v, n in zip(r["lab"], ("lab_l", "lab_a", "lab_b"))],
-                    F.lit(r["fuzziness"]).alias("fuzziness"),
-                    F.lit(r["value"]).alias("value"),
-                )
-                for r in rules
-            ]
-        )
-        hit = _match_array(col, table)
+        hit = _match_array(col, F.array(*map(_rule_struct, rules)))
     return joined.withColumn("_hit", hit).select(
         *pixels.columns, F.col("_hit.priority").alias("priority"), F.col("_hit.value").alias("value")
     )

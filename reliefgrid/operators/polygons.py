@@ -203,7 +203,8 @@ def point_in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
     point meets only the edges of its band.
     """
     key = poly_key(rings)
-    edges = with_next(rings).select(*key, *[F.col(c).alias(f"e{c}") for c in ("x", "y", "nx", "ny")])
+    outer = (F.col("role") == "exterior").alias("_outer") if "role" in rings.columns else F.lit(True).alias("_outer")
+    edges = with_next(rings).select(*key, outer, *[F.col(c).alias(f"e{c}") for c in ("x", "y", "nx", "ny")])
     edges = edges.filter("ex <> enx or ey <> eny")
     bands = edges.groupBy(*key).agg(F.avg(F.abs(F.col("eny") - F.col("ey"))).alias("_h"), F.min("ey").alias("_y0"))
     bands = bands.withColumn("_h", F.when(F.col("_h") > 0, F.col("_h")).otherwise(1.0))
@@ -229,8 +230,13 @@ def point_in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
     hits = (
         located.join(spread.drop("_h", "_y0"), [*key, "_band"])
         .groupBy(*key, "_p")
-        .agg(F.count_if(straddles & left_of).alias("_n"), F.max(on_edge).alias("_on"))
-        .filter((F.col("_n") % 2 == 1) & ~F.col("_on"))
+        .agg(
+            F.count_if(straddles & left_of & F.col("_outer")).alias("_n"),
+            F.count_if(straddles & left_of & ~F.col("_outer")).alias("_h"),
+            F.max(on_edge).alias("_on"),
+        )
+        # holes are counted apart: one may reach beyond its exterior
+        .filter((F.col("_n") % 2 == 1) & (F.col("_h") % 2 == 0) & ~F.col("_on"))
     )
     return hits.select("_p.*")
 

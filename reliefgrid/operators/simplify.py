@@ -159,8 +159,30 @@ def renumber(points: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def _at_least_three(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Gives rings of ``after`` that lost too much their farthest points back, up to three points each."""
+    for _ in range(2):
+        had = before.groupBy(*key).agg(F.count("*").alias("_had"))
+        # at most two points each, so the arrays stay small
+        short = after.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n < 3").select(*key).join(had.filter("_had >= 3").select(*key), key, "left_semi")
+        short = cut(short)
+        if short.isEmpty():
+            return after
+        ends = after.join(short, key, "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("_p"))
+        a, b = F.get("_p", F.lit(0)), F.coalesce(F.get("_p", F.lit(1)), F.get("_p", F.lit(0)))
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        span = dx * dx + dy * dy
+        t = F.when(span == 0, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("x") - a["x"]) * dx + (F.col("y") - a["y"]) * dy) / span)))
+        far = F.sqrt(F.pow(F.col("x") - a["x"] - t * dx, 2.0) + F.pow(F.col("y") - a["y"] - t * dy, 2.0))
+        left = attach(before, ends, key).filter(~F.exists("_p", lambda p: p["seq"] == F.col("seq")))
+        row = F.struct(*[F.col(c) for c in before.columns])
+        back = left.groupBy(*key).agg(F.max_by(row, F.struct(far, "seq")).alias("_r")).select("_r.*")
+        after = cut(after.unionByName(back.select(*after.columns)))
+    return after
+
+
 def _pass(points: DataFrame, key: list[str]) -> DataFrame:
-    return renumber(_split_long(points, key), key)
+    return renumber(_at_least_three(points, _split_long(points, key), key), key)
 
 
 def simplify_once(points: DataFrame, tolerance: float) -> DataFrame:

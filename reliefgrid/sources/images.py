@@ -16,6 +16,8 @@ BATCH_PIXELS = 1 << 20
 def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for path, h, w, n, data in pdf[["origin", "height", "width", "nChannels", "data"]].itertuples(index=False):
+            if h < 0:
+                raise ValueError(f"cannot read image {path}")
             flat = np.frombuffer(data, dtype=np.uint8).reshape(h, w, n)
             step = max(1, BATCH_PIXELS // max(w, 1))
             for top in range(0, h, step):
@@ -38,9 +40,10 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """One row per pixel of every image under ``path``; grey is repeated, transparency dropped.
 
-    Each file is decoded by one task and leaves it in batches of rows; ``image_id`` is the file.
+    Each file is decoded by one task and leaves it in batches of rows; ``image_id`` is the file. A file
+    that cannot be decoded fails the job by its name.
     """
-    images = spark.read.format("image").option("dropInvalid", True).load(path)
+    images = spark.read.format("image").option("dropInvalid", False).load(path)
     return images.select("image.*").mapInPandas(_unpack, "image_id string, row int, col int, r int, g int, b int")
 
 

@@ -8,6 +8,7 @@ import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,7 @@ class NpyReader(DataSourceReader):
     def read(self, partition: RowBlock) -> Iterator[pa.RecordBatch]:
         shape, dtype, fortran, offset = npy_header(partition.path)
         grid = np.memmap(partition.path, dtype=dtype, mode="r", offset=offset, shape=shape, order="F" if fortran else "C")
-        name = os.path.basename(partition.path)[: -len(".npy")]
+        name = unquote(os.path.basename(partition.path)[: -len(".npy")])
         width = shape[1]
         step = max(1, BATCH_CELLS // max(width, 1))
         for top in range(partition.first, partition.last, step):
@@ -97,6 +98,11 @@ def read_npy(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("npy").load(path)
 
 
+def npy_path(folder: str, raster: str) -> str:
+    """File of a raster; ids such as image URIs are escaped, and read back as they were."""
+    return os.path.join(folder, f"{quote(str(raster), safe=' ')}.npy")
+
+
 def write_npy(cells: DataFrame, folder: str) -> str:
     """One ``.npy`` file per raster in a folder that all executors share.
 
@@ -111,7 +117,7 @@ def write_npy(cells: DataFrame, folder: str) -> str:
         for pdf in batches:
             starts = []
             for raster, h, w in pdf[["raster_id", "height", "width"]].itertuples(index=False):
-                path = os.path.join(folder, f"{raster}.npy")
+                path = npy_path(folder, raster)
                 starts.append(np.lib.format.open_memmap(path, mode="w+", dtype=np.float64, shape=(h, w)).offset)
             yield pdf[["raster_id", "width"]].assign(start=starts)
 
@@ -121,7 +127,7 @@ def write_npy(cells: DataFrame, folder: str) -> str:
                 at = g["row"].to_numpy(np.int64) * int(g["width"].iloc[0]) + g["col"].to_numpy(np.int64)
                 v = g["value"].to_numpy(dtype=np.float64, na_value=np.nan)
                 breaks = np.flatnonzero(np.diff(at) != 1) + 1
-                with open(os.path.join(folder, f"{raster}.npy"), "r+b") as f:
+                with open(npy_path(folder, raster), "r+b") as f:
                     for a, part in zip(at[np.r_[0, breaks]], np.split(v, breaks)):
                         f.seek(int(g["start"].iloc[0]) + 8 * int(a))
                         f.write(part.tobytes())
