@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.fixtures import (
     LEVELS, NATION_SQUARES, PART_HEIGHTS, PART_SURFACE, SUMMED_HEIGHTS, SUM_LEVELS, blocks_sql, fill_sql, levels,
-    levels_sql, nation_squares, part_heights, part_surface, segments_sql, summed_heights, with_,
+    levels_sql, nation_squares, part_heights, part_surface, regions_sql, segments_sql, summed_heights, with_,
 )
-from reliefgrid.config import CleanupSettings, HeightmapSettings, MeshSettings, TriangulationSettings
+from reliefgrid.config import CleanupSettings, ContourSettings, HeightmapSettings, MeshSettings, TriangulationSettings
 from reliefgrid.operators import cleanup as X
 from reliefgrid.operators import inspect as I
 from reliefgrid.operators import mesh as M
 from reliefgrid.operators import triangulate as T
 from reliefgrid.operators.mesh import Mesh
-from reliefgrid.operators.polygons import polygon_measures
+from reliefgrid.operators.polygons import faces_of_polygons, polygon_measures
 from reliefgrid.plans import pipelines as E
 from reliefgrid.runtime import scratch_path
 from reliefgrid.sources import mesh_files as W
@@ -389,7 +389,8 @@ def stl_file_size(spark, sf):
 @query("E2", with_(*_solid_sql("fx9", SUMMED_HEIGHTS, SUM_LEVELS, "level_idx*0.5::double"), _COMBINED) +
        "select mesh_id, x, y, z, count(*)::bigint as vertices from cv group by all")
 def heights_to_mesh(spark, sf):
-    cfg = MeshSettings(heightmap=HeightmapSettings(thresholds=SUM_LEVELS))
+    every = ContourSettings(min_polygon_area=0.0, min_area_fraction=0.0)
+    cfg = MeshSettings(heightmap=HeightmapSettings(thresholds=SUM_LEVELS), contour=every)
     v = E.heightmap_to_mesh(summed_heights(spark, sf), cfg).vertices
     return v.groupBy("mesh_id", "x", "y", "z").agg(F.count("*").alias("vertices"))
 
@@ -419,6 +420,33 @@ def heights_to_mesh_delaunay(spark, sf):
     return I.mesh_info(E.heightmap_to_mesh(summed_heights(spark, sf), cfg))
 
 
+_KEPT = """fc as (select *, case when x0 % 2 = 0 and y0 % 2 = 0 then (y0//2 + 1)::bigint*4294967296 + x0//2 + 1 when x1 % 2 = 0 and y1 % 2 = 0 then (y1//2 + 1)::bigint*4294967296 + x1//2 + 1
+ else (y2//2 + 1)::bigint*4294967296 + x2//2 + 1 end as id, abs((x1 - x0)*(y2 - y0) - (x2 - x0)*(y1 - y0))/8.0::double as area from tri),
+fr as (select fc.*, region from fc join reg using (level_idx, id)),
+ar as (select level_idx, region, sum(area) as area from fr group by all having sum(area) > 0.6),
+kp as (select level_idx, region from ar where area >= 0.02::double * (select max(area) from ar m where m.level_idx = ar.level_idx))"""
+
+
+@query("E2 C7 C8 M6", with_(*_fills("fx9", SUMMED_HEIGHTS, SUM_LEVELS), regions_sql("fx9"), _KEPT, recursive=True) +
+       "select raster_id, level_idx::int as level_idx, tid, x0, y0, x1, y1, x2, y2 from fr semi join kp using (level_idx, region)")
+def faces_of_large_polygons(spark, sf):
+    cells, lv = summed_heights(spark, sf), levels(spark, SUM_LEVELS)
+    return faces_of_polygons(M.triangulate_grid(cells, lv), cells, lv, 0.6, 0.02)
+
+
+@query("E2 E4 C7 C8", with_(*_fills("fx9", SUMMED_HEIGHTS, SUM_LEVELS), regions_sql("fx9"), _KEPT,
+       "kt as (select fr.* from fr semi join kp using (level_idx, region))",
+       "es as (select level_idx, unnest([[x0, y0, x1, y1], [x1, y1, x2, y2], [x2, y2, x0, y0]]) as e from kt)",
+       "od as (select level_idx, least((e[1], e[2]), (e[3], e[4])) as a, greatest((e[1], e[2]), (e[3], e[4])) as b, count(*) as n from es group by all having n = 1)",
+       recursive=True) +
+       "select level_idx::int as level_idx, ((select count(*) from kt t where t.level_idx = l.level_idx)*2 + (select count(*) from od t where t.level_idx = l.level_idx)*2)::bigint as triangles from (select distinct level_idx from kt) l")
+def heights_to_mesh_filtered(spark, sf):
+    cfg = MeshSettings(contour=ContourSettings(min_polygon_area=0.6, min_area_fraction=0.02), stages_path=scratch_path(spark, "stages"))
+    solid = E.level_solids(summed_heights(spark, sf), levels(spark, SUM_LEVELS), cfg)
+    level = F.element_at(F.split("mesh_id", "/"), -1).cast("int").alias("level_idx")
+    return solid.triangles.groupBy(level).agg(F.count("*").alias("triangles"))
+
+
 @query("E4", with_(*_fills("fx9", SUMMED_HEIGHTS, SUM_LEVELS)) + "select level_idx::int as level_idx, count(*)::bigint as triangles from tri group by 1")
 def stage_tables(spark, sf):
     faces = M.triangulate_grid(summed_heights(spark, sf), levels(spark, SUM_LEVELS))

@@ -223,6 +223,15 @@ def boundary_edges(cells: DataFrame, levels: DataFrame, tile_bits: int = TILE_BI
     )
 
 
+def cover_edges(cover: Mesh) -> DataFrame:
+    """Directed edges ``mesh_id, a, b`` that only one triangle of the cover has."""
+    sides = F.array(*[F.struct(F.col(f"v{i}").alias("a"), F.col(f"v{(i + 1) % 3}").alias("b")) for i in range(3)])
+    each = cover.triangles.select("mesh_id", F.inline(sides))
+    pair = [F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")]
+    once = each.groupBy("mesh_id", *pair).agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
+    return once.filter("n = 1").select("mesh_id", "a", "b")
+
+
 def check_faces(mesh: Mesh) -> Mesh:
     """Raise if a triangle names a vertex that does not exist."""
     if not missing_corners(mesh).isEmpty():
@@ -243,11 +252,17 @@ def grid_solid(
     units: tuple[float, float] = (1.0, 1.0),
     walls: str = "all",
     tile_bits: int = TILE_BITS,
+    faces: DataFrame | None = None,
 ) -> Mesh:
-    """Extruded slice of every level: covers, walls, one mesh per raster and level."""
-    cover = flat_cover(triangulate_grid(cells, levels, tile_bits), units)
+    """Extruded slice of every level: covers, walls, one mesh per raster and level.
+
+    ``faces`` are those of ``triangulate_grid``'s triangles to be used, if not all.
+    """
+    cover = flat_cover(triangulate_grid(cells, levels, tile_bits) if faces is None else faces, units)
     body = extrude(cover, levels, thickness)
-    if walls == "all":
+    if walls == "all" and faces is not None:
+        edges = cover_edges(cover)
+    elif walls == "all":
         edges = boundary_edges(cells, levels, tile_bits)
     elif walls == "exterior":
         from reliefgrid.operators.polygons import slice_polygons

@@ -110,6 +110,24 @@ def area_fraction_filter(polygons: DataFrame, fraction: float = 0.01) -> DataFra
     return paired.filter(F.col("area") >= F.col("_max") * fraction).drop("_max")
 
 
+def faces_of_polygons(faces: DataFrame, cells: DataFrame, levels: DataFrame, min_area: float = 0.0, min_fraction: float = 0.0, tile_bits: int = TILE_BITS) -> DataFrame:
+    """The triangles of ``triangulate_grid`` that lie in polygons passing both area filters.
+
+    Each triangle has a high cell among its corners, whose region is its polygon, and the areas of a
+    polygon's triangles add up to its own, so no ring is traced.
+    """
+    corner = F.coalesce(*[F.when((F.col(f"x{i}") % 2 == 0) & (F.col(f"y{i}") % 2 == 0), F.struct((F.col(f"y{i}") / 2).cast("int").alias("row"), (F.col(f"x{i}") / 2).cast("int").alias("col"))) for i in range(3)])
+    at = ["raster_id", "level_idx", "row", "col"]
+    labels = region_labels(cells, levels, 4, (True,), tile_bits=tile_bits).filter("own").select(*at, F.col("region").alias("poly_id"))
+    named = faces.withColumn("_c", corner).withColumns({"row": F.col("_c.row"), "col": F.col("_c.col")}).join(labels, at)
+    double = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    named = cut(named.select(*faces.columns, "poly_id", (F.abs(double) / 8.0).alias("area")))
+    polygons = named.groupBy("raster_id", "level_idx", "poly_id").agg(F.sum("area").alias("area"))
+    kept = min_area_filter(polygons, min_area) if min_area > 0 else polygons
+    kept = area_fraction_filter(kept, min_fraction) if min_fraction > 0 else kept
+    return named.join(kept.select("raster_id", "level_idx", "poly_id"), ["raster_id", "level_idx", "poly_id"], "left_semi").select(*faces.columns)
+
+
 def max_segments_per_level(rings: DataFrame) -> DataFrame:
     """Points of the longest exterior per level, counting the closing point."""
     counts = rings.filter("role = 'exterior'").groupBy(*poly_key(rings), "ring_id").agg(F.count("*").alias("n"))

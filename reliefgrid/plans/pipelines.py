@@ -15,7 +15,7 @@ from reliefgrid.operators.fill import fill_missing
 from reliefgrid.operators.inspect import mesh_info
 from reliefgrid.operators.mesh import Mesh
 from reliefgrid.operators.pixels import check_rgb, compile_rules, crop, map_colors, resample
-from reliefgrid.operators.polygons import bounding_polygon, slice_polygons
+from reliefgrid.operators.polygons import bounding_polygon, faces_of_polygons, slice_polygons
 from reliefgrid.operators.triangulate import triangulate_polygons
 from reliefgrid.runtime import cut
 from reliefgrid.sources.images import read_images
@@ -78,17 +78,27 @@ def write_stages(path: str, **tables: DataFrame) -> dict[str, DataFrame]:
 
 
 def level_solids(cells: DataFrame, levels: DataFrame, config: MeshSettings = MeshSettings()) -> Mesh:
-    """One extruded mesh per raster and level (grid method) or per polygon (Delaunay method)."""
+    """One extruded mesh per raster and level (grid method) or per polygon (Delaunay method).
+
+    The area filters of ``ContourSettings`` hold for both; simplification is for polygons, the grid
+    method covers each slice exactly.
+    """
     units = (config.heightmap.units.x, config.heightmap.units.y)
     thickness = _thickness(config)
     exact = config.mode == "slice" and config.triangulation.method == "grid"
-    if exact and config.stages_path is None:
-        return M.grid_solid(cells, levels, thickness, units)
     c = config.contour
     if exact:
-        rings = cut(slice_polygons(cells, levels, c.min_polygon_area, 0.0))
-        write_stages(config.stages_path, contours=rings)
-        return M.grid_solid(cells, levels, thickness, units)
+        faces = None
+        if c.min_polygon_area > 0 or c.min_area_fraction > 0:
+            faces = faces_of_polygons(M.triangulate_grid(cells, levels), cells, levels, c.min_polygon_area, c.min_area_fraction)
+        if config.stages_path is not None:
+            # the mesh is made from the stage tables, so they cannot differ
+            rings = slice_polygons(cells, levels, c.min_polygon_area, c.min_area_fraction)
+            faces = M.triangulate_grid(cells, levels) if faces is None else faces
+            faces = write_stages(config.stages_path, faces=faces, contours=rings)["faces"].select(*faces.columns)
+            cover = M.flat_cover(faces, units)
+            write_stages(config.stages_path, vertices_2d=cover.vertices, triangles=cover.triangles)
+        return M.grid_solid(cells, levels, thickness, units, faces=faces)
     rings = cut(
         slice_polygons(
             cells, levels, c.min_polygon_area, c.min_area_fraction, config.mode,
