@@ -286,6 +286,12 @@ def palette(spark, sf):
     return P.palette_histogram(order_pixels(spark, sf), 10)
 
 
+@query("P11 P12", with_(ORDER_PIXELS) + "select format('#{:02x}{:02x}{:02x}', r//32*32, g//32*32, b//32*32) as hex, "
+       "count(*)::bigint as pixels from fx3 group by 1 order by pixels desc, hex limit 6")
+def dominant_colors(spark, sf):
+    return P.dominant_colors(order_pixels(spark, sf), 6, sample_ratio=1.0, clustered=False)
+
+
 @query("P13")
 def palette_by_kmeans(spark, sf):
     return P.palette_kmeans(order_pixels(spark, sf), 6, restarts=2)

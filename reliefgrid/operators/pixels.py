@@ -384,6 +384,12 @@ def palette_kmeans(pixels: DataFrame, n_colors: int = 10, seed: int = 42, restar
     )
 
 
+def dominant_colors(pixels: DataFrame, n_colors: int = 10, sample_ratio: float = 0.1, clustered: bool = True, seed: int = 42) -> DataFrame:
+    """Dominant colours (``hex``, ``pixels``) of a sample: by k-means, or the most frequent coarse colours."""
+    part = pixels if sample_ratio >= 1 else sample_pixels(pixels, sample_ratio, seed)
+    return palette_kmeans(part, n_colors, seed) if clustered else palette_histogram(part, n_colors)
+
+
 def sample_color_map() -> dict[str, dict[str, float]]:
     """A ready colour map from deep water to high land."""
     from reliefgrid.config import DEFAULT_COLOR_MAP

@@ -40,8 +40,3 @@ def read_cells(
             & (F.col("row") >= y0) & (F.col("row") < y1) & (F.col("col") >= x0) & (F.col("col") < x1)
         )
     return df.select(F.col("raster_id").cast("string").alias("raster_id"), "row", "col", "value")
-
-
-def cells_from_table(spark: SparkSession, table: str, row: str, col: str, value: str, raster_id: str) -> DataFrame:
-    """Cells from any registered table with the named columns."""
-    return to_cells(spark.table(table), row, col, value, raster_id)

@@ -54,6 +54,13 @@ def test_many_shared_rules_go_in_parts(spark, monkeypatch):
     assert got == want and got[(1, 0)] is None and got[(0, 5)] is not None
 
 
+def test_dominant_colors_of_a_sample(spark):
+    px = spark.range(1000).select(F.lit("i").alias("image_id"), F.lit(0).alias("row"), F.col("id").cast("int").alias("col"), F.when(F.col("id") % 4 == 0, 200).otherwise(10).alias("r"), F.lit(0).alias("g"), F.lit(0).alias("b"))
+    coarse = pixels.dominant_colors(px, 2, 0.5, clustered=False).collect()
+    assert [r.hex for r in coarse] == ["#000000", "#c00000"] and sum(r.pixels for r in coarse) == 500
+    assert {r.hex for r in pixels.dominant_colors(px, 2, 0.5).collect()} == {"#0a0000", "#c80000"}
+
+
 def test_hole_beyond_its_exterior_leaves_nothing(spark):
     rings = local_table(spark, square(1, 1, "exterior", 0.0, 8.0) + square(1, 2, "hole", 0.0, 9.0) + square(2, 3, "exterior", 0.0, 8.0) + square(2, 4, "hole", 0.0, 4.0), RINGS)
     points = local_table(spark, [(p, v, v) for p in (1, 2) for v in (1.0, 5.0, 8.5)], "poly_id long, x double, y double")
