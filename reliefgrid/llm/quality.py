@@ -264,8 +264,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
                 out.append(own.tobytes())
             yield pd.DataFrame({"_id": pdf["_id"], "_ys": pdf["_ys"], "_x": out})
 
-    got = texts.join(ids, "_id").select("_id", "_ys", "_t").mapInPandas(features, "_id bigint, _ys array<int>, _x binary").collect()
-    got = sorted(got, key=lambda r: (r["_id"], r["_x"]))[: 2 * rows]
+    # one text per id (the smallest, should rows repeat an id), so at most ``rows`` come to the driver
+    chosen = texts.join(ids, "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_ys").alias("_ys"))
+    got = chosen.select("_id", "_ys", "_t").mapInPandas(features, "_id bigint, _ys array<int>, _x binary").collect()
+    got = sorted(got, key=lambda r: r["_id"])
     bags = [np.frombuffer(bytes(r["_x"]), np.float32).reshape(-1, N_FEATURES) for r in got for _ in r["_ys"]]
     y = np.array([v for r in got for v in r["_ys"]], float)
     x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)
