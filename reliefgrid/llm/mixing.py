@@ -3,9 +3,11 @@
 Documents are counted into cells (source, language, topic). Iterative proportional fitting scales the
 cells' tokens to the target share of every source, then every language, then every topic, sweep after
 sweep, as joins of the cell table with its margins; texts are read once for the counts and once for the
-sample. A document is kept with its cell's factor over the largest factor, so the expected tokens of the
-sample have the target shares and as many documents stay as that allows. The lot is drawn from a hash of
-id and text: a second run keeps the same documents.
+sample. A document is kept with a chance in proportion to its cell's factor (weight over tokens), at most
+one, at the rate that keeps the share ``keep`` of all tokens: crowded cells are thinned, scarce ones stay
+whole. Without ``keep`` no chance is cut off at one: the factor over the largest factor gives exactly the
+target shares, at the price of as many documents as the scarcest cell demands. The lot is drawn from a
+hash of id and text: a second run keeps the same documents.
 
 Results: null sources, languages and texts count as ``(none)`` and as empty; a text without words weighs
 nothing, and a cell without tokens is kept whole; repeated rows share their lot; targets for values that
@@ -20,26 +22,26 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.tables import saved, whole_text
+from reliefgrid.llm.tables import let, saved, whole_text
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets, margins are tempered: shares to this power, scaled to one.
 TEMPER = 0.7
-SWEEPS = 12
-TOLERANCE = 1e-9
+SWEEPS = 6
+CELLS_PER_FILE = 100_000
+#: Share of all tokens that a sample keeps.
+KEEP = 0.9
 #: Topic of a text: the marker that occurs most; the first of equals, ``none`` without any.
 MARKERS = {"action": "ing", "process": "tion", "manner": "ly", "quality": "lich", "means": "ment", "object": "do"}
 WORD = r"[^ \t\n\r\f\x0B]+"
 
 
 def topic(text: Column, markers: Mapping[str, str] = MARKERS) -> Column:
-    low = F.lower(text)
-    count = {k: (F.length(low) - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m) for k, m in markers.items()}
-    most = F.greatest(*count.values())
-    out = F.when(most == 0, "none")
-    for k, c in count.items():
-        out = out.when(c == most, k)
-    return out
+    def named(low: Column) -> Column:
+        count = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m) for m in markers.values()])
+        return let(count, lambda c: F.when(F.array_max(c) == 0, "none").otherwise(F.get(F.array(*map(F.lit, markers)), F.array_position(c, F.array_max(c)).cast("int") - 1)))
+
+    return let(F.lower(text), named)
 
 
 def tokens(text: Column) -> Column:
@@ -58,12 +60,13 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return named | {"topic": topic(whole_text(text_col)), "tokens": tokens(whole_text(text_col)), "lot": lot(id_col, text_col)}
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, sweeps: int = SWEEPS, tolerance: float = TOLERANCE) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
     """``source``, ``lang``, ``topic``, ``tokens``, ``weight``: tokens scaled to the target shares (total kept).
 
     ``targets`` has a table (value, share) per dimension; without it shares are tempered.
     """
-    total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
+    total, n = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    files = 1 + n // CELLS_PER_FILE  # cells are few and counted, the sweeps' tables need no more
     goals = {}
     for d in DIMENSIONS:
         margin = cells.groupBy(d).agg(F.sum("tokens").alias("_m")).filter("_m > 0")
@@ -72,56 +75,66 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, sweep
             margin = margin.join(given, d)
         else:
             margin = margin.withColumn("_s", F.pow(F.col("_m").cast("double"), F.lit(TEMPER)))
-        margin = saved(margin.select(d, "_s"), "goal")
+        margin = saved(margin.select(d, "_s").coalesce(files), "goal")
         whole = margin.agg(F.sum("_s")).first()[0] or 1.0
         goals[d] = margin.select(d, (F.col("_s") / whole * total).alias("_goal"))
-    state = saved(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    state = saved(cells.withColumn("weight", F.col("tokens").cast("double")).coalesce(files), "cells")
     for _ in range(sweeps):
-        before = state
         for d in DIMENSIONS:
             margin = state.groupBy(d).agg(F.sum("weight").alias("_w")).join(goals[d], d, "left")
             # a margin that nothing fills or aims at becomes zero
             ratio = F.when(F.col("_w") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_w")).otherwise(F.lit(0.0))
             state = state.join(margin.select(d, ratio.alias("_ratio")), d).withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio")
-        state = saved(state.select(*DIMENSIONS, "tokens", "weight"), "cells")
-        old = before.select(*DIMENSIONS, F.col("weight").alias("_old"))
-        if state.join(old, list(DIMENSIONS)).filter(F.abs(F.col("weight") - F.col("_old")) > tolerance * F.col("tokens")).isEmpty():
-            break
+        state = saved(state.select(*DIMENSIONS, "tokens", "weight").coalesce(files), "cells")
     return state
 
 
-def probabilities(cells: DataFrame) -> DataFrame:
-    """Adds ``factor`` (weight per token) and ``probability`` (factor over the largest) to raked cells."""
+def probabilities(cells: DataFrame, keep: float | None = KEEP) -> DataFrame:
+    """Adds ``factor`` (weight per token) and ``probability`` to raked cells."""
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    with_factor = cells.withColumn("factor", factor)
-    most = with_factor.agg(F.max("factor")).first()[0] or 1.0
-    return with_factor.withColumn("probability", F.coalesce(F.col("factor") / F.lit(most), F.lit(1.0)))
-
-
-def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    cells = cells.withColumn("factor", factor)
+    if keep is None:
+        rate = 1.0 / (cells.agg(F.max("factor")).first()[0] or 1.0)
+    else:
+        # cells that reach one are whole; the others share what is left to keep, until no more reach it
+        rate = keep
+        while True:
+            full = F.col("factor") * rate >= 1
+            t = cells.agg(F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("rest")).first()
+            fresh = (keep * (t["all"] or 0) - (t["full"] or 0)) / t["rest"] if t["rest"] else float("inf")
+            if not fresh > rate * (1 + 1e-12):
+                break
+            rate = fresh
+            if rate == float("inf"):
+                break
+    chance = F.when(F.col("factor") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(rate))).when(F.col("factor") == 0, 0.0)
+    return cells.withColumn("probability", F.coalesce(chance, F.lit(1.0)))
+
+
+def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | None = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the cell, ``tokens``, ``probability`` and ``kept`` of every row."""
     rows = saved(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in described(docs, id_col, text_col).items()]), "described")
-    chances = _chances(rows, targets)
+    chances = _chances(rows, targets, keep)
     met = rows.join(chances, list(DIMENSIONS))
     return met.select("doc_id", *DIMENSIONS, "tokens", "probability", (F.col("lot") < F.col("probability")).alias("kept"))
 
 
-def _chances(rows: DataFrame, targets: Mapping[str, DataFrame] | None) -> DataFrame:
+def _chances(rows: DataFrame, targets: Mapping[str, DataFrame] | None, keep: float | None) -> DataFrame:
     cells = saved(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "counts")
-    return saved(probabilities(rake(cells, targets)).select(*DIMENSIONS, "probability"), "chances")
+    return saved(probabilities(rake(cells, targets), keep).select(*DIMENSIONS, "probability"), "chances")
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sampled(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | None = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows of ``docs``, all columns."""
     made = described(docs, id_col, text_col)
-    chances = _chances(docs.select(*[made[k].alias(k) for k in (*DIMENSIONS, "tokens")]), targets)
+    chances = _chances(docs.select(*[made[k].alias(k) for k in (*DIMENSIONS, "tokens")]), targets, keep)
     chances = chances.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
     rows = docs.select(*[made[d].alias(f"_{d}") for d in DIMENSIONS], made["lot"].alias("_lot"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return rows.join(chances, [f"_{d}" for d in DIMENSIONS]).filter(F.col("_lot") < F.col("probability")).select("_row.*")
 
 
 def oracle() -> str:
-    """The same in SQL: twelve sweeps as a recursive query."""
+    """The same in SQL: the sweeps as a recursive query."""
     counts = {k: f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}.0" for k, m in MARKERS.items()}
     most = f"greatest({', '.join(counts.values())})"
     cases = " ".join(f"WHEN {c} = {most} THEN '{k}'" for k, c in counts.items())
@@ -144,7 +157,12 @@ WITH RECURSIVE base AS (
   UNION ALL
   SELECT n + 1, source, lang, topic, tokens, weight FROM ({step}) z
 ), done AS (
-  SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens END AS factor FROM it WHERE n = {SWEEPS}
-), chances AS (SELECT source, lang, topic, coalesce(factor / max(factor) OVER (), 1) AS probability FROM done)
+  SELECT source, lang, topic, tokens, weight, CASE WHEN tokens > 0 THEN weight / tokens END AS factor FROM it WHERE n = {SWEEPS}
+), ordered AS (
+  SELECT factor, ({KEEP} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY factor DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY factor DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
+  FROM done WHERE tokens > 0
+), best AS (SELECT coalesce((SELECT rate FROM ordered WHERE rate * factor < 1 ORDER BY factor DESC LIMIT 1), 1e300) AS rate
+), chances AS (SELECT source, lang, topic, coalesce(least(1.0, factor * rate), 1.0) AS probability FROM done, best)
 SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(probability, 6) AS probability, lot < probability AS kept
 FROM described JOIN chances USING (source, lang, topic)"""

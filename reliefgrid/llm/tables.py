@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,11 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, whatever the optimizer inlines."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read again.
 

@@ -40,14 +40,17 @@ def test_sample_and_odd_rows(spark):
     rows = [(i, "the ing ing words " * 5, "en", "big" if i % 3 else "small", "x") for i in range(300)]
     rows += [(None, None, None, None, None), (1000, "", "en", "empty", "x"), (1001, " \t", "de", "empty", "x"), (5, rows[5][1], "en", "big", "x")]
     docs = local_table(spark, rows, SCHEMA).repartition(2)
-    marks = mixing.mix(docs).collect()
+    marks = mixing.mix(docs, keep=None).collect()
     assert len(marks) == len(rows)
     chance = {r.source: r.probability for r in marks if r.topic == "action"}
     assert chance["small"] == 1 and abs(chance["big"] - (2.01**0.7 / 2.01)) < 1e-6
     kept = [r for r in marks if r.kept]
     assert {r.doc_id for r in kept} >= {None, 1000, 1001} and abs(sum(r.source == "big" for r in kept) / 200 - chance["big"]) < 0.1
     assert len({r.kept for r in marks if r.doc_id == 5}) == 1
-    out = mixing.sampled(docs)
+    out = mixing.sampled(docs, keep=None)
     assert out.columns == docs.columns and sorted((r.doc_id for r in out.collect()), key=str) == sorted((r.doc_id for r in kept), key=str)
+    share = mixing.mix(docs).groupBy("source").agg(F.first("probability").alias("p"), F.sum("tokens").alias("t")).collect()
+    chance = {r.source: r.p for r in share}
+    assert chance["small"] == 1 and abs(sum(r.p * r.t for r in share) / sum(r.t for r in share) - mixing.KEEP) < 1e-9
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.sampled(docs.limit(0)).count() == 0
     assert mixing.sampled(docs.filter("doc_id >= 1000")).count() == 2
