@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.tables import whole_text
+from reliefgrid.llm.tables import let, whole_text
 
 #: k = S + WINDOW - 1 code points; one k-mer in WINDOW / 2 is an anchor on average.
 S, WINDOW = 9, 16
@@ -31,11 +31,6 @@ SKETCH = 128
 KNOTS = 256
 
 
-def let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def anchors(text: Column) -> Column:
     """Closed syncmers in order, each a long: place (from 0) times 2**32 plus 32 bits of hash."""
     smers = F.transform(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{S}}}))."), F.lit(1)), lambda x: F.xxhash64(x))
@@ -128,7 +123,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("_t"))
     down = F.bitwise_not(F.col("doc_id"))  # ascending in it is descending in the id
     dealt = in_ranges(rows, [F.col("doc_id").isNull().alias("none"), down.alias("down"), F.md5("_t").alias("md5")], down)
-    made = dealt.withColumn("_n", F.length("_t")).withColumn("_a", anchors(F.col("_t")))
+    # the texts are dealt before anchors are made, so that anchors are never sent
+    made = dealt.repartition("_range").withColumn("_n", F.length("_t")).withColumn("_a", anchors(F.col("_t")))
     made = made.withColumn("_f", sketch_of(F.col("_a"), F.col("_t"), F.col("_n")))
     follow = Window.partitionBy("_range").orderBy("_guest", "_rank")
     for c in ("_t", "_n", "_a", "_f"):
