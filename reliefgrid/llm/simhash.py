@@ -7,6 +7,9 @@ of the border can have partners outside, so only those are also handed to the ou
 within the radius therefore meets in at least one shard, and a shard returns a spanning star for each
 of its linked sets, never its pairs. Shards are joined by distributed connected components.
 
+Near copies by the Jaccard index of five-word shingles (:func:`near_duplicates`) are proposed by MinHash
+bands instead, and each proposed pair is confirmed by the two shingle sets.
+
 Results: null and empty texts have fingerprint zero and link like any other; repeated rows are
 repeated in the output; a component of rows without ids has a null id; an empty table gives an empty
 one; other columns of the input are not looked at.
@@ -24,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.llm.tables import saved
 from reliefgrid.operators.regions import connected_components
 from reliefgrid.runtime import cut
 
@@ -249,25 +253,147 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return made.join(ids, made["fp"] == ids["_fp"]).select("doc_id", F.col("fp").alias("fingerprint"), "component_id")
 
 
-#: The two word fingerprints that near copies are searched by, and the five-word one that confirms.
-NEAR = [Features("w1", 1, 42, True), Features("w2", 1, 7, True), Features("s5", 5, 42)]
+#: Near copies: Jaccard index of the sets of ``NEAR_WORDS``-word shingles, at least ``SIMILARITY``.
+NEAR_WORDS = 5
+SIMILARITY = 0.8
+#: MinHashes of a text, ``BANDS`` bands of ``BAND_ROWS``. At a Jaccard index of 0.8 all bands of two texts
+#: differ with a chance of (1 - 0.8**5)**40 = 1.2e-7.
+BANDS, BAND_ROWS = 40, 5
+#: Share of equal MinHashes below which a pair isn't read; at an index of 0.8 its chance is under 1e-9.
+LIKELY = 0.6
+_MIX = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
+
+
+def shingle_set(data: bytes, n: int = NEAR_WORDS) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text of fewer words is one shingle, one without words none."""
+    found, words = [np.zeros(0, np.uint64)], []
+    for words in word_chunks(data, n - 1):
+        found.append(np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, n), repeat(42)), np.uint64)))
+    every = np.unique(np.concatenate(found))
+    return every if len(every) or not words else np.array([xxhash.xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+
+
+def minhashes(found: np.ndarray) -> np.ndarray:
+    low = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(found), 2_048):
+        np.minimum(low, ((found[lo : lo + 2_048] ^ _MIX[0]) * (_MIX[1] | np.uint64(1))).min(axis=1), out=low)
+    return low
+
+
+def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id``, ``_md5``, ``node`` (hash of the shingle set), ``size``, ``sig`` (a byte of each MinHash), ``bands``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.md5(text).alias("_md5"), text.cast("binary").alias("_text"))
+
+    def run(batches):
+        for b in batches:
+            nodes, sizes, sigs, bands = [], [], [], []
+            for t in b.column("_text"):
+                found = shingle_set(t.as_py())
+                low = minhashes(found)
+                nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
+                sizes.append(len(found))
+                sigs.append(((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
+                keys = [xxhash.xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(low.reshape(BANDS, BAND_ROWS))] if len(found) else []
+                bands.append(np.array(keys, np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("_id"), b.column("_md5"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                names=["_id", "_md5", "node", "size", "sig", "bands"],
+            )
+
+    return rows.mapInArrow(run, "_id bigint, _md5 string, node bigint, size bigint, sig binary, bands array<bigint>")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
+    """``node`` and ``set`` (sorted shingle hashes) of the texts ``_md5`` in ``wanted``."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.md5(text).alias("_md5"), text.cast("binary").alias("_text")).join(wanted, "_md5", "left_semi").dropDuplicates(["_md5"])
+
+    def run(batches):
+        for b in batches:
+            found = [shingle_set(t.as_py()).tobytes() for t in b.column("_text")]
+            nodes = np.array([xxhash.xxh64_intdigest(f) for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.binary())], names=["node", "set"])
 
+    return rows.select("_text").mapInArrow(run, "node bigint, set binary")
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, similarity: float = 0.8) -> DataFrame:
+
+def _pairs_where(pairs: DataFrame, table: DataFrame, column: str, holds: Callable[[bytes, bytes], bool]) -> DataFrame:
+    """The pairs ``a``, ``b`` whose values of ``column`` satisfy ``holds``."""
+    one, two = (table.select(F.col("node").alias(c), F.col(column).alias(f"_{c}")) for c in ("a", "b"))
+
+    def run(batches):
+        for b in batches:
+            ok = [holds(x.as_py(), y.as_py()) for x, y in zip(b.column("_a"), b.column("_b"))]
+            yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _likely(a: bytes, b: bytes) -> bool:
+    return np.count_nonzero(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) >= LIKELY * BANDS * BAND_ROWS
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return both / union if union else 1.0
+
+
+def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``node``, ``root`` for the nodes of ``marked`` that share a band with another: the smallest node of a linked set.
+
+    In every round each band compares one text of its largest linked set, and a number of other texts that
+    doubles, with all its texts of other sets. A compared text is done in that band, and a band is done when
+    one set is left. So every pair of a band is compared or already linked by others, and a band full of
+    copies costs one comparison for each.
+    """
+    nodes = saved(marked.groupBy("node").agg(F.first("_md5").alias("_md5"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    rows = nodes.select(F.explode("bands").alias("band"), "node", "size")
+    shared = rows.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
+    rows = saved(rows.join(shared, "band", "left_semi"), "bands")
+    wanted = rows.select("node").distinct()
+    sets = saved(_sets(docs, nodes.join(wanted, "node", "left_semi").select("_md5"), text_col), "sets")
+    sigs = saved(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "sigs")
+    labels = saved(wanted.withColumn("root", F.col("node")), "labels")
+    rank = F.struct(F.xxhash64("node", F.lit("pivot")), "node")
+    others = 0
+    while True:
+        met = rows.join(labels, "node")
+        per = met.groupBy("band", "root").agg(F.count("*").alias("_n"))
+        main = per.groupBy("band").agg(F.count("*").alias("_sets"), F.max(F.struct("_n", "root")).alias("_main")).filter("_sets > 1")
+        met = saved(met.join(main.select("band", F.col("_main.root").alias("_main")), "band"), "met")
+        slot = F.when(F.col("root") == F.col("_main"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.lit(max(1, others))).cast("int"))
+        pivots = met.withColumn("_slot", slot).filter(F.lit(others > 0) | (F.col("_slot") < 0))
+        pivots = pivots.groupBy("band", "_slot").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "root")).alias("_p"))
+        pivots = saved(pivots.select("band", F.col("_p.node").alias("_pn"), F.col("_p.size").alias("_ps"), F.col("_p.root").alias("_pr")), "pivots")
+        if pivots.isEmpty():
+            return labels
+        near_size = F.least("size", "_ps") >= F.greatest("size", "_ps") * F.lit(similarity)
+        pairs = met.join(pivots, "band").filter((F.col("root") != F.col("_pr")) & near_size)
+        pairs = pairs.select(F.greatest("node", "_pn").alias("a"), F.least("node", "_pn").alias("b")).distinct()
+        likely = saved(_pairs_where(pairs, sigs, "sig", _likely), "likely")
+        near = lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity
+        found = saved(_pairs_where(likely, sets, "set", near), "near")
+        if not found.isEmpty():
+            roots = [labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+            edges = found.join(roots[0], "a").join(roots[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+            merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+            labels = saved(labels.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
+        done = pivots.select("band", F.col("_pn").alias("node"))
+        rows = saved(met.select("band", "node", "size").join(done, ["band", "node"], "left_anti"), "bands")
+        others = max(4, 2 * others)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row per (_id, _md5) of ``docs``: ``_group`` numbers its group of near copies, ``_keep`` marks one per group.
 
-    Two texts are linked if the SimHash of their five-word shingles shows a cosine of ``similarity`` or
-    more (Hamming distance d with cos(pi d / 64) at or above it) and a SimHash of their words, in either
-    of two independent ones, lies within ``radius``. A few words changed move the word fingerprints
-    least, so the trees search those at a small radius, where their bounds prune; the shingles confirm.
+    Two texts are linked if the Jaccard index of their sets of five-word shingles is ``similarity`` or more.
+    MinHash bands only propose pairs; each is confirmed by its sets. Vantage-point trees cannot propose
+    them: at that index SimHashes differ by about ten bits, a radius at which trees prune nothing.
     """
-    confirm = int(np.floor(np.arccos(similarity) * 64 / np.pi))
-    key = {"_md5": F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))}
-    made = fingerprints(docs, NEAR, id_col, text_col, key).select(F.col("doc_id").alias("_id"), "_md5", *(f.name for f in NEAR))
-    made = cut(made.withColumn("node", F.xxhash64(*(f.name for f in NEAR))))
-    nodes = cut(made.groupBy("node").agg(*(F.first(f.name).alias(f.name) for f in NEAR)))
-    edges = links(nodes, "w1", radius, "s5", confirm).unionByName(links(nodes, "w2", radius, "s5", confirm))
-    found = connected_components(edges).withColumnRenamed("node", "_node")
+    made = saved(_marked(docs, id_col, text_col), "marked")
+    found = near_roots(made, docs, text_col, similarity).withColumnRenamed("node", "_node")
     texts = made.groupBy("node", "_id", "_md5").agg(F.lit(1).alias("_one"))
     texts = texts.join(found, texts["node"] == found["_node"], "left").withColumn("_group", F.coalesce("root", "node"))
     # the smallest id stays; among rows without id, or with the same one, the smallest text hash

@@ -99,3 +99,38 @@ def test_near_duplicates(spark):
     assert len(set(kept) & set(range(30, 40))) <= 2
     stayed = one_per_key(docs, simhash.near_duplicates(docs).filter("_keep"))
     assert stayed.columns == docs.columns and sorted(r.doc_id for r in stayed.collect()) == kept
+
+
+def five_words(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} - {()}
+
+
+def test_near_duplicates_are_jaccard_of_five_words(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(5000)]
+    texts, block = [], rnd.choices(words, k=120)
+    for k in range(60):
+        base = rnd.choices(words, k=rnd.randint(100, 500)) + (block if k % 2 else [])
+        texts.append(base)
+        texts.append(base + rnd.choices(words, k=int(len(base) * rnd.choice([0.1, 0.2, 0.24, 0.3]))))  # appended blocks
+        for share in (0.02, 0.04):  # 0.82 and 0.7
+            texts.append([rnd.choice(words) if rnd.random() < share else w for w in base])
+    hot = rnd.choices(words, k=200)
+    for _ in range(60):  # a large group, not all of it near to one text
+        at = rnd.randrange(200)
+        texts.append(hot[:at] + rnd.choices(words, k=rnd.randint(1, 12)) + hot[at:])
+    texts = [" ".join(t) for t in texts]
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+    pairs = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                pairs += 1
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert pairs > 150
+    group = {r._id: r._group for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    first = {}
+    assert [first.setdefault(group[i], i) for i in range(len(texts))] == root
