@@ -8,7 +8,7 @@ the ``SKETCH`` smallest distinct anchor hashes; two of them estimate the likenes
 anchor sets, exactly where both texts have no more anchors than that.
 
 Results: a null text is empty; an empty text has the empty fingerprint, two of which have likeness 1;
-a text shorter than k is its own only anchor; equal texts have equal fingerprints. Documents follow each
+a text without anchors, as any shorter than k, is hashed whole; equal texts have equal fingerprints. Documents follow each
 other by descending id, equal ids by the md5 of the text, those without id last, the first after the
 last; repeated rows are documents of their own. An empty table gives an empty one; other columns are not
 looked at.
@@ -62,10 +62,10 @@ def place_of(anchor: Column) -> Column:
     return F.shiftright(anchor, 32).cast("int")
 
 
-def sketch_of(found: Column, text: Column, length: Column) -> Column:
-    """The smallest distinct hashes of anchors; a text shorter than k is hashed whole."""
-    short = F.when(length > 0, F.array(hash_of(F.xxhash64(text)))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(length < K, short).otherwise(F.slice(F.sort_array(F.array_distinct(F.transform(found, hash_of))), 1, SKETCH))
+def sketch_of(found: Column, text: Column) -> Column:
+    """The smallest distinct hashes of anchors; a text without anchors is hashed whole, an empty one has none."""
+    whole = F.when(F.length(text) > 0, F.array(hash_of(F.xxhash64(text)))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(found) == 0, whole).otherwise(F.slice(F.sort_array(F.array_distinct(F.transform(found, hash_of))), 1, SKETCH))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -125,7 +125,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     dealt = in_ranges(rows, [F.col("doc_id").isNull().alias("none"), down.alias("down"), F.md5("_t").alias("md5")], down)
     # the texts are dealt before anchors are made, so that anchors are never sent
     made = dealt.repartition("_range").withColumn("_n", F.length("_t")).withColumn("_a", anchors(F.col("_t")))
-    made = made.withColumn("_f", sketch_of(F.col("_a"), F.col("_t"), F.col("_n")))
+    made = made.withColumn("_f", sketch_of(F.col("_a"), F.col("_t")))
     follow = Window.partitionBy("_range").orderBy("_guest", "_rank")
     for c in ("_t", "_n", "_a", "_f"):
         made = made.withColumn(f"{c}2", F.lead(c).over(follow))
@@ -137,7 +137,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     made = made.withColumn("_e", edited)
     inside = lambda a, end: F.filter(a, lambda v: place_of(v) + K <= end)
     parts = F.concat(inside(F.col("_a"), F.col("_m")), anchors(seam), inside(F.col("_a2"), F.col("_c")))
-    made = made.withColumn("_g", F.when(F.col("_n") < 2, F.col("_f")).otherwise(sketch_of(parts, F.col("_e"), F.col("_m") + F.col("_c"))))
+    made = made.withColumn("_g", F.when(F.col("_n") < 2, F.col("_f")).otherwise(sketch_of(parts, F.col("_e"))))
     return made.select(
         "doc_id",
         F.col("_n").cast("long").alias("n_chars"),

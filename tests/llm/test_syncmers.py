@@ -1,6 +1,7 @@
 """Closed syncmers by definition, in Python."""
 
 import hashlib
+import random
 
 import pytest
 import xxhash
@@ -93,3 +94,21 @@ def test_query(spark):
         assert rows[i].n_chars == len(docs[i]) and 0 <= rows[i].near_edited <= 1
     long = [r for r in rows.values() if r.n_chars > 500]
     assert sum(0.15 < r.near_edited < 0.6 and r.near_next < 0.1 for r in long) > 0.9 * len(long)
+
+
+def test_short_texts_without_anchors(spark):
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choices("abcdefgh é", k=n)) for n in range(20, 42) for _ in range(4)]
+    rows = list(enumerate(texts)) + [(1000, "")]
+    bare = {t for t in texts if len(t) >= syncmers.K and not brute_anchors(t)}
+    assert len(bare) > 20
+    whole = lambda t: [h64(t) & 0xFFFFFFFF] if t and not brute_anchors(t) else sorted({h for _, h in brute_anchors(t)})
+    frame = local_table(spark, [(i, t, "n", "f") for i, t in rows], SCHEMA).repartition(4)
+    got = {r.doc_id: r for r in syncmers.fingerprints(frame).collect()}
+    order = sorted(rows, reverse=True)
+    for (i, t), (_, other) in zip(order, order[1:] + order[:1]):
+        edited = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        want = [whole(t), whole(edited), whole(other)]
+        assert [got[i].fingerprint, got[i].edited_fingerprint] == ["".join(f"{h:08x}" for h in w) for w in want[:2]]
+        assert abs(got[i].near_edited - like(*want[:2])) < 1e-12 and abs(got[i].near_next - like(want[0], want[2])) < 1e-12
+    assert all(got[i].fingerprint for i, t in enumerate(texts)) and not got[1000].fingerprint
