@@ -60,3 +60,17 @@ def test_rewriting_templates_are_marked():
     got = [inc.add(t) for t in turns]
     assert "".join(p for p, _ in got) == chat.turn_template(turns) and all(s for _, s in got)
     assert list(chat.read_turns(chat.turn_template([("a", "<b>\\l")])))[0][:2] == ("a", "<b>\\l")
+
+
+def test_rewrites_far_back_are_marked(spark):
+    def collapses(m):  # turns older than 40 become one line
+        return (f"[{len(m) - 40} earlier]" if len(m) > 40 else "") + chat.turn_template(m[-40:])
+
+    turns = [(1, k, "user" if k % 2 else "assistant", f"t{k}") for k in range(60)]
+    made = chat.format_turns(local_table(spark, [(*t, "p") for t in turns], SCHEMA).repartition(2), collapses)
+    rows = sorted(made.collect(), key=lambda r: r.turn_no)
+    assert [r.stable for r in rows] == [True] * 40 + [False] * 20
+    longer = [chat.turn_template([t[2:] for t in turns[: k + 1]]) for k in range(60)]
+    for local in (False, True):
+        rows = sorted(chat.format_turns(local_table(spark, [(*t, "p") for t in turns], SCHEMA), local=local).collect(), key=lambda r: r.turn_no)
+        assert ["".join(r.piece for r in rows[: k + 1]) for k in range(60)] == longer and all(r.stable for r in rows)
