@@ -21,9 +21,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reliefgrid.llm.blocks import blocks
+from reliefgrid.llm.tables import saved
 
 END = "\r\n\r\n"
 VERSION = "WARC/1.1"
+#: What records of all read versions begin with.
+MARK = "WARC/1."
 
 
 def urn(*parts: Column) -> Column:
@@ -133,18 +136,51 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """``headers`` (raw lines), ``block`` (binary) and ``complete`` of every record of WARC files.
+    """``headers`` (raw lines), ``block`` (binary) and ``complete`` of every record of WARC files, version 1.0 or 1.1.
 
-    Records are split where one ends and the next begins; one whose block holds that very sequence is
-    told by ``complete`` false (its length differs from Content-Length). Uncompressed files are split
-    between tasks.
+    Files are cut wherever one record could end and the next begin, and Content-Length decides: a part that
+    falls short of it is put together with those that follow, if it ends where one of them ends.
+    ``complete`` is false if its length is missing or no end in the file agrees with it. Uncompressed files
+    are split between tasks; of a file only the lengths of its parts meet in one task.
     """
-    raw = spark.read.option("lineSep", f"{END}{VERSION}\r\n").text(path)
-    raw = raw.select(F.regexp_replace("value", rf"^{VERSION}\r\n", "").alias("_v"))
-    headers = F.substring_index("_v", END, 1)
-    block = F.substring(F.col("_v").cast("binary"), F.octet_length(headers) + len(END) + 1, F.lit(2**31 - 1))
+    raw = spark.read.option("lineSep", END + MARK).format("text").load(path)
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_row")]
+    raw = saved(raw.select(*place, F.col("value").cast("binary").alias("_v")), "warc")
+    # only the first part of a file has its mark
+    lead = raw.groupBy("_file").agg(F.min(F.struct("_from", "_row")).alias("_lead"))
+    raw = raw.join(F.broadcast(lead), "_file")
+    cut = F.when((F.struct("_from", "_row") == F.col("_lead")) & (F.substring(F.col("_v"), 1, len(MARK)) == F.lit(MARK.encode())), len(MARK)).otherwise(0)
+    raw = raw.select("_file", "_from", "_row", F.substring(F.col("_v"), cut + 1, F.lit(2**31 - 1)).alias("_v"))
+    lines = F.substring_index(F.col("_v").cast("string"), END, 1)
+    need = F.octet_length(lines) + len(END) + header(lines, "Content-Length").cast("long")
+    sizes = raw.select("_file", "_from", "_row", F.octet_length("_v").cast("long").alias("_size"), need.alias("_need"))
+
+    def joined(parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values(["_from", "_row"])
+        size, wanted = parts["_size"].tolist(), parts["_need"].astype("Int64").tolist()
+        first, at = list(range(len(size))), 0
+        while at < len(size):
+            last, have = at, size[at]
+            if not pd.isna(wanted[at]):
+                while have < wanted[at] and last + 1 < len(size):
+                    last += 1
+                    have += len(END + MARK) + size[last]
+                if have != wanted[at] and not (last + 1 == len(size) and have == wanted[at] + len(END)):
+                    last = at
+            first[at : last + 1] = [at] * (last + 1 - at)
+            at = last + 1
+        parts = parts.assign(_first=first, _no=range(len(first)))
+        return parts[parts["_first"].duplicated(keep=False)][["_file", "_from", "_row", "_first", "_no"]]
+
+    found = saved(sizes.groupBy("_file").applyInPandas(joined, "_file string, _from bigint, _row bigint, _first bigint, _no bigint"), "warc-parts")
+    alone = raw.join(found, ["_file", "_from", "_row"], "left_anti").select("_v")
+    several = raw.join(found, ["_file", "_from", "_row"]).groupBy("_file", "_first").agg(F.sort_array(F.collect_list(F.struct("_no", F.col("_v").cast("string").alias("_v")))).alias("_parts"))
+    several = several.select(F.array_join("_parts._v", END + MARK).cast("binary").alias("_v"))
+    # what is left of the version, then the header lines
+    lines = F.substring_index(F.col("_v").cast("string"), END, 1)
+    rest = F.substring(F.col("_v"), F.octet_length(lines) + len(END) + 1, F.lit(2**31 - 1))
+    got = alone.unionByName(several).select(F.regexp_replace(lines, r"^[0-9.]*\r\n", "").alias("headers"), rest.alias("_b"))
     length = header(F.col("headers"), "Content-Length").cast("long")
-    got = raw.select(headers.alias("headers"), block.alias("_b"))
     # the last record of a file still has its ending
     got = got.withColumn("block", F.when(F.octet_length("_b") == length + len(END), F.substring(F.col("_b"), F.lit(1), length.cast("int"))).otherwise(F.col("_b")))
     return got.select("headers", "block", F.coalesce(F.octet_length("block") == length, F.lit(False)).alias("complete"))

@@ -67,3 +67,36 @@ def test_odd_rows(spark):
     assert {r.warc_type: r.content_length for r in warc.derivatives(bare).collect()}["conversion"] == 0
     binary = bare.select(*bare.columns[:5], F.lit(b"<p>\xff</p>").alias("payload"))
     assert [r.block for r in warc.derivatives(binary).collect() if r.warc_type == "conversion"] == ["�"]
+
+
+def test_other_version_and_embedded_records(spark, tmp_path):
+    inner = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 70000\r\n\r\nin the payload"
+    blocks = [
+        b"HTTP/1.1 200 OK\r\n\r\n<p>one</p>",
+        b"HTTP/1.1 200 OK\r\n\r\n<p>two</p>\r\n\r\n" + inner + b"\r\n\r\n" + inner + b"\xff",
+        b"",
+        inner,
+        b"WARC/1.1 begins it\r\n\r\nWARC/1.WARC/1.",
+        "é last".encode(),
+    ]
+
+    def record(version, k, block, length=None):
+        lines = f"WARC/{version}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(block) if length is None else length}\r\n\r\n"
+        return lines.encode() + block + b"\r\n\r\n"
+
+    for version in ("1.0", "1.1"):
+        (tmp_path / f"{version}.warc").write_bytes(b"".join(record(version, f"{version}-{k}", b) for k, b in enumerate(blocks)))
+    (tmp_path / "mixed.warc").write_bytes(b"".join(record("1.%d" % (k % 2), f"m-{k}", b) for k, b in enumerate(blocks)))
+    (tmp_path / "short.warc").write_bytes(record("1.0", "s-0", b"wrong length", 500) + record("1.0", "s-1", b"good") + record("1.0", "s-2", b"cut off", 90))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in (old, "64"):  # whole files, and files split between tasks
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            rows = warc.read_warc(spark, str(tmp_path)).select(warc.header(F.col("headers"), "WARC-Record-ID").alias("id"), "headers", "block", "complete").collect()
+            assert all(r.headers.startswith("WARC-Type: response") for r in rows)
+            got = {r.id: (bytes(r.block), r.complete) for r in rows}
+            want = {f"<urn:{v}-{k}>": (b, True) for v in ("1.0", "1.1", "m") for k, b in enumerate(blocks)}
+            assert len(rows) == len(got) == len(want) + 3 and want.items() <= got.items()
+            assert [got[f"<urn:s-{k}>"][1] for k in range(3)] == [False, True, False] and got["<urn:s-1>"][0] == b"good"
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
