@@ -5,7 +5,9 @@ cells' tokens to the target share of every source, then every language, then eve
 sweep, as joins of the cell table with its margins; texts are read once for the counts and once for the
 sample. A document is kept with a chance in proportion to its cell's factor (weight over tokens), at most
 one, at the rate that keeps the share ``keep`` of all tokens: crowded cells are thinned, scarce ones stay
-whole. Without ``keep`` no chance is cut off at one: the factor over the largest factor gives exactly the
+whole, so shares only move towards the targets. With ``keep=MOST`` the sample has the target shares and is
+as large as they allow: weights are raked under the bound that no cell gives more than it has, at the
+largest rate whose margins reach the targets. Without ``keep`` no chance is cut off at one: the factor over the largest factor gives exactly the
 target shares, at the price of as many documents as the scarcest cell demands. The lot is drawn from a
 hash of id and text: a second run keeps the same documents.
 
@@ -17,20 +19,30 @@ targets are given; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.llm.tables import let, saved, whole_text
+from reliefgrid.runtime import bounded_rows, local_table
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets, margins are tempered: shares to this power, scaled to one.
 TEMPER = 0.7
+#: Sweeps of the query and its SQL; everything else sweeps until each margin is within ``TOLERANCE`` of its goal.
 SWEEPS = 6
+TOLERANCE = 1e-9
+MAX_SWEEPS = 5_000
 CELLS_PER_FILE = 100_000
+#: Cells raked in memory; larger tables are raked as joins.
+LOCAL_CELLS = 50_000
 #: Share of all tokens that a sample keeps.
 KEEP = 0.9
+#: As many tokens as the target shares allow.
+MOST = "most"
 #: Topic of a text: the marker that occurs most; the first of equals, ``none`` without any.
 MARKERS = {"action": "ing", "process": "tion", "manner": "ly", "quality": "lich", "means": "ment", "object": "do"}
 WORD = r"[^ \t\n\r\f\x0B]+"
@@ -60,11 +72,106 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return named | {"topic": topic(whole_text(text_col)), "tokens": tokens(whole_text(text_col)), "lot": lot(id_col, text_col)}
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, sweeps: int = SWEEPS) -> DataFrame:
+def _sweep(weight: np.ndarray, cap: np.ndarray, keys: list[np.ndarray], goals: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Tokens raked to all goals with no weight above ``cap``, and the largest gap of a margin (share of its goal)."""
+    base, gap = weight.astype(float), np.inf
+    factors = [np.ones(len(g)) for g in goals]
+    for _ in range(MAX_SWEEPS):
+        for d, goal in enumerate(goals):
+            rest = base * np.prod([f[k] for i, (f, k) in enumerate(zip(factors, keys)) if i != d], axis=0)
+            f = factors[d]
+            for _ in range(60):  # cells at their cap stay, the others of the margin share what is left
+                full = rest * f[keys[d]] >= cap
+                left = goal - np.bincount(keys[d], np.where(full, cap, 0), len(goal))
+                free = np.bincount(keys[d], np.where(full, 0, rest), len(goal))
+                fresh = np.where(free > 0, np.maximum(left, 0) / np.where(free > 0, free, 1), f)
+                if np.allclose(fresh, f, rtol=1e-13, atol=0):
+                    break
+                f = fresh
+            factors[d] = f
+        made = np.minimum(cap, base * np.prod([f[k] for f, k in zip(factors, keys)], axis=0))
+        before = gap
+        gap = max((np.abs(np.bincount(k, made, len(g)) - g) / np.where(g > 0, g, 1)).max(initial=0) for k, g in zip(keys, goals))
+        if gap <= TOLERANCE or not np.isfinite(gap) or abs(before - gap) <= 1e-9 * gap:
+            break
+    return made, float(gap)
+
+
+def _most(weight: np.ndarray, keys: list[np.ndarray], goals: list[np.ndarray]) -> tuple[np.ndarray, float, float]:
+    """Weights, their gap and the largest share of all tokens that a sample with the target shares can keep."""
+    made, gap = _sweep(weight, np.full(len(weight), np.inf), keys, goals)
+    if gap > TOLERANCE:
+        return made, gap, 1.0 / max((made / weight).max(initial=1.0), 1.0)
+    low = 1.0 / max((made / weight).max(initial=1.0), 1.0)
+    high = min([1.0, *[(np.bincount(k, weight, len(g))[g > 0] / g[g > 0]).min(initial=1.0) for k, g in zip(keys, goals)]])
+    tried = high
+    while high - low > 1e-4:
+        now, off = _sweep(weight, weight / tried, keys, goals)
+        if off <= TOLERANCE:
+            made, gap, low = now, off, tried
+        else:
+            high = tried
+        tried = (low + high) / 2
+    return made, gap, low
+
+
+def _in_memory(state: DataFrame, goals: Mapping[str, DataFrame], most: bool) -> tuple[DataFrame, float, float] | None:
+    """Raked cells, gap and rate (without ``most`` 1), or None for a table that is too large."""
+    rows = bounded_rows(state.select(*DIMENSIONS, "tokens"), LOCAL_CELLS)
+    if rows is None:
+        return None
+    goal = {d: {r[0]: r[1] for r in goals[d].collect()} for d in DIMENSIONS}
+    weight = np.zeros(len(rows))
+    # cells without tokens or with a value that has no goal get no weight
+    some = [i for i, r in enumerate(rows) if r["tokens"] > 0 and all(goal[d].get(r[d], 0) > 0 for d in DIMENSIONS)]
+    made, gap, rate = np.zeros(0), 0.0, 1.0
+    if some:
+        tokens = np.array([rows[i]["tokens"] for i in some], float)
+        names = [sorted(v for v, g in goal[d].items() if g > 0) for d in DIMENSIONS]
+        keys = [np.array([n.index(rows[i][d]) if len(n) < 50 else at[rows[i][d]] for i in some]) for d, n in zip(DIMENSIONS, names) for at in [{v: k for k, v in enumerate(n)}]]
+        aims = [np.array([goal[d][v] for v in n]) for d, n in zip(DIMENSIONS, names)]
+        made, gap, rate = _most(tokens, keys, aims) if most else (*_sweep(tokens, np.full(len(some), np.inf), keys, aims), 1.0)
+    weight[some] = made
+    table = [(*r, float(w)) for r, w in zip(rows, weight)]
+    return local_table(state.sparkSession, table, "source string, lang string, topic string, tokens bigint, weight double"), gap, rate
+
+
+def _told(gap: float) -> None:
+    if gap > TOLERANCE:
+        warnings.warn(f"no weights reach the target shares: a margin stays {gap:.3g} of its goal away", stacklevel=3)
+
+
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, sweeps: int | None = None) -> DataFrame:
     """``source``, ``lang``, ``topic``, ``tokens``, ``weight``: tokens scaled to the target shares (total kept).
 
-    ``targets`` has a table (value, share) per dimension; without it shares are tempered.
+    ``targets`` has a table (value, share) per dimension; without it shares are tempered. Without a number of
+    sweeps every margin ends within ``TOLERANCE`` of its goal, and targets that contradict each other are warned of.
     """
+    state, goals, files = _goals(cells, targets)
+    if sweeps is None and (held := _in_memory(state, goals, False)) is not None:
+        _told(held[1])
+        return held[0]
+    done = 0
+    while done < (MAX_SWEEPS if sweeps is None else sweeps):
+        state = _joined_sweep(state, goals, files)
+        done += 1
+        if sweeps is None and (gap := _gap(state, goals)) <= TOLERANCE:
+            break
+    if sweeps is None:
+        _told(gap)
+    return state
+
+
+def _gap(state: DataFrame, goals: Mapping[str, DataFrame]) -> float:
+    def off(d: str) -> DataFrame:
+        margin = state.groupBy(d).agg(F.sum("weight").alias("_w")).join(goals[d].filter("_goal > 0"), d)
+        return margin.select((F.abs(F.col("_w") - F.col("_goal")) / F.col("_goal")).alias("_off"))
+
+    return off("source").unionByName(off("lang")).unionByName(off("topic")).agg(F.max("_off")).first()[0] or 0.0
+
+
+def _goals(cells: DataFrame, targets: Mapping[str, DataFrame] | None) -> tuple[DataFrame, dict[str, DataFrame], int]:
+    """Cells with their tokens as weights, the goal of every margin, and the files that the cells need."""
     total, n = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
     files = 1 + n // CELLS_PER_FILE  # cells are few and counted, the sweeps' tables need no more
     goals = {}
@@ -79,14 +186,16 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, sweep
         whole = margin.agg(F.sum("_s")).first()[0] or 1.0
         goals[d] = margin.select(d, (F.col("_s") / whole * total).alias("_goal"))
     state = saved(cells.withColumn("weight", F.col("tokens").cast("double")).coalesce(files), "cells")
-    for _ in range(sweeps):
-        for d in DIMENSIONS:
-            margin = state.groupBy(d).agg(F.sum("weight").alias("_w")).join(goals[d], d, "left")
-            # a margin that nothing fills or aims at becomes zero
-            ratio = F.when(F.col("_w") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_w")).otherwise(F.lit(0.0))
-            state = state.join(margin.select(d, ratio.alias("_ratio")), d).withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio")
-        state = saved(state.select(*DIMENSIONS, "tokens", "weight").coalesce(files), "cells")
-    return state
+    return state, goals, files
+
+
+def _joined_sweep(state: DataFrame, goals: Mapping[str, DataFrame], files: int) -> DataFrame:
+    for d in DIMENSIONS:
+        margin = state.groupBy(d).agg(F.sum("weight").alias("_w")).join(goals[d], d, "left")
+        # a margin that nothing fills or aims at becomes zero
+        ratio = F.when(F.col("_w") > 0, F.coalesce("_goal", F.lit(0.0)) / F.col("_w")).otherwise(F.lit(0.0))
+        state = state.join(margin.select(d, ratio.alias("_ratio")), d).withColumn("weight", F.col("weight") * F.col("_ratio")).drop("_ratio")
+    return saved(state.select(*DIMENSIONS, "tokens", "weight").coalesce(files), "cells")
 
 
 def probabilities(cells: DataFrame, keep: float | None = KEEP) -> DataFrame:
@@ -111,20 +220,29 @@ def probabilities(cells: DataFrame, keep: float | None = KEEP) -> DataFrame:
     return cells.withColumn("probability", F.coalesce(chance, F.lit(1.0)))
 
 
-def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | None = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | str | None = KEEP, id_col: str = "doc_id", text_col: str = "text", sweeps: int | None = None) -> DataFrame:
     """``doc_id``, the cell, ``tokens``, ``probability`` and ``kept`` of every row."""
     rows = saved(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in described(docs, id_col, text_col).items()]), "described")
-    chances = _chances(rows, targets, keep)
+    chances = _chances(rows, targets, keep, sweeps)
     met = rows.join(chances, list(DIMENSIONS))
     return met.select("doc_id", *DIMENSIONS, "tokens", "probability", (F.col("lot") < F.col("probability")).alias("kept"))
 
 
-def _chances(rows: DataFrame, targets: Mapping[str, DataFrame] | None, keep: float | None) -> DataFrame:
+def _chances(rows: DataFrame, targets: Mapping[str, DataFrame] | None, keep: float | str | None, sweeps: int | None = None) -> DataFrame:
     cells = saved(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "counts")
-    return saved(probabilities(rake(cells, targets), keep).select(*DIMENSIONS, "probability"), "chances")
+    if keep != MOST:
+        return saved(probabilities(rake(cells, targets, sweeps), keep).select(*DIMENSIONS, "probability"), "chances")
+    state, goals, _ = _goals(cells, targets)
+    held = _in_memory(state, goals, True)
+    if held is None:  # too many cells to search the rate: exact shares at the rate of the scarcest cell
+        return saved(probabilities(rake(cells, targets), None).select(*DIMENSIONS, "probability"), "chances")
+    made, gap, rate = held
+    _told(gap)
+    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens")))
+    return saved(made.select(*DIMENSIONS, F.coalesce(chance, F.lit(1.0)).alias("probability")), "chances")
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | None = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sampled(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | str | None = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows of ``docs``, all columns."""
     made = described(docs, id_col, text_col)
     chances = _chances(docs.select(*[made[k].alias(k) for k in (*DIMENSIONS, "tokens")]), targets, keep)

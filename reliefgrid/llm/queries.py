@@ -55,7 +55,7 @@ def op1_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With what chance does each document stay, for tempered shares of sources, languages and topics?"""
-    return mixing.mix(read(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6))
+    return mixing.mix(read(spark, sf_dir, "documents"), sweeps=mixing.SWEEPS).withColumn("probability", F.round("probability", 6))
 
 
 def op2_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,3 +54,32 @@ def test_sample_and_odd_rows(spark):
     assert chance["small"] == 1 and abs(sum(r.p * r.t for r in share) / sum(r.t for r in share) - mixing.KEEP) < 1e-9
     assert mixing.mix(docs.limit(0)).count() == 0 and mixing.sampled(docs.limit(0)).count() == 0
     assert mixing.sampled(docs.filter("doc_id >= 1000")).count() == 2
+
+
+def test_shares_reach_their_targets(spark):
+    """The calls with which the pipeline and, but for the sweeps of its SQL, the query mix."""
+    rng = np.random.default_rng(5)
+    marks = {"action": "ing", "process": "tion", "manner": "ly"}
+    rows = []
+    for s, l, t in [(s, l, t) for s in range(3) for l in range(3) for t in range(3)]:
+        n = int(200 * rng.random() ** 3 * (4 if s == l else 1)) + 3
+        rows += [(len(rows) + k, f"x{list(marks.values())[t]} b c", f"l{l}", f"s{s}", None) for k in range(n)]
+    docs = local_table(spark, rows, SCHEMA).repartition(2)
+    marked = {keep: mixing.mix(docs, keep=keep).groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.first("probability").alias("p")).collect() for keep in (None, mixing.MOST)}
+    kept = {}
+    for keep, cells in marked.items():
+        total = sum(r.tokens for r in cells)
+        kept[keep] = sum(r.tokens * r.p for r in cells) / total
+        for d in mixing.DIMENSIONS:
+            have = {v: sum(r.tokens for r in cells if r[d] == v) for v in {r[d] for r in cells}}
+            whole = sum(m**mixing.TEMPER for m in have.values())
+            for v, m in have.items():
+                got = sum(r.tokens * r.p for r in cells if r[d] == v) / total / kept[keep]
+                assert abs(got - m**mixing.TEMPER / whole) < 1e-7, (keep, d, v)
+        assert all(0 <= r.p <= 1 for r in cells)
+    assert kept[mixing.MOST] > 1.2 * kept[None]
+    # one dimension: the value that is scarcest against its target stays whole
+    cells = [(f"s{k}", 10 ** (k + 1)) for k in range(3)]
+    flat = local_table(spark, [(k, "w " * n, "en", s, None) for k, (s, n) in enumerate(cells)], SCHEMA)
+    chance = {r.source: r.probability for r in mixing.mix(flat, keep=mixing.MOST).collect()}
+    assert all(abs(chance[s] - (n / 10) ** (mixing.TEMPER - 1)) < 1e-3 for s, n in cells)
