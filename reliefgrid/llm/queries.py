@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm import chat, decontaminate, maintext, mixing, quality, sharding, simhash, suffixes, syncmers, warc
+from reliefgrid.llm import centroids, chat, decontaminate, maintext, mixing, packing, quality, sharding, simhash, suffixes, syncmers, trie, warc
 from reliefgrid.llm.tables import read
 from reliefgrid.runtime import local_table
 
@@ -68,8 +69,37 @@ def op5_sparse_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated_passages(read(spark, sf_dir, "documents"))
 
 
+def op11_ptolemaic_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of eight centroids is every vector nearest to, after ten exact rounds? Ptolemaic bounds prune."""
+    return centroids.clusters(read(spark, sf_dir, "embeddings")).drop("compared")
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which piece of which training sequence does every token go to? Documents in Hilbert order."""
+    return packing.packed(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What do rebuilt conversations share? Every node of their prefix trie; Count-min estimates spare the tails."""
+    return trie.prefix_trie(trie.rebuilt(trie.numbered(read(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_warc_derivatives, op2_closed_syncmers, op3_simhash_components, op4_mix_sources, op5_sparse_suffixes, op6_mil_quality, op7_chat_format, op8_main_text, op9_decontaminate, op10_balanced_shards)
+    for f in (
+        op1_warc_derivatives,
+        op2_closed_syncmers,
+        op3_simhash_components,
+        op4_mix_sources,
+        op5_sparse_suffixes,
+        op6_mil_quality,
+        op7_chat_format,
+        op8_main_text,
+        op9_decontaminate,
+        op10_balanced_shards,
+        op11_ptolemaic_clusters,
+        op12_curve_packing,
+        op13_prefix_trie,
+    )
 }
-SQL: dict[str, str] = {"op4_mix_sources": mixing.oracle()}
+SQL: dict[str, str] = {"op4_mix_sources": mixing.oracle(), "op11_ptolemaic_clusters": centroids.oracle(), "op13_prefix_trie": trie.oracle()}
