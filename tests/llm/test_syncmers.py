@@ -36,9 +36,8 @@ def brute_anchors(t):
 
 
 def brute_sketch(t):
-    if len(t) < syncmers.K:
-        return [h64(t) & 0xFFFFFFFF] if t else []
-    return sorted({h for _, h in brute_anchors(t)})[: syncmers.SKETCH]
+    anchors = sorted({h for _, h in brute_anchors(t)})[: syncmers.SKETCH]
+    return anchors or ([h64(t) & 0xFFFFFFFF] if t else [])
 
 
 def like(a, b):
