@@ -24,6 +24,15 @@ def stored_cells(spark, sf):
     return tables.read_cells(spark, path)
 
 
+@query("S5", with_(PART_HEIGHTS) + """select '007' as raster_id, "row", col, value from fx1 union all select '7', "row", col, value + 1 from fx1
+ union all select '1e2', "row", col, value + 2 from fx1 union all select '100', "row", col, value + 3 from fx1""")
+def stored_ids(spark, sf):
+    path, cells = scratch_path(spark, "cells"), part_heights(spark, sf)
+    ids = F.array(*[F.struct(F.lit(i).alias("raster_id"), (F.col("value") + k).alias("value")) for k, i in enumerate(("007", "7", "1e2", "100"))])
+    tables.write_cells(cells.select("row", "col", F.inline(ids)).select("raster_id", "row", "col", "value"), path)
+    return tables.read_cells(spark, path)
+
+
 def _local(path: str) -> str:
     return "/" + path.removeprefix("file:").lstrip("/")
 

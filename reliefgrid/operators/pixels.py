@@ -181,12 +181,18 @@ def rules_table(spark: SparkSession, rules: list[dict]) -> DataFrame:
     return prepare_rules(local_table(spark, rows, "priority int, hex string, value double, fuzziness double"))
 
 
-def _rule_struct(rule: dict) -> Column:
-    """A rule as literals; its LAB colour is an expression that the optimizer folds to a constant."""
-    lab = rgb_to_lab(*map(F.lit, rule["rgb"]), RULE_MATRIX)
+def _rule_colours(spark: SparkSession, rules: list[dict]) -> list[tuple[float, float, float]]:
+    """LAB colours of the rules as plain numbers; folded in one local table, not once per rule and use in the plan."""
+    rows = rules_table(spark, rules).select("priority", "lab_l", "lab_a", "lab_b").collect()
+    found = {r["priority"]: (r["lab_l"], r["lab_a"], r["lab_b"]) for r in rows}
+    return [found[r["priority"]] for r in rules]
+
+
+def _rule_struct(rule: dict, colour: tuple[float, float, float]) -> Column:
+    """A rule as literals."""
     return F.struct(
         F.lit(rule["priority"]).alias("priority"),
-        *[lab[k].alias(f"lab_{k.lower()}") for k in ("L", "a", "b")],
+        *[F.lit(v).alias(f"lab_{k}") for k, v in zip("lab", colour)],
         F.lit(rule["fuzziness"]).alias("fuzziness"),
         F.lit(rule["value"]).alias("value"),
     )
@@ -265,11 +271,12 @@ def match_rules(pixels: DataFrame, rules: list[dict] | DataFrame, matrix=PIXEL_M
             return _match_shared(with_lab, rules, entry).select(*pixels.columns, F.col("_hit.priority").alias("priority"), F.col("_hit.value").alias("value"))
     elif len(rules) <= FOLD_RULES:
         joined = with_lab
-        near = [(r["fuzziness"], _rule_struct(r)) for r in rules]
-        hit = F.coalesce(*[F.when(_distance_to(col, s["lab_l"], s["lab_a"], s["lab_b"]) <= f, F.struct(s["priority"].alias("priority"), s["value"].alias("value"))) for f, s in near])
+        named = [F.struct(F.lit(r["priority"]).alias("priority"), F.lit(r["value"]).alias("value")) for r in rules]
+        colours = _rule_colours(pixels.sparkSession, rules)
+        hit = F.coalesce(*[F.when(_distance_to(col, *map(F.lit, c)) <= r["fuzziness"], n) for r, c, n in zip(rules, colours, named)])
     else:
         joined = with_lab
-        hit = _match_array(col, F.array(*map(_rule_struct, rules)))
+        hit = _match_array(col, F.array(*map(_rule_struct, rules, _rule_colours(pixels.sparkSession, rules))))
     return joined.withColumn("_hit", hit).select(
         *pixels.columns, F.col("_hit.priority").alias("priority"), F.col("_hit.value").alias("value")
     )

@@ -52,4 +52,24 @@ def test_window_reaches_the_scan(spark, stored):
     p = plan(tables.read_cells(spark, stored, (2, 3, 10, 9)))
     spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert "PartitionFilters: [isnotnull(tile_r" in p and "GreaterThanOrEqual(row,3)" in p
-    assert "ReadSchema: struct<row:int,col:int,value:double,tile_c:int>" in p
+    assert "ReadSchema: struct<raster_id:string,row:int,col:int,value:double,tile_c:int>" in p
+
+
+def test_one_raster_reads_one_folder(spark, stored):
+    one = tables.read_cells(spark, stored, raster_id="r")
+    assert one.count() == 100 and tables.read_cells(spark, stored, raster_id="s").count() == 0
+    assert "PartitionFilters: [isnotnull(folder" in plan(one)
+
+
+def test_rules_are_literals_in_the_plan(spark):
+    """Twenty rules: a plan that grows by a few numbers per rule, built at once."""
+    import time
+
+    px = spark.range(10).select(F.lit("i").alias("image_id"), *[F.col("id").cast("int").alias(c) for c in ("row", "col", "r", "g", "b")])
+    sizes = []
+    for n in (5, 20):
+        t = time.perf_counter()
+        p = map_colors(px, compile_rules({f"#{k:02x}{7 * k:02x}30": float(k) for k in range(n)}))._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(p))
+        assert time.perf_counter() - t < 10
+    assert sizes[1] - sizes[0] < 15 * 600, sizes
