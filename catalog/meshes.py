@@ -14,8 +14,10 @@ from reliefgrid.operators import cleanup as X
 from reliefgrid.operators import inspect as I
 from reliefgrid.operators import mesh as M
 from reliefgrid.operators import triangulate as T
+from reliefgrid.operators.crossings import crossing_triangles
 from reliefgrid.operators.mesh import Mesh
-from reliefgrid.operators.polygons import faces_of_polygons, polygon_measures
+from reliefgrid.operators.nearest import nearest_vertices, outline_edges
+from reliefgrid.operators.polygons import faces_of_polygons, polygon_measures, with_next
 from reliefgrid.plans import pipelines as E
 from reliefgrid.runtime import scratch_path
 from reliefgrid.sources import mesh_files as W
@@ -155,6 +157,109 @@ def vertex_normals(spark, sf):
     return v.withColumns({c: F.round(c, 6) for c in ("nx", "ny", "nz")})
 
 
+@query("J5", with_(PART_SURFACE, "pt as (select c_custkey as pid, (c_custkey*37 % 640)/8.0::double - 10 as x, (c_custkey*91 % 1720)/8.0::double - 80 as y from customer)",
+                   "dd as (select pid, vid, (pt.x - v.x)*(pt.x - v.x) + (pt.y - v.y)*(pt.y - v.y) as d2 from pt, fx5v v)") +
+       "select 'part' as mesh_id, pid, min({'d': d2, 'v': vid}).v as vid, round(sqrt(min(d2)), 6) as distance from dd group by pid")
+def nearest_to_customers(spark, sf):
+    k = F.col("c_custkey")
+    points = spark.read.parquet(f"{sf}/customer.parquet").select(
+        F.lit("part").alias("mesh_id"), k.alias("pid"), ((k * 37 % 640) / 8.0 - 10).alias("x"), ((k * 91 % 1720) / 8.0 - 80).alias("y")
+    )
+    return nearest_vertices(points, part_surface(spark, sf).vertices).withColumn("distance", F.round("distance", 6))
+
+
+@query("J5 M8", with_(PART_SURFACE, NATION_SQUARES, "pp as (select x/10 + 0.3::double as x, y*4 + 0.2::double as y, nx/10 + 0.3::double as nx, ny*4 + 0.2::double as ny from fx6e where role = 'exterior')",
+                      "pl as (select x, y from pp union select nx, ny from pp)",
+                      "nv as (select pl.x, pl.y, min({'d': (pl.x - v.x)*(pl.x - v.x) + (pl.y - v.y)*(pl.y - v.y), 'v': vid}).v as vid from pl, fx5v v group by all)",
+                      "eg as (select distinct a.vid as a, b.vid as b from pp join nv a on a.x = pp.x and a.y = pp.y join nv b on b.x = pp.nx and b.y = pp.ny where a.vid <> b.vid)") +
+       f"select 'part' as mesh_id, a*4 + 2 as tid, a as v0, b as v1, b + {_TOP} as v2 from eg union all select 'part', a*4 + 3, a, b + {_TOP}, a + {_TOP} from eg")
+def walls_on_squares(spark, sf):
+    ends = with_next(nation_squares(spark, sf).filter("role = 'exterior'"))
+    outline = ends.select(F.lit("part").alias("mesh_id"), *[(F.col(c) / 10 + 0.3).alias(c) for c in ("x", "nx")], *[(F.col(c) * 4 + 0.2).alias(c) for c in ("y", "ny")])
+    return M.side_walls(outline_edges(outline, part_surface(spark, sf)))
+
+
+def _flagged(spark, sf) -> Mesh:
+    """The surface and, per supplier, one upright triangle of its own: some pierce it, some hang above, some cross each other."""
+    m = part_surface(spark, sf)
+    k = F.col("s_suppkey")
+    x, y, z = (k * 7 % 48) + 0.25, (k * 3 % 36) + 0.5, (k * 11 % 80).cast("double")
+    corner = F.array(*[F.struct(F.lit(i).alias("i"), (x + a).alias("x"), (y + b).alias("y"), (z + c).alias("z")) for i, (a, b, c) in enumerate(((0, 0, 0), (0.5, 0.25, 0), (0.25, 0, 20)))])
+    flags = spark.read.parquet(f"{sf}/supplier.parquet")
+    v = flags.select(F.lit("part").alias("mesh_id"), k.alias("k"), F.inline(corner)).select("mesh_id", (F.col("k") * 3 + F.col("i") + 10_000_000).cast("long").alias("vid"), "x", "y", "z")
+    t = flags.select(F.lit("part").alias("mesh_id"), (k + 10_000_000).cast("long").alias("tid"), *[(k * 3 + i + 10_000_000).cast("long").alias(f"v{i}") for i in range(3)])
+    return Mesh(m.vertices.unionByName(v), m.triangles.unionByName(t))
+
+
+def _cross_sql(p: tuple[str, str, str], q: tuple[str, str, str]) -> tuple[str, str, str]:
+    return tuple(f"({p[i]}*{q[j]} - {p[j]}*{q[i]})" for i, j in ((1, 2), (2, 0), (0, 1)))
+
+
+def _apart_sql() -> str:
+    """Directions that may part two triangles ``a`` and ``b``, as a list of structs over their sides ``ea..`` and ``eb..``."""
+    side = {s: [tuple(f"e{s}{i}{c}" for c in "xyz") for i in range(3)] for s in "ab"}
+    normal = {s: tuple(f"n{s}{c}" for c in "xyz") for s in "ab"}
+    axes = [normal["a"], normal["b"], *[_cross_sql(p, q) for p in side["a"] for q in side["b"]], *[_cross_sql(normal[s], e) for s in "ab" for e in side[s]]]
+    return "[" + ", ".join("{'x': %s, 'y': %s, 'z': %s}" % a for a in axes) + "]"
+
+
+_CROSSINGS = (
+    """gv as (select vid, x, y, z from fx5v union all select s_suppkey*3 + i + 10000000, (s_suppkey*7 % 48) + 0.25::double + a, (s_suppkey*3 % 36) + 0.5::double + b, (s_suppkey*11 % 80)::double + c
+ from supplier, (values (0, 0.0::double, 0.0::double, 0), (1, 0.5, 0.25, 0), (2, 0.25, 0.0, 20)) w(i, a, b, c))""",
+    "gt as (select tid, v0, v1, v2 from fx5t union all select s_suppkey + 10000000, s_suppkey*3 + 10000000, s_suppkey*3 + 10000001, s_suppkey*3 + 10000002 from supplier)",
+    "gc as (select tid, v0, v1, v2, " + ", ".join(f"{k}.{c} as p{i}{c}" for i, k in enumerate("abc") for c in "xyz")
+    + " from gt join gv a on a.vid = v0 join gv b on b.vid = v1 join gv c on c.vid = v2)",
+    "gb as (select *, " + ", ".join(f"{f}(p0{c}, p1{c}, p2{c}) as {e}{c}" for e, f in (("lo", "least"), ("hi", "greatest")) for c in "xyz") + " from gc)",
+    "cd as (select a.tid as ta, b.tid as tb, " + ", ".join(f"{s}.p{i}{c} - a.p0{c} as {s}{i}{c}" for s in "ab" for i in range(3) for c in "xyz")
+    + " from gb a join gb b on a.tid < b.tid and b.tid >= 10000000 and " + " and ".join(f"a.lo{c} <= b.hi{c} and b.lo{c} <= a.hi{c}" for c in "xyz")
+    + " where len(list_intersect([a.v0, a.v1, a.v2], [b.v0, b.v1, b.v2])) = 0)",
+    "es as (select *, " + ", ".join(f"{s}{(i + 1) % 3}{c} - {s}{i}{c} as e{s}{i}{c}" for s in "ab" for i in range(3) for c in "xyz") + " from cd)",
+    "ns as (select *, " + ", ".join(f"{v} as n{s}{c}" for s in "ab" for c, v in zip("xyz", _cross_sql(tuple(f"e{s}0{c}" for c in "xyz"), tuple(f"e{s}1{c}" for c in "xyz")))) + " from es)",
+    f"ax as (select *, unnest({_apart_sql()}) as n from ns)",
+    "dp as (select ta, tb, " + ", ".join(f"{s}{i}x*n.x + {s}{i}y*n.y + {s}{i}z*n.z as {s}{i}" for s in "ab" for i in range(3)) + " from ax)",
+)
+
+
+@query("X11", with_(PART_SURFACE, *_CROSSINGS) +
+       """select 'part' as mesh_id, ta::bigint as a, tb::bigint as b from dp group by ta, tb
+ having not bool_or(greatest(a0, a1, a2) < least(b0, b1, b2) or greatest(b0, b1, b2) < least(a0, a1, a2))""")
+def crossing_flags(spark, sf):
+    return crossing_triangles(_flagged(spark, sf))
+
+
+def _bands(spark, sf) -> Mesh:
+    """Per supplier a closed strip of squares, every other one with half a turn, some of whose triangles are turned over."""
+    k = F.col("s_suppkey")
+    n = (k % 6 + 3).cast("long")
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select(F.concat(F.lit("band "), k).alias("mesh_id"), k.alias("k"), n.alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    v = s.withColumn("j", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    v = v.select("mesh_id", (F.col("i") * 2 + F.col("j")).alias("vid"), F.col("i").cast("double").alias("x"), F.col("j").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    last, twist = F.col("i") == F.col("n") - 1, F.col("k") % 2
+    a, b = F.col("i") * 2, F.col("i") * 2 + 1
+    c, d = F.when(last, twist).otherwise(F.col("i") * 2 + 2), F.when(last, 1 - twist).otherwise(F.col("i") * 2 + 3)
+    faces = F.array(*[F.struct((F.col("i") * 2 + j).alias("tid"), p.alias("p"), q.alias("q"), r.alias("r")) for j, (p, q, r) in enumerate(((a, b, c), (c, b, d)))])
+    t = s.select("mesh_id", "k", F.inline(faces))
+    over = (F.col("k") * (F.col("tid") + 1)) % 3 == 0
+    t = t.select("mesh_id", "tid", F.when(over, F.col("r")).otherwise(F.col("p")).alias("v0"), F.col("q").alias("v1"), F.when(over, F.col("p")).otherwise(F.col("r")).alias("v2"))
+    return Mesh(v, t)
+
+
+_BANDS = (
+    "bs as (select 'band ' || s_suppkey as mesh_id, s_suppkey as k, s_suppkey % 6 + 3 as n, unnest(range(0, s_suppkey % 6 + 3)) as i from supplier)",
+    "bc as (select mesh_id, k, i, i*2 as a, i*2 + 1 as b, case when i = n - 1 then k % 2 else i*2 + 2 end as c, case when i = n - 1 then 1 - k % 2 else i*2 + 3 end as d from bs)",
+    "bf as (select mesh_id, k, i*2 as tid, a as p, b as q, c as r from bc union all select mesh_id, k, i*2 + 1, c, b, d from bc)",
+    "bt as (select mesh_id, tid, case when k*(tid + 1) % 3 = 0 then r else p end as v0, q as v1, case when k*(tid + 1) % 3 = 0 then p else r end as v2 from bf)",
+    "be as (select mesh_id, tid, v0 as p, v1 as q from bt union all select mesh_id, tid, v1, v2 from bt union all select mesh_id, tid, v2, v0 from bt)",
+    "bl as (select x.mesh_id, x.tid as t, y.tid as u, case when x.p = y.q then 1 else -1 end as s from be x join be y on x.mesh_id = y.mesh_id and x.tid <> y.tid and least(x.p, x.q) = least(y.p, y.q) and greatest(x.p, x.q) = greatest(y.p, y.q))",
+    "br as (select mesh_id, min(tid) as tid, 1 as s from bt group by mesh_id union select bl.mesh_id, bl.u, br.s * bl.s from br join bl on bl.mesh_id = br.mesh_id and bl.t = br.tid)",
+)
+
+
+@query("X11", with_(*_BANDS, recursive=True) + "select mesh_id, bool_and(w = 1) as is_orientable from (select mesh_id, tid, count(distinct s) as w from br group by all) group by mesh_id")
+def orientable_bands(spark, sf):
+    return I.mesh_info(_bands(spark, sf)).select("mesh_id", "is_orientable")
+
+
 # ---- cleanup ---------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.operators.mesh import Mesh, cross_product, triangle_corners
 from reliefgrid.operators.regions import connected_components
+from reliefgrid.runtime import cut
 
 _SIDES = (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))
 
@@ -51,11 +52,46 @@ def vertex_fans(mesh: Mesh) -> DataFrame:
     )
 
 
+def face_links(mesh: Mesh) -> DataFrame:
+    """Edges that exactly two triangles have: ``mesh_id, a, b`` (triangle ids) and ``alike`` (both turn the same way round).
+
+    Triangles that name a vertex twice have no orientation and no links.
+    """
+    real = mesh.triangles.filter((F.col("v0") != F.col("v1")) & (F.col("v1") != F.col("v2")) & (F.col("v2") != F.col("v0")))
+    sides = F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in _SIDES])
+    each = real.select("mesh_id", "tid", F.inline(sides))
+    met = each.groupBy("mesh_id", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(
+        F.count("*").alias("uses"), F.count_if(F.col("p") < F.col("q")).alias("forward"), F.min("tid").alias("a"), F.max("tid").alias("b")
+    )
+    return met.filter("uses = 2").select("mesh_id", "a", "b", (F.col("forward") == 1).alias("alike"))
+
+
+def unorientable(mesh: Mesh) -> DataFrame:
+    """The meshes (``mesh_id``) whose triangles cannot be turned so that neighbours run along their edge in opposite ways.
+
+    Every triangle stands for two nodes, itself (its id) and itself turned over (the id's complement, below zero). A link
+    of triangles that turn alike joins equal sides, any other link opposite ones. A mesh cannot be
+    oriented if some triangle is connected with itself turned over: a path of links, however long and wherever its
+    parts lie, comes back with the other sign. An edge of three or more triangles rules it out as well.
+    """
+    crowded = edge_uses(mesh).filter("uses > 2").select("mesh_id")
+    other = F.when(F.col("alike"), F.col("b")).otherwise(-F.col("b") - 1)
+    links = face_links(mesh).withColumn("_b", other)
+    both = F.array(
+        F.struct(F.col("a").alias("a"), F.col("_b").alias("b")),
+        F.struct((-F.col("a") - 1).alias("a"), (-F.col("_b") - 1).alias("b")),
+    )
+    parts = connected_components(links.select("mesh_id", F.inline(both)), ["mesh_id"])
+    sides = parts.withColumn("_t", F.greatest("node", -F.col("node") - 1)).groupBy("mesh_id", "_t").agg(F.min("root").alias("_l"), F.max("root").alias("_h"))
+    return sides.filter("_l = _h").select("mesh_id").unionByName(crowded).distinct()
+
+
 def mesh_info(mesh: Mesh, fans: bool = False) -> DataFrame:
     """One row per mesh: counts, normals, closedness, orientation and bounds.
 
     Watertight: every edge in exactly two triangles (and with ``fans`` one face fan per vertex).
-    Orientable here: consistently turned, no edge used twice in the same direction.
+    Orientable: the triangles can be turned alike (:func:`unorientable`). Meshes that are turned alike as they stand
+    are known from their edges; only the others are searched.
     """
     v = mesh.vertices
     normals = "nx" in v.columns
@@ -66,10 +102,20 @@ def mesh_info(mesh: Mesh, fans: bool = False) -> DataFrame:
         F.array(*[F.max(c) - F.min(c) for c in ("x", "y", "z")]).alias("bounding_box_extent"),
     )
     per_t = mesh.triangles.groupBy("mesh_id").agg(F.count("*").alias("num_triangles"))
-    per_e = edge_uses(mesh).groupBy("mesh_id").agg(
-        F.min(F.col("uses") == 2).alias("closed"),
-        F.min((F.col("forward") <= 1) & (F.col("uses") - F.col("forward") <= 1)).alias("is_orientable"),
+    per_e = cut(
+        edge_uses(mesh).groupBy("mesh_id").agg(
+            F.min(F.col("uses") == 2).alias("closed"),
+            F.max("uses").alias("_most"),
+            F.min((F.col("forward") <= 1) & (F.col("uses") - F.col("forward") <= 1)).alias("is_orientable"),
+        )
     )
+    asked = per_e.filter("not is_orientable and _most <= 2").select("mesh_id")
+    if not asked.isEmpty():
+        turned = mesh.triangles.join(asked, "mesh_id", "left_semi")
+        bad = unorientable(Mesh(v, turned)).withColumn("_bad", F.lit(True))
+        per_e = per_e.join(asked.withColumn("_asked", F.lit(True)), "mesh_id", "left").join(bad, "mesh_id", "left")
+        per_e = per_e.withColumn("is_orientable", F.col("is_orientable") | (F.col("_asked").isNotNull() & F.col("_bad").isNull()))
+    per_e = per_e.select("mesh_id", "closed", "is_orientable")
     out = per_v.join(per_t, "mesh_id", "left").join(per_e, "mesh_id", "left")
     tight = F.coalesce("closed", F.lit(False))
     if fans:
