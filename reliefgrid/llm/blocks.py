@@ -25,12 +25,13 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 @dataclass
 class Block:
-    """A run of text between block borders: its text, the part inside links, and the elements around it."""
+    """A run of text between block borders: its text, the part inside links, and the elements around it, with their numbers."""
 
     text: str
     link_chars: int
     tag: str
     path: tuple[tuple[str, str], ...]
+    nodes: tuple[int, ...] = ()
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -47,6 +48,8 @@ def blocks(page: str, named: bool = True) -> list[Block]:
     """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # (tag, class, id and role) of open elements other than inline ones
+    numbers: list[int] = []  # of the same elements
+    opened = 0
     parts: list[str] = []
     linked: list[str] = []
     links, at, end = 0, 0, len(page)
@@ -56,7 +59,7 @@ def blocks(page: str, named: bool = True) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 path = tuple(stack)
-                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())), path[-1][0] if path else "", path))
+                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())), path[-1][0] if path else "", path, tuple(numbers)))
             parts.clear()
             linked.clear()
 
@@ -95,12 +98,16 @@ def blocks(page: str, named: bool = True) -> list[Block]:
                 if any(t == tag for t, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
+                    del numbers[len(stack) :]
                 links = 0
             else:
                 if tag in ("p", "li", "option", "tr", "td", "th", "dt", "dd") and stack and stack[-1][0] == tag:
                     stack.pop()  # these end where the next one begins
                 elif stack and stack[-1][0] == "p":
                     stack.pop()
+                del numbers[len(stack) :]
+                opened += 1
+                numbers.append(opened)
                 a = attributes(m[3]) if named and m[3].strip() else {}
                 stack.append((tag, " ".join(a.get(k, "") for k in ("class", "id", "role")).lower()))
     flush()
