@@ -2,14 +2,13 @@
 
 Documents are counted into cells (source, language, topic). Iterative proportional fitting scales the
 cells' tokens to the target share of every source, then every language, then every topic, sweep after
-sweep, as joins of the cell table with its margins; texts are read once for the counts and once for the
-sample. A document is kept with a chance in proportion to its cell's factor (weight over tokens), at most
-one, at the rate that keeps the share ``keep`` of all tokens: crowded cells are thinned, scarce ones stay
-whole, so shares only move towards the targets. With ``keep=MOST`` the sample has the target shares and is
-as large as they allow: weights are raked under the bound that no cell gives more than it has, at the
-largest rate whose margins reach the targets. Without ``keep`` no chance is cut off at one: the factor over the largest factor gives exactly the
-target shares, at the price of as many documents as the scarcest cell demands. The lot is drawn from a
-hash of id and text: a second run keeps the same documents.
+sweep, until every margin is within ``TOLERANCE`` of its goal; a cell table that fits into memory is swept
+there, a larger one as joins with its margins. Texts are read once for the counts and once for the sample.
+A document is kept with a chance in proportion to its cell's factor (weight over tokens); the largest factor
+gets chance one, so no chance is cut off and the expected shares are the targets. Without given targets the
+margins of the tempered cell table are aimed at (tokens to the power ``TEMPER``): they favour what is scarce, and some
+weights reach them for sure, which margins tempered one by one may not, where a topic stands in one language only. The
+lot is drawn from a hash of id and text: a second run keeps the same documents.
 
 Results: null sources, languages and texts count as ``(none)`` and as empty; a text without words weighs
 nothing, and a cell without tokens is kept whole; repeated rows share their lot; targets for values that
@@ -26,34 +25,36 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.tables import let, saved, whole_text
+from reliefgrid.llm.tables import saved, whole_text
 from reliefgrid.runtime import bounded_rows, local_table
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Without given targets, margins are tempered: shares to this power, scaled to one.
-TEMPER = 0.7
-#: Sweeps of the query and its SQL; everything else sweeps until each margin is within ``TOLERANCE`` of its goal.
-SWEEPS = 6
+#: Without given targets, the margins of the cells' tokens to this power are aimed at.
+TEMPER = 0.9
+#: Margins end within this part of their goals.
 TOLERANCE = 1e-9
 MAX_SWEEPS = 5_000
+#: Sweeps of the SQL, which cannot stop by itself.
+SQL_SWEEPS = 200
 CELLS_PER_FILE = 100_000
-#: Cells raked in memory; larger tables are raked as joins.
+#: Cells raked in memory; larger tables are raked as joins, with the same result.
 LOCAL_CELLS = 50_000
-#: Share of all tokens that a sample keeps.
-KEEP = 0.9
-#: As many tokens as the target shares allow.
-MOST = "most"
-#: Topic of a text: the marker that occurs most; the first of equals, ``none`` without any.
-MARKERS = {"action": "ing", "process": "tion", "manner": "ly", "quality": "lich", "means": "ment", "object": "do"}
+#: Bounds of the forms that stand for topics: words of a short and of a long text, characters of a line, share of digits.
+SHORT_WORDS, LONG_WORDS, LINE_CHARS, DIGIT_SHARE = 50, 500, 80, 0.03
 WORD = r"[^ \t\n\r\f\x0B]+"
 
 
-def topic(text: Column, markers: Mapping[str, str] = MARKERS) -> Column:
-    def named(low: Column) -> Column:
-        count = F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(m), F.lit("")))) / len(m) for m in markers.values()])
-        return let(count, lambda c: F.when(F.array_max(c) == 0, "none").otherwise(F.get(F.array(*map(F.lit, markers)), F.array_position(c, F.array_max(c)).cast("int") - 1)))
-
-    return let(F.lower(text), named)
+def topic(text: Column) -> Column:
+    """What kind of text it is, by its form in any language: table, lines, figures, short, long or prose."""
+    digits, lines = F.regexp_count(text, F.lit("[0-9]")), F.regexp_count(text, F.lit("\n"))
+    return (
+        F.when(F.contains(text, F.lit(" | ")), "table")
+        .when((lines >= 3) & (F.length(text) < lines * LINE_CHARS), "lines")
+        .when((digits > 0) & (digits >= F.length(text) * DIGIT_SHARE), "figures")
+        .when(tokens(text) < SHORT_WORDS, "short")
+        .when(tokens(text) >= LONG_WORDS, "long")
+        .otherwise("prose")
+    )
 
 
 def tokens(text: Column) -> Column:
@@ -72,68 +73,36 @@ def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return named | {"topic": topic(whole_text(text_col)), "tokens": tokens(whole_text(text_col)), "lot": lot(id_col, text_col)}
 
 
-def _sweep(weight: np.ndarray, cap: np.ndarray, keys: list[np.ndarray], goals: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """Tokens raked to all goals with no weight above ``cap``, and the largest gap of a margin (share of its goal)."""
-    base, gap = weight.astype(float), np.inf
-    factors = [np.ones(len(g)) for g in goals]
+def _swept(weight: np.ndarray, keys: list[np.ndarray], goals: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Tokens raked to all goals, and the largest gap of a margin (share of its goal)."""
+    gap = np.inf
     for _ in range(MAX_SWEEPS):
-        for d, goal in enumerate(goals):
-            rest = base * np.prod([f[k] for i, (f, k) in enumerate(zip(factors, keys)) if i != d], axis=0)
-            f = factors[d]
-            for _ in range(60):  # cells at their cap stay, the others of the margin share what is left
-                full = rest * f[keys[d]] >= cap
-                left = goal - np.bincount(keys[d], np.where(full, cap, 0), len(goal))
-                free = np.bincount(keys[d], np.where(full, 0, rest), len(goal))
-                fresh = np.where(free > 0, np.maximum(left, 0) / np.where(free > 0, free, 1), f)
-                if np.allclose(fresh, f, rtol=1e-13, atol=0):
-                    break
-                f = fresh
-            factors[d] = f
-        made = np.minimum(cap, base * np.prod([f[k] for f, k in zip(factors, keys)], axis=0))
+        for key, goal in zip(keys, goals):
+            have = np.bincount(key, weight, len(goal))
+            weight = weight * np.divide(goal, have, out=np.zeros(len(goal)), where=have > 0)[key]
         before = gap
-        gap = max((np.abs(np.bincount(k, made, len(g)) - g) / np.where(g > 0, g, 1)).max(initial=0) for k, g in zip(keys, goals))
-        if gap <= TOLERANCE or not np.isfinite(gap) or abs(before - gap) <= 1e-9 * gap:
+        gap = max(np.abs(np.bincount(key, weight, len(goal)) / goal - 1).max(initial=0) for key, goal in zip(keys, goals))
+        if gap <= TOLERANCE or abs(before - gap) <= 1e-9 * gap:
             break
-    return made, float(gap)
+    return weight, float(gap)
 
 
-def _most(weight: np.ndarray, keys: list[np.ndarray], goals: list[np.ndarray]) -> tuple[np.ndarray, float, float]:
-    """Weights, their gap and the largest share of all tokens that a sample with the target shares can keep."""
-    made, gap = _sweep(weight, np.full(len(weight), np.inf), keys, goals)
-    if gap > TOLERANCE:
-        return made, gap, 1.0 / max((made / weight).max(initial=1.0), 1.0)
-    low = 1.0 / max((made / weight).max(initial=1.0), 1.0)
-    high = min([1.0, *[(np.bincount(k, weight, len(g))[g > 0] / g[g > 0]).min(initial=1.0) for k, g in zip(keys, goals)]])
-    tried = high
-    while high - low > 1e-4:
-        now, off = _sweep(weight, weight / tried, keys, goals)
-        if off <= TOLERANCE:
-            made, gap, low = now, off, tried
-        else:
-            high = tried
-        tried = (low + high) / 2
-    return made, gap, low
-
-
-def _in_memory(state: DataFrame, goals: Mapping[str, DataFrame], most: bool) -> tuple[DataFrame, float, float] | None:
-    """Raked cells, gap and rate (without ``most`` 1), or None for a table that is too large."""
+def _in_memory(state: DataFrame, goals: Mapping[str, DataFrame]) -> tuple[DataFrame, float] | None:
+    """Raked cells and gap, or None for a table that is too large."""
     rows = bounded_rows(state.select(*DIMENSIONS, "tokens"), LOCAL_CELLS)
     if rows is None:
         return None
-    goal = {d: {r[0]: r[1] for r in goals[d].collect()} for d in DIMENSIONS}
-    weight = np.zeros(len(rows))
+    goal = {d: {r[0]: r[1] for r in goals[d].collect() if r[1] > 0} for d in DIMENSIONS}
     # cells without tokens or with a value that has no goal get no weight
-    some = [i for i, r in enumerate(rows) if r["tokens"] > 0 and all(goal[d].get(r[d], 0) > 0 for d in DIMENSIONS)]
-    made, gap, rate = np.zeros(0), 0.0, 1.0
+    some = [i for i, r in enumerate(rows) if r["tokens"] > 0 and all(r[d] in goal[d] for d in DIMENSIONS)]
+    weight, gap = np.zeros(len(rows)), 0.0
     if some:
-        tokens = np.array([rows[i]["tokens"] for i in some], float)
-        names = [sorted(v for v, g in goal[d].items() if g > 0) for d in DIMENSIONS]
-        keys = [np.array([n.index(rows[i][d]) if len(n) < 50 else at[rows[i][d]] for i in some]) for d, n in zip(DIMENSIONS, names) for at in [{v: k for k, v in enumerate(n)}]]
-        aims = [np.array([goal[d][v] for v in n]) for d, n in zip(DIMENSIONS, names)]
-        made, gap, rate = _most(tokens, keys, aims) if most else (*_sweep(tokens, np.full(len(some), np.inf), keys, aims), 1.0)
-    weight[some] = made
+        place = [{v: k for k, v in enumerate(sorted(goal[d]))} for d in DIMENSIONS]
+        keys = [np.array([at[rows[i][d]] for i in some]) for d, at in zip(DIMENSIONS, place)]
+        aims = [np.array([goal[d][v] for v in at]) for d, at in zip(DIMENSIONS, place)]
+        weight[some], gap = _swept(np.array([rows[i]["tokens"] for i in some], float), keys, aims)
     table = [(*r, float(w)) for r, w in zip(rows, weight)]
-    return local_table(state.sparkSession, table, "source string, lang string, topic string, tokens bigint, weight double"), gap, rate
+    return local_table(state.sparkSession, table, "source string, lang string, topic string, tokens bigint, weight double"), gap
 
 
 def _told(gap: float) -> None:
@@ -141,24 +110,24 @@ def _told(gap: float) -> None:
         warnings.warn(f"no weights reach the target shares: a margin stays {gap:.3g} of its goal away", stacklevel=3)
 
 
-def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None, sweeps: int | None = None) -> DataFrame:
+def rake(cells: DataFrame, targets: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """``source``, ``lang``, ``topic``, ``tokens``, ``weight``: tokens scaled to the target shares (total kept).
 
-    ``targets`` has a table (value, share) per dimension; without it shares are tempered. Without a number of
-    sweeps every margin ends within ``TOLERANCE`` of its goal, and targets that contradict each other are warned of.
+    ``targets`` has a table (value, share) per dimension; without it shares are tempered. Every margin ends within
+    ``TOLERANCE`` of its goal; targets that contradict each other are warned of.
     """
     state, goals, files = _goals(cells, targets)
-    if sweeps is None and (held := _in_memory(state, goals, False)) is not None:
+    held = _in_memory(state, goals)
+    if held is not None:
         _told(held[1])
         return held[0]
-    done = 0
-    while done < (MAX_SWEEPS if sweeps is None else sweeps):
+    gap = np.inf
+    for _ in range(MAX_SWEEPS):
         state = _joined_sweep(state, goals, files)
-        done += 1
-        if sweeps is None and (gap := _gap(state, goals)) <= TOLERANCE:
+        before, gap = gap, _gap(state, goals)
+        if gap <= TOLERANCE or abs(before - gap) <= 1e-9 * gap:
             break
-    if sweeps is None:
-        _told(gap)
+    _told(gap)
     return state
 
 
@@ -176,12 +145,11 @@ def _goals(cells: DataFrame, targets: Mapping[str, DataFrame] | None) -> tuple[D
     files = 1 + n // CELLS_PER_FILE  # cells are few and counted, the sweeps' tables need no more
     goals = {}
     for d in DIMENSIONS:
-        margin = cells.groupBy(d).agg(F.sum("tokens").alias("_m")).filter("_m > 0")
+        power = F.when(F.col("tokens") > 0, F.pow(F.col("tokens").cast("double"), F.lit(TEMPER)))
+        margin = cells.groupBy(d).agg(F.sum("tokens").alias("_m"), F.sum(power).alias("_s")).filter("_m > 0")
         if targets and d in targets:
             given = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias("_s"))
-            margin = margin.join(given, d)
-        else:
-            margin = margin.withColumn("_s", F.pow(F.col("_m").cast("double"), F.lit(TEMPER)))
+            margin = margin.drop("_s").join(given, d)
         margin = saved(margin.select(d, "_s").coalesce(files), "goal")
         whole = margin.agg(F.sum("_s")).first()[0] or 1.0
         goals[d] = margin.select(d, (F.col("_s") / whole * total).alias("_goal"))
@@ -198,54 +166,29 @@ def _joined_sweep(state: DataFrame, goals: Mapping[str, DataFrame], files: int)
     return saved(state.select(*DIMENSIONS, "tokens", "weight").coalesce(files), "cells")
 
 
-def probabilities(cells: DataFrame, keep: float | None = KEEP) -> DataFrame:
-    """Adds ``factor`` (weight per token) and ``probability`` to raked cells."""
-    factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens"))
-    cells = cells.withColumn("factor", factor)
-    if keep is None:
-        rate = 1.0 / (cells.agg(F.max("factor")).first()[0] or 1.0)
-    else:
-        # cells that reach one are whole; the others share what is left to keep, until no more reach it
-        rate = keep
-        while True:
-            full = F.col("factor") * rate >= 1
-            t = cells.agg(F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens"))).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("rest")).first()
-            fresh = (keep * (t["all"] or 0) - (t["full"] or 0)) / t["rest"] if t["rest"] else float("inf")
-            if not fresh > rate * (1 + 1e-12):
-                break
-            rate = fresh
-            if rate == float("inf"):
-                break
-    chance = F.when(F.col("factor") > 0, F.least(F.lit(1.0), F.col("factor") * F.lit(rate))).when(F.col("factor") == 0, 0.0)
-    return cells.withColumn("probability", F.coalesce(chance, F.lit(1.0)))
-
-
-def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | str | None = KEEP, id_col: str = "doc_id", text_col: str = "text", sweeps: int | None = None) -> DataFrame:
+def probabilities(cells: DataFrame) -> DataFrame:
+    """Adds ``factor`` (weight per token) and ``probability`` (factor over the largest) to raked cells."""
+    cells = cells.withColumn("factor", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")))
+    largest = cells.agg(F.max("factor")).first()[0] or 1.0
+    return cells.withColumn("probability", F.coalesce(F.least(F.lit(1.0), F.col("factor") / F.lit(largest)), F.lit(1.0)))
+
+
+def mix(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, the cell, ``tokens``, ``probability`` and ``kept`` of every row."""
     rows = saved(docs.select(F.col(id_col).alias("doc_id"), *[c.alias(k) for k, c in described(docs, id_col, text_col).items()]), "described")
-    chances = _chances(rows, targets, keep, sweeps)
-    met = rows.join(chances, list(DIMENSIONS))
+    met = rows.join(_chances(rows, targets), list(DIMENSIONS))
     return met.select("doc_id", *DIMENSIONS, "tokens", "probability", (F.col("lot") < F.col("probability")).alias("kept"))
 
 
-def _chances(rows: DataFrame, targets: Mapping[str, DataFrame] | None, keep: float | str | None, sweeps: int | None = None) -> DataFrame:
+def _chances(rows: DataFrame, targets: Mapping[str, DataFrame] | None) -> DataFrame:
     cells = saved(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "counts")
-    if keep != MOST:
-        return saved(probabilities(rake(cells, targets, sweeps), keep).select(*DIMENSIONS, "probability"), "chances")
-    state, goals, _ = _goals(cells, targets)
-    held = _in_memory(state, goals, True)
-    if held is None:  # too many cells to search the rate: exact shares at the rate of the scarcest cell
-        return saved(probabilities(rake(cells, targets), None).select(*DIMENSIONS, "probability"), "chances")
-    made, gap, rate = held
-    _told(gap)
-    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(rate) * F.col("weight") / F.col("tokens")))
-    return saved(made.select(*DIMENSIONS, F.coalesce(chance, F.lit(1.0)).alias("probability")), "chances")
+    return saved(probabilities(rake(cells, targets)).select(*DIMENSIONS, "probability"), "chances")
 
 
-def sampled(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, keep: float | str | None = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sampled(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The kept rows of ``docs``, all columns."""
     made = described(docs, id_col, text_col)
-    chances = _chances(docs.select(*[made[k].alias(k) for k in (*DIMENSIONS, "tokens")]), targets, keep)
+    chances = _chances(docs.select(*[made[k].alias(k) for k in (*DIMENSIONS, "tokens")]), targets)
     chances = chances.select(*[F.col(d).alias(f"_{d}") for d in DIMENSIONS], "probability")
     rows = docs.select(*[made[d].alias(f"_{d}") for d in DIMENSIONS], made["lot"].alias("_lot"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
     return rows.join(chances, [f"_{d}" for d in DIMENSIONS]).filter(F.col("_lot") < F.col("probability")).select("_row.*")
@@ -253,21 +196,21 @@ def sampled(docs: DataFrame, targets: Mapping[str, DataFrame] | None = None, kee
 
 def oracle() -> str:
     """The same in SQL: the sweeps as a recursive query."""
-    counts = {k: f"(length(t) - length(replace(t, '{m}', ''))) / {len(m)}.0" for k, m in MARKERS.items()}
-    most = f"greatest({', '.join(counts.values())})"
-    cases = " ".join(f"WHEN {c} = {most} THEN '{k}'" for k, c in counts.items())
-    goal = "\n".join(f", goal_{d} AS (SELECT {d}, pow(m, {TEMPER}) / sum(pow(m, {TEMPER})) OVER () * (SELECT sum(tokens) FROM cells) AS goal FROM (SELECT {d}, sum(tokens) AS m FROM cells GROUP BY {d}) WHERE m > 0)" for d in DIMENSIONS)
-    step = "SELECT n, source, lang, topic, tokens, weight FROM it WHERE n < %d" % SWEEPS
+    goal = "\n".join(f", goal_{d} AS (SELECT {d}, sum(pow(tokens, {TEMPER})) / (SELECT sum(pow(tokens, {TEMPER})) FROM cells WHERE tokens > 0) * (SELECT sum(tokens) FROM cells) AS goal FROM cells WHERE tokens > 0 GROUP BY {d})" for d in DIMENSIONS)
+    step = "SELECT n, source, lang, topic, tokens, weight FROM it WHERE n < %d" % SQL_SWEEPS
     for d in DIMENSIONS:
         step = f"SELECT n, source, lang, topic, tokens, CASE WHEN s > 0 THEN weight * coalesce(goal, 0) / s ELSE 0 END AS weight FROM (SELECT x.*, sum(weight) OVER (PARTITION BY {d}) AS s FROM ({step}) x) y LEFT JOIN goal_{d} USING ({d})"
     return f"""
 WITH RECURSIVE base AS (
-  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, lower(coalesce(text, '')) AS t,
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang, coalesce(text, '') AS t,
     len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f\\x0B]+')) AS tokens,
     ('0x' || substr(md5(doc_id || '|' || md5(coalesce(text, ''))), 1, 8))::BIGINT / 4294967296.0 AS lot
   FROM documents
 ), described AS (
-  SELECT doc_id, source, lang, CASE WHEN {most} = 0 THEN 'none' {cases} END AS topic, tokens, lot FROM base
+  SELECT doc_id, source, lang, tokens, lot, CASE WHEN contains(t, ' | ') THEN 'table'
+    WHEN length(t) - length(replace(t, chr(10), '')) >= 3 AND length(t) < (length(t) - length(replace(t, chr(10), ''))) * {LINE_CHARS} THEN 'lines'
+    WHEN regexp_matches(t, '[0-9]') AND length(regexp_replace(t, '[^0-9]', '', 'g')) >= length(t) * {DIGIT_SHARE} THEN 'figures'
+    WHEN tokens < {SHORT_WORDS} THEN 'short' WHEN tokens >= {LONG_WORDS} THEN 'long' ELSE 'prose' END AS topic FROM base
 ), cells AS (SELECT source, lang, topic, sum(tokens) AS tokens FROM described GROUP BY ALL)
 {goal}
 , it AS (
@@ -275,12 +218,7 @@ WITH RECURSIVE base AS (
   UNION ALL
   SELECT n + 1, source, lang, topic, tokens, weight FROM ({step}) z
 ), done AS (
-  SELECT source, lang, topic, tokens, weight, CASE WHEN tokens > 0 THEN weight / tokens END AS factor FROM it WHERE n = {SWEEPS}
-), ordered AS (
-  SELECT factor, ({KEEP} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY factor DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-    / sum(weight) OVER (ORDER BY factor DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate
-  FROM done WHERE tokens > 0
-), best AS (SELECT coalesce((SELECT rate FROM ordered WHERE rate * factor < 1 ORDER BY factor DESC LIMIT 1), 1e300) AS rate
-), chances AS (SELECT source, lang, topic, coalesce(least(1.0, factor * rate), 1.0) AS probability FROM done, best)
+  SELECT source, lang, topic, CASE WHEN tokens > 0 THEN weight / tokens END AS factor FROM it WHERE n = {SQL_SWEEPS}
+), chances AS (SELECT source, lang, topic, coalesce(least(1.0, factor / max(factor) OVER ()), 1.0) AS probability FROM done)
 SELECT doc_id, source, lang, topic, tokens::BIGINT AS tokens, round(probability, 6) AS probability, lot < probability AS kept
 FROM described JOIN chances USING (source, lang, topic)"""
