@@ -8,7 +8,7 @@ within the radius therefore meets in at least one shard, and a shard returns a s
 of its linked sets, never its pairs. Shards are joined by distributed connected components.
 
 Near copies by the Jaccard index of five-word shingles (:func:`near_duplicates`) are proposed by MinHash
-bands instead, and each proposed pair is confirmed by the two shingle sets.
+bands and the rarest shingles of the sets instead, and each proposed pair is confirmed by the two shingle sets.
 
 Results: null and empty texts have fingerprint zero and link like any other; repeated rows are
 repeated in the output; a component of rows without ids has a null id; an empty table gives an empty
@@ -17,7 +17,7 @@ one; other columns of the input are not looked at.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
@@ -259,8 +259,8 @@ SIMILARITY = 0.8
 #: MinHashes of a text, ``BANDS`` bands of ``BAND_ROWS``. At a Jaccard index of 0.8 all bands of two texts
 #: differ with a chance of (1 - 0.8**5)**40 = 1.2e-7.
 BANDS, BAND_ROWS = 40, 5
-#: Share of equal MinHashes below which a pair isn't read; at an index of 0.8 its chance is under 1e-9.
-LIKELY = 0.6
+#: Shingles that a task hands on at a time, about.
+BATCH_SHINGLES = 1_000_000
 _MIX = np.random.Generator(np.random.PCG64(20)).integers(0, 1 << 63, (2, BANDS * BAND_ROWS, 1), np.uint64)
 
 
@@ -281,59 +281,83 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, ``_md5``, ``node`` (hash of the shingle set), ``size``, ``sig`` (a byte of each MinHash), ``bands``."""
+    """``_id``, ``_md5``, ``node`` (hash of the shingle set), ``bands`` of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.md5(text).alias("_md5"), text.cast("binary").alias("_text"))
 
     def run(batches):
         for b in batches:
-            nodes, sizes, sigs, bands = [], [], [], []
+            nodes, bands = [], []
             for t in b.column("_text"):
                 found = shingle_set(t.as_py())
-                low = minhashes(found)
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
-                sizes.append(len(found))
-                sigs.append(((low * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(56)).astype(np.uint8).tobytes())
-                keys = [xxhash.xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(low.reshape(BANDS, BAND_ROWS))] if len(found) else []
+                low = minhashes(found).reshape(BANDS, BAND_ROWS)
+                keys = [xxhash.xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(low)] if len(found) else []
                 bands.append(np.array(keys, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_md5"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["_id", "_md5", "node", "size", "sig", "bands"],
+                [b.column("_id"), b.column("_md5"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
+                names=["_id", "_md5", "node", "bands"],
             )
 
-    return rows.mapInArrow(run, "_id bigint, _md5 string, node bigint, size bigint, sig binary, bands array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _md5 string, node bigint, bands array<bigint>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
-    """``node`` and ``set`` (sorted shingle hashes) of the texts ``_md5`` in ``wanted``."""
+    """``node``, ``size`` and ``set`` (sorted shingle hashes) of the texts ``_md5`` in ``wanted``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.md5(text).alias("_md5"), text.cast("binary").alias("_text")).join(wanted, "_md5", "left_semi").dropDuplicates(["_md5"])
 
     def run(batches):
         for b in batches:
-            found = [shingle_set(t.as_py()).tobytes() for t in b.column("_text")]
-            nodes = np.array([xxhash.xxh64_intdigest(f) for f in found], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(found, pa.binary())], names=["node", "set"])
+            found = [shingle_set(t.as_py()) for t in b.column("_text")]
+            nodes = np.array([xxhash.xxh64_intdigest(f.tobytes()) for f in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(list(map(len, found)), pa.int64()), pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "size", "set"])
 
-    return rows.select("_text").mapInArrow(run, "node bigint, set binary")
+    return rows.select("_text").mapInArrow(run, "node bigint, size bigint, set binary")
 
 
-def _pairs_where(pairs: DataFrame, table: DataFrame, column: str, holds: Callable[[bytes, bytes], bool]) -> DataFrame:
-    """The pairs ``a``, ``b`` whose values of ``column`` satisfy ``holds``."""
-    one, two = (table.select(F.col("node").alias(c), F.col(column).alias(f"_{c}")) for c in ("a", "b"))
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``shingle``, ``node``, ``size``, ``rest``, ``own``: the rarest shingles of each set, one of which every near set shares.
+
+    Shingles are ordered by the number of sets that hold them, the rarest first. Of two sets whose Jaccard index
+    reaches ``similarity`` each shares that part of its shingles at least, so their first ``1 - similarity`` parts meet.
+    Shingles of no other set (``own`` of them) meet nothing: a set with more of them than that has no partner at all.
+    ``rest`` counts the shingles from this one on, the most that can be shared if this is the first that is.
+    """
+
+    def run(batches):
+        for b in batches:
+            found = [np.frombuffer(v.as_buffer(), np.int64) for v in b.column("set")]
+            lengths = np.array(list(map(len, found)), np.int64)
+            nodes, sizes = (b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "size"))
+            part = np.cumsum(lengths) // BATCH_SHINGLES
+            for rows in np.split(np.arange(len(found)), np.nonzero(np.diff(part))[0] + 1):
+                if len(rows):
+                    flat = np.concatenate([found[i] for i in rows])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[rows], lengths[rows])), pa.array(np.repeat(sizes[rows], lengths[rows])), pa.array(flat)], names=["node", "size", "shingle"])
+
+    each = sets.mapInArrow(run, "node bigint, size bigint, shingle bigint")
+    held = each.groupBy("shingle").agg(F.count("*").alias("_in")).filter("_in > 1")
+    per = each.join(held, "shingle").groupBy("node").agg(F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("_in", "shingle"))).alias("_s"))
+    length = F.col("size") - F.ceil(F.col("size") * similarity - 1e-9) + 1
+    per = per.withColumn("own", F.col("size") - F.size("_s")).withColumn("_k", (length - F.col("own")).cast("int")).filter("_k > 0")
+    rows = per.select("node", "size", "own", F.posexplode(F.slice("_s", F.lit(1), F.col("_k"))).alias("_i", "_x"))
+    return rows.select(F.col("_x.shingle").alias("shingle"), "node", "size", "own", (F.col("size") - F.col("own") - F.col("_i")).alias("rest"))
+
+
+def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets have a Jaccard index of ``similarity``."""
+    one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"_{c}")) for c in ("a", "b"))
 
     def run(batches):
         for b in batches:
-            ok = [holds(x.as_py(), y.as_py()) for x, y in zip(b.column("_a"), b.column("_b"))]
+            found = ([np.frombuffer(v.as_buffer(), np.uint64) for v in b.column(c)] for c in ("_a", "_b"))
+            ok = [jaccard(x, y) >= similarity for x, y in zip(*found)]
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(two, "b").join(one, "a").select("a", "b", "_a", "_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _likely(a: bytes, b: bytes) -> bool:
-    return np.count_nonzero(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)) >= LIKELY * BANDS * BAND_ROWS
-
-
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     union = len(a) + len(b) - both
@@ -341,47 +365,62 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``node``, ``root`` for the nodes of ``marked`` that share a band with another: the smallest node of a linked set.
-
-    In every round each band compares one text of its largest linked set, and a number of other texts that
-    doubles, with all its texts of other sets. A compared text is done in that band, and a band is done when
-    one set is left. So every pair of a band is compared or already linked by others, and a band full of
-    copies costs one comparison for each.
+    """``node``, ``root`` for the nodes of ``marked`` that may have near copies: the smallest node of a linked set.
+
+    Texts that share a band meet again by the rarest shingles of their sets (:func:`_prefixes`), which a passage or a
+    template that many texts share is not among. In every round each shingle compares one text of its largest linked
+    set, and a number of other texts that doubles, with its texts of other sets; the text with the fewest shingles of
+    its own goes first, which in a crowd of copies is the one that all were made from. A pair is read only if sizes
+    and places of the shingle leave room for the similarity, and rows without any such partner in another set are dropped.
+    A compared text is done at that shingle, and a shingle is done when one set is left: every possible pair
+    is compared or already linked by others.
     """
-    nodes = saved(marked.groupBy("node").agg(F.first("_md5").alias("_md5"), F.first("size").alias("size"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select(F.explode("bands").alias("band"), "node", "size")
-    shared = rows.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
-    rows = saved(rows.join(shared, "band", "left_semi"), "bands")
-    wanted = rows.select("node").distinct()
-    sets = saved(_sets(docs, nodes.join(wanted, "node", "left_semi").select("_md5"), text_col), "sets")
-    sigs = saved(nodes.join(wanted, "node", "left_semi").select("node", "sig"), "sigs")
-    labels = saved(wanted.withColumn("root", F.col("node")), "labels")
-    rank = F.struct(F.xxhash64("node", F.lit("pivot")), "node")
+    nodes = saved(marked.groupBy("node").agg(F.first("_md5").alias("_md5"), F.first("bands").alias("bands")), "nodes")
+    bands = nodes.select(F.explode("bands").alias("band"), "node")
+    shared = bands.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
+    met = bands.join(shared, "band", "left_semi").select("node").distinct()
+    sets = saved(_sets(docs, nodes.join(met, "node", "left_semi").select("_md5"), text_col), "sets")
+    rows = saved(_prefixes(sets, similarity), "prefixes")
+    labels = saved(rows.select("node").distinct().withColumn("root", F.col("node")), "labels")
+    # the largest partner that the rest allows
+    reach = F.floor(F.col("rest") * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
+    rank = F.struct((F.col("own") / F.col("size")).alias("own"), F.xxhash64("node", F.lit("pivot")).alias("lot"), "node")
     others = 0
     while True:
-        met = rows.join(labels, "node")
-        per = met.groupBy("band", "root").agg(F.count("*").alias("_n"))
-        main = per.groupBy("band").agg(F.count("*").alias("_sets"), F.max(F.struct("_n", "root")).alias("_main")).filter("_sets > 1")
-        met = saved(met.join(main.select("band", F.col("_main.root").alias("_main")), "band"), "met")
+        met = rows.join(labels, "node").withColumn("_reach", reach).withColumn("_rank", rank)
+        per = met.groupBy("shingle", "root").agg(F.count("*").alias("_n"), F.min("_rank").alias("_first"), F.min("size").alias("_least"), F.max("_reach").alias("_most"))
+        main = per.groupBy("shingle").agg(
+            F.count("*").alias("_sets"),
+            F.min(F.struct((-F.col("_n")).alias("n"), "_first", "root")).alias("_main"),
+            F.min("_least").alias("_least"),
+            F.max("_most").alias("_most"),
+        )
+        main = main.filter("_sets > 1").select("shingle", F.col("_main.root").alias("_main"), "_least", "_most")
+        fits = (F.col("_reach") >= F.greatest("_least", F.ceil(F.col("size") * similarity - 1e-9))) & (F.col("_most") >= F.col("size"))
+        met = saved(met.join(main, "shingle").filter(fits).drop("_least", "_most"), "met")
         slot = F.when(F.col("root") == F.col("_main"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.lit(max(1, others))).cast("int"))
         pivots = met.withColumn("_slot", slot).filter(F.lit(others > 0) | (F.col("_slot") < 0))
-        pivots = pivots.groupBy("band", "_slot").agg(F.min(F.struct(rank.alias("rank"), "node", "size", "root")).alias("_p"))
-        pivots = saved(pivots.select("band", F.col("_p.node").alias("_pn"), F.col("_p.size").alias("_ps"), F.col("_p.root").alias("_pr")), "pivots")
+        pivots = pivots.groupBy("shingle", "_slot").agg(F.min(F.struct("_rank", "node", "size", "rest", "root")).alias("_p"))
+        pivots = saved(pivots.select("shingle", *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in ("node", "size", "rest", "root")]), "pivots")
         if pivots.isEmpty():
-            return labels
-        near_size = F.least("size", "_ps") >= F.greatest("size", "_ps") * F.lit(similarity)
-        pairs = met.join(pivots, "band").filter((F.col("root") != F.col("_pr")) & near_size)
-        pairs = pairs.select(F.greatest("node", "_pn").alias("a"), F.least("node", "_pn").alias("b")).distinct()
-        likely = saved(_pairs_where(pairs, sigs, "sig", _likely), "likely")
-        near = lambda x, y: jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity
-        found = saved(_pairs_where(likely, sets, "set", near), "near")
+            if met.isEmpty():
+                return labels
+            others = max(4, 2 * others)  # the main sets have no row that fits; go on with the rest
+            rows = met.select(*rows.columns)
+            continue
+        size, rest = F.col("size") + F.col("_p_size"), F.least("rest", "_p_rest")
+        room = (rest * (1 + similarity) + 1e-6 >= size * similarity) & (F.least("size", "_p_size") >= F.greatest("size", "_p_size") * similarity - 1e-9)
+        left, right = met.alias("m"), pivots.alias("p")
+        pairs = left.join(right, (F.col("m.shingle") == F.col("p.shingle")) & (F.col("root") != F.col("_p_root")) & room)
+        pairs = pairs.select(F.greatest("node", "_p_node").alias("a"), F.least("node", "_p_node").alias("b")).distinct()
+        found = saved(_near_pairs(pairs, sets, similarity), "near")
         if not found.isEmpty():
             roots = [labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
             edges = found.join(roots[0], "a").join(roots[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
             merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("_to"))
             labels = saved(labels.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
-        done = pivots.select("band", F.col("_pn").alias("node"))
-        rows = saved(met.select("band", "node", "size").join(done, ["band", "node"], "left_anti"), "bands")
+        done = pivots.select("shingle", F.col("_p_node").alias("node"))
+        rows = saved(met.select(*rows.columns).join(done, ["shingle", "node"], "left_anti"), "rows")
         others = max(4, 2 * others)
 
 
@@ -389,7 +428,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per (_id, _md5) of ``docs``: ``_group`` numbers its group of near copies, ``_keep`` marks one per group.
 
     Two texts are linked if the Jaccard index of their sets of five-word shingles is ``similarity`` or more.
-    MinHash bands only propose pairs; each is confirmed by its sets. Vantage-point trees cannot propose
+    MinHash bands and rare shingles only propose pairs; each is confirmed by its sets. Vantage-point trees cannot propose
     them: at that index SimHashes differ by about ten bits, a radius at which trees prune nothing.
     """
     made = saved(_marked(docs, id_col, text_col), "marked")

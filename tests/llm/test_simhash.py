@@ -134,3 +134,26 @@ def test_near_duplicates_are_jaccard_of_five_words(spark):
     group = {r._id: r._group for r in simhash.near_duplicates(table(spark, texts)).collect()}
     first = {}
     assert [first.setdefault(group[i], i) for i in range(len(texts))] == root
+
+
+def test_crowds_cost_no_pairs(spark, monkeypatch):
+    """Texts that share a passage, or descend from one text with too many changes, meet few others each."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 7))) for _ in range(6000)]
+    passage, base = rnd.choices(words, k=70), rnd.choices(words, k=150)
+    pool = [rnd.choices(words, k=15) for _ in range(60)]
+    texts = [" ".join(passage + sum(rnd.sample(pool, 2), [])) for _ in range(1000)]  # 0.6 or so to each other
+    for _ in range(1000):
+        t = list(base)
+        for at in rnd.sample(range(150), rnd.randint(1, 7)):
+            t[at] = rnd.choice(words)
+        texts.append(" ".join(t))
+    texts.append(" ".join(base))
+    seen = []
+    real = simhash._near_pairs
+    monkeypatch.setattr(simhash, "_near_pairs", lambda pairs, *rest: (seen.append(pairs.count()), real(pairs, *rest))[1])
+    group = {r._id: r._group for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    sets = [five_words(t) for t in texts]
+    near_base = [i for i in range(1000, 2001) if len(sets[i] & sets[2000]) >= 0.8 * len(sets[i] | sets[2000])]
+    assert len(near_base) > 300 and {group[i] for i in near_base} == {group[2000]}
+    assert sum(seen) < 40 * len(texts), seen  # of 1,000,000 pairs within the two crowds
