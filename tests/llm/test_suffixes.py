@@ -64,3 +64,28 @@ def test_runs():
     assert h[0] == h[3] and len(set(h.tolist())) == 4 and len(suffixes.run_hashes(words, 8)) == 0
     values = np.array([5, 1, 1, 7, 0, 9], np.uint64)
     assert suffixes.minimisers(values, 3).tolist() == [1, 1, 4, 4]
+
+
+def test_neighbours_across_partitions(spark):
+    """Stretches of one key over many partitions, of one text and of several."""
+    rnd = random.Random(6)
+    for shape in ([(1, 400)], [(1, 200), (1, 200)], [(5, 60), (9, 3), (40, 1)], [(300, 1)], [(1, 30)] * 12):
+        rows, text = [], 0
+        for key, (n_texts, per) in enumerate(shape):
+            for _ in range(n_texts):
+                text += 1
+                rows += [(key % 7 - 3, key, text, at) for at in range(rnd.randint(1, per))]
+        rows += [(9, 9, 1, 0), (9, 10, 2, 0), (10, 0, 3, 1), (10, 0, 3, 2)]
+        texts = defaultdict(set)
+        for a, b, t, _ in rows:
+            texts[a, b].add(t)
+        want = sorted((t, at) for a, b, t, at in rows if len(texts[a, b]) > 1)
+        frame = local_table(spark, rows, "_head long, _h long, _text long, _place int").repartition(3)
+        for parts in ("1", "2", "23"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+            try:
+                assert sorted(map(tuple, suffixes.neighbours(frame, ["_head", "_h"], "_place").collect())) == want
+            finally:
+                spark.conf.set("spark.sql.shuffle.partitions", "4")
+                spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
