@@ -53,10 +53,10 @@ def integer_vectors(vectors: DataFrame, size: int = 64, scale: int = 1024, id_co
     return kept.select("vec_id", F.when(far, told.cast("array<bigint>")).otherwise(F.col("v")).alias("v"))
 
 
-def first_vectors(kept: DataFrame, k: int, rank: Column) -> np.ndarray:
+def first_vectors(kept: DataFrame, k: int, rank: Column, size: int) -> np.ndarray:
     """The ``k`` vectors of the lowest ``rank``, as rows of an array."""
     rows = kept.select("v", rank.alias("_rank")).orderBy(F.col("_rank").asc_nulls_last(), "v").limit(k).collect()
-    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["v"] for r in rows], np.int64).reshape(len(rows), size)
 
 
 def seed_rank(seed: str) -> Column:
@@ -170,8 +170,8 @@ def clusters(vectors: DataFrame, k: int = 8, rounds: int = 10, seed: str = "3",
     the centroids that a vector was compared with in the last assignment; the others were pruned.
     """
     kept = integer_vectors(vectors, size, scale, id_col, vector_col)
-    centres = first_vectors(kept, k, seed_rank(seed))
-    pivot_points, pairs = pivots(first_vectors(kept, PIVOT_SAMPLE, seed_rank(f"pivot {seed}")))
+    centres = first_vectors(kept, k, seed_rank(seed), size)
+    pivot_points, pairs = pivots(first_vectors(kept, PIVOT_SAMPLE, seed_rank(f"pivot {seed}"), size))
     stored = _stored(kept, pivot_points)
     for _ in range(rounds if len(centres) else 0):
         sums = _assigned(stored, centres, pivot_points, pairs, size, _Sums(len(centres), size), "cluster int, n bigint, total array<string>")
