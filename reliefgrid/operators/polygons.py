@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.operators.boxes import box_pairs
 from reliefgrid.operators.regions import region_labels
 from reliefgrid.operators.rings import RING_KEY, ring_table, trace_rings
 from reliefgrid.operators.tiles import TILE_BITS
@@ -260,25 +261,23 @@ def point_in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
 
 
 def invalid_rings(rings: DataFrame) -> DataFrame:
-    """Rings that repeat a point or whose edges cross or touch elsewhere than at shared ends."""
+    """Rings that repeat a point or whose edges cross or touch elsewhere than at shared ends.
+
+    Edges meet by their boxes, in cells as large as the larger of two (:func:`box_pairs`), so one long edge among many
+    short ones costs a row for each of them and no more.
+    """
     key = [*poly_key(rings), "ring_id"]
     r = with_next(rings)
     repeated = r.groupBy(*key, "x", "y").agg(F.count("*").alias("n")).filter("n > 1").select(*key)
     short = r.groupBy(*key).agg(F.count("*").alias("n")).filter("n < 3").select(*key)
-    e = r.select(*key, F.col("seq").alias("s"), *[F.col(c) for c in ("x", "y", "nx", "ny")])
-    size = e.groupBy(*key).agg(
-        F.greatest(F.avg(F.abs(F.col("nx") - F.col("x"))), F.avg(F.abs(F.col("ny") - F.col("y")))).alias("_h"),
-        (F.max("s") + 1).alias("_n"),
-    )
-    sized = attach(e, size, key).filter("_h > 0")
-
-    def span(p: str, q: str) -> Column:
-        return F.sequence(F.floor(F.least(p, q) / F.col("_h")), F.floor(F.greatest(p, q) / F.col("_h")))
-
-    grid = sized.withColumn("gx", F.explode(span("x", "nx"))).withColumn("gy", F.explode(span("y", "ny")))
-    a = grid.select(*key, "gx", "gy", "_n", *[F.col(c).alias(f"a_{c}") for c in ("s", "x", "y", "nx", "ny")])
-    b = grid.select(*key, "gx", "gy", *[F.col(c).alias(f"b_{c}") for c in ("s", "x", "y", "nx", "ny")])
-    pairs = a.join(b, [*key, "gx", "gy"]).filter("a_s < b_s")
+    size = r.groupBy(*key).agg((F.max("seq") + 1).alias("_n"))
+    ends = [f(p, q).alias(f"{e}_{p}") for e, f in (("lo", F.least), ("hi", F.greatest)) for p, q in (("x", "nx"), ("y", "ny"))]
+    e = attach(r.select(*key, F.col("seq").alias("s"), "x", "y", "nx", "ny", *ends), size, key)
+    # each pair of edges whose boxes meet once, the earlier edge first
+    met = box_pairs(e, key, "xy", "s").withColumn("_f", F.col("a.s") < F.col("b.s"))
+    first, second = (F.when(F.col("_f"), F.col(p)).otherwise(F.col(q)) for p, q in (("a", "b"), ("b", "a")))
+    met = met.select(*key, first.alias("_a"), second.alias("_b"))
+    pairs = met.select(*key, F.col("_a._n").alias("_n"), *[F.col(f"_{p}.{c}").alias(f"{p}_{c}") for p in "ab" for c in ("s", "x", "y", "nx", "ny")])
 
     def turn(p, q, t) -> Column:
         return F.signum(

@@ -248,3 +248,21 @@ def test_compat_pieces_match_the_definition(make, spark, seed, share):
                 inside = inside | hit if role == "exterior" else inside & ~hit
         got |= inside
     assert (got != want).mean() < 0.02
+
+
+def test_one_long_edge_among_many_short_ones(spark):
+    """A staircase closed by one diagonal: rows in proportion to the edges, and the right answer."""
+    from reliefgrid.operators.boxes import box_pairs
+
+    n = 1500
+    steps = [(k, k + j) for k in range(n) for j in (0, 1)]  # ends at (n-1, n); the closing edge runs along all steps
+    rows = [(1, 1, "exterior", k, float(x), float(y)) for k, (x, y) in enumerate(steps)]
+    rows += [(2, 2, "exterior", k, float(x), float(y) - (0.5 if k == 0 else 0)) for k, (x, y) in enumerate(steps)]
+    schema = "poly_id long, ring_id long, role string, seq int, x double, y double"
+    rings = local_table(spark, rows, schema).repartition(3)
+    e = polygons.with_next(rings)
+    ends = [f(p, q).alias(f"{b}_{p}") for b, f in (("lo", F.least), ("hi", F.greatest)) for p, q in (("x", "nx"), ("y", "ny"))]
+    assert box_pairs(e.select("ring_id", "seq", *ends), ["ring_id"], "xy", "seq").count() < 2 * 2 * (2 * 2 * n)
+    assert polygons.invalid_rings(rings).count() == 2
+    fine = [(1, 1, "exterior", k, float(x), float(y)) for k, (x, y) in enumerate([*steps, (n, -1)])]
+    assert polygons.invalid_rings(local_table(spark, fine, schema)).count() == 0

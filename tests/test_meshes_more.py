@@ -150,7 +150,7 @@ def test_crossing_triangles_of_many_sizes(spark):
     points, faces = [], []
     for size, n in ((1, 100), (3, 40), (20, 6), (0, 5)):
         for _ in range(n):
-            base = g.integers(-9, 9, 3)
+            base = g.integers(-4, 4, 3)
             points += [tuple(base + g.integers(0, size + 1, 3)) for _ in range(3)]
             faces.append((len(points) - 3, len(points) - 2, len(points) - 1))
     faces.append((0, 1, 4))  # shares vertices with two others
@@ -159,13 +159,13 @@ def test_crossing_triangles_of_many_sizes(spark):
     i, j = np.triu_indices(len(faces), 1)
     near = ~apart(p[i], p[j])
     want = {(a, b) for a, b in zip(i[near].tolist(), j[near].tolist()) if not set(faces[a]) & set(faces[b])}
-    assert got == want and len(want) > 50
+    assert got == want and len(want) > 30
 
 
 def test_a_large_triangle_costs_no_more_rows(spark):
     from pyspark.sql import functions as F
 
-    from reliefgrid.operators.crossings import box_pairs
+    from reliefgrid.operators.boxes import box_pairs
 
     rows = [("m", i, float(i), 0.0, 0.0, i + 0.5, 0.5, 0.5) for i in range(2000)] + [("m", 9999, 0.0, 0.0, 0.0, 2000.0, 1.0, 1.0)]
     names = [f"{e}_{c}" for e in ("lo", "hi") for c in "xyz"]
