@@ -237,3 +237,31 @@ def points_in_polygons(spark, sf):
         (k * 20 + (F.col("c_custkey") * 7 % 100) / 10.0).alias("x"), ((F.col("c_custkey") * 13 % 90) / 10.0).alias("y"),
     )
     return Y.point_in_polygon(pts, nation_squares(spark, sf)).withColumns({"x": F.round("x", 6), "y": F.round("y", 6)})
+
+
+_COMB = (
+    "tk as (select c_custkey - 1 as k, max(c_custkey) over () as n from customer)",
+    "tt as (select k*4 + j as seq, k + a as x, b as y from tk, (values (0, 0.0::double, 0.0::double), (1, 0.0, 8.0), (2, 0.5, 8.0), (3, 0.5, 0.0)) t(j, a, b) union all "
+    "select n*4 + j, n*a, b from (select distinct n from tk), (values (0, 1.0::double, 0.0::double), (1, 1.0, -1.0), (2, 0.0, -1.0)) t(j, a, b))",
+    "te as (select *, coalesce(lead(x) over (order by seq), first_value(x) over (order by seq)) as nx, coalesce(lead(y) over (order by seq), first_value(y) over (order by seq)) as ny from tt)",
+    "tp as (select o_orderkey, (o_orderkey*7 % (n*4 + 8))/4.0::double - 1 as x, (o_orderkey % 41)/4.0::double - 1.5 as y from orders, (select distinct n from tk))",
+    "ts as (select o_orderkey, tp.x as px, tp.y as py, (nx - te.x)*(tp.y - te.y) - (ny - te.y)*(tp.x - te.x) as s, te.* from tp, te where tp.y between least(te.y, ny) and greatest(te.y, ny))",
+)
+
+
+@query("C16 J6", with_(*_COMB) + """select 1::bigint as poly_id, o_orderkey, any_value(px) as x, any_value(py) as y from ts group by o_orderkey
+ having not bool_or(s = 0 and px between least(x, nx) and greatest(x, nx)) and (count(*) filter ((y > py) <> (ny > py) and ((ny > y and s > 0) or (ny < y and s < 0)))) % 2 = 1""")
+def points_in_a_comb(spark, sf):
+    """One tooth per customer: nearly all edges lie beside every point."""
+    k = table(spark, sf, "customer").select((F.col("c_custkey") - 1).alias("k"))
+    n = k.agg((F.max("k") + 1).alias("n"))
+    one = [F.lit(1).cast("long").alias("poly_id"), F.lit(1).cast("long").alias("ring_id"), F.lit("exterior").alias("role")]
+    tooth = F.array(*[F.struct((F.col("k") + a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.0, 0.0), (0.0, 8.0), (0.5, 8.0), (0.5, 0.0))])
+    base = F.array(*[F.struct((F.col("n") * a).alias("x"), F.lit(b).alias("y")) for a, b in ((1.0, 0.0), (1.0, -1.0), (0.0, -1.0))])
+    rings = k.select(*one, "k", F.posexplode(tooth).alias("j", "p")).unionByName(n.select(*one, F.col("n").alias("k"), F.posexplode(base).alias("j", "p")))
+    rings = rings.select("poly_id", "ring_id", "role", (F.col("k") * 4 + F.col("j")).cast("int").alias("seq"), "p.x", "p.y")
+    o = F.col("o_orderkey")
+    points = table(spark, sf, "orders").crossJoin(F.broadcast(n)).select(
+        F.lit(1).cast("long").alias("poly_id"), o, ((o * 7 % (F.col("n") * 4 + 8)) / 4.0 - 1).alias("x"), ((o % 41) / 4.0 - 1.5).alias("y")
+    )
+    return Y.point_in_polygon(points, rings)

@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.operators.boxes import box_pairs
+from reliefgrid.operators.containment import edges_to_the_right
 from reliefgrid.operators.regions import region_labels
 from reliefgrid.operators.rings import RING_KEY, ring_table, trace_rings
 from reliefgrid.operators.tiles import TILE_BITS
 from reliefgrid.runtime import attach, cut
 
+#: Edges in a band from which a polygon is searched by dyadic intervals.
+BAND_EDGES = 64
 #: Share of hole area from which a polygon is taken as solid.
 SOLID_SHARE = 0.60
 
@@ -219,14 +222,29 @@ def point_in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
 
     ``points`` carries the polygon key and ``x, y``. Edges and points meet in horizontal bands as
     high as the polygon's mean edge height, so the edges are copied about twice in total, and a
-    point meets only the edges of its band.
+    point meets only the edges of its band. Polygons with more than ``BAND_EDGES`` edges in a band, as in a comb, are
+    searched by dyadic intervals (:func:`edges_to_the_right`), which meet few edges whatever lies beside them.
     """
     key = poly_key(rings)
+    given = points.columns
+    # equal points are searched once
+    points = points.groupBy(*given).agg(F.count("*").alias("_times"))
     outer = (F.col("role") == "exterior").alias("_outer") if "role" in rings.columns else F.lit(True).alias("_outer")
     edges = with_next(rings).select(*key, outer, *[F.col(c).alias(f"e{c}") for c in ("x", "y", "nx", "ny")])
     edges = edges.filter("ex <> enx or ey <> eny")
-    bands = edges.groupBy(*key).agg(F.avg(F.abs(F.col("eny") - F.col("ey"))).alias("_h"), F.min("ey").alias("_y0"))
+    rise = F.abs(F.col("eny") - F.col("ey"))
+    bands = edges.groupBy(*key).agg(F.avg(rise).alias("_h"), F.min("ey").alias("_y0"), F.max("ey").alias("_y1"), F.count("*").alias("_n"))
     bands = bands.withColumn("_h", F.when(F.col("_h") > 0, F.col("_h")).otherwise(1.0))
+    # an edge is in two bands or so
+    crowded = F.col("_n") * 2 > ((F.col("_y1") - F.col("_y0")) / F.col("_h") + 1) * BAND_EDGES
+    bands = cut(bands.withColumn("_crowded", crowded).drop("_y1", "_n"))
+    beside = None
+    if not bands.filter("_crowded").isEmpty():
+        many = bands.filter("_crowded").select(*key)
+        listed = cut(points.join(many, key, "left_semi").dropna(subset=["x", "y"]).distinct().withColumn("_pid", F.monotonically_increasing_id()))
+        found = edges_to_the_right(listed, edges.join(many, key, "left_semi"), key)
+        beside = listed.join(found.filter("_n % 2 = 1 and _h % 2 = 0 and not _on"), "_pid").select(*points.columns)
+    bands = bands.filter("not _crowded").drop("_crowded")
 
     def band(y: Column) -> Column:
         return F.floor((y - F.col("_y0")) / F.col("_h"))
@@ -257,7 +275,9 @@ def point_in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
         # holes are counted apart: one may reach beyond its exterior
         .filter((F.col("_n") % 2 == 1) & (F.col("_h") % 2 == 0) & ~F.col("_on"))
     )
-    return hits.select("_p.*")
+    inside = hits.select("_p.*")
+    inside = inside if beside is None else inside.unionByName(beside)
+    return inside.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*given)
 
 
 def invalid_rings(rings: DataFrame) -> DataFrame:

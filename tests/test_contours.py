@@ -266,3 +266,57 @@ def test_one_long_edge_among_many_short_ones(spark):
     assert polygons.invalid_rings(rings).count() == 2
     fine = [(1, 1, "exterior", k, float(x), float(y)) for k, (x, y) in enumerate([*steps, (n, -1)])]
     assert polygons.invalid_rings(local_table(spark, fine, schema)).count() == 0
+
+
+def even_odd(x, y, ring):
+    inside = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        side = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if side == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return None
+        if (ay > y) != (by > y) and ((side > 0) if by > ay else (side < 0)):
+            inside = not inside
+    return inside
+
+
+@pytest.mark.parametrize("limit", [64, 0])
+def test_point_in_polygon_by_definition(spark, limit, monkeypatch):
+    """Combs, slanted combs, spirals, crossing rings and holes; with ``limit`` 0 all go by dyadic intervals."""
+    monkeypatch.setattr(polygons, "BAND_EDGES", limit)
+    g = np.random.default_rng(8)
+    comb = [p for k in range(150) for p in ((k, 0.0), (k, 8.0), (k + 0.5, 8.0), (k + 0.5, 0.0))] + [(150.0, 0.0), (150.0, -1.0), (0.0, -1.0)]
+    slant = [p for k in range(120) for p in ((k, 0.0), (k + 2.5, 8.0 + k % 3))] + [(125.0, -1.0), (0.0, -1.0)]
+    star = [(float(x), float(y)) for x, y in g.integers(0, 30, (40, 2))]  # crosses itself
+    parts = [(1, 1, "exterior", comb), (2, 2, "exterior", slant), (3, 3, "exterior", star), (4, 4, "exterior", [(0, 0), (20, 0), (20, 20), (0, 20)]), (4, 5, "hole", [(5, 5), (25, 6), (9, 15)]), (4, 6, "hole", [(1, 1), (1, 3), (3, 3), (3, 1)])]
+    rings = poly(spark, *parts).repartition(3)
+    points = [(k, float(x), float(y)) for k in (1, 2, 3, 4) for x, y in np.concatenate([g.integers(-2, 300, (200, 2)) / [2, 30], g.uniform(-1, 30, (100, 2)), g.integers(0, 26, (150, 2))])]
+    points += [(k, float(x), float(y)) for k, _, _, ring in parts for x, y in ring[:20]] + [(9, 1.0, 1.0), (1, None, 2.0)]
+    frame = local_table(spark, points, "poly_id long, x double, y double").repartition(3)
+    got = sorted(tuple(r) for r in polygons.point_in_polygon(frame, rings).collect())
+    want = []
+    for k, x, y in points:
+        if x is not None:
+            inside = [even_odd(x, y, ring) for p, _, role, ring in parts if p == k and role == "exterior"]
+            holes = [even_odd(x, y, ring) for p, _, role, ring in parts if p == k and role == "hole"]
+            if None not in inside + holes and sum(inside) % 2 == 1 and sum(holes) % 2 == 0:
+                want.append((k, x, y))
+    assert got == sorted(want) and len(want) > 300
+
+
+def test_a_comb_costs_no_pairs(spark, monkeypatch):
+    """Of 100,000 teeth a point meets those it stands between."""
+    from reliefgrid.operators import containment
+
+    n = 100_000
+    teeth = spark.range(n).select(F.lit(1).cast("long").alias("poly_id"), F.lit(1).cast("long").alias("ring_id"), F.lit("exterior").alias("role"), F.posexplode(F.array(*[F.struct((F.col("id") + a).alias("x"), F.lit(b).alias("y")) for a, b in ((0.0, 0.0), (0.0, 8.0), (0.5, 8.0), (0.5, 0.0))])).alias("j", "p"), "id")
+    base = local_table(spark, [(1, 1, "exterior", 4 * n, float(n), 0.0), (1, 1, "exterior", 4 * n + 1, float(n), -1.0), (1, 1, "exterior", 4 * n + 2, 0.0, -1.0)], "poly_id long, ring_id long, role string, seq int, x double, y double")
+    rings = teeth.select("poly_id", "ring_id", "role", (F.col("id") * 4 + F.col("j")).cast("int").alias("seq"), "p.x", "p.y").unionByName(base)
+    points = spark.range(2000).select(F.lit(1).cast("long").alias("poly_id"), (F.col("id") * 49.99 + 0.25 * (F.col("id") % 4)).alias("x"), (F.col("id") % 9 - 0.5).alias("y"))
+    rows = []
+    real = containment.cut
+    monkeypatch.setattr(containment, "cut", lambda df: (lambda out: (rows.append((out.columns, out.count())), out)[1])(real(df)))
+    got = {(r.x, r.y) for r in polygons.point_in_polygon(points, rings).collect()}
+    want = {(r.x, r.y) for r in points.collect() if -1 < r.y < 0 or (0 < r.y < 8 and 0 < r.x % 1 < 0.5)}
+    assert got == {p for p in want if p[0] > 0}
+    asks = [c for names, c in rows if "_pid" in names and "_k" in names]
+    assert asks and asks[0] < 40 * 2000
