@@ -167,6 +167,14 @@ def simplified_totals(spark, sf):
     )
 
 
+@query("C9 C11", with_(*_SUM_ROLES, recursive=True) + "select level_idx::int as level_idx, count(*)::bigint as rings, 0::bigint as invalid from role group by 1")
+def simplified_rings_are_valid(spark, sf):
+    p = Y.slice_polygons(summed_heights(spark, sf), levels(spark, SUM_LEVELS), max_segments=60)
+    rings = p.select("level_idx", "poly_id", "ring_id").distinct().groupBy("level_idx").agg(F.count("*").alias("rings"))
+    bad = Y.invalid_rings(p).groupBy("level_idx").agg(F.count("*").alias("invalid"))
+    return rings.join(bad, "level_idx", "left").select("level_idx", "rings", F.coalesce("invalid", F.lit(0)).alias("invalid"))
+
+
 @query("C13")
 def compat_slices(spark, sf):
     p = Y.slice_polygons(summed_heights(spark, sf), levels(spark, SUM_LEVELS), 1e-2, 0.01, mode="compat")

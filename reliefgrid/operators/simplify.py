@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from reliefgrid.operators.polygons import level_key, poly_key, with_next
+from reliefgrid.operators.boxes import box_pairs
+from reliefgrid.operators.polygons import level_key, point_in_polygon, poly_key, with_next
 from reliefgrid.runtime import attach, cut
 
 #: Chains up to this many points are simplified in one call; longer ones are split first.
@@ -206,14 +207,89 @@ def _distributed_rounds(rings: DataFrame, key: list[str], start: float, wanted,
         rings = cut(rings.join(long, key, "left_anti").unionByName(shorter))
 
 
-def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int = 100) -> DataFrame:
+def _edges(kept: DataFrame, key: list[str], sizes: DataFrame) -> DataFrame:
+    """Edges of rings given by the places ``o`` of their points: from ``o`` to ``b`` (beyond the last place on the way round)."""
+    row = renumber(kept.withColumn("seq", F.col("o")), key)
+    ahead = row.select(*key, (F.col("seq") - 1).alias("seq"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("o").alias("b"))
+    first = ahead.filter("seq = -1").drop("seq")
+    linked = row.join(ahead, [*key, "seq"], "left")
+    last = linked.filter("b is null").drop("nx", "ny", "b").join(first, key).join(sizes, key).withColumn("b", F.col("b") + F.col("_size")).drop("_size")
+    return linked.filter("b is not null").unionByName(last)
+
+
+def _clashes(edges: DataFrame, by: list[str], key: list[str]) -> DataFrame:
+    """Edges that stand for more than one step and cross or touch another edge of their level (``key, o, b``)."""
+    own = [c for c in key if c not in by]
+    ends = [f(p, q).alias(f"{e}_{p}") for e, f in (("lo", F.least), ("hi", F.greatest)) for p, q in (("x", "nx"), ("y", "ny"))]
+    named = edges.select(*by, F.struct(*own).alias("ring"), F.struct(*own, "seq").alias("id"), "o", "b", "x", "y", "nx", "ny", *ends)
+    met = box_pairs(named, by, "xy", "id").filter("a.b - a.o > 1 or b.b - b.o > 1")
+
+    def turn(p: tuple[str, str], q: tuple[str, str], t: tuple[str, str]):
+        (px, py), (qx, qy), (tx, ty) = ([F.col(c) for c in point] for point in (p, q, t))
+        return F.signum((qx - px) * (ty - py) - (qy - py) * (tx - px))
+
+    start, end = {s: (f"{s}.x", f"{s}.y") for s in "ab"}, {s: (f"{s}.nx", f"{s}.ny") for s in "ab"}
+    d1, d2 = turn(start["a"], end["a"], start["b"]), turn(start["a"], end["a"], end["b"])
+    d3, d4 = turn(start["b"], end["b"], start["a"]), turn(start["b"], end["b"], end["a"])
+
+    def same(p: tuple[str, str], q: tuple[str, str]):
+        return (F.col(p[0]) == F.col(q[0])) & (F.col(p[1]) == F.col(q[1]))
+
+    # edges with a common end are neighbours, or met there before: they clash where they run back along each other
+    ahead = same(end["a"], start["b"]) | same(end["b"], start["a"])
+    joined = ahead | same(start["a"], start["b"]) | same(end["a"], end["b"])
+    dot = (F.col("a.nx") - F.col("a.x")) * (F.col("b.nx") - F.col("b.x")) + (F.col("a.ny") - F.col("a.y")) * (F.col("b.ny") - F.col("b.y"))
+    folded = (d1 == 0) & (d2 == 0) & F.when(ahead, dot < 0).otherwise(dot > 0)
+    bad = met.filter(F.when(joined, folded).otherwise((d1 * d2 <= 0) & (d3 * d4 <= 0)))
+    sides = bad.select(*by, F.explode(F.array("a", "b")).alias("e")).filter("e.b - e.o > 1")
+    return sides.select(*by, "e.ring.*", "e.o", "e.b").distinct()
+
+
+def keep_valid(points: DataFrame, simplified: DataFrame) -> DataFrame:
+    """``simplified`` rings of ``points`` with as many of their points given back as their level needs to stay free of crossings.
+
+    Round by round the simplified edges that cross or touch another edge of their level, of whatever ring, get back the points
+    that they stand for, and exteriors those of all their edges if a hole has come to lie outside, until no edge is left that does. What crossed
+    before is not mended. Rings whose points are all there cost nothing further.
+    """
+    key, by = [*poly_key(points), "ring_id"], level_key(points)
+    given = points.select(*key, "role", F.col("seq").cast("int").alias("o"), "x", "y")
+    if not by:
+        by, key = ["_level"], ["_level", *key]
+        given, simplified = given.withColumn("_level", F.lit(0)), simplified.withColumn("_level", F.lit(0))
+    sizes = given.groupBy(*key).agg(F.count("*").cast("int").alias("_size"))
+    given = cut(given)
+    kept = cut(simplified.select(*key, "x", "y").join(given, [*key, "x", "y"]).select(*given.columns))
+    while True:
+        edges = cut(_edges(kept, key, sizes))
+        thin = edges.filter("b - o > 1").select(*by).distinct()
+        inner = edges.join(thin, by, "left_semi")
+        back = _clashes(inner, by, key)
+        # a hole whose first point isn't inside its exterior any more
+        poly = [c for c in key if c != "ring_id"]
+        corner = inner.filter("role <> 'exterior' and seq = 0").select(*poly, "x", "y", "ring_id")
+        held = point_in_polygon(corner, inner.filter("role = 'exterior'").select(*poly, "ring_id", "role", "seq", "x", "y", "nx", "ny"))
+        lost = corner.join(held.select(*poly, "ring_id"), [*poly, "ring_id"], "left_anti").select(*poly).distinct()
+        outer = inner.filter("role = 'exterior' and b - o > 1").join(lost, poly, "left_semi").select(*key, "o", "b")
+        back = cut(back.unionByName(outer.select(*back.columns)).distinct())
+        if back.isEmpty():
+            break
+        places = back.join(sizes, key).select(*key, F.explode(F.sequence(F.col("o") + 1, F.col("b") - 1)).alias("_o"), "_size")
+        places = places.select(*key, (F.col("_o") % F.col("_size")).cast("int").alias("o")).distinct()
+        kept = cut(kept.unionByName(given.join(places, [*key, "o"]).select(*kept.columns)).distinct())
+    out = edges.select(*key, "role", "seq", "x", "y", "nx", "ny")
+    return out.drop("_level")
+
+
+def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int = 100, valid: bool = True) -> DataFrame:
     """Simplify all rings of a level until its longest exterior has at most ``max_segments`` points.
 
     Each round adds 0.1 to the tolerance (the first one used is 0.6) and works on the result of the
     round before. The rounds a level needs are the most that any of its exteriors needs, so one
     pass finds that number per ring and a second one applies it to all rings of the level. Rings
     too long for one task go through distributed rounds until they fit; rings of levels that need
-    no round pass through untouched. A level stops when no exterior can shrink further.
+    no round pass through untouched. A level stops when no exterior can shrink further. With ``valid`` the points
+    without which rings would cross stay (:func:`keep_valid`); exteriors may be that much longer.
     """
     key = [*poly_key(points), "ring_id"]
     lk = level_key(points)
@@ -257,4 +333,5 @@ def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int
 
     shrunk = active.filter("rounds > done").groupBy(*key).applyInPandas(shrink, untouched.select(
         *key, "role", "seq", "x", "y", "nx", "ny").schema)
-    return untouched.select(*shrunk.columns).unionByName(shrunk)
+    simplified = untouched.select(*shrunk.columns).unionByName(shrunk)
+    return keep_valid(points, simplified).select(*shrunk.columns) if valid else simplified

@@ -320,3 +320,67 @@ def test_a_comb_costs_no_pairs(spark, monkeypatch):
     assert got == {p for p in want if p[0] > 0}
     asks = [c for names, c in rows if "_pid" in names and "_k" in names]
     assert asks and asks[0] < 40 * 2000
+
+
+def crossings(rings):
+    """Pairs of edges of all rings (lists of points) that meet elsewhere than at common ends."""
+    e = np.array([(*p, *q) for r in rings for p, q in zip(r, r[1:] + r[:1])])
+    i, j = np.triu_indices(len(e), 1)
+    a, b = e[i], e[j]
+    turn = lambda px, py, qx, qy, tx, ty: np.sign((qx - px) * (ty - py) - (qy - py) * (tx - px))
+    d1, d2 = turn(*a.T, b[:, 0], b[:, 1]), turn(*a.T, b[:, 2], b[:, 3])
+    d3, d4 = turn(*b.T, a[:, 0], a[:, 1]), turn(*b.T, a[:, 2], a[:, 3])
+    boxes = np.ones(len(a), bool)
+    for k in (0, 1):
+        boxes &= (np.maximum(a[:, k], a[:, k + 2]) >= np.minimum(b[:, k], b[:, k + 2])) & (np.maximum(b[:, k], b[:, k + 2]) >= np.minimum(a[:, k], a[:, k + 2]))
+    joined = np.zeros(len(a), bool)
+    for p in (0, 2):
+        for q in (0, 2):
+            joined |= (a[:, p] == b[:, q]) & (a[:, p + 1] == b[:, q + 1])
+    return int((boxes & (d1 * d2 <= 0) & (d3 * d4 <= 0) & ~joined).sum())
+
+
+def test_simplified_rings_stay_valid(spark):
+    """Wiggly rings with holes and neighbours close to them, at tolerances that make them cross."""
+    g = np.random.default_rng(12)
+    t = np.linspace(0, 2 * np.pi, 240, endpoint=False)
+    parts = []
+    for k in range(3):
+        wave = 1.5 * np.sin(17 * t + k) + 0.8 * np.sin(41 * t)
+        ring = lambda r, cx=60.0 * k: [(float(cx + a), float(b)) for a, b in zip((r + wave) * np.cos(t), (r + wave) * np.sin(t))]  # noqa: E731, B023
+        parts += [(10 * k, 10 * k, "exterior", ring(20)), (10 * k, 10 * k + 1, "hole", ring(19.4)[::-1]), (10 * k + 5, 10 * k + 5, "exterior", ring(21.0 + 0.4 * g.random()))]
+        parts += [(10 * k + 6, 10 * k + 6, "exterior", ring(18.9))] if k else []
+    rings = poly(spark, *parts).repartition(3)
+    assert crossings([p[3] for p in parts]) == 0
+    loose = simplify.simplify_rings(rings, 0.5, 40, valid=False)
+    tight = simplify.simplify_rings(rings, 0.5, 40)
+    as_lists = lambda df: {k: [(r.x, r.y) for r in sorted(rows, key=lambda r: r.seq)] for k, rows in by_ring(df).items()}
+    found, before = as_lists(tight), as_lists(loose)
+    assert crossings(list(before.values())) > 10 and crossings(list(found.values())) == 0
+    assert polygons.invalid_rings(tight).count() == 0
+    for poly_id, ring_id, role, ring in parts:
+        have = found[poly_id, ring_id]
+        assert set(before[poly_id, ring_id]) <= set(have) <= set(ring) and [p for p in ring if p in set(have)] == have
+        if role == "hole":
+            assert all(even_odd(x, y, found[poly_id, poly_id]) for x, y in have)
+    assert sum(map(len, found.values())) < 0.9 * sum(len(p[3]) for p in parts)
+    assert {(r.x, r.y, r.nx, r.ny) for r in tight.collect()} == {(*p, *q) for r in found.values() for p, q in zip(r, r[1:] + r[:1])}
+
+
+def test_holes_stay_inside(spark):
+    """A pocket that simplification cuts off, with a hole in it that no edge crosses."""
+    outer = [(0, 0), (20, 0), (20, 9), (20.4, 9), (20.4, 11), (20, 11), (20, 20), (0, 20)] + [(0, float(y)) for y in range(19, 0, -1)]
+    hole = [(20.1, 9.5), (20.1, 10.5), (20.3, 10.5), (20.3, 9.5)]
+    r = poly(spark, (1, 1, "exterior", outer), (1, 2, "hole", hole))
+    loose = by_ring(simplify.simplify_rings(r, 0.5, 12, valid=False))
+    assert (20.4, 9.0) not in {(p.x, p.y) for p in loose[1, 1]}
+    tight = by_ring(simplify.simplify_rings(r, 0.5, 12))
+    ring = [(p.x, p.y) for p in sorted(tight[1, 1], key=lambda p: p.seq)]
+    assert all(even_odd(p.x, p.y, ring) for p in tight[1, 2])
+
+
+def by_ring(df):
+    out = {}
+    for r in df.collect():
+        out.setdefault((r.poly_id, r.ring_id), []).append(r)
+    return out
