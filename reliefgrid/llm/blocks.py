@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 #: Elements that begin and end a block of text. Fixed values of HTML.
@@ -41,6 +42,21 @@ def attributes(raw: str) -> dict[str, str]:
     return out
 
 
+def elements(page: str, name: str) -> Iterator[str]:
+    """The attributes of each element of that name, as they stand; none inside comments, scripts and the like."""
+    at = 0
+    while (m := _TOKEN.search(page, at)) is not None:
+        at = m.end()
+        if m[2] is None or m[1]:
+            continue
+        tag = m[2].lower()
+        if tag == name:
+            yield m[3]
+        elif tag in HIDDEN_TAGS and not m[3].rstrip().endswith("/"):
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = close.end() if close else (len(page) if tag in ("script", "style") else at)
+
+
 def blocks(page: str, named: bool = True) -> list[Block]:
     """The blocks of a page in order; character references decoded, white space inside a block made one space.
 

@@ -8,19 +8,21 @@ run gives the same records.
 
 Results: a null payload is empty and gives an empty conversion; null URI, date or headers leave their
 lines out; a null record id gives records without WARC-Refers-To; repeated responses give repeated
-records; an empty table gives an empty one. Line breaks in header values become spaces. Payload bytes
-that aren't UTF-8 are replaced in the text; digests are of the bytes as they are.
+records; an empty table gives an empty one. Line breaks in header values become spaces. Payloads are read in the
+charset of their Content-Type, else as UTF-8, what doesn't decode is replaced; digests are of the bytes as they are.
 """
 
 from __future__ import annotations
 
+import html
+import re
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.llm.blocks import blocks
+from reliefgrid.llm.blocks import attributes, blocks, elements
 from reliefgrid.llm.tables import saved
 
 END = "\r\n\r\n"
@@ -51,12 +53,35 @@ def plain_text(page: str) -> str:
     return "\n".join(b.text for b in blocks(page, named=False))
 
 
-def plain_texts(payload: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda b: plain_text(b.decode("utf-8", "replace")))
+def decoded(data: bytes, charset: str | None) -> str:
+    """The payload's text in the charset that its headers name; UTF-8 if that is none."""
+    try:
+        return data.decode(charset or "utf-8", "replace")
+    except LookupError:
+        return data.decode("utf-8", "replace")
 
-    return run(payload)
+
+def outlinks(page: str) -> list[str]:
+    """Targets of the page's links in order, references decoded, without white space around them or line breaks."""
+    found = (attributes(raw).get("href", "") for raw in elements(page, "a"))
+    return [link for link in (re.sub(r"[\r\n\t]", "", f).strip() for f in found) if link]
+
+
+def page_title(page: str) -> str:
+    m = re.search(r"<title[^>]*>(.*?)</title", page, re.S | re.I)
+    return " ".join(html.unescape(m[1]).split()) if m else ""
+
+
+def page_parts(payload: Column, http: Column) -> Column:
+    """``text``, ``title`` and ``links`` of a payload."""
+
+    @F.pandas_udf("text string, title string, links array<string>")
+    def run(pages: pd.Series, charsets: pd.Series) -> pd.DataFrame:
+        texts = [decoded(b, c or None) for b, c in zip(pages, charsets)]
+        return pd.DataFrame({"text": [plain_text(t) for t in texts], "title": [page_title(t) for t in texts], "links": [outlinks(t) for t in texts]})
+
+    charset = F.regexp_extract(F.coalesce(http, F.lit("")), r"(?im)^content-type:[^\r\n]*?charset=[\"']?([\w.:-]+)", 1)
+    return run(payload, charset)
 
 
 def page_responses(pages: DataFrame, date: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -91,9 +116,9 @@ def derivatives(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     declared = header(F.col("headers"), "WARC-Payload-Digest")
     # only digests of the same algorithm can be compared
     holds = F.when(declared.isNull() | ~F.startswith(F.lower(declared), F.lit("sha256:")), "unknown").when(F.lower(declared) == actual, "true").otherwise("false")
-    html = payload.cast("string")
-    title = F.trim(F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
-    links = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"'<>\r\n]*)"), F.lit(1)), lambda u: F.concat(F.lit("outlink: "), u))
+    responses = responses.withColumn("_page", page_parts(payload, F.col("http")))
+    title = F.col("_page.title")
+    links = F.transform(F.col("_page.links"), lambda u: F.concat(F.lit("outlink: "), u))
     told = lambda c, prefix: F.transform(F.filter(F.split(c, r"\r?\n"), lambda v: v != ""), lambda v: F.concat(F.lit(prefix), v))
     fields = F.concat_ws(
         "\r\n",
@@ -110,7 +135,7 @@ def derivatives(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         actual.alias("payload_digest"),
         F.array(
             F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), F.concat(fields, F.lit("\r\n")).alias("block")),
-            F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_texts(payload).alias("block")),
+            F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("_page.text").alias("block")),
         ).alias("_two"),
     )
     each = both.select(*keep, "refers_to", "target_uri", "date", "payload_digest", F.inline_outer("_two"))

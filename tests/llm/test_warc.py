@@ -100,3 +100,13 @@ def test_other_version_and_embedded_records(spark, tmp_path):
             assert [got[f"<urn:s-{k}>"][1] for k in range(3)] == [False, True, False] and got["<urn:s-1>"][0] == b"good"
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_links_title_and_charset(spark):
+    page = """<title>A &amp; B\n C</title><a href=/x>1</a><a class='k' href="/it's">2</a><A HREF='/q?a=1&amp;b=&#50;'>3</A><!-- <a href="/no"> -->
+    <script>var s = '<a href="/no">';</script><a name="top">4</a><a href=" /sp\nace ">5</a><a title="x > y" href="/z">6</a>"""
+    assert warc.outlinks(page) == ["/x", "/it's", "/q?a=1&b=2", "/space", "/z"] and warc.page_title(page) == "A & B C"
+    rows = [("<urn:uuid:1>", "u", None, "WARC-Type: response", f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset={c}", "<p>größe</p>".encode(e)) for c, e in (("ISO-8859-1", "latin-1"), ("utf-8", "utf-8"), ("nonsense", "utf-8"))]
+    rows.append(("<urn:uuid:2>", "u", None, None, None, "<p>größe</p>".encode()))
+    frame = local_table(spark, rows, "record_id string, target_uri string, date string, headers string, http string, payload binary")
+    assert [r.block for r in warc.derivatives(frame).filter("warc_type = 'conversion'").collect()] == ["größe"] * 4
