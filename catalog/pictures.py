@@ -9,7 +9,7 @@ from catalog.fixtures import ORDER_PIXELS, order_pixels, table, with_
 from reliefgrid.config import DEFAULT_COLOR_MAP, ImageSettings
 from reliefgrid.functions.color import PIXEL_MATRIX, RULE_MATRIX, delta_e, hex_to_rgb, rgb_to_hex, rgb_to_lab
 from reliefgrid.operators import pixels as P
-from reliefgrid.plans.pipelines import image_to_heightmap
+from reliefgrid.plans.pipelines import image_file_to_heightmap, image_to_heightmap
 
 
 def _rules(fuzziness: float) -> list[dict]:
@@ -322,3 +322,15 @@ def picture_to_heights(spark, sf):
         color_map={k: {"value": v["value"], "fuzziness": 40.0} for k, v in DEFAULT_COLOR_MAP.items()},
     )
     return image_to_heightmap(order_pixels(spark, sf), cfg).withColumn("value", F.round("value", 6))
+
+
+@query("E1 P15 S1", _matched_sql(40.0).rstrip() + f""",
+c0 as (select ("row" // {BAND})::int as band, ("row" % {BAND})::int as "row", col, value from m),
+f1 as (select a.band, a."row", a.col, coalesce(any_value(a.value), avg(b.value)) as value from c0 a left join c0 b
+ on a.value is null and b.band = a.band and b."row" between a."row"-1 and a."row"+1 and b.col between a.col-1 and a.col+1 group by a.band, a."row", a.col)
+select band, "row", col, round(value, 6) as value from f1""")
+def picture_files_to_heights(spark, sf):
+    """Map images end to end from files: every band of the picture is one file and one raster."""
+    cfg = ImageSettings(fill_max_iterations=1, color_map={k: {"value": v["value"], "fuzziness": 40.0} for k, v in DEFAULT_COLOR_MAP.items()})
+    cells = image_file_to_heightmap(spark, _picture_files(spark, sf), cfg)
+    return cells.select(_band("raster_id"), "row", "col", F.round("value", 6).alias("value"))
