@@ -48,15 +48,18 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def image_info(spark: SparkSession, path: str) -> DataFrame:
-    """File size, picture size, mode, format and transparency per image; pixels are not unpacked."""
+    """File size, picture size, mode, format and transparency per image; pixels are not unpacked.
+
+    A file that cannot be decoded fails the job by its name.
+    """
     files = spark.read.format("binaryFile").load(path).select(
         F.col("path").alias("file_path"),
         (F.col("length") / (1024.0 * 1024.0)).alias("file_size_mb"),
         F.hex(F.substring("content", 1, 4)).alias("_magic"),
     )
     pictures = (
-        spark.read.format("image").load(path)
-        .select("image.origin", "image.height", "image.width", "image.nChannels", F.length("image.data").alias("_bytes"))
+        spark.read.format("image").option("dropInvalid", False).load(path)
+        .select("image.origin", F.when(F.col("image.height") < 0, F.raise_error(F.concat(F.lit("cannot read image "), F.col("image.origin"))).cast("int")).otherwise(F.col("image.height")).alias("height"), "image.width", "image.nChannels", F.length("image.data").alias("_bytes"))
     )
     # The first bytes of common formats.
     fmt = (

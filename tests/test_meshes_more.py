@@ -202,3 +202,11 @@ def test_orientable(spark):
     assert bad == {k for k, fine in want.items() if not fine}
     info = {r.mesh_id: r.is_orientable for r in I.mesh_info(m).collect()}
     assert {k: v for k, v in info.items() if k != "degenerate"} == {k: v for k, v in want.items() if k != "degenerate"}
+
+
+def test_undecodable_pictures_are_named(spark, tmp_path):
+    from reliefgrid.sources import images
+
+    (tmp_path / "broken.png").write_bytes(b"no picture")
+    with pytest.raises(Exception, match="cannot read image .*broken.png"):
+        images.image_info(spark, str(tmp_path)).collect()
