@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reliefgrid.runtime import attach, bounded_rows, local_table
+from reliefgrid.runtime import SALTS, attach, bounded_rows, local_table, salted_join
 
 #: Border cells generated per row of the intermediate chunk table.
 BORDER_CHUNK = 65_536
@@ -251,14 +251,16 @@ def levels_table(
 def join_levels(df: DataFrame, levels: DataFrame, condition: Column) -> DataFrame:
     """Pair each row of ``df`` (alias columns as is) with the levels that satisfy ``condition``.
 
-    ``levels`` common to all rasters is a short list: its size is checked and it is broadcast.
+    ``levels`` common to all rasters is a short list: its size is checked and it is broadcast. A longer one,
+    or that of a stream, is repeated in as many tasks as a shuffle has.
     Levels per raster are joined on ``raster_id``. ``condition`` may use ``threshold``.
     """
     if "raster_id" in levels.columns:
         return attach(df, levels, ["raster_id"]).filter(condition)
-    rows = bounded_rows(levels)
+    rows = None if df.isStreaming else bounded_rows(levels)
     if rows is None:
-        return df.crossJoin(levels).filter(condition)
+        salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        return salted_join(df, levels, [], salts=salts).filter(condition)
     small = F.broadcast(local_table(df.sparkSession, rows, levels.schema))
     return df.join(small, condition)
 

@@ -70,6 +70,8 @@ def crop(
         raise ValueError(f"Unknown region unit: {unit}")
     if any(v > 1 or v < 0 for v in region):
         raise ValueError("Invalid Region Specified")
+    if sizes is None and pixels.isStreaming:
+        raise ValueError("shares of a stream need the sizes of its images")
     if sizes is None:
         sizes = image_sizes(pixels.withColumnRenamed(key, "image_id")).withColumnRenamed("image_id", key)
 
@@ -233,8 +235,12 @@ def _match_array(lab, rules):
 
 
 def _match_shared(with_lab: DataFrame, rules: DataFrame, entry: Column) -> DataFrame:
-    """Adds ``_hit`` from a rule table that all images share, a bounded array of rules at a time."""
-    total = rules.count()
+    """Adds ``_hit`` from a rule table that all images share, a bounded array of rules at a time.
+
+    Rules of a stream are not counted beforehand: more than one array of them is an error of the batch.
+    """
+    stream = with_lab.isStreaming
+    total = 0 if stream else rules.count()
     if total > SMALL_TABLE_ROWS:
         ends = rules.stat.approxQuantile("priority", [k / -(-2 * total // SMALL_TABLE_ROWS) for k in range(1, -(-2 * total // SMALL_TABLE_ROWS))], 0.0)
     else:
@@ -244,6 +250,9 @@ def _match_shared(with_lab: DataFrame, rules: DataFrame, entry: Column) -> DataF
     for lo, hi in zip([None, *ends], [*ends, None]):
         part = rules.filter((F.lit(True) if lo is None else F.col("priority") > lo) & (F.lit(True) if hi is None else F.col("priority") <= hi))
         array = part.agg(F.sort_array(F.collect_list(entry)).alias("_rules"))  # one row
+        if stream:
+            many = F.raise_error(F.lit(f"more than {SMALL_TABLE_ROWS} rules for a stream"))
+            array = array.select(F.when(F.size("_rules") <= SMALL_TABLE_ROWS, F.col("_rules")).otherwise(many).alias("_rules"))
         found = F.coalesce(F.col("_hit"), _match_array(F.col("_lab"), F.col("_rules")))
         out = out.crossJoin(F.broadcast(array)).withColumn("_hit", found).drop("_rules")
     return out
@@ -264,7 +273,7 @@ def match_rules(pixels: DataFrame, rules: list[dict] | DataFrame, matrix=PIXEL_M
         ordered = F.sort_array(F.collect_list(entry)).alias("_rules")
         if "image_id" in rules.columns:
             per_image = rules.groupBy("image_id").agg(ordered)
-            longest = per_image.agg(F.max(F.size("_rules"))).first()[0] or 1
+            longest = 1 if pixels.isStreaming else per_image.agg(F.max(F.size("_rules"))).first()[0] or 1
             joined = attach(with_lab, per_image, ["image_id"], how="left", limit=SMALL_TABLE_ROWS // longest)
             hit = _match_array(col, F.col("_rules"))
         else:

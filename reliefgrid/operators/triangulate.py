@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.operators.mesh import Mesh
+from reliefgrid.operators.ordering import running_sums
 from reliefgrid.operators.polygons import (
     is_valid_polygon,
     point_in_polygon,
@@ -30,6 +31,20 @@ def boundary_points(rings: DataFrame) -> DataFrame:
     return rings.select(*poly_key(rings), "ring_id", "role", "seq", "x", "y")
 
 
+def paired_crossings(cuts: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """Entry ``a`` and exit ``b`` of each stretch inside, from the crossings ``cx`` of every scan row ``by``.
+
+    A crossing is numbered by a running count over ranges, so a row with very many of them is spread over tasks;
+    numbers 1 and 2, 3 and 4, ... belong together. Closed rings cross a row an even number of times. ``keep``
+    names columns that are equal within a row.
+    """
+    placed = running_sums(cuts, by, ["cx"], {"_n": F.lit(1).cast("long")})
+    pair = F.shiftright(F.col("_n") + 1, 1).alias("_pair")
+    return placed.groupBy(*by, pair).agg(
+        F.min("cx").alias("a"), F.max("cx").alias("b"), *[F.first(c).alias(c) for c in keep]
+    ).drop("_pair")
+
+
 def interior_points(rings: DataFrame, density: float = 1.0) -> DataFrame:
     """Regular points strictly inside each polygon, about ``100 * density`` of them whatever its size.
 
@@ -55,12 +70,7 @@ def interior_points(rings: DataFrame, density: float = 1.0) -> DataFrame:
         .filter((row_y >= lo) & (row_y < hi))
         .withColumn("cx", F.col("x") + (row_y - F.col("y")) * (F.col("nx") - F.col("x")) / (F.col("ny") - F.col("y")))
     )
-    spans = (
-        cuts.groupBy(*key, "j")
-        .agg(F.sort_array(F.collect_list("cx")).alias("xs"), *[F.first(c).alias(c) for c in ("s", "x0", "y0")])
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor(F.size("xs") / 2).cast("int") - 1)))
-        .select(*key, "j", "s", "x0", "y0", F.get("xs", F.col("_k") * 2).alias("a"), F.get("xs", F.col("_k") * 2 + 1).alias("b"))
-    )
+    spans = paired_crossings(cuts.select(*key, "j", "cx", "s", "x0", "y0"), [*key, "j"], ["s", "x0", "y0"])
     i0 = F.floor((F.col("a") - F.col("x0")) / F.col("s")) + 1
     i1 = F.ceil((F.col("b") - F.col("x0")) / F.col("s")) - 1
     inside = (

@@ -58,6 +58,30 @@ def bounded_rows(df: DataFrame, limit: int = SMALL_TABLE_ROWS) -> list[Row] | No
     return rows if len(rows) <= limit else None
 
 
+def salted_join(
+    big: DataFrame, small: DataFrame, keys: Sequence[str], how: str = "inner", condition=None, salts: int = SALTS
+) -> DataFrame:
+    """Equi-join in which each key of ``big`` is spread over ``salts`` tasks and ``small`` repeated in them.
+
+    No keys: every row of ``big`` meets all of ``small``. Nothing is counted or collected, so ``big`` may be a stream.
+    """
+    keys = list(keys)
+    spread = [c for c in big.columns if c not in keys] or keys
+    big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
+    small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return _joined(big, small, [*keys, "_salt"], how, condition).drop("_salt")
+
+
+def _joined(big: DataFrame, small: DataFrame, keys: list[str], how: str, condition) -> DataFrame:
+    if condition is None:
+        return big.join(small, keys, how)
+    on = condition
+    for k in keys:
+        on = on & F.col(f"_b.{k}").eqNullSafe(F.col(f"_s.{k}"))
+    extra = [F.col(f"_s.{c}") for c in small.columns if c not in keys]
+    return big.alias("_b").join(small.alias("_s"), on, how).select("_b.*", *extra)
+
+
 def attach(
     big: DataFrame,
     small: DataFrame,
@@ -70,24 +94,10 @@ def attach(
 
     ``small`` is counted up to ``limit``: within it, its rows become part of the plan and are
     broadcast; beyond it, ``small`` is repeated under ``SALTS`` salts and ``big`` spreads each key
-    over them, so a key holding a third of all rows still meets its partner in many tasks.
+    over them, so a key holding a third of all rows still meets its partner in many tasks. A stream takes
+    the second way uncounted: each of its batches is planned with the size ``small`` has.
     """
-    keys = list(keys)
-    rows = bounded_rows(small, limit)
-    if rows is not None:
-        small = F.broadcast(local_table(big.sparkSession, rows, small.schema))
-    else:
-        spread = [c for c in big.columns if c not in keys] or keys
-        big = big.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
-        small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keys = [*keys, "_salt"]
-    if condition is None:
-        out = big.join(small, keys, how)
-    else:
-        left, right = big.alias("_b"), small.alias("_s")
-        on = condition
-        for k in keys:
-            on = on & F.col(f"_b.{k}").eqNullSafe(F.col(f"_s.{k}"))
-        extra = [F.col(f"_s.{c}") for c in small.columns if c not in keys]
-        out = left.join(right, on, how).select("_b.*", *extra)
-    return out.drop("_salt")
+    rows = None if big.isStreaming else bounded_rows(small, limit)
+    if rows is None:
+        return salted_join(big, small, keys, how, condition)
+    return _joined(big, F.broadcast(local_table(big.sparkSession, rows, small.schema)), list(keys), how, condition)
