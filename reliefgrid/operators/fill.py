@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.operators.regions import KEY_SHIFT, connected_components, merged
 from reliefgrid.operators.tiles import TILE_BITS, TILE_KEY, tile_of, tiled
 from reliefgrid.runtime import cut, scratch_path
 
@@ -134,18 +135,121 @@ def fill_missing(
     return cells
 
 
-def _scan_tile(k: int, bits: int):
+def _offsets(k: int) -> list[tuple[int, int]]:
+    """Steps to the cells of a window that come later in reading order."""
+    return [(dr, dc) for dr in range(k + 1) for dc in range(-k, k + 1) if (dr, dc) > (0, 0)]
+
+
+GROUP_SCHEMA = "raster_id string, row int, col int, diagonal int, own boolean, meets boolean, key long, label long"
+
+
+def _group_tile(k: int, bits: int):
+    """Gap groups that go on in other tiles: the tile's own cells, and the cells beyond that they meet."""
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        value, exists, r, c = _dense(pdf)
-        own = _own(pdf, bits, k)
-        todo = pdf[["row", "col"]].to_numpy()[own & pdf["value"].isna().to_numpy()]
-        base = np.array([pdf["row"].min(), pdf["col"].min()])
-        for i, j in sorted(map(tuple, todo - base)):
-            near = value[max(0, i - k) : i + k + 1, max(0, j - k) : j + k + 1]
-            near = near[~np.isnan(near)]
-            if near.size:
-                value[i, j] = near.mean()
-        return _filled_rows(pdf, value, r, c, own)
+        pdf = pdf.sort_values(["row", "col"], ignore_index=True)  # the first of a group has its smallest key
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        own, n = _own(pdf, bits, k), len(pdf)
+        r, c = row - row.min() + k, col - col.min() + k
+        place = np.full((r.max() + k + 1, c.max() + k + 1), -1)
+        place[r, c] = np.arange(n)
+        near = [(np.arange(n), place[r + dr, c + dc]) for dr, dc in _offsets(k)]
+        u = np.concatenate([x[y >= 0] for x, y in near])
+        v = np.concatenate([y[y >= 0] for _, y in near])
+        first = merged(n, u, v)
+        leaves = np.zeros(n, dtype=bool)
+        leaves[first[~own]] = True
+        meets = np.zeros(n, dtype=bool)
+        across = own[u] != own[v]
+        meets[u[across]] = meets[v[across]] = True
+        key = ((row + 1) << KEY_SHIFT) + col + 1
+        out = pdf[_CELL].assign(
+            diagonal=pdf["tile_r"] + pdf["tile_c"], own=own, meets=meets, key=key, label=key[first]
+        )
+        return out[(own & leaves[first]) | meets]
+
+    return run
+
+
+def gap_waves(cells: DataFrame, k: int, bits: int) -> DataFrame:
+    """Missing cells that wait for other tiles, with the wave that fills them; all others belong to wave 0.
+
+    Missing cells within ``k`` of each other form groups; only cells of one group can wait for each other. Groups
+    inside one tile need no order of tiles. In the others a wave is one diagonal of tiles, counted from the first one
+    the group enters, so the number of waves follows the largest group and not the raster.
+    """
+    gaps = cells.filter("value is null").select(*_CELL)
+    seen = cut(
+        tiled(gaps, k, k, bits, k, k * k).groupBy(*TILE_KEY).applyInPandas(_group_tile(k, bits), GROUP_SCHEMA)
+    )
+    links = seen.filter("meets").select("raster_id", F.col("key").alias("a"), F.col("label").alias("b"))
+    if links.isEmpty():
+        return seen.select(*_CELL, F.col("diagonal").alias("wave"))
+    roots = connected_components(links, ["raster_id"])
+    labels = seen.filter("own").select("raster_id", "label", "diagonal").distinct()
+    labels = cut(labels.join(roots.withColumnRenamed("node", "label"), ["raster_id", "label"]))
+    start = labels.groupBy("raster_id", "root").agg(F.min("diagonal").alias("start"))
+    starts = labels.join(start, ["raster_id", "root"]).select("raster_id", "label", "start").distinct()
+    return seen.filter("own").join(starts, ["raster_id", "label"]).select(
+        *_CELL, (F.col("diagonal") - F.col("start")).alias("wave")
+    )
+
+
+STAGE_SCHEMA = "wave int, tile long, raster_id string, tile_r int, tile_c int, row int, col int, value double, todo boolean"
+
+
+def _stage_tile(k: int, bits: int):
+    """Per wave the tile's own missing cells of it, and the cells in their windows."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        r, c = row - row.min() + k, col - col.min() + k
+        place = np.full((r.max() + k + 1, c.max() + k + 1), -1)
+        place[r, c] = np.arange(len(pdf))
+        wave = pdf["wave"].to_numpy(dtype=float, na_value=np.nan)
+        gaps = np.flatnonzero(_own(pdf, bits, k) & pdf["value"].isna().to_numpy())
+        parts = []
+        for w in np.unique(wave[gaps]):
+            todo = gaps[wave[gaps] == w]
+            near = np.unique(
+                np.concatenate([place[r[todo] + dr, c[todo] + dc] for dr in range(-k, k + 1) for dc in range(-k, k + 1)])
+            )
+            near = near[near >= 0]
+            parts.append(pdf.iloc[near].assign(wave=int(w), todo=np.isin(near, todo)))
+        return pd.concat(parts)[[f.split()[0] for f in STAGE_SCHEMA.split(", ")]] if parts else pdf.iloc[:0].assign(todo=False)
+
+    return run
+
+
+def _scan_tile(k: int):
+    """One wave of a tile, cell by cell in reading order.
+
+    A cell waits for those to its left and above, up to ``k`` to the right. Cells with the same
+    ``col + (k + 1) * row`` never wait for each other and are filled in one step.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row, col = pdf["row"].to_numpy(np.int64), pdf["col"].to_numpy(np.int64)
+        r, c = row - row.min() + k, col - col.min() + k
+        value = np.full((r.max() + k + 1, c.max() + k + 1), np.nan)
+        value[r, c] = pdf["value"].to_numpy(dtype=float, na_value=np.nan)
+        todo = pdf["todo"].to_numpy(dtype=bool)
+        i, j = r[todo], c[todo]
+        step = j + (k + 1) * i
+        order = np.argsort(step, kind="stable")
+        i, j = i[order], j[order]
+        window = np.arange(-k, k + 1)
+        for one in np.split(np.arange(i.size), np.flatnonzero(np.diff(step[order])) + 1):
+            if one.size == 0:
+                continue
+            a, b = i[one], j[one]
+            near = value[a[:, None, None] + window[:, None], b[:, None, None] + window]
+            known = ~np.isnan(near)
+            count = known.sum(axis=(1, 2))
+            total = np.where(known, near, 0.0).sum(axis=(1, 2))
+            some = count > 0
+            value[a[some], b[some]] = total[some] / count[some]
+        return _filled_rows(pdf, value, r, c, todo)
 
     return run
 
@@ -155,30 +259,33 @@ def _fill_scan(cells: DataFrame, k: int, bits: int) -> DataFrame:
 
     A cell depends on filled cells to its left and in the rows above, also those above to the right.
     With tiles slanted by ``k`` columns per row all of these lie in tiles above or to the left, so
-    tiles with the same ``tile_row + tile_column`` are independent. These waves run one after the
-    other, each as one job over its tiles; the cells filled by the last two waves are all the state
-    handed on. A raster within one tile needs a single wave.
+    within a group of missing cells the tiles of one diagonal are independent (``gap_waves``). Waves run one
+    after the other, each as one job over its missing cells and their windows; the cells filled by the last two
+    waves are all the state handed on.
     """
     if k + k * k > (1 << bits):
         raise ValueError("neighbourhood too large for a tile")
     spark = cells.sparkSession
-    wave = F.col("tile_r") + F.col("tile_c")
+    gaps = cells.filter("value is null").select(*_CELL, "value")
+    late = gaps.join(gap_waves(cells, k, bits), _CELL, "left").withColumn("wave", F.coalesce("wave", F.lit(0)))
+    marked = cells.filter("value is not null").select(*_CELL, "value", F.lit(None).cast("int").alias("wave")).unionByName(late)
     staged_path = scratch_path(spark, "scan")
-    _gap_tiles(cells, k, bits, skew=k).withColumn("wave", wave).write.partitionBy("wave").parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
+    staged = _gap_tiles(marked, k, bits, skew=k).groupBy(*TILE_KEY).applyInPandas(_stage_tile(k, bits), STAGE_SCHEMA)
+    staged.write.partitionBy("wave").parquet(staged_path)
+    staged = spark.read.schema(STAGE_SCHEMA).parquet(staged_path)
     waves = [r["wave"] for r in staged.select("wave").distinct().orderBy("wave").collect()]
     done: list[tuple[int, DataFrame]] = []
     for w in waves:
         part = staged.filter(F.col("wave") == w).drop("wave")
         recent = [d for v, d in done if v >= w - 2]
-        if recent:
+        if recent and w > 0:
             known = recent[0]
             for d in recent[1:]:
                 known = known.unionByName(d)
             part = part.join(known.withColumnRenamed("value", "_new"), _CELL, "left")
-            # a cell filled by an earlier wave is surroundings here, never one of this tile's gaps
+            # a cell filled by an earlier wave is surroundings here, never one of this wave's gaps
             part = part.withColumn("value", F.coalesce("value", "_new")).drop("_new")
-        out = part.groupBy(*TILE_KEY).applyInPandas(_scan_tile(k, bits), FILL_SCHEMA)
+        out = part.groupBy(*TILE_KEY).applyInPandas(_scan_tile(k), FILL_SCHEMA)
         done.append((w, cut(out) if len(waves) > 1 else out))
     if not done:
         return cells

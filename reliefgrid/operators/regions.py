@@ -83,16 +83,9 @@ def _is_star(links: DataFrame, by: list[str]) -> bool:
 # ---- regions of a grid -----------------------------------------------------------------------
 
 
-def label_mask(mask: np.ndarray, connectivity: int) -> np.ndarray:
-    """Flat index of the smallest cell of each cell's region, within one tile."""
-    h, w = mask.shape
-    idx = np.arange(h * w).reshape(h, w)
-    views = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1, :], np.s_[1:, :])]
-    if connectivity == 8:
-        views += [(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
-    u = np.concatenate([idx[p][mask[p] & mask[q]] for p, q in views])
-    v = np.concatenate([idx[q][mask[p] & mask[q]] for p, q in views])
-    parent = np.arange(h * w)
+def merged(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Smallest member of the component of each of ``n`` nodes under the links ``u - v``."""
+    parent = np.arange(n)
     while u.size:
         pu, pv = parent[u], parent[v]
         open_ = pu != pv
@@ -106,6 +99,18 @@ def label_mask(mask: np.ndarray, connectivity: int) -> np.ndarray:
     return parent
 
 
+def label_mask(mask: np.ndarray, connectivity: int) -> np.ndarray:
+    """Flat index of the smallest cell of each cell's region, within one tile."""
+    h, w = mask.shape
+    idx = np.arange(h * w).reshape(h, w)
+    views = [(np.s_[:, :-1], np.s_[:, 1:]), (np.s_[:-1, :], np.s_[1:, :])]
+    if connectivity == 8:
+        views += [(np.s_[:-1, :-1], np.s_[1:, 1:]), (np.s_[:-1, 1:], np.s_[1:, :-1])]
+    u = np.concatenate([idx[p][mask[p] & mask[q]] for p, q in views])
+    v = np.concatenate([idx[q][mask[p] & mask[q]] for p, q in views])
+    return merged(h * w, u, v)
+
+
 def _touches(mask: np.ndarray, present: np.ndarray) -> np.ndarray:
     """Cells of ``mask`` with a side neighbour inside the tile's view that is not in ``mask``."""
     other = ~mask

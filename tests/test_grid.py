@@ -129,6 +129,27 @@ def test_reading_order_fill(make, bits, k):
     np.testing.assert_allclose(got, scan(a, k), rtol=1e-9)
 
 
+def test_waves_follow_the_largest_gap_group(make):
+    a = np.arange(48.0 * 40).reshape(48, 40)
+    a[2::5, 1::5] = np.nan  # single cells all over: no tile waits for another
+    assert fill.gap_waves(make(a), 1, 2).isEmpty()
+    a[3::10, 1::10] = np.nan  # pairs, some of them across tiles
+    a[40, 3:15] = np.nan  # and one group over several tiles
+    w = fill.gap_waves(make(a), 1, 2)
+    most = {(r.row, r.col): r.wave for r in w.collect()}
+    assert max(most.values()) == max(v for (r, c), v in most.items() if r == 40 and 3 <= c < 15) <= 4
+    assert max(v for (r, _), v in most.items() if r < 39) <= 2
+    got = to_array(fill.fill_missing(make(a), mode="scan", tile_bits=2))
+    np.testing.assert_allclose(got, scan(a, 1), rtol=1e-9)
+
+
+def test_reading_order_joins_groups_within_reach(make):
+    a = gappy(11, (24, 24), 0.12)
+    a[:, 9] = np.nan
+    got = to_array(fill.fill_missing(make(a), mode="scan", neighborhood=2, tile_bits=3))
+    np.testing.assert_allclose(got, scan(a, 2), rtol=1e-9)
+
+
 def test_reading_order_small_rows(make):
     nan = np.nan
     assert (to_array(fill.fill_missing(make([[1, nan, nan, nan]]), mode="scan")) == 1).all()
