@@ -44,6 +44,14 @@ def npy_files(spark, sf):
     return npy.read_npy(spark, folder)
 
 
+@query("S3 S4", with_(EVENT_COUNTS) + "select * from fx2 union all select 'more', \"row\", col, value * 2 from fx2")
+def npy_blocks(spark, sf):
+    path, cells = scratch_path(spark, "npy"), event_counts(spark, sf)
+    npy.save_npy(cells, path)
+    npy.save_npy(cells.select(F.lit("more").alias("raster_id"), "row", "col", (F.col("value") * 2).alias("value")), path)
+    return npy.read_npy(spark, path)
+
+
 @query("S13", with_(PART_HEIGHTS) + "select * from fx1")
 def generated_cells(spark, sf):
     return G.from_generator(spark, lambda s: part_heights(s, sf))
