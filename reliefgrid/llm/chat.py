@@ -4,12 +4,9 @@ A template is any function from a list of (role, text) to a string. The turns of
 rendered prefix by prefix; what a turn adds to the output is its span. If a longer prefix does not
 begin with the shorter one's output, the template rewrites history, and the turn is marked.
 
-Every turn is rendered on its full prefix; between turns only the messages and the previous output are held.
-A template that is declared ``local`` (what a message adds depends on the ``CONTEXT`` messages before it at
-most) may be rendered in blocks instead, so that a conversation of any length needs the memory of one block:
-after ``BLOCK`` turns the rendering restarts on the last ``CONTEXT`` turns, and the next turn, rendered on
-both, must add the same characters, else it is marked as well. Rewrites of turns further back are not seen
-in blocks, which is why no template is taken as local unless the caller says so.
+Every turn is rendered on its full prefix, whatever the length of the conversation, because a black box may
+rewrite any of it; between turns only the messages and the previous output are held. A conversation therefore is one task
+and costs the square of its length.
 
 Results: rows are ordered by turn, then role and text; null roles and texts count as empty; a null
 conversation id is a conversation of its own, a null turn comes first; repeated rows are turns of their
@@ -27,9 +24,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Turns rendered on all their prefixes, and turns that a further block starts with.
-BLOCK = 32
-CONTEXT = 2
 Template = Callable[[list[tuple[str, str]]], str]
 _ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g", "\n": "\\n", "\r": "\\r"}
 _PLAIN = {v[1]: k for k, v in _ESCAPES.items()}
@@ -65,36 +59,27 @@ def read_turns(formatted: str) -> Iterator[tuple[str, str, int, int]]:
 
 
 class Increments:
-    """Feeds turns to a template and returns (piece, stable) for each; without ``block`` always on the full prefix."""
+    """Feeds turns to a template and returns (piece, stable) for each, always on the full prefix."""
 
-    def __init__(self, template: Template, block: int | None = BLOCK):
-        self.template, self.block, self.held, self.before = template, block, [], ""
+    def __init__(self, template: Template):
+        self.template, self.held, self.before = template, [], ""
 
-    def _add(self, message: tuple[str, str]) -> tuple[str, bool]:
-        after = self.template([*self.held, message])
+    def add(self, message: tuple[str, str]) -> tuple[str, bool]:
+        self.held.append(message)
+        after = self.template(self.held)
         stable = after.startswith(self.before)
         same = len(self.before)
         if not stable:
             same = next((i for i, (a, b) in enumerate(zip(self.before, after)) if a != b), min(len(self.before), len(after)))
-        self.held.append(message)
         self.before = after
         return after[same:], stable
 
-    def add(self, message: tuple[str, str]) -> tuple[str, bool]:
-        if self.block is None or len(self.held) < self.block:
-            return self._add(message)
-        piece, stable = self._add(message)
-        self.held = self.held[-1 - CONTEXT : -1]
-        self.before = self.template(self.held)
-        again, fine = self._add(message)
-        return piece, stable and fine and again == piece
-
 
-def format_turns(turns: DataFrame, template: Template = turn_template, assistant: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", local: bool = False) -> DataFrame:
+def format_turns(turns: DataFrame, template: Template = turn_template, assistant: str = "assistant", conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """``conv_id``, ``turn_no`` (from 0), ``role``, ``piece``, ``start`` (its place in the output), ``loss``, ``stable``.
 
     The pieces of a conversation, in order, are its formatted text; ``loss`` marks assistant turns. The
-    rows of a partition are sorted by conversation and number. ``local`` declares the template local: it is rendered in blocks.
+    rows of a partition are sorted by conversation and number.
     """
     rows = turns.select(
         F.col(conv_col).cast("long").alias("conv_id"),
@@ -111,7 +96,7 @@ def format_turns(turns: DataFrame, template: Template = turn_template, assistant
             for c, role, text in zip(pdf["conv_id"].astype("Int64"), pdf["role"], pdf["_text"]):
                 c = None if pd.isna(c) else int(c)
                 if c != conv:
-                    conv, state, number, at = c, Increments(template, BLOCK if local else None), 0, 0
+                    conv, state, number, at = c, Increments(template), 0, 0
                 piece, stable = state.add((role, text))
                 out.append((c, number, role, piece, at, role == assistant, stable))
                 number, at = number + 1, at + len(piece)

@@ -10,7 +10,9 @@ of a shingle being its number of occurrences.
    that could pass is left out.
 2. Those windows get a SimHash. Multi-index blocks find the items: fingerprints within ``radius`` bits
    agree in at least one of ``radius + 1`` blocks, so joining on block values misses none.
-3. The exact weighted similarity verifies the candidates; the best window of each item is returned.
+3. The exact weighted similarity verifies the candidates; the best window of each item is returned. Pairs
+   whose fingerprints lie further apart, but which share enough shingles by step 1, are verified as well, so the
+   radius loses none.
 
 Results: null texts count as empty; texts and items without words leak nothing; repeated rows of a
 document, and repeated rows of an item, give one row; null ids are kept as null; an empty table gives
@@ -29,7 +31,7 @@ from reliefgrid.runtime import cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits; a pair at similarity 0.8 differs in 10 of 64 on average, and practically never in over 20.
+#: Bits; a pair at similarity 0.8 differs in 10 of 64 on average, and seldom in over 20 (those are verified apart).
 RADIUS = 20
 #: A benchmark of at most so many distinct shingles is broadcast (12 MB); a larger one is joined by shuffle.
 BROADCAST_SHINGLES = 500_000
@@ -103,7 +105,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     first = F.filter("_p", lambda p, i: F.get("_p", i + F.col("_need") - 1) - p < F.col("_size"))
     starts = F.transform(first, lambda p: F.sequence(F.greatest(p - slack, F.lit(0)), F.least(p, F.col("_dn") - F.col("_size"))))
     starts = F.array_distinct(F.flatten(F.filter(starts, lambda s: F.size(s) > 0)))
-    windows = cut(spots.select("doc_key", "_is", "_size", F.explode_outer(starts).alias("_start")).filter("_start is not null").distinct())
+    counted = cut(spots.select("doc_key", "_is", "_size", "_item", F.explode_outer(starts).alias("_start")).filter("_start is not null").distinct())
+    windows = cut(counted.select("doc_key", "_is", "_size", "_start").distinct())
 
     own = arrays.join(bounded(windows.select("doc_key").distinct()), "doc_key", "left_semi").groupBy("doc_key")
     own = own.agg(F.first("doc_id").alias("doc_id"), F.first(F.regexp_count("_t", F.lit(WORD))).alias("_n"), F.first("_g").alias("_g"))
@@ -111,13 +114,17 @@ def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY,
     filled = windows.join(own, "doc_key").select("doc_key", "doc_id", "_n", "_is", "_size", "_start", F.explode_outer(inside).alias("_s"))
     at = ["doc_key", "_is", "_start"]
     filled = cut(filled.groupBy(*at, "doc_id", "_n", "_size", "_s").agg(F.count("*").alias("_cw")))
-    prints = simhash_of(filled.select(*at, F.explode(F.array_repeat("_s", F.col("_cw").cast("int"))).alias("_s")), at, "_s")
-    item_prints = simhash_of(in_items.withColumnRenamed("_size", "_is"), ["_item", "_is"], "_s")
+    prints = cut(simhash_of(filled.select(*at, F.explode(F.array_repeat("_s", F.col("_cw").cast("int"))).alias("_s")), at, "_s"))
+    item_prints = cut(simhash_of(in_items.withColumnRenamed("_size", "_is"), ["_item", "_is"], "_s"))
     left = prints.select(*at, "fp", F.inline(blocks(F.col("fp"), radius)))
     right = item_prints.select("_item", F.col("_is").alias("_ris"), F.col("fp").alias("_rfp"), F.inline(blocks(F.col("fp"), radius)).alias("_rb", "_rv"))
     pairs = left.join(bounded(right), (F.col("_is") == F.col("_ris")) & (F.col("block") == F.col("_rb")) & (F.col("value") == F.col("_rv")))
     far = F.bit_count(F.col("fp").bitwiseXOR(F.col("_rfp"))).alias("hamming")
-    pairs = pairs.select(*at, "_item", far).filter(F.col("hamming") <= radius).distinct()
+    pairs = cut(pairs.select(*at, "_item", far).filter(F.col("hamming") <= radius).distinct())
+    # what the counts allow beyond the radius
+    rest = counted.select(*at, "_item").join(pairs, [*at, "_item"], "left_anti").join(prints, at)
+    rest = rest.join(bounded(item_prints.select("_item", F.col("fp").alias("_rfp"))), "_item")
+    pairs = pairs.unionByName(rest.select(*at, "_item", far))
 
     # exact weighted similarity
     c = counts.select("item_id", "_item", "_s", "_ci")

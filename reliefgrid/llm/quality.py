@@ -3,17 +3,20 @@
 A text is a bag of passages of ``PASSAGE_WORDS`` words. Every passage is encoded (character classes,
 repetition, word shape and hashed words, then one hidden layer); gated attention (tanh times sigmoid)
 weighs the encodings, and the weighted mean gives the score. Weights and encoder are learned together
-from labels of whole documents, on a bounded sample of labelled rows; scoring is one pass over all
-passages of all texts, and sees nothing but the text.
+from labels of whole documents, on a bounded sample of labelled rows, each with all its passages; scoring is one pass
+over all passages of all texts, piece by piece with a running softmax, and sees nothing but the text.
+Pieces of a very long text end at white space, and so do passages and runs of words there; a run counts as
+repeated wherever in the text it stood before.
 
 Results: a null text counts as empty and an empty text is one empty passage, so both get a score;
-equal texts have equal scores; rows are scored each on its own, so repeated rows, null ids and other
+equal texts have equal scores (a text is summed alone, in double precision); rows are scored each on its own, so repeated rows, null ids and other
 columns change nothing. Labels that are null or not 0 or 1 are ignored; several labels of a document
 count each. Without labels of both classes the score is the share of label 1, or 1 without labels.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -22,10 +25,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reliefgrid.llm.tables import saved
+
 PASSAGE_WORDS = 64
-#: Labelled documents that a model is fitted on, at most, and passages of each (evenly spread).
+#: Labelled documents that a model is fitted on, at most, and passages of all of them together (90 MB).
+#: A document that would exceed the second bound is not drawn; none is cut.
 TRAIN_ROWS = 4_096
-TRAIN_PASSAGES = 64
+TRAIN_PASSAGES = 262_144
 #: A text is predicted good from this score on.
 THRESHOLD = 0.7
 #: Texts are encoded together up to so many bytes; a longer one is cut at white space.
@@ -78,17 +84,22 @@ def pieces(texts: Iterable[bytes]) -> Iterable[tuple[list[int], list[bytes]]]:
 
 def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text number, features) of every passage, in order; an empty text has one passage of zeros."""
-    bags, rows = [], []
-    for owner, parts in pieces(texts):
-        b, x = _encode_group(np.array(owner), parts)
-        bags.append(b)
-        rows.append(x)
+    groups = list(encoded(texts))
+    bags, rows = [b for b, _ in groups], [x for _, x in groups]
     if not bags:
         return np.zeros(0, int), np.zeros((0, N_FEATURES), np.float32)
     return np.concatenate(bags), np.concatenate(rows)
 
 
-def _encode_group(owner: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def encoded(texts: Iterable[bytes]) -> Iterable[tuple[np.ndarray, np.ndarray]]:
+    """The same, a group of pieces at a time."""
+    seen: dict[int, np.ndarray] = {}
+    for owner, parts in pieces(texts):
+        yield _encode_group(np.array(owner), parts, seen)
+
+
+def _encode_group(owner: np.ndarray, parts: list[bytes], seen: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """``seen``: runs of three words in earlier pieces of a text; brought up to date for the last one."""
     buf = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
     ends = np.cumsum([len(p) + 1 for p in parts])
     space = _SPACE[buf]
@@ -103,11 +114,12 @@ def _encode_group(owner: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np
     base = np.concatenate([[0], np.cumsum(n_pass)])
     pid = base[part] + (np.arange(len(start)) - first[part]) // PASSAGE_WORDS
     total = int(base[-1])
-    # bytes between a word's start and the next one belong to the word's passage
+    # bytes between a word's start and the next one of its text belong to the word's passage
     span = np.diff(np.concatenate([start, [len(buf)]]))
-    at = np.repeat(pid, span)
     lead = int(start[0])
-    kinds = np.bincount(at * 13 + _CLASS[buf[lead:]], minlength=total * 13).reshape(total, 13)
+    reach = np.minimum(start + span, ends[part]) - start
+    inside = np.repeat(start - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
+    kinds = np.bincount(np.repeat(pid, reach) * 13 + _CLASS[buf[inside]], minlength=total * 13).reshape(total, 13)
     length = stop - start
     where = np.arange(len(buf)) - np.repeat(np.concatenate([[0], start]), np.concatenate([[lead], span]))
     value = np.where(space, 0, (buf.astype(np.uint64) + np.uint64(1)) * _POWERS[where & 63])
@@ -130,8 +142,18 @@ def _encode_group(owner: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np
 
     again = np.zeros(len(h), bool)
     again[1:] = (h[1:] == h[:-1]) & (part[1:] == part[:-1])
-    three = h.copy()
-    three[:-2] += h[1:-1] * np.uint64(3) + h[2:] * np.uint64(5)
+    runs = np.flatnonzero(part[2:] == part[:-2])  # runs of three words in one piece
+    three = h[runs] + h[runs + 1] * np.uint64(3) + h[runs + 2] * np.uint64(5)
+    known = repeats(three, part[runs])
+    for p in np.flatnonzero(np.isin(owner, list(seen))):
+        own = part[runs] == p
+        known[own] |= np.isin(three[own], seen[int(owner[p])])
+    last = int(owner[-1])
+    held = np.union1d(three[part[runs] == len(parts) - 1], seen.get(last, np.zeros(0, np.uint64)))
+    seen.clear()
+    seen[last] = held
+    run_again = np.zeros(len(h), bool)
+    run_again[runs] = known
     upper = (buf[start] >= 65) & (buf[start] <= 90)
     stats = np.stack(
         [
@@ -140,7 +162,7 @@ def _encode_group(owner: np.ndarray, parts: list[bytes]) -> tuple[np.ndarray, np
             np.sqrt(np.maximum(share(length.astype(float) ** 2) - share(length) ** 2, 0)) / 8,
             share(repeats(h, pid)),
             share(again),
-            share(repeats(three, part)),
+            share(run_again),
             share(upper),
             np.log1p(np.maximum.reduceat(length, np.searchsorted(pid, np.arange(total)).clip(0, len(pid) - 1))) / 5 * (words > 0),
         ],
@@ -180,8 +202,24 @@ class Model:
     def score(self, texts: list[bytes]) -> np.ndarray:
         if self.constant is not None or not texts:
             return np.full(len(texts), 1.0 if self.constant is None else self.constant)
-        bag, x = encode(texts)
-        return 1 / (1 + np.exp(-self.bags(x, bag)[0].astype(float)))
+        w = self.weights
+        top, total = np.full(len(texts), -np.inf), np.zeros(len(texts))
+        pooled = np.zeros((len(texts), len(w["out"])))
+        for bag, x in encoded(texts):
+            # one text at a time: the order of sums depends on nothing beside it
+            first = np.flatnonzero(np.r_[True, bag[1:] != bag[:-1]])
+            for lo, hi in zip(first, [*first[1:], len(bag)]):
+                k = bag[lo]
+                z = np.clip((x[lo:hi].astype(float) - self.mean) / self.scale, -6, 6)
+                h = np.tanh(z @ w["enc"] + w["enc0"])
+                e = (np.tanh(h @ w["att"]) / (1 + np.exp(-(h @ w["gate"])))) @ w["mix"]
+                high = max(top[k], e.max())
+                a, before = np.exp(e - high), np.exp(top[k] - high)
+                top[k], total[k] = high, total[k] * before + a.sum()
+                pooled[k] = pooled[k] * before + a @ h
+        # scalar, as the last bit of a vector's exponential depends on its place
+        logits = [float((p / t * w["out"]).sum() + w["out0"][0]) for p, t in zip(pooled, total)]
+        return np.array([1 / (1 + math.exp(-v)) if v > -700 else 0.0 for v in logits])
 
 
 def fit(x: np.ndarray, bag: np.ndarray, label: np.ndarray, epochs: int = 30, batch: int = 256, seed: int = 42) -> Model:
@@ -229,9 +267,7 @@ def fit(x: np.ndarray, bag: np.ndarray, label: np.ndarray, epochs: int = 30, bat
                 m[k] = 0.9 * m[k] + 0.1 * grad
                 v[k] = 0.999 * v[k] + 0.001 * grad**2
                 w[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-    for k in w:
-        w[k] = w[k].astype(np.float32)
-    model.mean, model.scale = mean.astype(np.float32), scale.astype(np.float32)
+    model.mean, model.scale = mean.astype(float), scale.astype(float)
     return model
 
 
@@ -244,7 +280,10 @@ def held_out(id_col: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAIN_ROWS, passages: int = TRAIN_PASSAGES) -> Model:
-    """A model from at most ``rows`` labelled documents (those whose ids hash lowest), never held-out ones."""
+    """A model from at most ``rows`` labelled documents (those whose ids hash lowest), never held-out ones.
+
+    A document that would bring the sample above ``passages`` is passed over.
+    """
     usable = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y"))
     usable = usable.filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
     # ids without a document must not use up the sample, so the ids meet before it is drawn
@@ -257,17 +296,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
         for pdf in batches:
             bag, x = encode(pdf["_t"].tolist())
             first = np.searchsorted(bag, np.arange(len(pdf) + 1))
-            out = []
-            for k in range(len(pdf)):
-                own = x[first[k] : first[k + 1]]
-                own = own[np.unique(np.linspace(0, len(own) - 1, min(len(own), passages)).astype(int))]
-                out.append(own.tobytes())
-            yield pd.DataFrame({"_id": pdf["_id"], "_ys": pdf["_ys"], "_x": out})
+            out = [x[a:b].tobytes() for a, b in zip(first, first[1:])]
+            yield pd.DataFrame({"_id": pdf["_id"], "_ys": pdf["_ys"], "_n": np.diff(first), "_x": out})
 
     # one text per id (the smallest, should rows repeat an id), so at most ``rows`` come to the driver
     chosen = texts.join(ids, "_id").groupBy("_id").agg(F.min("_t").alias("_t"), F.first("_ys").alias("_ys"))
-    got = chosen.select("_id", "_ys", "_t").mapInPandas(features, "_id bigint, _ys array<int>, _x binary").collect()
-    got = sorted(got, key=lambda r: r["_id"])
+    made = saved(chosen.select("_id", "_ys", "_t").mapInPandas(features, "_id bigint, _ys array<int>, _n bigint, _x binary"), "passages")
+    fits, used = [], 0
+    for r in sorted(made.select("_id", (F.col("_n") * F.size("_ys")).alias("n"), F.xxhash64("_id").alias("o")).collect(), key=lambda r: (r["o"], r["_id"])):
+        if used + r["n"] <= passages:
+            fits.append(r["_id"])
+            used += r["n"]
+    got = sorted(made.filter(F.col("_id").isin(fits)).collect(), key=lambda r: r["_id"])
     bags = [np.frombuffer(bytes(r["_x"]), np.float32).reshape(-1, N_FEATURES) for r in got for _ in r["_ys"]]
     y = np.array([v for r in got for v in r["_ys"]], float)
     x = np.concatenate(bags) if bags else np.zeros((0, N_FEATURES), np.float32)

@@ -69,6 +69,9 @@ def test_edited_passages_and_odd_rows(spark):
     assert len(got) == len(found) and got.keys() == want.keys()
     assert all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1:] == want[k][1:] for k in want)
     assert {(200, 100), (201, 100), (202, 101), (None, 0), (205, None)} <= got.keys() and len(got) > 20
+    near = decontaminate.leaks(frame, bench, radius=1).collect()  # what lies beyond the radius is found by the counts
+    assert any(r.hamming > 1 for r in near)
+    assert {(r.doc_id, r.item_id): (r.similarity, r.start, r.n_words) for r in near} == got
     left = decontaminate.clean(frame, bench)
     assert left.columns == frame.columns
     bad = {d for d, _ in want}

@@ -63,3 +63,45 @@ def test_odd_rows(spark):
     got = many.withColumn("_p", quality.score(F.col("text"), model)).collect()
     assert got[-1]["_p"] == got[-2]["_p"] and got[0]["_p"] > 0.7 > got[1]["_p"]
     assert quality.score(F.col("text"), model) is not None and many.limit(0).select(quality.score(F.col("text"), model)).count() == 0
+
+
+def test_scores_depend_on_the_text_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 700))).encode() for _ in range(60)] + [b"", b"a b", b"a b c a b c"]
+    bag, x = quality.encode(texts)
+    model = quality.fit(x, bag, np.arange(len(texts)) % 2 * 1.0, epochs=3)
+    alone = np.concatenate([model.score([t]) for t in texts])
+    assert np.array_equal(model.score(texts), alone) and np.array_equal(model.score(texts[::-1])[::-1], alone)
+    whole = 1 / (1 + np.exp(-model.bags(x, bag)[0]))
+    assert np.allclose(alone, whole, atol=1e-9)
+    # a running softmax over pieces, and repeats known from earlier pieces
+    long = (" ".join(rng.choice(words, 300)) + " ").encode() * 3
+    monkeypatch.setattr(quality, "GROUP_BYTES", 400)
+    bag, x = quality.encode([b"x y z", long, b"x y z"])
+    logit, _ = model.bags(x, bag)
+    assert np.allclose(model.score([b"x y z", long, b"x y z"]), 1 / (1 + np.exp(-logit)), atol=1e-9)
+    late = x[bag == 1][-3:, 13 + 5]
+    assert (late > 0.9).all() and not x[bag == 2][0, 13 + 5]
+
+
+def test_training_takes_whole_documents(spark):
+    docs = local_table(spark, [(i, ("good words here. " if i % 2 else "BAD!! ") * (400 if i == 7 else 40)) for i in range(1, 30)], "doc_id long, text string")
+    labels = local_table(spark, [(i, i % 2) for i in range(1, 30)], "doc_id long, quality int")
+    seen = []
+    keep = quality.fit
+    try:
+        quality.fit = lambda x, bag, y, **k: seen.append(np.bincount(bag)) or keep(x, bag, y, epochs=1)
+        quality.train(docs, labels)
+        quality.train(docs, labels, passages=12)
+    finally:
+        quality.fit = keep
+    sizes, few = seen
+    assert sizes.max() in (2, 19) and few.sum() <= 12 and len(few) >= 6
+
+
+def test_neighbours_in_a_batch_leave_no_trace():
+    texts = [b"one two", b"", b"  three one two", b"\n", b"one two", b"a b c", b"a b c"]
+    bag, x = quality.encode(texts)
+    for k, t in enumerate(texts):
+        assert np.array_equal(x[bag == k], quality.encode([t])[1])
