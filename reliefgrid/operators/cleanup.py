@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reliefgrid.config import CleanupSettings
 from reliefgrid.operators.mesh import Mesh, cross_product, triangle_corners, vertex_normals
 from reliefgrid.operators.regions import connected_components
-from reliefgrid.runtime import attach, cut, local_table
+from reliefgrid.runtime import attach, cut, pinned, local_table
 
 _CORNERS = ("v0", "v1", "v2")
 
@@ -269,7 +269,7 @@ def dense_ids(df: DataFrame, order: Sequence[str], name: str, start: int = 0) ->
     Rows are range-partitioned and sorted, the partition sizes (one row per partition) give each
     partition its first number.
     """
-    ordered = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    ordered = pinned(df.repartitionByRange(*order).sortWithinPartitions(*order))
     marked = ordered.withColumn("_m", F.monotonically_increasing_id())
     part = F.shiftright("_m", 33)
     sizes = marked.groupBy(part.alias("_p")).agg(F.count("*").alias("n")).orderBy("_p").collect()
@@ -295,7 +295,7 @@ def vertex_offsets(mesh: Mesh) -> DataFrame:
     from pyspark.sql import Window
 
     counts = mesh.vertices.groupBy("mesh_id").agg(F.count("*").alias("vertices"))
-    ordered = cut(counts.repartitionByRange("mesh_id").sortWithinPartitions("mesh_id"))
+    ordered = pinned(counts.repartitionByRange("mesh_id").sortWithinPartitions("mesh_id"))
     marked = ordered.withColumn("_p", F.shiftright(F.monotonically_increasing_id(), 33))
     rows, at = [], 0
     for r in marked.groupBy("_p").agg(F.sum("vertices").alias("n")).orderBy("_p").collect():

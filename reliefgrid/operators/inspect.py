@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.operators.mesh import Mesh, cross_product, triangle_corners
 from reliefgrid.operators.regions import connected_components
-from reliefgrid.runtime import cut
+from reliefgrid.runtime import cut, unbroadcast
 
 _SIDES = (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))
 
@@ -42,11 +42,11 @@ def vertex_fans(mesh: Mesh) -> DataFrame:
     arms = mesh.triangles.select("mesh_id", F.inline(corner))
     # faces at the same edge end: link all of them to the smallest corner, which forms no pairs
     low = arms.groupBy("mesh_id", "vid", "other").agg(F.min("corner").alias("b"))
-    edges = arms.join(low, ["mesh_id", "vid", "other"]).select("mesh_id", F.col("corner").alias("a"), "b")
+    edges = arms.join(unbroadcast(low), ["mesh_id", "vid", "other"]).select("mesh_id", F.col("corner").alias("a"), "b")
     parts = connected_components(edges, ["mesh_id"]).withColumnRenamed("node", "corner")
     owner = arms.select("mesh_id", "vid", "corner").distinct()
     return (
-        owner.join(parts, ["mesh_id", "corner"])
+        owner.join(unbroadcast(parts), ["mesh_id", "corner"])
         .groupBy("mesh_id", "vid")
         .agg(F.count_distinct("root").alias("fans"))
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from reliefgrid.operators.contour import level_keys
 from reliefgrid.operators.grid import join_levels, pad
 from reliefgrid.operators.tiles import TILE_BITS, TILE_KEY, tiled
-from reliefgrid.runtime import bounded_rows, cut
+from reliefgrid.runtime import bounded_rows, cut, unbroadcast
 
 #: Levels labelled per call where every cell is returned; keeps a task's output near a tile's size.
 LEVELS_PER_CALL = 16
@@ -47,13 +47,13 @@ def connected_components(edges: DataFrame, by: Sequence[str] = (), max_rounds: i
         both = links.unionByName(links.select(*by, b.alias("a"), a.alias("b")))
         low = both.groupBy(*by, "a").agg(F.least(F.min("b"), a).alias("m"))
         large = (
-            both.join(low, [*by, "a"])
+            both.join(unbroadcast(low), [*by, "a"])
             .filter(b > a)
             .select(*by, b.alias("a"), F.col("m").alias("b"))
             .filter(a != b)
         )
         low = large.groupBy(*by, "a").agg(F.min("b").alias("m"))
-        small = large.join(low, [*by, "a"])
+        small = large.join(unbroadcast(low), [*by, "a"])
         links = cut(
             small.select(*by, b.alias("a"), F.col("m").alias("b"))
             .unionByName(low.select(*by, "a", F.col("m").alias("b")))
@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame, by: Sequence[str] = (), max_rounds: i
     else:
         raise RuntimeError("components did not settle; raise max_rounds")
     roots = links.select(*by, F.col("a").alias("node"), F.col("b").alias("root"))
-    return nodes.join(roots, [*by, "node"], "left").select(
+    return nodes.join(unbroadcast(roots), [*by, "node"], "left").select(
         *by, "node", F.coalesce("root", "node").alias("root")
     )
 
@@ -248,7 +248,7 @@ def region_labels(
     if meets.isEmpty():
         return local.select(*out, F.col("label").alias("region"))
     roots = connected_components(meets, by).withColumnRenamed("node", "label")
-    return local.join(roots, [*by, "label"], "left").select(
+    return local.join(unbroadcast(roots), [*by, "label"], "left").select(
         *out, F.coalesce("root", "label").alias("region")
     )
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reliefgrid.operators.cleanup import dense_ids, remap
 from reliefgrid.operators.inspect import require_mesh
 from reliefgrid.operators.mesh import Mesh, _unit, cross_product, triangle_corners
-from reliefgrid.runtime import cut
+from reliefgrid.runtime import pinned
 
 FORMATS = (".stl", ".ply", ".obj", ".off")
 
@@ -96,7 +96,7 @@ def _write_ranges(
     encode: Callable[[pd.DataFrame], bytes],
 ) -> int:
     """Write ``df`` in order into one file, each partition into its own byte range."""
-    fixed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    fixed = pinned(df.repartitionByRange(*order).sortWithinPartitions(*order))
     part = F.shiftright(F.monotonically_increasing_id(), 33)
     marked = fixed.withColumn("_p", part)
     sizes = marked.groupBy("_p").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).orderBy("_p").collect()

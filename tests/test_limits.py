@@ -1,12 +1,15 @@
 """Nothing is lost without a word, and nothing grows beyond its input."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from reliefgrid.operators import cleanup, mesh, pixels, polygons, simplify
-from reliefgrid.operators.mesh import Mesh
-from reliefgrid.runtime import local_table
+from reliefgrid.operators.inspect import vertex_fans
+from reliefgrid.operators.mesh import Mesh, surface_mesh
+from reliefgrid.runtime import cut, local_table
 from reliefgrid.sources import images, npy
 
 RINGS = "poly_id long, ring_id long, role string, seq int, x double, y double"
@@ -93,3 +96,25 @@ def test_lonely_vertices_enter_no_pair_search(spark):
     assert sorted(r.vid for r in near) == [36, 1000]
     plan = mesh.Mesh(frame, local_table(spark, t, "mesh_id string, tid long, v0 long, v1 long, v2 long"))
     assert cleanup.merge_close_vertices(plan).vertices.count() == 121
+
+
+def test_large_sides_are_not_broadcast(spark, tmp_path, capsys):
+    # a compressed file of regular rows looks small, and the corners of its faces are many more
+    path = str(tmp_path / "cells")
+    spark.range(900).select(F.lit("m").alias("raster_id"), F.expr("int(id div 30)").alias("row"), F.expr("int(id % 30)").alias("col"), F.lit(1.0).alias("value")).write.parquet(path)
+    fans = vertex_fans(surface_mesh(spark.read.parquet(path), validate=False))
+    assert fans.filter("fans = 1").count() == 900
+    capsys.readouterr()
+    fans.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin [mesh_id" not in plan
+
+
+def test_a_cut_forgets_the_estimate_of_its_plan(spark, capsys):
+    a = spark.range(50).withColumn("v", F.col("id"))
+    for _ in range(4):
+        a = cut(a.join(a.withColumnRenamed("v", "w"), "id").select("id", F.col("w").alias("v")))
+    a.explain(mode="cost")
+    told = re.findall(r"sizeInBytes=([0-9.]+) (\w+)", capsys.readouterr().out)
+    assert told and all(unit in ("B", "KiB") for _, unit in told)
+    assert a.count() == 50
