@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reliefgrid.runtime import attach
+from reliefgrid.runtime import attach, unbroadcast
 
 
 def box_pairs(boxes: DataFrame, by: Sequence[str] = ("mesh_id",), axes: str = "xyz", ident: str = "tid") -> DataFrame:
@@ -37,7 +37,7 @@ def box_pairs(boxes: DataFrame, by: Sequence[str] = ("mesh_id",), axes: str = "x
 
     home = in_cells(sized.withColumn("_s", F.col("_k")), "b").drop("_k")
     guests = in_cells(sized.withColumn("_s", F.explode(F.filter("_used", lambda s: s >= F.col("_k")))), "a")
-    met = guests.join(home, [*by, "_s", *[f"_c{c}" for c in axes]])
+    met = guests.join(unbroadcast(home), [*by, "_s", *[f"_c{c}" for c in axes]])
     keep = (F.col("_k") < F.col("_s")) | (F.col(f"a.{ident}") < F.col(f"b.{ident}"))
     for c in axes:
         low = F.greatest(F.col(f"a.lo_{c}"), F.col(f"b.lo_{c}"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.operators.ordering import running_sums
-from reliefgrid.runtime import attach, cut
+from reliefgrid.runtime import attach, cut, unbroadcast
 
 #: Sizes of intervals: 2**0 to 2**40 slots.
 SIZES = 41
@@ -54,7 +54,7 @@ def edges_to_the_right(points: DataFrame, edges: DataFrame, key: Sequence[str])
     flat = e.filter("_yl = _yh").select(*key, F.col("_yl").alias("_y"), "_xl", "_xh", "_w")
     corners = e.select(*key, F.col("ey").alias("_y"), F.col("ex").alias("_xl"), F.col("ex").alias("_xh"), "_w")
     flat = flat.unionByName(corners).distinct().withColumn("_cell", across).drop("_w")
-    on_flat = p.join(flat.withColumnRenamed("_y", "y"), [*key, "y", "_cell"]).filter(F.col("x").between(F.col("_xl"), F.col("_xh")))
+    on_flat = p.join(unbroadcast(flat.withColumnRenamed("_y", "y")), [*key, "y", "_cell"]).filter(F.col("x").between(F.col("_xl"), F.col("_xh")))
     on_flat = on_flat.select("_pid", F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_h"), F.lit(True).alias("_on"))
 
     # slots: the rank of each height among the corners' heights
@@ -65,17 +65,17 @@ def edges_to_the_right(points: DataFrame, edges: DataFrame, key: Sequence[str])
     ranked = running_sums(ordered, key, ["y", "_kind"], {"_rank": F.col("_one")})
     rank = ranked.filter("_kind = 0").select(*key, "y", (F.col("_rank") - 1).alias("_slot"))
     low, high = (rank.withColumnsRenamed({"y": f"_y{s}", "_slot": f"_s{s}"}) for s in "lh")
-    steep = steep.join(low, [*key, "_yl"]).join(high, [*key, "_yh"])
+    steep = steep.join(unbroadcast(low), [*key, "_yl"]).join(unbroadcast(high), [*key, "_yh"])
     tall = rank.groupBy(*key).agg(F.floor(F.log2(F.greatest(F.max("_slot"), F.lit(1)).cast("double"))).cast("int").alias("_top"))
     asked = ranked.filter("_kind = 1 and _rank > 0").select("_pid", (F.col("_rank") - 1).alias("_slot"))
-    asks = attach(p.join(asked, "_pid"), tall, key).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_top"))))
+    asks = attach(p.join(unbroadcast(asked), "_pid"), tall, key).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_top"))))
     asks = asks.withColumn("_i", F.expr("shiftright(_slot, _k)"))
     held = steep.withColumn("_v", F.explode(_intervals(F.col("_sl"), F.col("_sh")))).select(
         *key, F.col("_v.k").alias("_k"), F.col("_v.i").alias("_i"), "_outer", "ex", "ey", "enx", "eny", "_xl", "_xh", "_w"
     )
     held = cut(held)
     interval = [*key, "_k", "_i"]
-    asks = cut(asks.select(*interval, "_pid", "x", "y", "_cell").join(held.select(*interval).distinct(), interval, "left_semi"))
+    asks = cut(asks.select(*interval, "_pid", "x", "y", "_cell").join(unbroadcast(held.select(*interval).distinct()), interval, "left_semi"))
 
     # edges that begin to the right, in descending order; a point stands before the edges that begin at its place
     right = asks.select(*interval, (-F.col("x")).alias("_at"), F.lit(0).alias("_kind"), "_pid", F.lit(0).cast("long").alias("_a"), F.lit(0).cast("long").alias("_b"))
@@ -85,7 +85,7 @@ def edges_to_the_right(points: DataFrame, edges: DataFrame, key: Sequence[str])
     counted = counted.filter("_kind = 0").select("_pid", "_n", "_h", F.lit(False).alias("_on"))
 
     # edges beside the point
-    met = asks.join(held.withColumn("_cell", across).drop("_w"), [*interval, "_cell"]).filter(F.col("x").between(F.col("_xl"), F.col("_xh")))
+    met = asks.join(unbroadcast(held.withColumn("_cell", across).drop("_w")), [*interval, "_cell"]).filter(F.col("x").between(F.col("_xl"), F.col("_xh")))
     side = (F.col("enx") - F.col("ex")) * (F.col("y") - F.col("ey")) - (F.col("eny") - F.col("ey")) * (F.col("x") - F.col("ex"))
     beside = F.when(F.col("eny") > F.col("ey"), side > 0).otherwise(side < 0) & (F.col("_xl") <= F.col("x"))
     near = met.select("_pid", (beside & F.col("_outer")).cast("long").alias("_n"), (beside & ~F.col("_outer")).cast("long").alias("_h"), (side == 0).alias("_on"))

@@ -15,7 +15,7 @@ from reliefgrid.operators.containment import edges_to_the_right
 from reliefgrid.operators.regions import region_labels
 from reliefgrid.operators.rings import RING_KEY, ring_table, trace_rings
 from reliefgrid.operators.tiles import TILE_BITS
-from reliefgrid.runtime import attach, cut
+from reliefgrid.runtime import attach, cut, unbroadcast
 
 #: Edges in a band from which a polygon is searched by dyadic intervals.
 BAND_EDGES = 64
@@ -45,8 +45,8 @@ def with_next(rings: DataFrame) -> DataFrame:
     )
     # the first point has place -1 in ``ahead``; it follows the last point of its ring
     first = ahead.filter("seq = -1").withColumnsRenamed({"nx": "fx", "ny": "fy"}).drop("seq")
-    linked = rings.join(ahead, [*key, "seq"], "left")
-    last = linked.filter("nx is null").drop("nx", "ny").join(first, key)
+    linked = rings.join(unbroadcast(ahead), [*key, "seq"], "left")
+    last = linked.filter("nx is null").drop("nx", "ny").join(unbroadcast(first), key)
     last = last.withColumnsRenamed({"fx": "nx", "fy": "ny"})
     return linked.filter("nx is not null").unionByName(last)
 
@@ -123,13 +123,13 @@ def faces_of_polygons(faces: DataFrame, cells: DataFrame, levels: DataFrame, min
     corner = F.coalesce(*[F.when((F.col(f"x{i}") % 2 == 0) & (F.col(f"y{i}") % 2 == 0), F.struct((F.col(f"y{i}") / 2).cast("int").alias("row"), (F.col(f"x{i}") / 2).cast("int").alias("col"))) for i in range(3)])
     at = ["raster_id", "level_idx", "row", "col"]
     labels = region_labels(cells, levels, 4, (True,), tile_bits=tile_bits).filter("own").select(*at, F.col("region").alias("poly_id"))
-    named = faces.withColumn("_c", corner).withColumns({"row": F.col("_c.row"), "col": F.col("_c.col")}).join(labels, at)
+    named = faces.withColumn("_c", corner).withColumns({"row": F.col("_c.row"), "col": F.col("_c.col")}).join(unbroadcast(labels), at)
     double = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     named = cut(named.select(*faces.columns, "poly_id", (F.abs(double) / 8.0).alias("area")))
     polygons = named.groupBy("raster_id", "level_idx", "poly_id").agg(F.sum("area").alias("area"))
     kept = min_area_filter(polygons, min_area) if min_area > 0 else polygons
     kept = area_fraction_filter(kept, min_fraction) if min_fraction > 0 else kept
-    return named.join(kept.select("raster_id", "level_idx", "poly_id"), ["raster_id", "level_idx", "poly_id"], "left_semi").select(*faces.columns)
+    return named.join(unbroadcast(kept.select("raster_id", "level_idx", "poly_id")), ["raster_id", "level_idx", "poly_id"], "left_semi").select(*faces.columns)
 
 
 def max_segments_per_level(rings: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def max_segments_per_level(rings: DataFrame) -> DataFrame:
 def keep_polygons(rings: DataFrame, polygons: DataFrame) -> DataFrame:
     """Ring points of the polygons listed in ``polygons``."""
     key = poly_key(rings)
-    return rings.join(polygons.select(*key).distinct(), key, "left_semi")
+    return rings.join(unbroadcast(polygons.select(*key).distinct()), key, "left_semi")
 
 
 def hole_share_cleanup(rings: DataFrame, solid_share: float = SOLID_SHARE) -> DataFrame:
@@ -243,7 +243,7 @@ def point_in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
         many = bands.filter("_crowded").select(*key)
         listed = cut(points.join(many, key, "left_semi").dropna(subset=["x", "y"]).distinct().withColumn("_pid", F.monotonically_increasing_id()))
         found = edges_to_the_right(listed, edges.join(many, key, "left_semi"), key)
-        beside = listed.join(found.filter("_n % 2 = 1 and _h % 2 = 0 and not _on"), "_pid").select(*points.columns)
+        beside = listed.join(unbroadcast(found.filter("_n % 2 = 1 and _h % 2 = 0 and not _on")), "_pid").select(*points.columns)
     bands = bands.filter("not _crowded").drop("_crowded")
 
     def band(y: Column) -> Column:
@@ -265,7 +265,7 @@ def point_in_polygon(points: DataFrame, rings: DataFrame) -> DataFrame:
     straddles = (F.col("ey") > F.col("y")) != (F.col("eny") > F.col("y"))
     left_of = F.when(dy > 0, side > 0).otherwise(side < 0)
     hits = (
-        located.join(spread.drop("_h", "_y0"), [*key, "_band"])
+        located.join(unbroadcast(spread.drop("_h", "_y0")), [*key, "_band"])
         .groupBy(*key, "_p")
         .agg(
             F.count_if(straddles & left_of & F.col("_outer")).alias("_n"),
@@ -349,7 +349,7 @@ def ring_roles(rings: DataFrame, cells: DataFrame, levels: DataFrame, tile_bits:
     )
     return (
         ring_table(rings)
-        .join(labels, ["tile", "raster_id", "level_idx", "hy1", "hx1"])
+        .join(unbroadcast(labels), ["tile", "raster_id", "level_idx", "hy1", "hx1"])
         .select(
             *RING_KEY, "poly_id", "points", "area",
             F.when(F.col("area") > 0, "exterior").otherwise("hole").alias("role"),
@@ -359,7 +359,7 @@ def ring_roles(rings: DataFrame, cells: DataFrame, levels: DataFrame, tile_bits:
 
 def ring_points(rings: DataFrame, roles: DataFrame) -> DataFrame:
     """Traced segments with their ring's role and polygon, in plain cell coordinates."""
-    return rings.join(roles.select(*RING_KEY, "poly_id", "role"), RING_KEY).select(
+    return rings.join(unbroadcast(roles.select(*RING_KEY, "poly_id", "role")), RING_KEY).select(
         "raster_id", "level_idx", "poly_id", "ring_id", "role", "seq",
         *[(F.col(a) / 2).alias(b) for a, b in (("x1", "x"), ("y1", "y"), ("x2", "nx"), ("y2", "ny"))],
     )
