@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.operators.contour import contour_segments
 from reliefgrid.operators.tiles import TILE_BITS, TILE_KEY
-from reliefgrid.runtime import cut
+from reliefgrid.runtime import cut, unbroadcast
 
 #: Point keys and ring ids: (y + 4) * 2**32 + (x + 4) of a doubled coordinate.
 POINT_SHIFT = 32
@@ -114,7 +114,7 @@ def _join_paths(paths: DataFrame, max_rounds: int = 64) -> DataFrame:
             *by, F.col("path").alias("nxt"), F.col("nxt").alias("nxt2"),
             *[F.col(c).alias(f"{c}2") for c in ("m", "d", "w")],
         )
-        joined = cut(state.join(ahead, [*by, "nxt"]))
+        joined = cut(state.join(unbroadcast(ahead), [*by, "nxt"]))
         if joined.filter("m <> m2").isEmpty():
             break
         nearer = F.col("m") <= F.col("m2")
@@ -127,7 +127,7 @@ def _join_paths(paths: DataFrame, max_rounds: int = 64) -> DataFrame:
         raise RuntimeError("rings did not close; raise max_rounds")
     found = joined.select(*by, "path", "length", F.col("m").alias("ring_id"), "d")
     sizes = found.groupBy(*by, "ring_id").agg(F.sum("length").alias("ring_length"))
-    return found.join(sizes, [*by, "ring_id"]).select(
+    return found.join(unbroadcast(sizes), [*by, "ring_id"]).select(
         *by, "path", "ring_id", (F.col("ring_length") - F.col("d")).alias("off"), "ring_length"
     )
 
@@ -153,7 +153,7 @@ def trace_rings(
     open_ = local.filter("not closed")
     paths = open_.filter("pos = 0").select("raster_id", "level_idx", "path", "tail", "length", "low", "low_pos")
     if not paths.isEmpty():
-        placed = open_.join(_join_paths(paths), ["raster_id", "level_idx", "path"])
+        placed = open_.join(unbroadcast(_join_paths(paths)), ["raster_id", "level_idx", "path"])
         seq = (F.col("off") + F.col("pos")) % F.col("ring_length")
         rings = rings.unionByName(placed.withColumn("seq", seq).select(*cols))
     if keep_frame:
@@ -200,7 +200,7 @@ def drop_collinear(points: DataFrame, key: list[str]) -> DataFrame:
     before = points.select(
         *key, F.col("nx").alias("x"), F.col("ny").alias("y"), F.col("x").alias("px"), F.col("y").alias("py")
     )
-    joined = points.join(before, [*key, "x", "y"])
+    joined = points.join(unbroadcast(before), [*key, "x", "y"])
     turn = (F.col("x") - F.col("px")) * (F.col("ny") - F.col("y")) != (F.col("y") - F.col("py")) * (
         F.col("nx") - F.col("x")
     )

@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType
 
 from reliefgrid.operators.boxes import box_pairs
 from reliefgrid.operators.polygons import level_key, point_in_polygon, poly_key, with_next
-from reliefgrid.runtime import attach, cut
+from reliefgrid.runtime import attach, cut, unbroadcast
 
 #: Chains up to this many points are simplified in one call; longer ones are split first.
 CHAIN_POINTS = 50_000
@@ -154,7 +154,7 @@ def renumber(points: DataFrame, key: list[str]) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*key, "_c").orderBy("seq")) - 1
     return (
         chunk.withColumn("_r", rank)
-        .join(starts, [*key, "_c"])
+        .join(unbroadcast(starts), [*key, "_c"])
         .withColumn("seq", (F.col("_s") + F.col("_r")).cast("int"))
         .drop("_c", "_r", "_s")
     )
@@ -165,7 +165,7 @@ def _at_least_three(before: DataFrame, after: DataFrame, key: list[str]) -> Data
     for _ in range(2):
         had = before.groupBy(*key).agg(F.count("*").alias("_had"))
         # at most two points each, so the arrays stay small
-        short = after.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n < 3").select(*key).join(had.filter("_had >= 3").select(*key), key, "left_semi")
+        short = after.groupBy(*key).agg(F.count("*").alias("_n")).filter("_n < 3").select(*key).join(unbroadcast(had.filter("_had >= 3").select(*key)), key, "left_semi")
         short = cut(short)
         if short.isEmpty():
             return after
@@ -212,8 +212,8 @@ def _edges(kept: DataFrame, key: list[str], sizes: DataFrame) -> DataFrame:
     row = renumber(kept.withColumn("seq", F.col("o")), key)
     ahead = row.select(*key, (F.col("seq") - 1).alias("seq"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("o").alias("b"))
     first = ahead.filter("seq = -1").drop("seq")
-    linked = row.join(ahead, [*key, "seq"], "left")
-    last = linked.filter("b is null").drop("nx", "ny", "b").join(first, key).join(sizes, key).withColumn("b", F.col("b") + F.col("_size")).drop("_size")
+    linked = row.join(unbroadcast(ahead), [*key, "seq"], "left")
+    last = linked.filter("b is null").drop("nx", "ny", "b").join(unbroadcast(first), key).join(unbroadcast(sizes), key).withColumn("b", F.col("b") + F.col("_size")).drop("_size")
     return linked.filter("b is not null").unionByName(last)
 
 
@@ -259,7 +259,7 @@ def keep_valid(points: DataFrame, simplified: DataFrame) -> DataFrame:
         given, simplified = given.withColumn("_level", F.lit(0)), simplified.withColumn("_level", F.lit(0))
     sizes = given.groupBy(*key).agg(F.count("*").cast("int").alias("_size"))
     given = cut(given)
-    kept = cut(simplified.select(*key, "x", "y").join(given, [*key, "x", "y"]).select(*given.columns))
+    kept = cut(simplified.select(*key, "x", "y").join(unbroadcast(given), [*key, "x", "y"]).select(*given.columns))
     while True:
         edges = cut(_edges(kept, key, sizes))
         thin = edges.filter("b - o > 1").select(*by).distinct()
@@ -269,14 +269,14 @@ def keep_valid(points: DataFrame, simplified: DataFrame) -> DataFrame:
         poly = [c for c in key if c != "ring_id"]
         corner = inner.filter("role <> 'exterior' and seq = 0").select(*poly, "x", "y", "ring_id")
         held = point_in_polygon(corner, inner.filter("role = 'exterior'").select(*poly, "ring_id", "role", "seq", "x", "y", "nx", "ny"))
-        lost = corner.join(held.select(*poly, "ring_id"), [*poly, "ring_id"], "left_anti").select(*poly).distinct()
-        outer = inner.filter("role = 'exterior' and b - o > 1").join(lost, poly, "left_semi").select(*key, "o", "b")
+        lost = corner.join(unbroadcast(held.select(*poly, "ring_id")), [*poly, "ring_id"], "left_anti").select(*poly).distinct()
+        outer = inner.filter("role = 'exterior' and b - o > 1").join(unbroadcast(lost), poly, "left_semi").select(*key, "o", "b")
         back = cut(back.unionByName(outer.select(*back.columns)).distinct())
         if back.isEmpty():
             break
-        places = back.join(sizes, key).select(*key, F.explode(F.sequence(F.col("o") + 1, F.col("b") - 1)).alias("_o"), "_size")
+        places = back.join(unbroadcast(sizes), key).select(*key, F.explode(F.sequence(F.col("o") + 1, F.col("b") - 1)).alias("_o"), "_size")
         places = places.select(*key, (F.col("_o") % F.col("_size")).cast("int").alias("o")).distinct()
-        kept = cut(kept.unionByName(given.join(places, [*key, "o"]).select(*kept.columns)).distinct())
+        kept = cut(kept.unionByName(given.join(unbroadcast(places), [*key, "o"]).select(*kept.columns)).distinct())
     out = edges.select(*key, "role", "seq", "x", "y", "nx", "ny")
     return out.drop("_level")
 
