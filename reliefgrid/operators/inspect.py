@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.operators.mesh import Mesh, cross_product, triangle_corners
@@ -12,13 +12,18 @@ from reliefgrid.runtime import cut, unbroadcast
 _SIDES = (("v0", "v1"), ("v1", "v2"), ("v2", "v0"))
 
 
+def _real() -> Column:
+    """Does a triangle name three vertices?"""
+    return (F.col("v0") != F.col("v1")) & (F.col("v1") != F.col("v2")) & (F.col("v2") != F.col("v0"))
+
+
 def edge_uses(mesh: Mesh) -> DataFrame:
-    """Each undirected edge with its uses, and how often it is used in its own direction."""
+    """Each undirected edge with its uses, those by triangles of three vertices (``real``), and how often it is used in its own direction."""
     sides = F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in _SIDES])
     return (
-        mesh.triangles.select("mesh_id", F.inline(sides))
+        mesh.triangles.select("mesh_id", _real().alias("_real"), F.inline(sides))
         .groupBy("mesh_id", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-        .agg(F.count("*").alias("uses"), F.count_if(F.col("p") < F.col("q")).alias("forward"))
+        .agg(F.count("*").alias("uses"), F.count_if("_real").alias("real"), F.count_if(F.col("p") < F.col("q")).alias("forward"))
     )
 
 
@@ -57,7 +62,7 @@ def face_links(mesh: Mesh) -> DataFrame:
 
     Triangles that name a vertex twice have no orientation and no links.
     """
-    real = mesh.triangles.filter((F.col("v0") != F.col("v1")) & (F.col("v1") != F.col("v2")) & (F.col("v2") != F.col("v0")))
+    real = mesh.triangles.filter(_real())
     sides = F.array(*[F.struct(F.col(p).alias("p"), F.col(q).alias("q")) for p, q in _SIDES])
     each = real.select("mesh_id", "tid", F.inline(sides))
     met = each.groupBy("mesh_id", F.least("p", "q").alias("lo"), F.greatest("p", "q").alias("hi")).agg(
@@ -74,7 +79,7 @@ def unorientable(mesh: Mesh) -> DataFrame:
     oriented if some triangle is connected with itself turned over: a path of links, however long and wherever its
     parts lie, comes back with the other sign. An edge of three or more triangles rules it out as well.
     """
-    crowded = edge_uses(mesh).filter("uses > 2").select("mesh_id")
+    crowded = edge_uses(mesh).filter("real > 2").select("mesh_id")
     other = F.when(F.col("alike"), F.col("b")).otherwise(-F.col("b") - 1)
     links = face_links(mesh).withColumn("_b", other)
     both = F.array(
@@ -105,7 +110,7 @@ def mesh_info(mesh: Mesh, fans: bool = False) -> DataFrame:
     per_e = cut(
         edge_uses(mesh).groupBy("mesh_id").agg(
             F.min(F.col("uses") == 2).alias("closed"),
-            F.max("uses").alias("_most"),
+            F.max("real").alias("_most"),
             F.min((F.col("forward") <= 1) & (F.col("uses") - F.col("forward") <= 1)).alias("is_orientable"),
         )
     )
