@@ -10,7 +10,7 @@ from pyspark.sql.types import IntegerType
 
 from reliefgrid.operators.boxes import box_pairs
 from reliefgrid.operators.polygons import level_key, point_in_polygon, poly_key, with_next
-from reliefgrid.runtime import attach, cut, unbroadcast
+from reliefgrid.runtime import attach, cut, spread, unbroadcast
 
 #: Chains up to this many points are simplified in one call; longer ones are split first.
 CHAIN_POINTS = 50_000
@@ -140,7 +140,7 @@ def _split_long(points: DataFrame, key: list[str]) -> DataFrame:
         y = np.r_[pdf["y"].to_numpy(), pdf["by"].iloc[0]]
         return pdf[keep_points(x, y, float(pdf["tol"].iloc[0]))[:-1]][cols]
 
-    return done.groupBy(*key, "a").applyInPandas(finish, schema)
+    return spread(done, [*key, "a"]).groupBy(*key, "a").applyInPandas(finish, schema)
 
 
 def renumber(points: DataFrame, key: list[str]) -> DataFrame:
@@ -308,7 +308,7 @@ def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int
     outer = rings.filter("role = 'exterior'")
     too_long = outer.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") + 1 > max_segments).select(*key)
     need_schema = rings.select(*lk).schema.add("rounds", IntegerType())
-    needed = outer.join(too_long, key, "left_semi").groupBy(*key).applyInPandas(need, need_schema)
+    needed = spread(outer.join(too_long, key, "left_semi"), key).groupBy(*key).applyInPandas(need, need_schema)
     finished = rings.filter("done > 0").select(*lk, F.col("done").alias("rounds"))
     needed = needed.unionByName(finished).groupBy(*lk).agg(F.max("rounds").alias("rounds"))
     joined = attach(rings, needed, lk, "left") if lk else rings.crossJoin(needed)
@@ -331,7 +331,7 @@ def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int
         out["nx"], out["ny"] = np.r_[x[1:], x[:1]], np.r_[y[1:], y[:1]]
         return out
 
-    shrunk = active.filter("rounds > done").groupBy(*key).applyInPandas(shrink, untouched.select(
+    shrunk = spread(active.filter("rounds > done"), key).groupBy(*key).applyInPandas(shrink, untouched.select(
         *key, "role", "seq", "x", "y", "nx", "ny").schema)
     simplified = untouched.select(*shrunk.columns).unionByName(shrunk)
     return keep_valid(points, simplified).select(*shrunk.columns) if valid else simplified

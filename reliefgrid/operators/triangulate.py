@@ -20,7 +20,7 @@ from reliefgrid.operators.polygons import (
     polygon_measures,
     with_next,
 )
-from reliefgrid.runtime import attach, cut
+from reliefgrid.runtime import attach, cut, spread
 
 #: Points of a polygon the solver takes; beyond that the caller is told to use the grid method.
 DELAUNAY_POINTS = 50_000
@@ -95,7 +95,8 @@ def interior_points(rings: DataFrame, density: float = 1.0) -> DataFrame:
 def _delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Delaunay triangles by point insertion (Bowyer, 1981; Watson, 1981).
 
-    Positions are shifted by a fixed tiny amount per point, so that points on a common circle or
+    The triangles whose circles hold a new point are connected: one is found by walking from the latest triangle, the
+    others through their sides, so a point costs the triangles near it and not all that there are. Positions are shifted by a fixed tiny amount per point, so that points on a common circle or
     line leave no ties.
     """
     n = len(x)
@@ -108,28 +109,82 @@ def _delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     px = np.r_[px, mx - big, mx + big, mx]
     py = np.r_[py, my - big, my - big, my + big]
 
-    def circles(t):
-        ax, ay = px[t[:, 0]], py[t[:, 0]]
-        bx, by = px[t[:, 1]] - ax, py[t[:, 1]] - ay
-        cx, cy = px[t[:, 2]] - ax, py[t[:, 2]] - ay
-        d = 2.0 * (bx * cy - by * cx)
-        d[d == 0] = 1e-300
+    xs, ys, base = px.tolist(), py.tolist(), n + 3
+    corners: list[tuple[int, int, int]] = []
+    across: list[list[int]] = []  # triangle beyond the side opposite to each corner, -1 outside
+    circles: list[tuple[float, float, float]] = []
+    gone = bytearray()
+
+    def add(a: int, b: int, c: int, beyond: int) -> int:
+        ax, ay = xs[a], ys[a]
+        bx, by, cx, cy = xs[b] - ax, ys[b] - ay, xs[c] - ax, ys[c] - ay
+        d = 2.0 * (bx * cy - by * cx) or 1e-300
         b2, c2 = bx * bx + by * by, cx * cx + cy * cy
         ux, uy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
-        return np.c_[ax + ux, ay + uy, ux * ux + uy * uy]
-
-    tri = np.array([[n, n + 1, n + 2]])
-    circ = circles(tri)
+        corners.append((a, b, c))
+        across.append([-1, -1, beyond])
+        circles.append((ax + ux, ay + uy, ux * ux + uy * uy))
+        gone.append(0)
+        return len(corners) - 1
+
+    def holds(t: int, i: int) -> bool:
+        cx, cy, r2 = circles[t]
+        dx, dy = cx - xs[i], cy - ys[i]
+        return dx * dx + dy * dy < r2
+
+    def start(t: int, i: int) -> int:
+        """A triangle whose circle holds point ``i``: on the way from ``t`` towards it."""
+        x0, y0 = xs[i], ys[i]
+        came = -1
+        for _ in range(len(corners)):
+            if holds(t, i):
+                return t
+            for k in range(3):
+                to = across[t][k]
+                if to < 0 or to == came:
+                    continue
+                w, u, v = corners[t][k], corners[t][k - 2], corners[t][k - 1]
+                ex, ey = xs[v] - xs[u], ys[v] - ys[u]
+                if (ex * (y0 - ys[u]) - ey * (x0 - xs[u])) * (ex * (ys[w] - ys[u]) - ey * (xs[w] - xs[u])) < 0:
+                    came, t = t, to
+                    break
+            else:
+                break
+        return next((t for t in range(len(corners)) if not gone[t] and holds(t, i)), -1)
+
+    last = add(n, n + 1, n + 2, -1)
     for i in range(n):
-        bad = (circ[:, 0] - px[i]) ** 2 + (circ[:, 1] - py[i]) ** 2 < circ[:, 2]
-        hit = tri[bad]
-        sides = np.concatenate([hit[:, [0, 1]], hit[:, [1, 2]], hit[:, [2, 0]]])
-        code = np.minimum(sides[:, 0], sides[:, 1]) * (n + 3) + np.maximum(sides[:, 0], sides[:, 1])
-        _, first, times = np.unique(code, return_index=True, return_counts=True)
-        rim = sides[first[times == 1]]
-        new = np.c_[rim, np.full(len(rim), i)]
-        tri = np.concatenate([tri[~bad], new])
-        circ = np.concatenate([circ[~bad], circles(new)])
+        first = start(last, i)
+        if first < 0:
+            continue  # no circle holds the point, as for a repeated one
+        bad, todo, rim = {first}, [first], []
+        while todo:
+            t = todo.pop()
+            for k in range(3):
+                to = across[t][k]
+                if to in bad:
+                    continue
+                if to >= 0 and holds(to, i):
+                    bad.add(to)
+                    todo.append(to)
+                else:
+                    u, v = corners[t][k - 2], corners[t][k - 1]
+                    rim.append((min(u, v) * base + max(u, v), u, v, t, to))
+        open_: dict[int, tuple[int, int]] = {}
+        for _, u, v, t, to in sorted(rim):
+            last = add(u, v, i, to)
+            if to >= 0:
+                across[to][across[to].index(t)] = last
+            for k, corner in ((1, u), (0, v)):
+                other = open_.pop(corner, None)
+                if other is None:
+                    open_[corner] = (last, k)
+                else:
+                    across[last][k] = other[0]
+                    across[other[0]][other[1]] = last
+        for t in bad:
+            gone[t] = 1
+    tri = np.array([c for c, dead in zip(corners, gone) if not dead], np.int64).reshape(-1, 3)
     return tri[(tri < n).all(axis=1)]
 
 
@@ -196,7 +251,7 @@ def delaunay(rings: DataFrame, density: float | None = 1.0) -> tuple[DataFrame,
     for c in ("id", "a", "b", "c"):
         schema = schema.add(c, "long")
     schema = schema.add("x", "double").add("y", "double")
-    out = cut(points.groupBy(*key).applyInPandas(_solve(key), schema))
+    out = cut(spread(points, key).groupBy(*key).applyInPandas(_solve(key), schema))
     vertices = out.filter("kind = 'v'").select(*key, F.col("id").alias("vid"), "x", "y")
     triangles = out.filter("kind = 't'").select(
         *key, F.col("id").alias("tid"), F.col("a").alias("v0"), F.col("b").alias("v1"), F.col("c").alias("v2"), "x", "y"
