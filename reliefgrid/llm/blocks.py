@@ -75,7 +75,7 @@ def blocks(page: str, named: bool = True) -> list[Block]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 path = tuple(stack)
-                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())), path[-1][0] if path else "", path, tuple(numbers)))
+                out.append(Block(text, len(" ".join(html.unescape("".join(linked)).split())) if linked else 0, path[-1][0] if path else "", path, tuple(numbers)))
             parts.clear()
             linked.clear()
 
@@ -111,7 +111,10 @@ def blocks(page: str, named: bool = True) -> list[Block]:
             if tag in VOID_TAGS:
                 continue
             if closing:
-                if any(t == tag for t, _ in stack):
+                if stack and stack[-1][0] == tag:
+                    stack.pop()
+                    del numbers[len(stack) :]
+                elif any(t == tag for t, _ in stack):
                     while stack.pop()[0] != tag:
                         pass
                     del numbers[len(stack) :]

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reliefgrid.llm.blocks import Block, blocks
+from reliefgrid.runtime import cut
 
 MAX_LINK_DENSITY = 0.3
 #: Characters: below, a block is undecided; above the second, it is decided by its stop words.
@@ -55,11 +56,14 @@ GOOD, BAD, SHORT_BLOCK, NEAR = 1, 0, 2, 3
 def stop_words(pages: DataFrame, html_col: str = "html", share: float = STOP_SHARE) -> frozenset[str]:
     """The words that stand on at least ``share`` of the pages with text, counted over all of them."""
     page = F.regexp_replace(F.coalesce(F.col(html_col).cast("string"), F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>|&[#\w]+;", " ")
-    words = pages.select(F.array_distinct(F.filter(F.split(F.lower(page), r"[^\p{L}\p{M}]+"), lambda w: w != "")).alias("_w"))
-    total = words.filter(F.size("_w") > 0).count()
-    counts = words.select(F.explode("_w").alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
+    found = F.array_remove(F.array_distinct(F.split(F.lower(page), r"[^\p{L}\p{M}]+")), "")
+    # the empty word stands once on each page that has any, so that one reading gives the number of pages too
+    words = pages.select(found.alias("_w")).filter(F.size("_w") > 0).select(F.explode(F.concat("_w", F.array(F.lit("")))).alias("word"))
+    counts = cut(words.groupBy("word").agg(F.count("*").alias("_n")))
+    row = counts.filter("word = ''").first()
+    least = max(2.0, share * (row["_n"] if row else 0))
     # each page has a limited number of words, so few can stand on that many pages
-    return frozenset(r["word"] for r in counts.filter(F.col("_n") >= max(2.0, share * total)).select("word").collect())
+    return frozenset(r["word"] for r in counts.filter((F.col("word") != "") & (F.col("_n") >= least)).select("word").collect())
 
 
 def _excluded(b: Block) -> tuple[bool, bool, bool]:
@@ -82,14 +86,28 @@ def _excluded(b: Block) -> tuple[bool, bool, bool]:
     return False, doubt, inside
 
 
-def stop_share(text: str, stop: frozenset[str]) -> float:
+def _stops(text: str, stop: frozenset[str]) -> tuple[int, int]:
+    """Stop words and words of a text."""
     words = WORD.findall(text.lower())
-    return sum(w in stop for w in words) / len(words) if words else 0.0
+    return sum(map(stop.__contains__, words)), len(words)
+
+
+def _share(stops: int, words: int) -> float:
+    return stops / words if words else 0.0
+
+
+def stop_share(text: str, stop: frozenset[str]) -> float:
+    return _share(*_stops(text, stop))
 
 
 def first_pass(b: Block, stop: frozenset[str] | None) -> int:
     """Label of a block by itself; without ``stop`` words by links and length alone."""
-    out, doubt, inside = _excluded(b)
+    return _label(b, _excluded(b), None if stop is None else stop_share(b.text, stop))
+
+
+def _label(b: Block, where: tuple[bool, bool, bool], share: float | None) -> int:
+    """The same from the place of the block and its share of stop words."""
+    out, doubt, inside = where
     if out:
         return BAD
     if b.link_chars > MAX_LINK_DENSITY * len(b.text):
@@ -99,7 +117,7 @@ def first_pass(b: Block, stop: frozenset[str] | None) -> int:
         return BAD
     if len(b.text) < SHORT:
         return BAD if doubt else SHORT_BLOCK
-    good = stop is None or stop_share(b.text, stop) >= STOP_GOOD
+    good = share is None or share >= STOP_GOOD
     if doubt:
         return GOOD if good else BAD
     if not good:
@@ -159,9 +177,10 @@ def second_pass(found: list[Block], labels: list[int]) -> list[int]:
 
 def main_text(page: str | None, stop: frozenset[str] = frozenset()) -> str:
     found = blocks(page or "")
-    plain = [b for b in found if not _excluded(b)[0]]
-    known = stop_share(" ".join(b.text for b in plain), stop) >= STOP_KNOWN
-    labels = second_pass(found, [first_pass(b, stop if known else None) for b in found])
+    places = [_excluded(b) for b in found]
+    counts = [(0, 0) if p[0] else _stops(b.text, stop) for b, p in zip(found, places)]
+    known = _share(sum(c[0] for c in counts), sum(c[1] for c in counts)) >= STOP_KNOWN
+    labels = second_pass(found, [_label(b, p, _share(*c) if known else None) for b, p, c in zip(found, places, counts)])
     return " ".join(b.text for b, v in zip(found, labels) if v == GOOD)
 
 

@@ -127,3 +127,18 @@ def test_odd_pages(spark):
     pages = local_table(spark, rows, "page_id long, url string, html string, text long")
     assert [tuple(r) for r in maintext.main_texts(pages).collect()] == [(1, "u", "a", 1), (1, "u", "a", 1), (None, None, "", 0)]
     assert maintext.main_texts(pages.limit(0)).count() == 0
+
+
+def test_pages_are_read_once_for_stop_words(spark):
+    """Each page is split into words in one job; the pages with words are counted in it."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(page):
+        read.add(1)
+        return page
+
+    rows = [(1, "<p>one two</p><script>three</script>"), (2, "<p>Two, three!"), (3, "<p>two four"), (4, "<p></p>"), (5, None)] * 2
+    pages = local_table(spark, rows, "page_id long, html string").withColumn("html", seen.asNondeterministic()("html"))
+    assert maintext.stop_words(pages, share=0.5) == {"two"} and read.value == len(rows)
+    assert maintext.stop_words(pages.filter("page_id > 3")) == frozenset()
