@@ -17,7 +17,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id."""
+    """One document of each group of near copies, the one with the smallest id; trees over SimHashes link, exact Jaccard confirms."""
     return one_per_key(docs, simhash.near_duplicates(docs).filter("_keep"))
 
 

@@ -7,8 +7,9 @@ of the border can have partners outside, so only those are also handed to the ou
 within the radius therefore meets in at least one shard, and a shard returns a spanning star for each
 of its linked sets, never its pairs. Shards are joined by distributed connected components.
 
-Near copies by the Jaccard index of five-word shingles (:func:`near_duplicates`) are proposed by MinHash
-bands and the rarest shingles of the sets instead, and each proposed pair is confirmed by the two shingle sets.
+Near copies by the Jaccard index of five-word shingles (:func:`near_duplicates`) are linked by the same trees first, and
+each link is confirmed by the two shingle sets. Pairs beyond the radius are proposed by MinHash bands and the rarest
+shingles of the sets, and confirmed alike.
 
 Results: null and empty texts have fingerprint zero and link like any other; repeated rows are
 repeated in the output; a component of rows without ids has a null id; an empty table gives an empty
@@ -38,6 +39,8 @@ CHUNK_BYTES = 1 << 20
 SAMPLE = 262_144
 #: Fingerprints aimed at in one shard.
 SHARD_ROWS = 16_384
+#: Fingerprints link at so many differing bits or fewer.
+RADIUS = 2
 #: Below this, a node inside a shard compares all its points.
 BRUTE_ROWS = 1_024
 
@@ -241,12 +244,17 @@ def links(nodes: DataFrame, by: str, radius: int, also: str | None = None, also_
     return dealt.groupBy("shard").applyInArrow(search, "a bigint, b bigint")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = 2) -> DataFrame:
+def linked_fingerprints(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``node``, ``root`` of the fingerprints in ``distinct`` (``fp``) that have others within the radius, by the trees."""
+    return connected_components(links(distinct.select(F.col("fp").alias("node"), F.col("fp").alias("by")), "by", radius))
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fingerprint`` (long), ``component_id``: the smallest doc_id reachable over links."""
     made = cut(fingerprints(docs, [Features("fp", words)], id_col, text_col))
     first = made.groupBy("fp").agg(F.min("doc_id").alias("low"))
     first = cut(first)
-    found = connected_components(links(first.select(F.col("fp").alias("node"), F.col("fp").alias("by")), "by", radius))
+    found = linked_fingerprints(first, radius)
     rooted = first.join(found, first["fp"] == found["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     ids = rooted.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
@@ -281,25 +289,26 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``, ``_md5``, ``node`` (hash of the shingle set), ``bands`` of every row."""
+    """``_id``, ``_md5``, ``node`` (hash of the shingle set), ``bands``, ``fp`` (fingerprint of the trees) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.md5(text).alias("_md5"), text.cast("binary").alias("_text"))
 
     def run(batches):
         for b in batches:
-            nodes, bands = [], []
+            nodes, bands, fps = [], [], []
             for t in b.column("_text"):
                 found = shingle_set(t.as_py())
                 nodes.append(xxhash.xxh64_intdigest(found.tobytes()))
                 low = minhashes(found).reshape(BANDS, BAND_ROWS)
                 keys = [xxhash.xxh64_intdigest(v.tobytes(), k) for k, v in enumerate(low)] if len(found) else []
                 bands.append(np.array(keys, np.uint64).view(np.int64))
+                fps.append(simhash(t.as_py(), Features("fp")))
             yield pa.RecordBatch.from_arrays(
-                [b.column("_id"), b.column("_md5"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64()))],
-                names=["_id", "_md5", "node", "bands"],
+                [b.column("_id"), b.column("_md5"), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(np.array(fps, np.uint64).view(np.int64))],
+                names=["_id", "_md5", "node", "bands", "fp"],
             )
 
-    return rows.mapInArrow(run, "_id bigint, _md5 string, node bigint, bands array<bigint>")
+    return rows.mapInArrow(run, "_id bigint, _md5 string, node bigint, bands array<bigint>, fp bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text_col: str) -> DataFrame:
@@ -345,6 +354,23 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return rows.select(F.col("_x.shingle").alias("shingle"), "node", "size", "own", (F.col("size") - F.col("own") - F.col("_i")).alias("rest"))
 
 
+def _tree_pairs(marked: DataFrame) -> DataFrame:
+    """Pairs ``a``, ``b``: the nodes of each component of fingerprints (:func:`linked_fingerprints`) with its smallest node."""
+    held = saved(marked.select("fp", "node").distinct(), "fingerprints")
+    found = linked_fingerprints(saved(held.select("fp").distinct(), "distinct")).withColumnRenamed("node", "fp")
+    rooted = held.join(found, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    hubs = rooted.groupBy("root").agg(F.min("node").alias("b"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    return rooted.join(hubs, "root").filter("node <> b").select(F.col("node").alias("a"), "b").distinct()
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` with the sets joined that the confirmed pairs ``found`` link."""
+    roots = [labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+    edges = found.join(roots[0], "a").join(roots[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("_to"))
+    return saved(labels.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
+
+
 def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets have a Jaccard index of ``similarity``."""
     one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"_{c}")) for c in ("a", "b"))
@@ -367,7 +393,8 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
 def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """``node``, ``root`` for the nodes of ``marked`` that may have near copies: the smallest node of a linked set.
 
-    Texts that share a band meet again by the rarest shingles of their sets (:func:`_prefixes`), which a passage or a
+    The trees come first: what they link is confirmed by the shingle sets and starts out as one set. Beyond their radius,
+    texts that share a band meet again by the rarest shingles of their sets (:func:`_prefixes`), which a passage or a
     template that many texts share is not among. In every round each shingle compares one text of its largest linked
     set, and a number of other texts that doubles, with its texts of other sets; the text with the fewest shingles of
     its own goes first, which in a crowd of copies is the one that all were made from. A pair is read only if sizes
@@ -379,9 +406,14 @@ def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", simil
     bands = nodes.select(F.explode("bands").alias("band"), "node")
     shared = bands.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1").select("band")
     met = bands.join(shared, "band", "left_semi").select("node").distinct()
-    sets = saved(_sets(docs, nodes.join(met, "node", "left_semi").select("_md5"), text_col), "sets")
+    close = saved(_tree_pairs(marked), "close")
+    wanted = met.unionByName(close.select(F.explode(F.array("a", "b")).alias("node")))
+    sets = saved(_sets(docs, nodes.join(wanted, "node", "left_semi").select("_md5"), text_col), "sets")
     rows = saved(_prefixes(sets, similarity), "prefixes")
     labels = saved(rows.select("node").distinct().withColumn("root", F.col("node")), "labels")
+    found = saved(_near_pairs(close, sets, similarity), "near")
+    if not found.isEmpty():
+        labels = _merged(labels, found)
     # the largest partner that the rest allows
     reach = F.floor(F.col("rest") * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
     rank = F.struct((F.col("own") / F.col("size")).alias("own"), F.xxhash64("node", F.lit("pivot")).alias("lot"), "node")
@@ -415,10 +447,7 @@ def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", simil
         pairs = pairs.select(F.greatest("node", "_p_node").alias("a"), F.least("node", "_p_node").alias("b")).distinct()
         found = saved(_near_pairs(pairs, sets, similarity), "near")
         if not found.isEmpty():
-            roots = [labels.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
-            edges = found.join(roots[0], "a").join(roots[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-            merged = connected_components(edges).select(F.col("node").alias("root"), F.col("root").alias("_to"))
-            labels = saved(labels.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
+            labels = _merged(labels, found)
         done = pivots.select("shingle", F.col("_p_node").alias("node"))
         rows = saved(met.select(*rows.columns).join(done, ["shingle", "node"], "left_anti"), "rows")
         others = max(4, 2 * others)
@@ -428,8 +457,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per (_id, _md5) of ``docs``: ``_group`` numbers its group of near copies, ``_keep`` marks one per group.
 
     Two texts are linked if the Jaccard index of their sets of five-word shingles is ``similarity`` or more.
-    MinHash bands and rare shingles only propose pairs; each is confirmed by its sets. Vantage-point trees cannot propose
-    them: at that index SimHashes differ by about ten bits, a radius at which trees prune nothing.
+    Vantage-point trees over SimHashes, as in :func:`components`, propose links first, MinHash bands and rare shingles the
+    pairs beyond the trees' radius; each is confirmed by its sets. Trees alone cannot reach that index: SimHashes differ by about
+    ten bits there, a radius at which trees prune nothing.
     """
     made = saved(_marked(docs, id_col, text_col), "marked")
     found = near_roots(made, docs, text_col, similarity).withColumnRenamed("node", "_node")

@@ -157,3 +157,21 @@ def test_crowds_cost_no_pairs(spark, monkeypatch):
     near_base = [i for i in range(1000, 2001) if len(sets[i] & sets[2000]) >= 0.8 * len(sets[i] | sets[2000])]
     assert len(near_base) > 300 and {group[i] for i in near_base} == {group[2000]}
     assert sum(seen) < 40 * len(texts), seen  # of 1,000,000 pairs within the two crowds
+
+
+def test_trees_link_near_copies_first(spark, monkeypatch):
+    """The trees propose before any shingle meets another, and what they propose is confirmed."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefgh", k=rnd.randint(2, 7))) for _ in range(3000)]
+    texts = [" ".join(rnd.choices(words, k=4000)) for _ in range(10)]
+    for t in texts[:10]:
+        w = t.split()
+        w[rnd.randrange(4000)] = "changed"
+        texts.append(" ".join(w))
+    radii, proposed = [], []
+    links, near = simhash.links, simhash._near_pairs
+    monkeypatch.setattr(simhash, "links", lambda nodes, by, radius, *rest: (radii.append(radius), links(nodes, by, radius, *rest))[1])
+    monkeypatch.setattr(simhash, "_near_pairs", lambda pairs, *rest: (proposed.append(pairs.count()), near(pairs, *rest))[1])
+    group = {r._id: r._group for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    assert all(group[i] == group[i + 10] for i in range(10)) and len(set(group.values())) == 10
+    assert radii == [2] and 3 <= proposed[0] <= 10
