@@ -219,7 +219,8 @@ def links(nodes: DataFrame, by: str, radius: int, also: str | None = None, also_
     count = nodes.count()
     stride = max(1, -(-2 * count // sample))
     picked = nodes.filter(F.pmod(F.xxhash64(by, F.lit("tree")), F.lit(stride)) == 0).select(by).limit(sample)
-    shape = np.sort(np.array([r[0] for r in picked.collect()], np.int64).view(np.uint64))
+    # as Arrow: eight bytes a fingerprint on the driver, where rows would take a hundred
+    shape = np.sort(picked.toArrow().column(by).to_numpy().astype(np.int64).view(np.uint64))
     tree = build_tree(shape, count / max(1, len(shape)), radius, shard_rows)
     columns = ["node", by, *([also] if also else [])]
 
@@ -371,6 +372,17 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     return saved(labels.join(merged, "root", "left").select("node", F.coalesce("_to", "root").alias("root")), "labels")
 
 
+def _met_pairs(met: DataFrame, others: DataFrame, similarity: float, twice: bool = False) -> DataFrame:
+    """Pairs ``a``, ``b`` of different sets that share a shingle whose place leaves room for ``similarity``; ``twice``: both sides have all rows."""
+    columns = ("node", "size", "rest", "root")
+    right = others.select("shingle", *[F.col(c).alias(f"_p_{c}") for c in columns])
+    size, rest = F.col("size") + F.col("_p_size"), F.least("rest", "_p_rest")
+    room = (rest * (1 + similarity) + 1e-6 >= size * similarity) & (F.least("size", "_p_size") >= F.greatest("size", "_p_size") * similarity - 1e-9)
+    apart = (F.col("root") != F.col("_p_root")) & (F.col("node") > F.col("_p_node") if twice else F.lit(True))
+    pairs = met.select("shingle", *columns).join(right, "shingle").filter(apart & room)
+    return pairs.select(F.greatest("node", "_p_node").alias("a"), F.least("node", "_p_node").alias("b")).distinct()
+
+
 def _near_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets have a Jaccard index of ``similarity``."""
     one, two = (sets.select(F.col("node").alias(c), F.col("set").alias(f"_{c}")) for c in ("a", "b"))
@@ -400,7 +412,8 @@ def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", simil
     its own goes first, which in a crowd of copies is the one that all were made from. A pair is read only if sizes
     and places of the shingle leave room for the similarity, and rows without any such partner in another set are dropped.
     A compared text is done at that shingle, and a shingle is done when one set is left: every possible pair
-    is compared or already linked by others.
+    is compared or already linked by others. Once the pairs of different sets that are left
+    are no more than the rows at the start, all of them are compared at once.
     """
     nodes = saved(marked.groupBy("node").agg(F.first("_md5").alias("_md5"), F.first("bands").alias("bands")), "nodes")
     bands = nodes.select(F.explode("bands").alias("band"), "node")
@@ -417,7 +430,7 @@ def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", simil
     # the largest partner that the rest allows
     reach = F.floor(F.col("rest") * ((1 + similarity) / similarity) + 1e-6) - F.col("size")
     rank = F.struct((F.col("own") / F.col("size")).alias("own"), F.xxhash64("node", F.lit("pivot")).alias("lot"), "node")
-    others = 0
+    most, others = rows.count(), 0
     while True:
         met = rows.join(labels, "node").withColumn("_reach", reach).withColumn("_rank", rank)
         per = met.groupBy("shingle", "root").agg(F.count("*").alias("_n"), F.min("_rank").alias("_first"), F.min("size").alias("_least"), F.max("_reach").alias("_most"))
@@ -430,25 +443,26 @@ def near_roots(marked: DataFrame, docs: DataFrame, text_col: str = "text", simil
         main = main.filter("_sets > 1").select("shingle", F.col("_main.root").alias("_main"), "_least", "_most")
         fits = (F.col("_reach") >= F.greatest("_least", F.ceil(F.col("size") * similarity - 1e-9))) & (F.col("_most") >= F.col("size"))
         met = saved(met.join(main, "shingle").filter(fits).drop("_least", "_most"), "met")
+        own = F.col("root") == F.col("_main")
+        crowds = met.groupBy("shingle").agg(F.count_if(own).cast("double").alias("_m"), F.count_if(~own).cast("double").alias("_o"))
+        left = crowds.agg(F.sum(F.col("_o") * (F.col("_m") + (F.col("_o") - 1) / 2))).first()[0]
+        if left is None:
+            return labels
+        if left <= most:
+            found = saved(_near_pairs(_met_pairs(met, met, similarity, twice=True), sets, similarity), "near")
+            return labels if found.isEmpty() else _merged(labels, found)
         slot = F.when(F.col("root") == F.col("_main"), F.lit(-1)).otherwise(F.pmod(F.xxhash64("node"), F.lit(max(1, others))).cast("int"))
         pivots = met.withColumn("_slot", slot).filter(F.lit(others > 0) | (F.col("_slot") < 0))
         pivots = pivots.groupBy("shingle", "_slot").agg(F.min(F.struct("_rank", "node", "size", "rest", "root")).alias("_p"))
-        pivots = saved(pivots.select("shingle", *[F.col(f"_p.{c}").alias(f"_p_{c}") for c in ("node", "size", "rest", "root")]), "pivots")
+        pivots = saved(pivots.select("shingle", *[F.col(f"_p.{c}").alias(c) for c in ("node", "size", "rest", "root")]), "pivots")
         if pivots.isEmpty():
-            if met.isEmpty():
-                return labels
             others = max(4, 2 * others)  # the main sets have no row that fits; go on with the rest
             rows = met.select(*rows.columns)
             continue
-        size, rest = F.col("size") + F.col("_p_size"), F.least("rest", "_p_rest")
-        room = (rest * (1 + similarity) + 1e-6 >= size * similarity) & (F.least("size", "_p_size") >= F.greatest("size", "_p_size") * similarity - 1e-9)
-        left, right = met.alias("m"), pivots.alias("p")
-        pairs = left.join(right, (F.col("m.shingle") == F.col("p.shingle")) & (F.col("root") != F.col("_p_root")) & room)
-        pairs = pairs.select(F.greatest("node", "_p_node").alias("a"), F.least("node", "_p_node").alias("b")).distinct()
-        found = saved(_near_pairs(pairs, sets, similarity), "near")
+        found = saved(_near_pairs(_met_pairs(met, pivots, similarity), sets, similarity), "near")
         if not found.isEmpty():
             labels = _merged(labels, found)
-        done = pivots.select("shingle", F.col("_p_node").alias("node"))
+        done = pivots.select("shingle", "node")
         rows = saved(met.select(*rows.columns).join(done, ["shingle", "node"], "left_anti"), "rows")
         others = max(4, 2 * others)
 

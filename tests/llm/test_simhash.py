@@ -175,3 +175,31 @@ def test_trees_link_near_copies_first(spark, monkeypatch):
     group = {r._id: r._group for r in simhash.near_duplicates(table(spark, texts)).collect()}
     assert all(group[i] == group[i + 10] for i in range(10)) and len(set(group.values())) == 10
     assert radii == [2] and 3 <= proposed[0] <= 10
+
+
+def test_few_pairs_left_are_compared_at_once(spark, monkeypatch):
+    """A large linked set and some texts that share its rarest shingles but fall short of it cost few rounds, not one per doubling."""
+    rnd = random.Random(15)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(3, 7))) for _ in range(4000)]
+    base = rnd.choices(words, k=150)
+    texts = [" ".join(base)]
+    for _ in range(200):
+        t = list(base)
+        t[rnd.randrange(150)] = rnd.choice(words)
+        texts.append(" ".join(t))
+    for _ in range(60):  # the first 133 words and others: 0.79 to the first text and to each other
+        texts.append(" ".join(base[:133] + rnd.choices(words, k=17)))
+    rounds = []
+    real = simhash._near_pairs
+    monkeypatch.setattr(simhash, "_near_pairs", lambda pairs, *rest: (rounds.append(1), real(pairs, *rest))[1])
+    group = {r._id: r._group for r in simhash.near_duplicates(table(spark, texts)).collect()}
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    first = {}
+    assert [first.setdefault(group[i], i) for i in range(len(texts))] == root
+    assert len(set(root)) > 30 and len(rounds) <= 3, len(rounds)
