@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from reliefgrid.config import CleanupSettings
 from reliefgrid.operators.mesh import Mesh, cross_product, triangle_corners, vertex_normals
 from reliefgrid.operators.regions import connected_components
-from reliefgrid.runtime import attach, cut, pinned, local_table
+from reliefgrid.runtime import attach, cut, pinned, local_table, unbroadcast
 
 _CORNERS = ("v0", "v1", "v2")
 
@@ -30,8 +30,7 @@ def remap(triangles: DataFrame, moved: DataFrame) -> DataFrame:
     out = triangles.select("mesh_id", "tid", *_CORNERS)
     if n == 0:
         return out
-    if n <= BROADCAST_MOVES:
-        moved = F.broadcast(moved)
+    moved = F.broadcast(moved) if n <= BROADCAST_MOVES else unbroadcast(moved)
     for c in _CORNERS:
         step = moved.withColumnsRenamed({"vid": c, "to": "_to"})
         out = out.join(step, ["mesh_id", c], "left").withColumn(c, F.coalesce("_to", c)).drop("_to")
@@ -52,10 +51,13 @@ def remove_degenerate(mesh: Mesh, by: str = "index") -> Mesh:
 def remove_duplicate_vertices(mesh: Mesh) -> Mesh:
     """Merge vertices at exactly the same place into the one with the smallest id."""
     place = ["mesh_id", "x", "y", "z"]
-    first = mesh.vertices.groupBy(*place).agg(F.min("vid").alias("vid"), F.count("*").alias("n"))
+    first = cut(mesh.vertices.groupBy(*place).agg(F.min("vid").alias("vid"), F.count("*").alias("n")))
+    vertices = first.select("mesh_id", "vid", "x", "y", "z")
     repeated = first.filter("n > 1").select(*place, F.col("vid").alias("to"))
-    moved = mesh.vertices.join(repeated, place).filter("vid <> to").select("mesh_id", "vid", "to")
-    return Mesh(first.select("mesh_id", "vid", "x", "y", "z"), remap(mesh.triangles, moved))
+    if repeated.isEmpty():
+        return Mesh(vertices, mesh.triangles.select("mesh_id", "tid", *_CORNERS))
+    moved = mesh.vertices.join(unbroadcast(repeated), place).filter("vid <> to").select("mesh_id", "vid", "to")
+    return Mesh(vertices, remap(mesh.triangles, moved))
 
 
 def remove_duplicate_triangles(mesh: Mesh, ignore_orientation: bool = False) -> Mesh:
@@ -95,9 +97,10 @@ def remove_duplicate_triangles(mesh: Mesh, ignore_orientation: bool = False) ->
 
 
 def remove_unreferenced(mesh: Mesh) -> Mesh:
-    """Drop vertices no triangle uses."""
-    used = mesh.triangles.select("mesh_id", F.explode(F.array(*_CORNERS)).alias("vid")).distinct()
-    return Mesh(mesh.vertices.join(used, ["mesh_id", "vid"], "left_semi"), mesh.triangles)
+    """Drop vertices no triangle uses. The triangles are cut: they are read for the vertices, and again with the result."""
+    triangles = cut(mesh.triangles)
+    used = triangles.select("mesh_id", F.explode(F.array(*_CORNERS)).alias("vid")).distinct()
+    return Mesh(mesh.vertices.join(unbroadcast(used), ["mesh_id", "vid"], "left_semi"), triangles)
 
 
 #: Side of the cells that rule out lonely vertices, in units of the merge distance.

@@ -15,7 +15,7 @@ from reliefgrid.operators.contour import corner_case, contour_segments, level_ke
 from reliefgrid.operators.grid import join_levels, raster_meta, validate_cells
 from reliefgrid.operators.rings import point_key
 from reliefgrid.operators.tiles import TILE_BITS, blocks
-from reliefgrid.runtime import attach, local_table
+from reliefgrid.runtime import attach, local_table, unbroadcast
 
 
 @dataclass(frozen=True)
@@ -290,7 +290,7 @@ def triangle_corners(mesh: Mesh) -> DataFrame:
     place = mesh.vertices.select("mesh_id", "vid", F.struct("x", "y", "z").alias("_p"))
     out = mesh.triangles.select("mesh_id", "tid", "v0", "v1", "v2")
     for i in range(3):
-        out = out.join(place.withColumnsRenamed({"vid": f"v{i}", "_p": f"p{i}"}), ["mesh_id", f"v{i}"])
+        out = out.join(unbroadcast(place.withColumnsRenamed({"vid": f"v{i}", "_p": f"p{i}"})), ["mesh_id", f"v{i}"])
     return out.select("mesh_id", "tid", "v0", "v1", "v2", "p0", "p1", "p2")
 
 
@@ -326,7 +326,7 @@ def vertex_normals(mesh: Mesh) -> DataFrame:
         .agg(*[F.sum(k).alias(k) for k in ("cx", "cy", "cz")])
     )
     c = [F.coalesce(F.col(k), F.lit(0.0)) for k in ("cx", "cy", "cz")]
-    joined = mesh.vertices.join(sums, ["mesh_id", "vid"], "left")
+    joined = mesh.vertices.join(unbroadcast(sums), ["mesh_id", "vid"], "left")
     return joined.select(
         "mesh_id", "vid", "x", "y", "z", *[u.alias(k) for u, k in zip(_unit(*c), ("nx", "ny", "nz"))]
     )

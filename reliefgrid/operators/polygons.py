@@ -15,7 +15,7 @@ from reliefgrid.operators.containment import edges_to_the_right
 from reliefgrid.operators.regions import region_labels
 from reliefgrid.operators.rings import RING_KEY, ring_table, trace_rings
 from reliefgrid.operators.tiles import TILE_BITS
-from reliefgrid.runtime import attach, cut, unbroadcast
+from reliefgrid.runtime import attach, bounded_rows, cut, local_table, unbroadcast
 
 #: Edges in a band from which a polygon is searched by dyadic intervals.
 BAND_EDGES = 64
@@ -129,7 +129,11 @@ def faces_of_polygons(faces: DataFrame, cells: DataFrame, levels: DataFrame, min
     polygons = named.groupBy("raster_id", "level_idx", "poly_id").agg(F.sum("area").alias("area"))
     kept = min_area_filter(polygons, min_area) if min_area > 0 else polygons
     kept = area_fraction_filter(kept, min_fraction) if min_fraction > 0 else kept
-    return named.join(unbroadcast(kept.select("raster_id", "level_idx", "poly_id")), ["raster_id", "level_idx", "poly_id"], "left_semi").select(*faces.columns)
+    key = ["raster_id", "level_idx", "poly_id"]
+    rows = bounded_rows(kept := kept.select(*key))
+    # few polygons go to the triangles, which then stay where they are
+    kept = unbroadcast(kept) if rows is None else F.broadcast(local_table(cells.sparkSession, rows, kept.schema))
+    return named.join(kept, key, "left_semi").select(*faces.columns)
 
 
 def max_segments_per_level(rings: DataFrame) -> DataFrame:

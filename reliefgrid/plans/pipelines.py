@@ -85,6 +85,7 @@ def level_solids(cells: DataFrame, levels: DataFrame, config: MeshSettings = Mes
     """
     units = (config.heightmap.units.x, config.heightmap.units.y)
     thickness = _thickness(config)
+    cells = cut(cells)  # covers, walls, regions and rings each read them
     exact = config.mode == "slice" and config.triangulation.method == "grid"
     c = config.contour
     if exact:
@@ -137,7 +138,7 @@ def heightmap_to_mesh(
     # reducing is for the finished mesh only
     per_level = replace(cleanup, simplification="none")
     mesh = clean_mesh(solids, per_level) if cleanup.apply else solids
-    mesh = Mesh(cut(mesh.vertices), cut(mesh.triangles))
+    mesh = Mesh(cut(mesh.vertices), mesh.triangles if cleanup.apply and cleanup.remove_unreferenced else cut(mesh.triangles))
     parts = 1 if config.mode == "slice" and config.triangulation.method == "grid" else 2
     mesh = combine_meshes(mesh, config.combine_threshold, raster_of(parts))
     if cleanup.apply:

@@ -4,7 +4,7 @@ import time
 
 import numpy as np
 
-from reliefgrid.operators import triangulate
+from reliefgrid.operators import cleanup, mesh, triangulate
 from reliefgrid.runtime import local_table
 
 RINGS = "poly_id long, ring_id long, role string, seq int, x double, y double"
@@ -37,3 +37,13 @@ def test_delaunay_of_many_points():
     t = time.time()
     tri = triangulate._delaunay(g[:, 0], g[:, 1])
     assert len(tri) > 39_900 and time.time() - t < 12  # all triangles looked at for every point take 30 s
+
+
+def test_cleaning_steps_are_not_repeated(spark):
+    """What a step reads more than once is written: places of vertices, and triangles whose vertices are kept."""
+    v = local_table(spark, [("m", i, float(i), 0.0, 0.0) for i in range(4)], "mesh_id string, vid long, x double, y double, z double")
+    t = local_table(spark, [("m", 0, 0, 1, 2)], "mesh_id string, tid long, v0 long, v1 long, v2 long")
+    once = cleanup.remove_duplicate_vertices(mesh.Mesh(v, t))
+    assert once.vertices.inputFiles() and once.vertices.count() == 4 and once.triangles.collect() == t.collect()
+    used = cleanup.remove_unreferenced(mesh.Mesh(v, t))
+    assert used.triangles.inputFiles() and sorted(r.vid for r in used.vertices.collect()) == [0, 1, 2]
