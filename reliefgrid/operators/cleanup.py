@@ -105,23 +105,36 @@ def remove_unreferenced(mesh: Mesh) -> Mesh:
 
 #: Side of the cells that rule out lonely vertices, in units of the merge distance.
 CELL_EPS = 1_000.0
+#: Where the cells start, in units of their side: nothing that round coordinates hit.
+CELL_START = 0.3819660112501051
+
+
+def company_cells(points: DataFrame, eps: float) -> DataFrame:
+    """Cells of side ``CELL_EPS * eps`` (hashed) of each point, with those whose border it lies within ``eps`` of.
+
+    The cells are moved off the origin: places with round coordinates would lie on the borders of cells and stand in
+    eight of them.
+    """
+    side, reach = CELL_EPS * eps, 1.01 * eps
+    out = points.select("mesh_id", "vid", "x", "y", "z")
+    for c in ("x", "y", "z"):
+        ends = [F.floor((F.col(c) - CELL_START * side + d) / side) for d in (-reach, reach)]
+        out = out.withColumn(f"c{c}", F.explode(F.sequence(*ends)))
+    return out.select("mesh_id", "vid", F.xxhash64("mesh_id", "cx", "cy", "cz").alias("cell"))
 
 
 def with_company(points: DataFrame, eps: float) -> DataFrame:
-    """The points that share a cell of side ``CELL_EPS * eps`` with another, or lie within ``eps`` of its border.
+    """The points that share a cell with another (:func:`company_cells`).
 
-    A point is repeated in those neighbouring cells only whose border it is that close to, which is
-    nearly none, so the search for close pairs starts from about one row per point.
+    That is about one row per point from which the search for close pairs starts. Two cells of one hash add points to the
+    search and lose none.
     """
-    axes = ("x", "y", "z")
-    side = CELL_EPS * eps
-    span = [F.sequence(F.floor((F.col(c) - eps) / side), F.floor((F.col(c) + eps) / side)) for c in axes]
-    spread = points.select("mesh_id", "vid", *[F.col(c) for c in axes])
-    for c, s in zip(axes, span):
-        spread = spread.withColumn(f"c{c}", F.explode(s))
-    cell = ["mesh_id", *[f"c{c}" for c in axes]]
-    shared = spread.groupBy(*cell).agg(F.count("*").alias("n")).filter("n > 1").select(*cell)
-    near = spread.join(shared, cell, "left_semi").select("mesh_id", "vid").distinct()
+    cells = company_cells(points, eps)
+    # written, so that few shared cells are sent to the points instead of shuffling the points
+    shared = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1").select("cell"))
+    if shared.isEmpty():
+        return points.limit(0)
+    near = cells.join(shared, "cell", "left_semi").select("mesh_id", "vid").distinct()
     return points.join(near, ["mesh_id", "vid"], "left_semi")
 
 
@@ -212,30 +225,35 @@ def _close_links(points: DataFrame, eps: float) -> DataFrame:
     raise RuntimeError("positions too close to the threshold to tell apart")
 
 
-def merge_close_vertices(mesh: Mesh, eps: float = 1e-6) -> Mesh:
-    """Merge vertices connected by steps of at most ``eps``; the merged place is their mean."""
+def _close_moves(vertices: DataFrame, eps: float) -> tuple[DataFrame, DataFrame]:
+    """The vertices left when those within ``eps`` are merged, and the moves (mesh_id, vid, to) of the others."""
     place = ["mesh_id", "x", "y", "z"]
-    spots = mesh.vertices.groupBy(*place).agg(F.min("vid").alias("vid"), F.count("*").alias("n"))
+    spots = vertices.groupBy(*place).agg(F.min("vid").alias("vid"), F.count("*").alias("n"))
     spots = cut(spots)
     links = cut(_close_links(spots, eps))
-    same = mesh.vertices.join(
+    same = vertices.join(
         spots.filter("n > 1").select(*place, F.col("vid").alias("spot")), place
     ).filter("vid <> spot").select("mesh_id", "vid", "spot")
     if links.isEmpty():
-        return Mesh(spots.select("mesh_id", "vid", "x", "y", "z"),
-                    remap(mesh.triangles, same.withColumnRenamed("spot", "to")))
+        return spots.select("mesh_id", "vid", "x", "y", "z"), same.withColumnRenamed("spot", "to")
     roots = cut(connected_components(links, ["mesh_id"]))
     spot_root = spots.join(roots.withColumnRenamed("node", "vid"), ["mesh_id", "vid"], "left").withColumn(
         "root", F.coalesce("root", "vid")
     )
-    vertices = spot_root.groupBy("mesh_id", F.col("root").alias("vid")).agg(
+    merged = spot_root.groupBy("mesh_id", F.col("root").alias("vid")).agg(
         *[(F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c) for c in ("x", "y", "z")]
     )
     moved = spot_root.filter("vid <> root").select("mesh_id", "vid", F.col("root").alias("to"))
     follow = same.join(roots.withColumnRenamed("node", "spot"), ["mesh_id", "spot"], "left").select(
         "mesh_id", "vid", F.coalesce("root", "spot").alias("to")
     )
-    return Mesh(vertices, remap(mesh.triangles, moved.unionByName(follow)))
+    return merged, moved.unionByName(follow)
+
+
+def merge_close_vertices(mesh: Mesh, eps: float = 1e-6) -> Mesh:
+    """Merge vertices connected by steps of at most ``eps``; the merged place is their mean."""
+    vertices, moved = _close_moves(mesh.vertices, eps)
+    return Mesh(vertices, remap(mesh.triangles, moved))
 
 
 def clean_mesh(mesh: Mesh, config: CleanupSettings = CleanupSettings()) -> Mesh:
@@ -310,17 +328,20 @@ def vertex_offsets(mesh: Mesh) -> DataFrame:
     return marked.join(starts, "_p").withColumn("first_vertex", before).drop("_p", "_s")
 
 
-def concat_meshes(mesh: Mesh, mesh_id: Column | None = None) -> Mesh:
-    """Put meshes together under new ids; vertices are renumbered 0, 1, ... in order of mesh."""
-    mesh_id = F.lit("combined") if mesh_id is None else mesh_id
+def _numbered(mesh: Mesh, mesh_id: Column | None) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """Renumbered vertices, the moves of their ids, renumbered triangles that keep their corners, and the new mesh id."""
     numbered = dense_ids(mesh.vertices, ["mesh_id", "vid"], "new_vid")
     ids = numbered.select("mesh_id", "vid", F.col("new_vid").alias("to"))
-    numbered_t = dense_ids(mesh.triangles, ["mesh_id", "tid"], "new_tid").withColumn("tid", F.col("new_tid"))
-    triangles = remap(numbered_t.select("mesh_id", "tid", *_CORNERS), ids)
-    return Mesh(
-        numbered.select(mesh_id.alias("mesh_id"), F.col("new_vid").alias("vid"), "x", "y", "z"),
-        triangles.select(mesh_id.alias("mesh_id"), "tid", *_CORNERS),
-    )
+    triangles = dense_ids(mesh.triangles, ["mesh_id", "tid"], "new_tid").withColumn("tid", F.col("new_tid"))
+    mesh_id = F.lit("combined") if mesh_id is None else mesh_id
+    vertices = numbered.select(mesh_id.alias("mesh_id"), F.col("new_vid").alias("vid"), "x", "y", "z")
+    return vertices, ids, triangles.select("mesh_id", "tid", *_CORNERS), mesh_id
+
+
+def concat_meshes(mesh: Mesh, mesh_id: Column | None = None) -> Mesh:
+    """Put meshes together under new ids; vertices are renumbered 0, 1, ... in order of mesh."""
+    vertices, ids, triangles, mesh_id = _numbered(mesh, mesh_id)
+    return Mesh(vertices, remap(triangles, ids).select(mesh_id.alias("mesh_id"), "tid", *_CORNERS))
 
 
 def combine_meshes(
@@ -328,6 +349,7 @@ def combine_meshes(
 ) -> Mesh:
     """Concatenate, merge close vertices, drop degenerate triangles and unused vertices.
 
+    The numbers of the concatenated meshes and the merged vertices reach the triangles together.
     Takes one keyed mesh table pair or a list of them (with distinct ids). ``mesh_id`` says which
     meshes belong together. No meshes at all is an error; empty meshes add nothing.
     """
@@ -338,8 +360,13 @@ def combine_meshes(
     all_v, all_t = meshes[0].vertices, meshes[0].triangles
     for m in meshes[1:]:
         all_v, all_t = all_v.unionByName(m.vertices), all_t.unionByName(m.triangles)
-    mesh = concat_meshes(Mesh(all_v.select("mesh_id", "vid", "x", "y", "z"), all_t), mesh_id)
-    return remove_unreferenced(remove_degenerate(merge_close_vertices(mesh, merge_threshold)))
+    vertices, ids, triangles, mesh_id = _numbered(Mesh(all_v.select("mesh_id", "vid", "x", "y", "z"), all_t), mesh_id)
+    vertices, moved = _close_moves(vertices, merge_threshold)
+    # new numbers are unique over all meshes; both moves in one, so that the triangles are re-pointed once
+    again = unbroadcast(moved.select(F.col("vid").alias("to"), F.col("to").alias("_to")))
+    ids = ids.join(again, "to", "left").select("mesh_id", "vid", F.coalesce("_to", "to").alias("to"))
+    triangles = remap(triangles, ids).select(mesh_id.alias("mesh_id"), "tid", *_CORNERS)
+    return remove_unreferenced(remove_degenerate(Mesh(vertices, triangles)))
 
 
 def with_normals(mesh: Mesh) -> Mesh:

@@ -228,8 +228,9 @@ def cover_edges(cover: Mesh) -> DataFrame:
     sides = F.array(*[F.struct(F.col(f"v{i}").alias("a"), F.col(f"v{(i + 1) % 3}").alias("b")) for i in range(3)])
     each = cover.triangles.select("mesh_id", F.inline(sides))
     pair = [F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")]
-    once = each.groupBy("mesh_id", *pair).agg(F.count("*").alias("n"), F.first("a").alias("a"), F.first("b").alias("b"))
-    return once.filter("n = 1").select("mesh_id", "a", "b")
+    once = each.groupBy("mesh_id", *pair).agg(F.count("*").alias("n"), F.min(F.col("a") < F.col("b")).alias("_up")).filter("n = 1")
+    ends = [F.when(F.col("_up"), F.col(p)).otherwise(F.col(q)) for p, q in (("_lo", "_hi"), ("_hi", "_lo"))]
+    return once.select("mesh_id", ends[0].alias("a"), ends[1].alias("b"))
 
 
 def check_faces(mesh: Mesh) -> Mesh:

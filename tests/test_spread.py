@@ -3,6 +3,7 @@
 import time
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from reliefgrid.operators import cleanup, mesh, triangulate
 from reliefgrid.runtime import local_table
@@ -47,3 +48,30 @@ def test_cleaning_steps_are_not_repeated(spark):
     assert once.vertices.inputFiles() and once.vertices.count() == 4 and once.triangles.collect() == t.collect()
     used = cleanup.remove_unreferenced(mesh.Mesh(v, t))
     assert used.triangles.inputFiles() and sorted(r.vid for r in used.vertices.collect()) == [0, 1, 2]
+
+
+def stacked_squares(spark, n=12):
+    """Two sheets of ``n`` by ``n`` squares, one on top of the other, as meshes of their own with the same ids."""
+    v = [(f"m/{k}", i * (n + 1) + j, j / 2, i / 2, 0.5) for k in (0, 1) for i in range(n + 1) for j in range(n + 1)]
+    t = [(f"m/{k}", i * n + j, a, a + 1, a + n + 1) for k in (0, 1) for i in range(n) for j in range(n) for a in (i * (n + 1) + j,)]
+    return mesh.Mesh(
+        local_table(spark, v, "mesh_id string, vid long, x double, y double, z double"),
+        local_table(spark, t, "mesh_id string, tid long, v0 long, v1 long, v2 long"),
+    )
+
+
+def test_round_places_lie_in_one_cell(spark):
+    v = stacked_squares(spark).vertices.filter("mesh_id = 'm/0'")
+    assert cleanup.company_cells(v, 1e-6).count() == v.count() == 169
+    assert cleanup.with_company(v, 1e-6).isEmpty()
+
+
+def test_combined_triangles_are_moved_once(spark, monkeypatch):
+    m, calls, remap = stacked_squares(spark), [], cleanup.remap
+    monkeypatch.setattr(cleanup, "remap", lambda *a: calls.append(1) or remap(*a))
+    out = cleanup.combine_meshes(m, mesh_id=F.lit("m"))
+    assert len(calls) == 1
+    steps = cleanup.merge_close_vertices(cleanup.concat_meshes(m, F.lit("m")))
+    assert sorted(out.triangles.collect()) == sorted(steps.triangles.collect())
+    used = {c for r in steps.triangles.collect() for c in (r.v0, r.v1, r.v2)}
+    assert sorted(out.vertices.collect()) == sorted(r for r in steps.vertices.collect() if r.vid in used)
