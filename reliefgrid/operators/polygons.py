@@ -114,16 +114,29 @@ def area_fraction_filter(polygons: DataFrame, fraction: float = 0.01) -> DataFra
     return paired.filter(F.col("area") >= F.col("_max") * fraction).drop("_max")
 
 
-def faces_of_polygons(faces: DataFrame, cells: DataFrame, levels: DataFrame, min_area: float = 0.0, min_fraction: float = 0.0, tile_bits: int = TILE_BITS) -> DataFrame:
+def polygon_labels(cells: DataFrame, levels: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
+    """The high regions that are polygons, written for :func:`faces_of_polygons` and :func:`slice_polygons` to share."""
+    return cut(region_labels(cells, levels, 4, (True,), tile_bits=tile_bits))
+
+
+def faces_of_polygons(
+    faces: DataFrame, cells: DataFrame, levels: DataFrame, min_area: float = 0.0, min_fraction: float = 0.0, tile_bits: int = TILE_BITS,
+    labels: DataFrame | None = None,
+) -> DataFrame:
     """The triangles of ``triangulate_grid`` that lie in polygons passing both area filters.
 
     Each triangle has a high cell among its corners, whose region is its polygon, and the areas of a
-    polygon's triangles add up to its own, so no ring is traced.
+    polygon's triangles add up to its own, so no ring is traced. ``labels`` are those of :func:`polygon_labels`, if at hand.
     """
-    corner = F.coalesce(*[F.when((F.col(f"x{i}") % 2 == 0) & (F.col(f"y{i}") % 2 == 0), F.struct((F.col(f"y{i}") / 2).cast("int").alias("row"), (F.col(f"x{i}") / 2).cast("int").alias("col"))) for i in range(3)])
+    def high(c: str) -> Column:
+        # numbers, not a struct: the join also asks each for null, and with structs that is most of the join's time
+        even = [(F.col(f"x{i}").bitwiseOR(F.col(f"y{i}"))).bitwiseAND(F.lit(1)) == 0 for i in range(3)]
+        return F.coalesce(*[F.when(e, F.shiftright(F.col(f"{c}{i}"), 1)) for i, e in enumerate(even)]).cast("int")
+
     at = ["raster_id", "level_idx", "row", "col"]
-    labels = region_labels(cells, levels, 4, (True,), tile_bits=tile_bits).filter("own").select(*at, F.col("region").alias("poly_id"))
-    named = faces.withColumn("_c", corner).withColumns({"row": F.col("_c.row"), "col": F.col("_c.col")}).join(unbroadcast(labels), at)
+    labels = region_labels(cells, levels, 4, (True,), tile_bits=tile_bits) if labels is None else labels
+    labels = labels.filter("own").select(*at, F.col("region").alias("poly_id"))
+    named = faces.withColumns({"row": high("y"), "col": high("x")}).join(unbroadcast(labels), at)
     double = (F.col("x1") - F.col("x0")) * (F.col("y2") - F.col("y0")) - (F.col("x2") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     named = cut(named.select(*faces.columns, "poly_id", (F.abs(double) / 8.0).alias("area")))
     polygons = named.groupBy("raster_id", "level_idx", "poly_id").agg(F.sum("area").alias("area"))
@@ -341,13 +354,17 @@ def is_valid_polygon(rings: DataFrame, min_area: float = 1e-2) -> DataFrame:
 # ---- slices of a height grid -----------------------------------------------------------------
 
 
-def ring_roles(rings: DataFrame, cells: DataFrame, levels: DataFrame, tile_bits: int = TILE_BITS) -> DataFrame:
+def ring_roles(
+    rings: DataFrame, cells: DataFrame, levels: DataFrame, tile_bits: int = TILE_BITS, labels: DataFrame | None = None
+) -> DataFrame:
     """One row per traced ring: role by the sign of its area, polygon = the high region it bounds.
 
     A hole belongs to the polygon whose region lies on its high side, so no containment test is
     needed.
     """
-    labels = region_labels(cells, levels, 4, (True,), border_only=True, tile_bits=tile_bits).select(
+    if labels is None:
+        labels = region_labels(cells, levels, 4, (True,), border_only=True, tile_bits=tile_bits)
+    labels = labels.filter("border").select(
         "tile", "raster_id", "level_idx",
         (F.col("row") * 2).alias("hy1"), (F.col("col") * 2).alias("hx1"), F.col("region").alias("poly_id"),
     )
@@ -378,12 +395,13 @@ def slice_polygons(
     tile_bits: int = TILE_BITS,
     max_segments: int | None = None,
     tolerance: float = 0.5,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """Polygons of every level in one job: outer rings and their holes.
 
     ``mode="slice"`` is the horizontal cut through the grid; ``mode="compat"`` gives the net effect
     of the original steps (see ``compat.py``). With ``max_segments`` the rings are simplified until
-    no exterior has more points.
+    no exterior has more points. ``labels`` are those of :func:`polygon_labels`, if at hand; compat slices need their own.
     """
     if mode == "compat":
         from reliefgrid.operators.compat import compat_polygons
@@ -392,7 +410,7 @@ def slice_polygons(
         min_area = 0.0
     elif mode == "slice":
         rings = trace_rings(cells, levels, tile_bits=tile_bits)
-        points = ring_points(rings, ring_roles(rings, cells, levels, tile_bits))
+        points = ring_points(rings, ring_roles(rings, cells, levels, tile_bits, labels))
     else:
         raise ValueError(f"Unknown mode: {mode}")
     if min_area > 0 or min_fraction > 0 or max_segments is not None:

@@ -124,7 +124,7 @@ def _touches(mask: np.ndarray, present: np.ndarray) -> np.ndarray:
 
 LABEL_SCHEMA = (
     "tile long, raster_id string, level_idx int, row int, col int, high boolean, label long,"
-    " own boolean, shared boolean"
+    " own boolean, shared boolean, border boolean"
 )
 
 
@@ -160,7 +160,8 @@ def _label_tile(levels, connectivity: int, sides: tuple[bool, ...], border_only:
                 if not m.any():
                     continue
                 roots = label_mask(m, connectivity if high else connectivity_of_rest(connectivity))
-                take = m & (_touches(m, present) | shared) if border_only else m
+                border = m & (_touches(m, present) | shared)
+                take = border if border_only else m
                 flat = np.flatnonzero(take)
                 parts.append(
                     pd.DataFrame(
@@ -172,12 +173,13 @@ def _label_tile(levels, connectivity: int, sides: tuple[bool, ...], border_only:
                             "label": key.ravel()[roots[flat]],
                             "own": own.ravel()[flat],
                             "shared": shared.ravel()[flat],
+                            "border": border.ravel()[flat],
                         }
                     )
                 )
         if not parts:
             return pd.DataFrame({n: [] for n in
-                                 ("tile", "raster_id", "level_idx", "row", "col", "high", "label", "own", "shared")})
+                                 ("tile", "raster_id", "level_idx", "row", "col", "high", "label", "own", "shared", "border")})
         return pd.concat(parts, ignore_index=True)
 
     return run
@@ -203,11 +205,11 @@ def region_labels(
     border_only: bool = False,
     tile_bits: int = TILE_BITS,
 ) -> DataFrame:
-    """Region of each cell per level: ``tile, raster_id, level_idx, row, col, high, own, region``.
+    """Region of each cell per level: ``tile, raster_id, level_idx, row, col, high, own, border, region``.
 
     Regions are found inside tiles first; only labels meeting in the cells that neighbouring tiles
     share enter the distributed component search, so its size follows the tile edges rather than
-    the grid. With ``border_only`` just the cells along contours (and tile edges) are returned.
+    the grid. With ``border_only`` just the cells along contours (and tile edges) are returned, those of ``border``.
     """
     lv = level_keys(levels)
     placed = tiled(cells, before=1, after=0, bits=tile_bits)
@@ -243,7 +245,7 @@ def region_labels(
         .filter("a <> b")
         .distinct()
     )
-    out = ["tile", "raster_id", "level_idx", "row", "col", "high", "own"]
+    out = ["tile", "raster_id", "level_idx", "row", "col", "high", "own", "border"]
     meets = cut(meets)
     if meets.isEmpty():
         return local.select(*out, F.col("label").alias("region"))

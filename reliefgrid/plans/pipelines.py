@@ -15,7 +15,7 @@ from reliefgrid.operators.fill import fill_missing
 from reliefgrid.operators.inspect import mesh_info
 from reliefgrid.operators.mesh import Mesh
 from reliefgrid.operators.pixels import check_rgb, compile_rules, crop, map_colors, resample
-from reliefgrid.operators.polygons import bounding_polygon, faces_of_polygons, slice_polygons
+from reliefgrid.operators.polygons import bounding_polygon, faces_of_polygons, polygon_labels, slice_polygons
 from reliefgrid.operators.triangulate import triangulate_polygons
 from reliefgrid.runtime import cut
 from reliefgrid.sources.images import read_images
@@ -89,12 +89,13 @@ def level_solids(cells: DataFrame, levels: DataFrame, config: MeshSettings = Mes
     exact = config.mode == "slice" and config.triangulation.method == "grid"
     c = config.contour
     if exact:
-        faces = None
+        faces, labels = None, None
         if c.min_polygon_area > 0 or c.min_area_fraction > 0:
-            faces = faces_of_polygons(M.triangulate_grid(cells, levels), cells, levels, c.min_polygon_area, c.min_area_fraction)
+            labels = polygon_labels(cells, levels) if config.stages_path is not None else None
+            faces = faces_of_polygons(M.triangulate_grid(cells, levels), cells, levels, c.min_polygon_area, c.min_area_fraction, labels=labels)
         if config.stages_path is not None:
             # the mesh is made from the stage tables, so they cannot differ
-            rings = slice_polygons(cells, levels, c.min_polygon_area, c.min_area_fraction)
+            rings = slice_polygons(cells, levels, c.min_polygon_area, c.min_area_fraction, labels=labels)
             faces = M.triangulate_grid(cells, levels) if faces is None else faces
             faces = write_stages(config.stages_path, faces=faces, contours=rings)["faces"].select(*faces.columns)
             cover = M.flat_cover(faces, units)

@@ -5,7 +5,9 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from reliefgrid.operators import cleanup, mesh, triangulate
+from reliefgrid.config import ContourSettings, MeshSettings
+from reliefgrid.operators import cleanup, grid, mesh, polygons, regions, triangulate
+from reliefgrid.plans.pipelines import level_solids
 from reliefgrid.runtime import local_table
 
 RINGS = "poly_id long, ring_id long, role string, seq int, x double, y double"
@@ -75,3 +77,24 @@ def test_combined_triangles_are_moved_once(spark, monkeypatch):
     assert sorted(out.triangles.collect()) == sorted(steps.triangles.collect())
     used = {c for r in steps.triangles.collect() for c in (r.v0, r.v1, r.v2)}
     assert sorted(out.vertices.collect()) == sorted(r for r in steps.vertices.collect() if r.vid in used)
+
+
+def test_border_cells_are_marked_among_all(make, spark):
+    cells, lv = make(np.random.default_rng(11).integers(0, 9, (21, 19)), "r"), grid.levels_table(spark, [3, 6])
+    every, border = [regions.region_labels(cells, lv, 4, (True,), border_only=b, tile_bits=3) for b in (False, True)]
+    some = sorted(every.filter("border").collect())
+    assert some == sorted(border.collect()) and 0 < len(some) < every.count()
+
+
+def test_regions_are_searched_once_for_faces_and_stages(make, spark, tmp_path, monkeypatch):
+    cells, lv = make(np.random.default_rng(12).integers(0, 9, (20, 23)), "r"), grid.levels_table(spark, [3, 6])
+    contour = ContourSettings(min_polygon_area=0.6, min_area_fraction=0.02)
+    plain = level_solids(cells, lv, MeshSettings(contour=contour))
+    want = sorted(plain.triangles.collect())
+    rings = sorted(polygons.slice_polygons(cells, lv, 0.6, 0.02).collect())
+    calls, labels = [], polygons.region_labels
+    monkeypatch.setattr(polygons, "region_labels", lambda *a, **k: calls.append(1) or labels(*a, **k))
+    staged = level_solids(cells, lv, MeshSettings(contour=contour, stages_path=str(tmp_path)))
+    assert len(calls) == 1 and sorted(staged.triangles.collect()) == want
+    columns = ["raster_id", "level_idx", "poly_id", "ring_id", "role", "seq", "x", "y", "nx", "ny"]
+    assert sorted(spark.read.parquet(f"{tmp_path}/contours").select(*columns).collect()) == rings
