@@ -2,6 +2,7 @@
 
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,29 @@ def test_flat_picture_cannot_shrink_to_nothing(spark):
         pixels.resample(px, 10).count()
 
 
+def test_picture_of_no_columns_has_no_rows(spark, tmp_path):
+    from catalog import load_all
+
+    query = load_all()["resample_pixels"]
+    for name, last, step in (("narrow", 620_000, 17), ("wide", 7_000, 1)):
+        keys = spark.range(0, last, step).select(F.col("id").alias("o_orderkey"))
+        keys.coalesce(1).write.parquet(str(tmp_path / name / "orders.parquet"))
+        con = duckdb.connect()
+        con.execute(f"create view orders as select * from '{tmp_path}/{name}/orders.parquet/*.parquet'")
+        want = con.execute(query.sql).fetchall()
+        got = [(r.image_id, r.row, r.col, r.r, r.g, r.b) for r in query.build(spark, str(tmp_path / name)).collect()]
+        assert sorted(got) == sorted(want) and bool(got) == (name == "wide")
+
+
+def test_vanished_pictures_leave_the_others(spark):
+    px = spark.range(100).select(F.expr("if(id < 20, 'small', 'flat')").alias("image_id"), F.lit(0).alias("row"), F.expr("cast(if(id < 20, id % 5, id) as int)").alias("col"), *[F.lit(1).alias(c) for c in "rgb"])
+    px = px.withColumn("row", F.expr("if(image_id = 'small', col div 2, row)").cast("int"))
+    left = pixels.resample(px, 10, vanished="empty")
+    assert [r.image_id for r in left.select("image_id").distinct().collect()] == ["small"] and left.count() == 20
+    with pytest.raises(ValueError, match="vanished"):
+        pixels.resample(px, 10, vanished="other")
+
+
 def test_many_shared_rules_go_in_parts(spark, monkeypatch):
     monkeypatch.setattr(pixels, "SMALL_TABLE_ROWS", 4)
     codes = [f"#{v:02x}0000" for v in range(0, 250, 20)]
