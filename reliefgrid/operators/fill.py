@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from reliefgrid.operators.regions import KEY_SHIFT, connected_components, merged
 from reliefgrid.operators.tiles import TILE_BITS, TILE_KEY, tile_of, tiled
-from reliefgrid.runtime import cut, scratch_path
+from reliefgrid.runtime import cut, scratch_path, unbroadcast
 
 #: Rounds computed per exchange: a tile sees this many windows beyond its edge.
 ROUNDS_PER_EXCHANGE = 8
@@ -75,21 +75,24 @@ def _frontier_tile(k: int, rounds: int, bits: int):
 
 
 def _gap_tiles(cells: DataFrame, reach: int, bits: int, skew: int = 0) -> DataFrame:
-    """Rows of the tiles that hold missing cells, with everything in reach of them."""
+    """Rows of the tiles that hold missing cells, with everything in reach of them.
+
+    Tiles meet by their hash, by which they are placed already; one that shares it with another has no missing cells and adds nothing.
+    """
     column = F.col("col") + F.col("row") * skew
     gaps = (
         cells.filter("value is null")
-        .select("raster_id", tile_of(F.col("row"), bits).alias("tile_r"), tile_of(column, bits).alias("tile_c"))
+        .select(F.xxhash64("raster_id", tile_of(F.col("row"), bits), tile_of(column, bits)).alias("tile"))
         .distinct()
     )
     placed = tiled(cells, reach, reach, bits, skew, skew * reach)
-    return placed.join(gaps, ["raster_id", "tile_r", "tile_c"], "left_semi")
+    return placed.join(unbroadcast(gaps), "tile", "left_semi")
 
 
 def _apply(cells: DataFrame, filled: DataFrame) -> DataFrame:
     """Put new heights into their missing cells; only missing cells take part in the join."""
     gaps = cells.filter("value is null").select(*_CELL)
-    new = gaps.join(filled, _CELL, "left").select(*_CELL, "value")
+    new = gaps.join(unbroadcast(filled), _CELL, "left").select(*_CELL, "value")
     return cells.filter("value is not null").select(*_CELL, "value").unionByName(new)
 
 
@@ -187,10 +190,10 @@ def gap_waves(cells: DataFrame, k: int, bits: int) -> DataFrame:
         return seen.select(*_CELL, F.col("diagonal").alias("wave"))
     roots = connected_components(links, ["raster_id"])
     labels = seen.filter("own").select("raster_id", "label", "diagonal").distinct()
-    labels = cut(labels.join(roots.withColumnRenamed("node", "label"), ["raster_id", "label"]))
+    labels = cut(labels.join(unbroadcast(roots.withColumnRenamed("node", "label")), ["raster_id", "label"]))
     start = labels.groupBy("raster_id", "root").agg(F.min("diagonal").alias("start"))
-    starts = labels.join(start, ["raster_id", "root"]).select("raster_id", "label", "start").distinct()
-    return seen.filter("own").join(starts, ["raster_id", "label"]).select(
+    starts = labels.join(unbroadcast(start), ["raster_id", "root"]).select("raster_id", "label", "start").distinct()
+    return seen.filter("own").join(unbroadcast(starts), ["raster_id", "label"]).select(
         *_CELL, (F.col("diagonal") - F.col("start")).alias("wave")
     )
 
@@ -267,7 +270,7 @@ def _fill_scan(cells: DataFrame, k: int, bits: int) -> DataFrame:
         raise ValueError("neighbourhood too large for a tile")
     spark = cells.sparkSession
     gaps = cells.filter("value is null").select(*_CELL, "value")
-    late = gaps.join(gap_waves(cells, k, bits), _CELL, "left").withColumn("wave", F.coalesce("wave", F.lit(0)))
+    late = gaps.join(unbroadcast(gap_waves(cells, k, bits)), _CELL, "left").withColumn("wave", F.coalesce("wave", F.lit(0)))
     marked = cells.filter("value is not null").select(*_CELL, "value", F.lit(None).cast("int").alias("wave")).unionByName(late)
     staged_path = scratch_path(spark, "scan")
     staged = _gap_tiles(marked, k, bits, skew=k).groupBy(*TILE_KEY).applyInPandas(_stage_tile(k, bits), STAGE_SCHEMA)
@@ -282,7 +285,7 @@ def _fill_scan(cells: DataFrame, k: int, bits: int) -> DataFrame:
             known = recent[0]
             for d in recent[1:]:
                 known = known.unionByName(d)
-            part = part.join(known.withColumnRenamed("value", "_new"), _CELL, "left")
+            part = part.join(unbroadcast(known.withColumnRenamed("value", "_new")), _CELL, "left")
             # a cell filled by an earlier wave is surroundings here, never one of this wave's gaps
             part = part.withColumn("value", F.coalesce("value", "_new")).drop("_new")
         out = part.groupBy(*TILE_KEY).applyInPandas(_scan_tile(k), FILL_SCHEMA)

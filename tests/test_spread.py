@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from reliefgrid.config import ContourSettings, MeshSettings
-from reliefgrid.operators import cleanup, grid, mesh, polygons, regions, triangulate
+from reliefgrid.operators import cleanup, fill, grid, mesh, polygons, regions, triangulate
 from reliefgrid.plans.pipelines import level_solids
-from reliefgrid.runtime import local_table
+from reliefgrid.runtime import cut, local_table
 
 RINGS = "poly_id long, ring_id long, role string, seq int, x double, y double"
 
@@ -98,3 +98,12 @@ def test_regions_are_searched_once_for_faces_and_stages(make, spark, tmp_path, m
     assert len(calls) == 1 and sorted(staged.triangles.collect()) == want
     columns = ["raster_id", "level_idx", "poly_id", "ring_id", "role", "seq", "x", "y", "nx", "ny"]
     assert sorted(spark.read.parquet(f"{tmp_path}/contours").select(*columns).collect()) == rings
+
+
+def test_filled_cells_are_not_collected(spark):
+    """Files of cells are small and their rows are many: neither gap cells nor new heights are broadcast."""
+    cells = cut(spark.range(40_000).selectExpr("'r' as raster_id", "cast(id div 100 as int) as row", "cast(id % 100 as int) as col", "if(id % 3 = 0, null, 1.0D) as value"))
+    for mode in ("frontier", "scan"):
+        filled = fill.fill_missing(cells, mode, max_iterations=1, tile_bits=6)
+        assert "BroadcastHashJoin" not in filled._jdf.queryExecution().toString()
+        assert filled.filter("value = 1.0").count() == 40_000
