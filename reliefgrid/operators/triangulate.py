@@ -1,11 +1,13 @@
-"""Triangulation of polygons with a Delaunay mesh, polygons in parallel.
+"""Triangulation of polygons with a Delaunay mesh, polygons in parallel and large ones in cells.
 
 ``mesh.triangulate_grid`` covers slices of any size without a solver; this is the path that keeps
-the original's point sets for polygons that fit one task.
+the original's point sets.
 """
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,10 +22,19 @@ from reliefgrid.operators.polygons import (
     polygon_measures,
     with_next,
 )
-from reliefgrid.runtime import attach, cut, spread
+from reliefgrid.operators.regions import merged
+from reliefgrid.runtime import attach, cut, spread, unbroadcast
 
-#: Points of a polygon the solver takes; beyond that the caller is told to use the grid method.
+#: Points of a polygon that one task triangulates; larger polygons are cut into cells.
 DELAUNAY_POINTS = 50_000
+#: Points of a cell at most, where finer cells hold fewer.
+CELL_POINTS = 8_000
+#: Sides of the smallest cells: 2**-20 of the polygon's.
+FINEST = 20
+#: Points are shifted by at most this share of the polygon's extent.
+SHIFT = 1e-7
+#: Circles are told apart exactly where floating point may err by this share of their terms.
+ROUNDING = 4e-15
 
 
 def boundary_points(rings: DataFrame) -> DataFrame:
@@ -89,7 +100,7 @@ def interior_points(rings: DataFrame, density: float = 1.0) -> DataFrame:
     same = (F.col("p.x") >= F.col("o.fx")) & (F.col("p.x") <= F.col("o.tx"))
     for k in [*key, "j"]:
         same = same & (F.col(f"p.{k}") == F.col(f"o.{k}"))
-    return p.join(o, same, "left_anti").select(*key, "i", "j", "x", "y")
+    return p.join(unbroadcast(o), same, "left_anti").select(*key, "i", "j", "x", "y")
 
 
 def _delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -103,16 +114,23 @@ def _delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.empty((0, 3), dtype=np.int64)
     extent = max(np.ptp(x), np.ptp(y)) or 1.0
-    shift = np.random.default_rng(7).uniform(-1e-7, 1e-7, (n, 2)) * extent
+    shift = np.random.default_rng(7).uniform(-SHIFT, SHIFT, (n, 2)) * extent
     px, py = x + shift[:, 0], y + shift[:, 1]
-    mx, my, big = px.mean(), py.mean(), 1e4 * extent
+    tri = _framed_delaunay(px, py, (px.mean(), py.mean(), extent))
+    return tri[(tri < n).all(axis=1)]
+
+
+def _framed_delaunay(px: np.ndarray, py: np.ndarray, frame: tuple[float, float, float]) -> np.ndarray:
+    """Delaunay triangles, counterclockwise, of the points and of three far corners (``n`` to ``n + 2``) around ``frame`` (middle, extent)."""
+    n = len(px)
+    mx, my, big = frame[0], frame[1], 1e4 * frame[2]
     px = np.r_[px, mx - big, mx + big, mx]
     py = np.r_[py, my - big, my - big, my + big]
 
     xs, ys, base = px.tolist(), py.tolist(), n + 3
     corners: list[tuple[int, int, int]] = []
     across: list[list[int]] = []  # triangle beyond the side opposite to each corner, -1 outside
-    circles: list[tuple[float, float, float]] = []
+    circles: list[tuple[float, float, float, float]] = []  # middle, squared radius, and what rounding may add to a squared distance less it
     gone = bytearray()
 
     def add(a: int, b: int, c: int, beyond: int) -> int:
@@ -121,16 +139,26 @@ def _delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         d = 2.0 * (bx * cy - by * cx) or 1e-300
         b2, c2 = bx * bx + by * by, cx * cx + cy * cy
         ux, uy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
+        r2 = ux * ux + uy * uy
+        lost = ROUNDING * ((abs(bx * cy) + abs(by * cx)) / abs(d) + (abs(cy * b2) + abs(by * c2) + abs(bx * c2) + abs(cx * b2)) / abs(d) / (r2**0.5 or 1.0) + 1.0)
         corners.append((a, b, c))
         across.append([-1, -1, beyond])
-        circles.append((ax + ux, ay + uy, ux * ux + uy * uy))
+        circles.append((ax + ux, ay + uy, r2, r2 * lost + ROUNDING * r2**0.5 * (abs(ax) + abs(ay))))
         gone.append(0)
         return len(corners) - 1
 
     def holds(t: int, i: int) -> bool:
-        cx, cy, r2 = circles[t]
+        cx, cy, r2, lost = circles[t]
         dx, dy = cx - xs[i], cy - ys[i]
-        return dx * dx + dy * dy < r2
+        over = dx * dx + dy * dy - r2
+        if over < -lost or over > lost:
+            return over < 0
+        # too close to tell in floating point, as in flat triangles along a straight border
+        px, py = Fraction(xs[i]), Fraction(ys[i])
+        (ax, ay, a2), (bx, by, b2), (cx, cy, c2) = (
+            (x, y, x * x + y * y) for x, y in ((Fraction(xs[v]) - px, Fraction(ys[v]) - py) for v in corners[t])
+        )
+        return ax * (by * c2 - b2 * cy) - ay * (bx * c2 - b2 * cx) + a2 * (bx * cy - by * cx) > 0
 
     def start(t: int, i: int) -> int:
         """A triangle whose circle holds point ``i``: on the way from ``t`` towards it."""
@@ -184,16 +212,177 @@ def _delaunay(x: np.ndarray, y: np.ndarray) -> np.ndarray:
                     across[other[0]][other[1]] = last
         for t in bad:
             gone[t] = 1
-    tri = np.array([c for c, dead in zip(corners, gone) if not dead], np.int64).reshape(-1, 3)
-    return tri[(tri < n).all(axis=1)]
+    return np.array([c for c, dead in zip(corners, gone) if not dead], np.int64).reshape(-1, 3)
+
+
+def _in_box(px: np.ndarray, py: np.ndarray, tri: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Which triangles have their circle inside ``box`` (left, bottom, right, top; may be infinite)."""
+    ax, ay = px[tri[:, 0]], py[tri[:, 0]]
+    bx, by, cx, cy = px[tri[:, 1]] - ax, py[tri[:, 1]] - ay, px[tri[:, 2]] - ax, py[tri[:, 2]] - ay
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        d = 2.0 * (bx * cy - by * cx)
+        b2, c2 = bx * bx + by * by, cx * cx + cy * cy
+        ux, uy = (cy * b2 - by * c2) / d, (bx * c2 - cx * b2) / d
+        lost = ROUNDING * (np.abs(bx * cy) + np.abs(by * cx) + (np.abs(cy * b2) + np.abs(by * c2) + np.abs(bx * c2) + np.abs(cx * b2)) / np.hypot(ux, uy)) / np.abs(d)
+        r = np.hypot(ux, uy) * (1 + 1e-9 + 4 * lost)
+        return (ax + ux - r > box[0]) & (ay + uy - r > box[1]) & (ax + ux + r < box[2]) & (ay + uy + r < box[3])
+
+
+def _settle(px: np.ndarray, py: np.ndarray, walls: np.ndarray, box: tuple[float, float, float, float] | None, frame: tuple[float, float, float]):
+    """One cell: triangles that are certain, which points may have further ones, and the border of all that is certain.
+
+    A circle inside the cell that holds none of its points holds none at all. ``walls`` are the directed borders of what is certain from
+    smaller cells (on their left); points inside of it are not among the given ones any more, so triangles there are left out. No
+    ``box``: the cell is the whole polygon and all other triangles are certain. All cells have the polygon's ``frame``.
+    """
+    n = len(px)
+    tri = _framed_delaunay(px, py, frame)
+    base = n + 3
+    a, b = tri.ravel(), np.roll(tri, -1, axis=1).ravel()
+    edge, back, wall = a * base + b, b * base + a, walls[:, 0] * base + walls[:, 1]
+    order = np.argsort(edge)
+    at = np.minimum(np.searchsorted(edge[order], back), len(edge) - 1)
+    beyond = np.where(edge[order][at] == back, order[at] // 3, -1)
+    passed = (beyond >= 0) & ~np.isin(edge, wall) & ~np.isin(back, wall)
+    own = np.repeat(np.arange(len(tri)), 3)
+    part = merged(len(tri), own[passed], beyond[passed])
+    covered = np.isin(part, part[own[np.isin(edge, wall)]])
+    if not np.isin(wall, edge).all() or (covered[own] & np.isin(back, wall)).any():
+        raise RuntimeError("triangles of neighbouring cells do not fit together")
+    certain = ~covered & (tri < n).all(axis=1)
+    if box is not None:
+        inner = np.flatnonzero(certain)
+        certain[inner] = _in_box(px, py, tri[inner], box)
+    placed = np.zeros(base, dtype=bool)
+    placed[tri.ravel()] = True
+    left = np.zeros(base, dtype=bool)
+    left[tri[~covered & ~certain].ravel()] = True
+    left |= ~placed  # a point that no circle holds
+    found = tri[certain]
+    border = np.r_[found.ravel() * base + np.roll(found, -1, axis=1).ravel(), wall]
+    border = border[~np.isin(border % base * base + border // base, border)]
+    return found, left[:n], np.c_[border // base, border % base]
+
+
+_STATE = (
+    "kind string, lev int, a long, b long, c long, x double, y double, px double, py double, qx int, qy int,"
+    " left double, bottom double, right double, top double, side double, mx double, my double, extent double"
+)
+_BOX = ["left", "bottom", "right", "top", "side", "mx", "my", "extent"]
+
+
+def _shifted(pdfs):
+    """Points with the shift that their number has in :func:`_delaunay`, and their finest cells."""
+    for pdf in pdfs:
+        pdf = pdf.sort_values("a", ignore_index=True)
+        draws, at, shift = np.random.PCG64(7), 0, np.empty((len(pdf), 2))
+        numbers = pdf["a"].to_numpy()
+        runs = np.flatnonzero(np.r_[True, np.diff(numbers) != 1]) if len(pdf) else []
+        for lo, hi in zip(runs, [*runs[1:], len(pdf)]):
+            # two draws a point; numbers of different polygons may be equal
+            if 2 * int(numbers[lo]) < at:
+                draws, at = np.random.PCG64(7), 0
+            draws.advance(2 * int(numbers[lo]) - at)
+            shift[lo:hi] = np.random.Generator(draws).uniform(-SHIFT, SHIFT, (hi - lo, 2))
+            at = 2 * (int(numbers[hi - 1]) + 1)
+        extent = np.maximum(pdf["right"] - pdf["left"], pdf["top"] - pdf["bottom"]).to_numpy()
+        extent = np.where(extent > 0, extent, 1.0)
+        pdf["extent"] = extent
+        pdf["px"], pdf["py"] = pdf["x"] + shift[:, 0] * extent, pdf["y"] + shift[:, 1] * extent
+        # cells begin a little outside of all shifted points
+        pdf["left"], pdf["bottom"], pdf["side"] = pdf["left"] - extent * 1e-6, pdf["bottom"] - extent * 1e-6, extent * (1 + 3e-6)
+        pdf["right"], pdf["top"] = pdf["right"] + extent * 1e-6, pdf["top"] + extent * 1e-6
+        for q, p, lo in (("qx", "px", "left"), ("qy", "py", "bottom")):
+            pdf[q] = np.floor((pdf[p] - pdf[lo]) / pdf["side"] * (1 << FINEST)).astype(np.int32)
+        yield pdf
+
+
+def _settle_cell(key: list[str]):
+    columns = [c.split()[0] for c in _STATE.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        walls = pdf[pdf["kind"] == "w"]
+        pts = pdf[pdf["kind"] == "p"].sort_values("a", ignore_index=True)
+        head, lev = pdf.iloc[0], int(pdf["lev"].iloc[0])
+        side, cell = head["side"] / (1 << lev), [int(head[q]) >> (FINEST - lev) for q in ("qx", "qy")]
+        box = None
+        if lev > 0:
+            # nothing lies beyond the polygon's bounds, so cells at them have no end there
+            ends = [[head[o] + k * side, head[o] + (k + 1) * side] for o, k in zip(("left", "bottom"), cell)]
+            margin = head["side"] * 1e-12
+            (x0, x1), (y0, y1) = [[lo + margin if k else -np.inf, hi - margin if hi < head[t] else np.inf] for (lo, hi), k, t in zip(ends, cell, ("right", "top"))]
+            box = (x0, y0, x1, y1)
+        ids = pts["a"].to_numpy()
+        at = np.searchsorted(ids, walls[["a", "b"]].to_numpy().astype(np.int64))
+        found, left, border = _settle(pts["px"].to_numpy(), pts["py"].to_numpy(), at, box, tuple(float(head[c]) for c in ("mx", "my", "extent")))
+        x, y = pts["x"].to_numpy(), pts["y"].to_numpy()
+        turn = (x[found[:, 1]] - x[found[:, 0]]) * (y[found[:, 2]] - y[found[:, 0]]) - (y[found[:, 1]] - y[found[:, 0]]) * (
+            x[found[:, 2]] - x[found[:, 0]]
+        )
+        out = found.copy()
+        out[turn < 0] = found[turn < 0][:, ::-1]
+        parts = [pd.DataFrame({"kind": "t", "a": ids[out[:, 0]], "b": ids[out[:, 1]], "c": ids[out[:, 2]], "x": x[found].mean(axis=1), "y": y[found].mean(axis=1)})]
+        if box is not None:
+            parts.append(pts[left].assign(kind="p"))
+            ends = pd.DataFrame({"kind": "w", "a": ids[border[:, 0]], "b": ids[border[:, 1]]})
+            parts.append(ends.assign(qx=pts["qx"].to_numpy()[border[:, 0]], qy=pts["qy"].to_numpy()[border[:, 0]]))
+        out = pd.concat(parts, ignore_index=True).reindex(columns=columns)
+        out = out.assign(**{k: head[k] for k in key}, **{k: head[k] for k in _BOX}, lev=lev)
+        zero = {c: 0 for c in ("a", "b", "c", "x", "y", "px", "py", "qx", "qy")}
+        return out.fillna(zero)[[*key, *columns]].astype({c: np.int64 for c in "abc"} | {c: np.int32 for c in ("lev", "qx", "qy")})
+
+    return run
+
+
+def _solve_in_cells(points: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of :func:`_solve` for polygons of any size, with no more than a cell's points in a task.
+
+    Points are numbered and shifted as one task would. A cell's triangles whose circles lie inside it are certain, and only points that may have
+    others, those along the cells' borders and around empty places, go on to larger cells, until one cell is left. Points none of whose
+    triangles fit a cell, such as those of a bare circle, all meet in the last one.
+    """
+    order = ["part", "ring_id", "seq", "i", "j"]
+    numbered = running_sums(points, key, order, {"_n": F.lit(1).cast("long")})
+    numbered = cut(numbered.select(*key, (F.col("_n") - 1).alias("a"), "part", "ring_id", "x", "y"))
+    bounds = numbered.groupBy(*key).agg(*[f(c).alias(n) for f, c, n in ((F.min, "x", "left"), (F.min, "y", "bottom"), (F.max, "x", "right"), (F.max, "y", "top"), (F.avg, "x", "mx"), (F.avg, "y", "my"))])
+    none = {"kind": F.lit("p"), "lev": F.lit(FINEST + 1)} | {c: F.lit(0).cast("long") for c in "bc"}
+    none |= {c: F.lit(0.0) for c in ("px", "py", "side", "extent")} | {c: F.lit(0) for c in ("qx", "qy")}
+    state = attach(numbered.select(*key, "a", "x", "y"), bounds, key).withColumns(none)
+    columns = [c.split()[0] for c in _STATE.split(", ")]
+    schema = ", ".join([*[f"{k} {t}" for k, t in numbered.dtypes if k in key], _STATE])
+    state = cut(state.select(*key, *columns).mapInPandas(_shifted, schema))
+    triangles = None
+    while True:
+        sizes = F.explode(F.sequence(F.lit(0), F.lit(FINEST))).alias("_l")
+        cell = [F.expr(f"shiftright({q}, {FINEST} - _l)").alias(f"_{q}") for q in ("qx", "qy")]
+        crowd = state.filter("kind = 'p'").select(*key, "lev", "qx", "qy", sizes).groupBy(*key, "lev", "_l", *cell).count()
+        crowd = crowd.groupBy(*key, "lev", "_l").agg(F.max("count").alias("_most"))
+        # the largest cells that one task takes, but larger than those before
+        fit = F.coalesce(F.min(F.when(F.col("_most") <= CELL_POINTS, F.col("_l"))), F.lit(FINEST))
+        levels = crowd.groupBy(*key, "lev").agg(fit.alias("_fit")).select(*key, F.least("_fit", F.col("lev") - 1).cast("int").alias("lev"))
+        at = [F.expr(f"shiftright({q}, {FINEST} - lev)").alias(f"_{q}") for q in ("qx", "qy")]
+        placed = attach(state.drop("lev"), levels, key).select(*key, *columns, *at)
+        groups = spread(placed, [*key, "_qx", "_qy"]).groupBy(*key, "_qx", "_qy")
+        out = cut(groups.applyInPandas(_settle_cell(key), schema))
+        found = out.filter("kind = 't'")
+        triangles = found if triangles is None else triangles.unionByName(found)
+        state = out.filter("kind <> 't'")
+        if state.isEmpty():
+            break
+    zero = F.lit(0).cast("long")
+    tids = running_sums(triangles.select(*key, "a", "b", "c", "x", "y"), key, ["a", "b", "c"], {"_n": F.lit(1).cast("long")})
+    rings = numbered.filter("part < 2")
+    ends = rings.groupBy(*key, "ring_id").agg(F.min("a").alias("_first"), F.max("a").alias("_last"))
+    ahead = F.when(F.col("a") == F.col("_last"), F.col("_first")).otherwise(F.col("a") + 1)
+    rings = rings.join(unbroadcast(ends), [*key, "ring_id"]).select(*key, "a", ahead.alias("b"), (F.col("part") == 0).cast("long").alias("c"))
+    nowhere = [F.lit(0.0).alias("x"), F.lit(0.0).alias("y")]
+    vertices = numbered.select(*key, F.lit("v").alias("kind"), F.col("a").alias("id"), zero.alias("a"), zero.alias("b"), zero.alias("c"), "x", "y")
+    tids = tids.select(*key, F.lit("t").alias("kind"), (F.col("_n") - 1).alias("id"), "a", "b", "c", "x", "y")
+    return vertices.unionByName(tids).unionByName(rings.select(*key, F.lit("e").alias("kind"), F.col("a").alias("id"), "a", "b", "c", *nowhere))
 
 
 def _solve(key: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > DELAUNAY_POINTS:
-            raise ValueError(
-                f"polygon has {len(pdf)} points, more than {DELAUNAY_POINTS}: use method='grid' or simplify it first"
-            )
         pdf = pdf.sort_values(["part", "ring_id", "seq", "i", "j"]).reset_index(drop=True)
         x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
         tri = _delaunay(x, y)
@@ -251,7 +440,13 @@ def delaunay(rings: DataFrame, density: float | None = 1.0) -> tuple[DataFrame,
     for c in ("id", "a", "b", "c"):
         schema = schema.add(c, "long")
     schema = schema.add("x", "double").add("y", "double")
-    out = cut(spread(points, key).groupBy(*key).applyInPandas(_solve(key), schema))
+    points = cut(points)  # counted, then solved
+    large = cut(points.groupBy(*key).agg(F.count("*").alias("_n")).filter(F.col("_n") > DELAUNAY_POINTS).select(*key))
+    if large.isEmpty():
+        out = cut(spread(points, key).groupBy(*key).applyInPandas(_solve(key), schema))
+    else:
+        out = spread(points.join(unbroadcast(large), key, "left_anti"), key).groupBy(*key).applyInPandas(_solve(key), schema)
+        out = cut(out.unionByName(_solve_in_cells(points.join(unbroadcast(large), key, "left_semi"), key)))
     vertices = out.filter("kind = 'v'").select(*key, F.col("id").alias("vid"), "x", "y")
     triangles = out.filter("kind = 't'").select(
         *key, F.col("id").alias("tid"), F.col("a").alias("v0"), F.col("b").alias("v1"), F.col("c").alias("v2"), "x", "y"

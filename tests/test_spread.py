@@ -107,3 +107,40 @@ def test_filled_cells_are_not_collected(spark):
         filled = fill.fill_missing(cells, mode, max_iterations=1, tile_bits=6)
         assert "BroadcastHashJoin" not in filled._jdf.queryExecution().toString()
         assert filled.filter("value = 1.0").count() == 40_000
+
+
+def around(t):
+    """Triangles from their smallest corner on."""
+    return sorted(tuple(r[k:] + r[:k]) for r in map(list, t) for k in (r.index(min(r)),))
+
+
+def test_large_polygons_are_triangulated_in_cells(spark, monkeypatch):
+    """Cells give the triangles, vertices and edges that one task gives, on a lattice with a straight border and on a bare circle too."""
+    comb = [(x + 0.0, y + 0.0) for k in range(30) for x, y in ((4 * k, 0), (4 * k + 1, 0), (4 * k + 1, 9), (4 * k + 3, 9), (4 * k + 3, 0))] + [(120.0, 0.0), (120.0, 30.0)]
+    comb += [(120.0 - k, 30.0) for k in range(1, 121)]
+    bare = [(np.cos(a), np.sin(a)) for a in np.arange(150) / 150 * 2 * np.pi]
+    hole = [(20.0, 12.0), (20.0, 20.0), (60.0, 25.0), (60.0, 12.0)]
+    rows = [(p, p + 5, role, k, *map(float, xy)) for p, role, ring in ((1, "exterior", comb), (2, "exterior", bare), (4, "exterior", hole)) for k, xy in enumerate(ring)]
+    rows += [(1, 0, "hole", k, *xy) for k, xy in enumerate(hole)]
+    rings = local_table(spark, rows, RINGS)
+
+    def solved():
+        v, t, e = triangulate.delaunay(rings, 1.0)
+        tri = t.collect()
+        assert len({(r.poly_id, r.tid) for r in tri}) == len(tri)
+        middle = sorted((r.poly_id, round(r.x, 9), round(r.y, 9)) for r in tri)
+        return sorted(v.collect()), [around((r.v0, r.v1, r.v2) for r in tri if r.poly_id == p) for p in (1, 2, 4)], middle, sorted(e.collect())
+
+    whole = solved()
+    assert all(whole[1])
+    monkeypatch.setattr(triangulate, "DELAUNAY_POINTS", 130)
+    monkeypatch.setattr(triangulate, "CELL_POINTS", 40)
+    assert solved() == whole
+
+
+def test_triangles_along_a_straight_border_are_not_turned():
+    g = np.array([(i / 2, j / 2) for i in range(12) for j in range(250)])
+    tri = triangulate._delaunay(g[:, 0].copy(), g[:, 1].copy())
+    shift = np.random.default_rng(7).uniform(-1e-7, 1e-7, (len(g), 2)) * np.ptp(g[:, 1])
+    a, b, c = ((g + shift)[tri[:, k]] for k in range(3))
+    assert ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0] > 0).all()
