@@ -308,7 +308,7 @@ def simplify_rings(points: DataFrame, tolerance: float = 0.5, max_segments: int
     outer = rings.filter("role = 'exterior'")
     too_long = outer.groupBy(*key).agg(F.count("*").alias("n")).filter(F.col("n") + 1 > max_segments).select(*key)
     need_schema = rings.select(*lk).schema.add("rounds", IntegerType())
-    needed = spread(outer.join(too_long, key, "left_semi"), key).groupBy(*key).applyInPandas(need, need_schema)
+    needed = spread(outer.join(unbroadcast(too_long), key, "left_semi"), key).groupBy(*key).applyInPandas(need, need_schema)
     finished = rings.filter("done > 0").select(*lk, F.col("done").alias("rounds"))
     needed = needed.unionByName(finished).groupBy(*lk).agg(F.max("rounds").alias("rounds"))
     joined = attach(rings, needed, lk, "left") if lk else rings.crossJoin(needed)
