@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from reliefgrid.config import ContourSettings, MeshSettings
 from reliefgrid.operators import cleanup, fill, grid, mesh, polygons, regions, triangulate
 from reliefgrid.plans.pipelines import level_solids
-from reliefgrid.runtime import cut, local_table
+from reliefgrid.runtime import attach, cut, local_table
 
 RINGS = "poly_id long, ring_id long, role string, seq int, x double, y double"
 
@@ -144,3 +144,16 @@ def test_triangles_along_a_straight_border_are_not_turned():
     shift = np.random.default_rng(7).uniform(-1e-7, 1e-7, (len(g), 2)) * np.ptp(g[:, 1])
     a, b, c = ((g + shift)[tri[:, k]] for k in range(3))
     assert ((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0] > 0).all()
+
+
+def test_growing_sides_of_shared_steps_are_not_broadcast(spark, tmp_path):
+    from catalog.fixtures import summed_heights
+
+    spark.range(900).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    summed = summed_heights(spark, str(tmp_path))
+    assert "BroadcastHashJoin" not in summed._jdf.queryExecution().toString() and summed.count() == 900
+    per_raster = spark.range(50).selectExpr("cast(id as string) as raster_id", "id as v")
+    cells = spark.range(500).selectExpr("cast(id % 50 as string) as raster_id", "id as row")
+    joined = attach(cells, per_raster, ["raster_id"], limit=10)
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().toString()
+    assert joined.filter("v = row % 50").count() == 500
